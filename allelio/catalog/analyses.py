@@ -11,6 +11,8 @@ from allelio.catalog.sources import CATEGORY_SQL, SOURCE, VID
 from allelio.config import CARRIER_GENES, KNOWN_MECHANISM, PLP_GENES, TIER_GENES, VARIANT_KEY
 from allelio.functions import keys
 from allelio.operators import carriers, evidence, frequency, tiers
+from allelio.operators.joins import staged
+from allelio.operators.normalise import normalise
 from allelio.plans import pipelines
 from allelio.sources import readers, writers
 
@@ -113,7 +115,7 @@ MISSENSE_SQL = f"""SELECT site_id, gene FROM g_site WHERE effect LIKE '%missense
 
 def lof(fx):
     rows = sites(fx).filter(F.col("effect").rlike("stop_gained|frameshift|splice_acceptor|splice_donor|start_lost|splice"))
-    return evidence.lof_in_high_psi(rows.select("site_id", "contig", "pos", "gene"), fx.view("g_hipsi"), ID).select("site_id", "gene")
+    return evidence.lof_in_high_psi(rows.select("site_id", "contig", "pos", "gene"), fx.view("g_hipsi")).select("site_id", "gene")
 
 
 def missense(fx):
@@ -249,65 +251,71 @@ def carrier_status(fx):
 CHUNK = 500
 
 # Variants of every document-contig: at each 199th base a deletion, an insertion of a copy of what follows, an
-# insertion of a longer copy, and a replacement that can be trimmed at both ends.
+# insertion of a longer copy, and a replacement that can be trimmed at both ends. ``ctx`` is the sequence from two
+# bases in front of the position to four behind it.
 INDELS = [
-    ("del1", "substr(seq, p, 2)", "substr(seq, p + 1, 1)"),
-    ("ins1", "substr(seq, p, 1)", "concat(substr(seq, p, 1), substr(seq, p, 1))"),
-    ("ins3", "substr(seq, p, 1)", "concat(substr(seq, p - 2, 3), substr(seq, p, 1))"),
-    ("del4", "substr(seq, p, 5)", "substr(seq, p + 4, 1)"),
-    ("mnv", "concat(substr(seq, p, 1), 'AC', substr(seq, p + 3, 2))", "concat(substr(seq, p, 1), 'CA', substr(seq, p + 3, 2))"),
+    ("del1", "substr(ctx, 3, 2)", "substr(ctx, 4, 1)"),
+    ("ins1", "substr(ctx, 3, 1)", "concat(substr(ctx, 3, 1), substr(ctx, 3, 1))"),
+    ("ins3", "substr(ctx, 3, 1)", "concat(substr(ctx, 1, 3), substr(ctx, 3, 1))"),
+    ("del4", "substr(ctx, 3, 5)", "substr(ctx, 7, 1)"),
+    ("mnv", "concat(substr(ctx, 3, 1), 'AC', substr(ctx, 6, 2))", "concat(substr(ctx, 3, 1), 'CA', substr(ctx, 6, 2))"),
 ]
 INDEL_SQL = " UNION ALL ".join(
     f"SELECT concat(contig, ':', p, ':{name}') AS row_id, contig, p AS pos, {ref} AS ref, {alt} AS alt FROM placed" for name, ref, alt in INDELS
 )
 
-LEFT_ALIGN_SQL = f"""
-RECURSIVE_PREFIX placed AS (SELECT contig, seq, CAST(unnest(generate_series(3, length(seq) - 5, 199)) AS BIGINT) AS p FROM g_genome),
-v AS ({INDEL_SQL}),
-step(row_id, contig, pos, ref, alt, done) AS (
- SELECT row_id, contig, pos, ref, alt, ref = alt FROM v
- UNION ALL
- SELECT row_id, step.contig,
-  CASE WHEN right(ref, 1) = right(alt, 1) AND least(length(ref), length(alt)) = 1 AND pos > 1 THEN pos - 1
-   WHEN right(ref, 1) = right(alt, 1) AND least(length(ref), length(alt)) > 1 THEN pos
-   WHEN least(length(ref), length(alt)) > 1 AND left(ref, 1) = left(alt, 1) THEN pos + 1 ELSE pos END,
-  CASE WHEN right(ref, 1) = right(alt, 1) AND least(length(ref), length(alt)) = 1 AND pos > 1 THEN concat(substr(seq, pos - 1, 1), left(ref, length(ref) - 1))
-   WHEN right(ref, 1) = right(alt, 1) AND least(length(ref), length(alt)) > 1 THEN left(ref, length(ref) - 1)
-   WHEN least(length(ref), length(alt)) > 1 AND left(ref, 1) = left(alt, 1) THEN substr(ref, 2) ELSE ref END,
-  CASE WHEN right(ref, 1) = right(alt, 1) AND least(length(ref), length(alt)) = 1 AND pos > 1 THEN concat(substr(seq, pos - 1, 1), left(alt, length(alt) - 1))
-   WHEN right(ref, 1) = right(alt, 1) AND least(length(ref), length(alt)) > 1 THEN left(alt, length(alt) - 1)
-   WHEN least(length(ref), length(alt)) > 1 AND left(ref, 1) = left(alt, 1) THEN substr(alt, 2) ELSE alt END,
-  NOT (right(ref, 1) = right(alt, 1) AND (least(length(ref), length(alt)) > 1 OR pos > 1))
-   AND NOT (least(length(ref), length(alt)) > 1 AND left(ref, 1) = left(alt, 1))
- FROM step JOIN g_genome g ON g.contig = step.contig WHERE NOT done)
-SELECT row_id, contig, pos, ref, alt FROM step WHERE done"""
-
 
 def _genome_and_variants(fx):
-    genome = fx.view("g_genome")
-    starts = F.sequence(F.lit(0), F.expr(f"CAST((length(seq) - 1) / {CHUNK} AS INT)"))
-    chunks = genome.filter(F.length("seq") > 0).select("contig", "seq", F.explode(starts).alias("chunk_no")).select(
-        "contig", F.col("chunk_no").cast("bigint").alias("chunk_no"), F.expr(f"substring(seq, chunk_no * {CHUNK} + 1, {CHUNK})").alias("seq")
+    genome = fx.view("g_genome").filter(F.length("seq") >= 8)
+    chunks = genome.select(
+        "contig",
+        F.explode(
+            F.expr(
+                f"transform(sequence(0, (length(seq) - 1) div {CHUNK}),"
+                f" i -> struct(i AS chunk_no, substring(seq, CAST(i * {CHUNK} + 1 AS INT), {CHUNK}) AS seq))"
+            )
+        ).alias("c"),
+    ).select("contig", "c.*")
+    placed = genome.select(
+        "contig",
+        F.explode(F.expr("transform(sequence(3, length(seq) - 5, 199), p -> struct(CAST(p AS BIGINT) AS p, substring(seq, p - 2, 7) AS ctx))")).alias("c"),
+    ).select("contig", "c.*")
+    alleles = F.array(
+        *[F.struct(F.lit(name).alias("name"), F.expr(ref).alias("ref"), F.expr(alt).alias("alt")) for name, ref, alt in INDELS]
     )
-    placed = genome.filter(F.length("seq") >= 8).select(
-        "contig", "seq", F.explode(F.sequence(F.lit(3), F.length("seq") - 5, F.lit(199))).alias("p")
+    variants = placed.select("contig", F.col("p").alias("pos"), F.explode(alleles).alias("v")).select(
+        F.concat_ws(":", "contig", "pos", "v.name").alias("row_id"), "contig", "pos", "v.ref", "v.alt"
     )
-    parts = [
-        placed.select(
-            F.concat("contig", F.lit(":"), F.col("p").cast("string"), F.lit(f":{name}")).alias("row_id"),
-            "contig", F.col("p").cast("bigint").alias("pos"), F.expr(ref).alias("ref"), F.expr(alt).alias("alt"),
-        )
-        for name, ref, alt in INDELS
-    ]
-    variants = parts[0]
-    for p in parts[1:]:
-        variants = variants.unionByName(p)
     return chunks, variants
 
 
-@query("left_align")
-def left_align(fx):
-    from allelio.operators.normalise import normalise
+LEFT_ALIGN_SQL = f"""
+placed AS (SELECT contig, CAST(p AS BIGINT) AS p, substr(seq, CAST(p AS INT) - 2, 7) AS ctx FROM (
+ SELECT contig, seq, unnest(generate_series(3, length(seq) - 5, 199)) AS p FROM g_genome WHERE length(seq) >= 8)),
+v AS ({INDEL_SQL}),
+step(row_id, contig, pos, ref, alt, done) AS (
+ SELECT row_id, contig, pos, ref, alt, ref = alt FROM v
+ UNION ALL
+ SELECT row_id, contig,
+  CASE kind WHEN 'extend' THEN pos - 1 WHEN 'front' THEN pos + 1 ELSE pos END,
+  CASE kind WHEN 'extend' THEN concat(base, left(ref, length(ref) - 1)) WHEN 'end' THEN left(ref, length(ref) - 1)
+   WHEN 'front' THEN substr(ref, 2) ELSE ref END,
+  CASE kind WHEN 'extend' THEN concat(base, left(alt, length(alt) - 1)) WHEN 'end' THEN left(alt, length(alt) - 1)
+   WHEN 'front' THEN substr(alt, 2) ELSE alt END,
+  kind = 'none'
+ FROM (SELECT step.*, substr(seq, pos - 1, 1) AS base, CASE
+   WHEN right(ref, 1) = right(alt, 1) AND least(length(ref), length(alt)) > 1 THEN 'end'
+   WHEN right(ref, 1) = right(alt, 1) AND pos > 1 THEN 'extend'
+   WHEN left(ref, 1) = left(alt, 1) AND least(length(ref), length(alt)) > 1 THEN 'front'
+   ELSE 'none' END AS kind FROM step JOIN g_genome USING (contig) WHERE NOT done) s)"""
 
+
+@query(
+    "left_align",
+    ["g_genome"],
+    ("SELECT row_id, contig, pos, ref, alt FROM step WHERE done", LEFT_ALIGN_SQL),
+)
+def left_align(fx):
     chunks, variants = _genome_and_variants(fx)
+    chunks, _ = staged(chunks, "genome")
     return normalise(variants, chunks, CHUNK).select("row_id", "contig", "pos", "ref", "alt")

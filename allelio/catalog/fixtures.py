@@ -9,7 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from allelio.config import TIER_GENES
 from allelio.session import scratch_path
 
-BASE = ("customer", "supplier", "part", "orders", "lineitem", "documents")
+# Columns in use of each test table.
+BASE = {
+    "customer": "c_custkey bigint, c_nationkey int",
+    "supplier": "s_suppkey bigint",
+    "part": "p_partkey bigint, p_brand string, p_type string, p_size int",
+    "orders": "o_orderkey bigint, o_custkey bigint",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_quantity double, l_tax double",
+    "documents": "doc_id bigint, text string",
+}
 
 # name -> (views it needs, SQL)
 VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
@@ -151,12 +159,12 @@ def _text(name: str, duckdb: bool) -> str:
     return VIEWS[name][1].replace("{g}", ", 'g'" if duckdb else "")
 
 
-def with_views(names: list[str], body: str, duckdb: bool = True) -> str:
-    """SQL text with the views it needs in front."""
+def with_views(names: list[str], body: str, duckdb: bool = True, extra: str = "") -> str:
+    """SQL text with the views it needs in front; ``extra`` holds further recursive terms."""
     if not names:
         return body
-    ctes = ",\n".join(f"{n} AS ({_text(n, duckdb)})" for n in _order(names))
-    return f"WITH {ctes}\n{body}"
+    terms = [f"{n} AS ({_text(n, duckdb)})" for n in _order(names)] + ([extra] if extra else [])
+    return f"WITH {'RECURSIVE ' if extra else ''}{','.join(terms)}\n{body}"
 
 
 @dataclass
@@ -167,7 +175,7 @@ class Fixtures:
     folder: str
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self.spark.read.schema(BASE[name]).parquet(f"{self.folder}/{name}.parquet")
 
     def view(self, name: str) -> DataFrame:
         text = with_views([name], f"SELECT * FROM {name}", duckdb=False)

@@ -12,13 +12,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(name: str, views: list[str] | None = None, sql: str | None = None):
+def query(name: str, views: list[str] | None = None, sql: str | tuple[str, str] | None = None):
+    """Register a function; ``sql`` is the oracle's SELECT, or (SELECT, further recursive WITH terms)."""
+
     def register(fn: Callable[[Fixtures], DataFrame]):
         if name in QUERIES:
             raise ValueError(f"query registered twice: {name}")
         QUERIES[name] = lambda spark, sf_dir: fn(Fixtures(spark, sf_dir))
         if sql is not None:
-            ORACLES[name] = with_views(views or [], sql)
+            body, extra = (sql, "") if isinstance(sql, str) else sql
+            ORACLES[name] = with_views(views or [], body, extra=extra)
         return fn
 
     return register

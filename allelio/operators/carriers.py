@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from allelio.config import CARRIER_GENES, DISEASES, GENE_SOURCE_ORDER, IMPACTS, TIER_GENES
 from allelio.functions.keys import gene_from_path
-from allelio.operators.joins import first_by, flag_in, lookup_join, semi_join, semi_join_any
+from allelio.operators.joins import BROADCAST_BYTES, first_by, flag_in, lookup_join, semi_join, semi_join_any, staged
 
 SET = ["gene", "disease", "impact"]
 
@@ -32,9 +32,9 @@ def burden(genotypes: DataFrame, tiers: DataFrame, key: list[str], na_as_zero: b
     ``tiers`` names the sets of each variant; a variant named twice in a set counts once. Samples without any row in
     a set are homozygous reference there and get no row. The burden is NULL if all calls of the set are missing.
     """
-    members = tiers.select(*key, *SET).distinct()
-    sizes = members.groupBy(*SET).agg(F.count(F.lit(1)).alias("_size"))
-    calls = lookup_join(genotypes.select(*key, "sample_id", "alt_dosage"), members, key)
+    members, size = staged(tiers.select(*key, *SET).distinct(), "set-members")
+    small = size <= BROADCAST_BYTES
+    calls = lookup_join(genotypes.select(*key, "sample_id", "alt_dosage"), members, key, small=small)
     summed = calls.groupBy("sample_id", *SET).agg(
         F.coalesce(F.sum("alt_dosage"), F.lit(0)).cast("bigint").alias("burden"),
         F.count_if(F.col("alt_dosage").isNull()).alias("_missing"),
@@ -42,7 +42,8 @@ def burden(genotypes: DataFrame, tiers: DataFrame, key: list[str], na_as_zero: b
     if na_as_zero:
         return summed.drop("_missing")
     known = F.when(F.col("_missing") < F.col("_size"), F.col("burden"))
-    return lookup_join(summed, sizes, SET).withColumn("burden", known).drop("_missing", "_size")
+    sizes = members.groupBy(*SET).agg(F.count(F.lit(1)).alias("_size"))  # at most as many rows as members
+    return lookup_join(summed, sizes, SET, small=small).withColumn("burden", known).drop("_missing", "_size")
 
 
 def burden_columns(genes: dict[str, list[str]] | None = None) -> list[str]:
@@ -72,23 +73,19 @@ def carrier_counts(burdens: DataFrame, distinct_genes: bool = False) -> DataFram
     ``n_`` columns count sets, ``is_`` columns tell 0/1 (NULL where every burden of the group is NULL). A gene that
     counts for two diseases counts twice in the totals unless ``distinct_genes``.
     """
-    impact, disease, hit = F.col("impact"), F.col("disease"), F.col("burden") > 0
-
-    def count(name: str, group) -> list:
-        inside = group & hit
-        n = F.count_distinct(F.when(inside, F.col("gene"))) if distinct_genes else F.count_if(inside)
-        flag = F.max(F.when(group & F.col("burden").isNotNull(), hit.cast("int")))
-        return [n.alias(f"n_{name}"), flag.alias(f"is_{name}")]
-
-    aggs = []
-    for i in IMPACTS:
-        aggs += count(f"{i}_carriers", impact == i)
-    for d in DISEASES:
-        for i in IMPACTS:
-            aggs += count(f"{d}_{i}_carriers", (disease == d) & (impact == i))
-    aggs += count("lp_p_pupv_carriers", F.lit(True))
-    for d in DISEASES:
-        aggs += count(f"{d}_lp_p_pupv_carriers", disease == d)
+    groups = {f"{i}_carriers": f"impact = '{i}'" for i in IMPACTS}
+    groups |= {f"{d}_{i}_carriers": f"disease = '{d}' AND impact = '{i}'" for d in DISEASES for i in IMPACTS}
+    groups |= {"lp_p_pupv_carriers": "true"}
+    groups |= {f"{d}_lp_p_pupv_carriers": f"disease = '{d}'" for d in DISEASES}
+    counted = "count(DISTINCT gene)" if distinct_genes else "count(*)"
+    aggs = [
+        F.expr(text)
+        for name, group in groups.items()
+        for text in (
+            f"{counted} FILTER (WHERE {group} AND burden > 0) AS n_{name}",
+            f"max(CAST(burden > 0 AS INT)) FILTER (WHERE {group}) AS is_{name}",
+        )
+    ]
     return burdens.groupBy("sample_id").agg(*aggs)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from allelio.config import CLNSIG_BENIGN, CLNSIG_PLP, EXON_PAD, INTERVAR_PATHOGENIC, REVEL_CUTOFF, TWO_STAR
 from allelio.functions.fields import any_score_ge, score
 from allelio.operators.intervals import near_intervals
-from allelio.operators.joins import consensus, flag_in, lookup_join, override_rule, stack
+from allelio.operators.joins import consensus, lookup_join, override_rule, stack
 
 
 def clinvar_classes(include_benign: bool = False) -> list[str]:
@@ -45,12 +45,11 @@ def revel_any(scores: DataFrame, cutoff: float = REVEL_CUTOFF, col: str = "revel
 
 
 def lof_in_high_psi(
-    lof: DataFrame, exons: DataFrame, key: list[str], gene: str = "TTN", pad: int = EXON_PAD
+    lof: DataFrame, exons: DataFrame, gene: str = "TTN", pad: int = EXON_PAD
 ) -> DataFrame:
     """LoF variants; those of one gene only near an exon in ``exons``, all others (NULL genes too) untouched."""
-    near = near_intervals(lof.filter(F.col("gene") == gene), exons, pad)
-    flagged = flag_in(lof, near, key, "_near")
-    return override_rule(flagged, gene, F.col("_near") == 1, F.lit(True)).drop("_near")
+    own = F.col("gene").eqNullSafe(F.lit(gene))
+    return stack([lof.filter(~own), near_intervals(lof.filter(own), exons, pad)])
 
 
 def gene_consensus(
@@ -79,5 +78,5 @@ def missense_supported(
         ]
     )
     marks = marks.groupBy(*key).agg(F.max("_both").alias("_both"), F.max("_any").alias("_any"))
-    flagged = lookup_join(missense, marks, key, "left")
+    flagged = lookup_join(missense, marks, key, "left", stage=True)
     return override_rule(flagged, gene, F.col("_both"), F.col("_any")).drop("_both", "_any")

@@ -39,7 +39,7 @@ def _attach_samples(genotypes: DataFrame, samples: DataFrame, cols: list[str], s
         F.count(F.lit(1)).alias("n"), F.count_if("male").alias("n_male")
     )  # one row per label in ANCESTRIES, so always small
     people = known.join(F.broadcast(totals), "ancestry")
-    calls = lookup_join(genotypes.select(*cols, "sample_id", "alt_dosage"), people, "sample_id")
+    calls = lookup_join(genotypes.select(*cols, "sample_id", "alt_dosage"), people, "sample_id", stage=True)
     haploid_site = (norm_contig("contig") == "X") & ~_in_par() if sexed else F.lit(False)
     haploid = haploid_site & F.col("male")
     alt = F.when(haploid, F.when(F.col("alt_dosage") != 1, F.expr("alt_dosage div 2"))).otherwise(F.col("alt_dosage"))
@@ -78,16 +78,15 @@ def cohort_popmax(genotypes: DataFrame, samples: DataFrame, key: list[str]) -> D
     counting. A frequency of 0 is NULL, as in ``combine_af``.
     """
     calls = _attach_samples(genotypes, samples, key, _sexed(samples, key))
-    counts = []
-    for a in ANCESTRIES:
-        own = F.col("ancestry") == a
-        counts += [
-            F.sum(F.when(own, F.col("_alt"))).alias(f"alt_{a}"),
-            (F.max(F.when(own, F.col("_total"))) - F.sum(F.when(own, F.col("_missing")))).alias(f"obs_{a}"),
-        ]
-    afs = [
-        F.nullif(F.try_divide(F.col(f"alt_{a}"), F.col(f"obs_{a}")), F.lit(0.0)).alias(f"af_{a}") for a in ANCESTRIES
+    counts = [
+        F.expr(text)
+        for a in ANCESTRIES
+        for text in (
+            f"sum(_alt) FILTER (WHERE ancestry = '{a}') AS alt_{a}",
+            f"max(_total) FILTER (WHERE ancestry = '{a}') - sum(_missing) FILTER (WHERE ancestry = '{a}') AS obs_{a}",
+        )
     ]
+    afs = [F.expr(f"nullif(try_divide(alt_{a}, obs_{a}), 0) AS af_{a}") for a in ANCESTRIES]
     wide = calls.groupBy(*key).agg(*counts).select(*key, *afs)
     return popmax_wide(wide)
 
@@ -103,12 +102,10 @@ def combine_af(af: DataFrame, key: list[str]) -> DataFrame:
     Needs one grouping instead of five joins. A variant may come from several files (datasets, overlapping genes):
     the highest frequency counts, together with the alphabetically first gene text.
     """
-    aggs = []
-    for a in ANCESTRIES:
-        own = F.col("ancestry") == a
-        aggs.append(F.max(F.when(own, nan_to_null("alt_freq"))).alias(f"af_{a}"))
-        if "gene" in af.columns:
-            aggs.append(F.min(F.when(own, F.col("gene"))).alias(f"gene_{a}"))
+    aggs = [f"max(alt_freq) FILTER (WHERE ancestry = '{a}') AS af_{a}" for a in ANCESTRIES]
+    if "gene" in af.columns:
+        aggs += [f"min(gene) FILTER (WHERE ancestry = '{a}') AS gene_{a}" for a in ANCESTRIES]
+    aggs = [F.expr(text) for text in aggs]
     return nonzero_af(af).groupBy(*key).agg(*aggs)
 
 

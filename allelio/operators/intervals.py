@@ -94,7 +94,7 @@ def near_intervals(df: DataFrame, regions: DataFrame, pad: int = EXON_PAD, **kw)
 def subset_genotypes(genotypes: DataFrame, sites: DataFrame, regions: DataFrame, key: list[str]) -> DataFrame:
     """Calls whose site lies in a closed region, once per gene: ranges meet the sites, calls meet the key."""
     genes = interval_join(sites.select(*dict.fromkeys([*key, "contig", "pos"])), regions.select("gene", "contig", "start_pos", "end_pos"), closed=True)
-    return lookup_join(genotypes, genes.select(*key, "gene").distinct(), key)
+    return lookup_join(genotypes, genes.select(*key, "gene").distinct(), key, stage=True)
 
 
 def in_region(contig: Column | str, pos: Column | str, region: tuple[str, int, int]) -> Column:

@@ -8,26 +8,39 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from allelio.session import scratch_path
+
 BROADCAST_BYTES = 64 * 1024 * 1024
 SALTS = 16
 
 
-def measured_bytes(df: DataFrame) -> int:
-    """Bytes of the values plus 16 per value, from one aggregation with no data sent to the driver."""
+def _size_metrics(df: DataFrame) -> list[Column]:
     texts = [f.name for f in df.schema if not isinstance(f.dataType, T.NumericType | T.BooleanType)]
-    row = df.agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.sum(F.octet_length(F.col(c).cast("string"))).alias(f"b{i}") for i, c in enumerate(texts)],
-    ).first()
-    return row["n"] * 16 * len(df.columns) + sum(row[f"b{i}"] or 0 for i in range(len(texts)))
+    lengths = [F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)).cast("bigint") for c in texts]
+    row = reduce(lambda a, b: a + b, lengths, F.lit(16 * len(df.columns)).cast("bigint"))
+    return [F.coalesce(F.sum(row), F.lit(0)).alias("bytes")]
 
 
-def fits_broadcast(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> bool:
-    return measured_bytes(df) <= max_bytes
+def measured_bytes(df: DataFrame) -> int:
+    """Bytes of the texts plus 16 per value, from one aggregation; no rows reach the driver."""
+    return df.agg(*_size_metrics(df)).first()["bytes"]
+
+
+def staged(df: DataFrame, name: str = "stage") -> tuple[DataFrame, int]:
+    """Write a derived table to the shared folder and read it back; also its measured bytes, taken while writing.
+
+    For a table that is computed once and read several times: the size check costs no second computation, and what
+    follows no longer depends on executors that may be lost.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    size = Observation()
+    df.observe(size, *_size_metrics(df)).write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), size.get["bytes"]
 
 
 def _salted(left: DataFrame, right: DataFrame, salts: int) -> tuple[DataFrame, DataFrame]:
@@ -46,13 +59,22 @@ def lookup_join(
     where: Column | None = None,
     max_bytes: int = BROADCAST_BYTES,
     salts: int = SALTS,
+    stage: bool = False,
+    small: bool | None = None,
 ) -> DataFrame:
     """Join ``fact`` to ``dim`` on named keys (``inner``, ``left``, ``left_semi`` or ``left_anti``).
 
-    ``where`` is a residual condition over columns of both sides.
+    ``where`` is a residual condition over columns of both sides (``l.`` and ``r.``). ``stage`` writes a ``dim`` that
+    is costly to compute before it is measured. ``small`` states the outcome of a check already made.
     """
     keys = [on] if isinstance(on, str) else list(on)
-    if fits_broadcast(dim, max_bytes):
+    if small is None:
+        if stage:
+            dim, size = staged(dim)
+        else:
+            size = measured_bytes(dim)
+        small = size <= max_bytes
+    if small:
         dim = F.broadcast(dim)
     elif salts > 1:
         fact, dim = _salted(fact, dim, salts)
@@ -71,14 +93,13 @@ def lookup_join(
 def semi_join(df: DataFrame, ids: DataFrame, on: list[str] | str) -> DataFrame:
     """Rows whose key is in ``ids``."""
     keys = [on] if isinstance(on, str) else list(on)
-    return lookup_join(df, ids.select(*keys).distinct(), keys, "left_semi")
+    return lookup_join(df, ids.select(*keys).distinct(), keys, "left_semi", stage=True)
 
 
 def semi_join_any(df: DataFrame, id_sets: list[DataFrame], on: list[str] | str) -> DataFrame:
     """Rows whose key is in at least one of several sets: one join against their union, no OR condition."""
     keys = [on] if isinstance(on, str) else list(on)
-    ids = reduce(lambda a, b: a.unionByName(b), [s.select(*keys) for s in id_sets])
-    return semi_join(df, ids, keys)
+    return semi_join(df, stack([s.select(*keys) for s in id_sets]), keys)
 
 
 def consensus(df: DataFrame, id_sets: list[DataFrame], on: list[str] | str) -> DataFrame:
@@ -89,7 +110,7 @@ def consensus(df: DataFrame, id_sets: list[DataFrame], on: list[str] | str) -> D
 def union_ids(id_sets: list[DataFrame], on: list[str] | str) -> DataFrame:
     """Distinct keys over several sets."""
     keys = [on] if isinstance(on, str) else list(on)
-    return reduce(lambda a, b: a.unionByName(b), [s.select(*keys) for s in id_sets]).distinct()
+    return stack([s.select(*keys) for s in id_sets]).distinct()
 
 
 def intersect_ids(id_sets: list[DataFrame], on: list[str] | str) -> DataFrame:
@@ -103,7 +124,7 @@ def flag_in(df: DataFrame, ids: DataFrame, on: list[str] | str, name: str) -> Da
     """Add a 0/1 column that tells whether the key is in ``ids``."""
     keys = [on] if isinstance(on, str) else list(on)
     marked = ids.select(*keys).distinct().withColumn(name, F.lit(1))
-    return lookup_join(df, marked, keys, "left").withColumn(name, F.coalesce(F.col(name), F.lit(0)))
+    return lookup_join(df, marked, keys, "left", stage=True).withColumn(name, F.coalesce(F.col(name), F.lit(0)))
 
 
 def annotate(df: DataFrame, annotations: DataFrame, on: list[str], cols: list[str], prefer: list[Column] | None = None) -> DataFrame:
@@ -113,7 +134,7 @@ def annotate(df: DataFrame, annotations: DataFrame, on: list[str], cols: list[st
     """
     order = prefer or [F.struct(*cols)]
     best = annotations.groupBy(*on).agg(F.min_by(F.struct(*cols), F.struct(*order)).alias("_a"))
-    return lookup_join(df, best.select(*on, "_a.*"), on, "left")
+    return lookup_join(df, best.select(*on, "_a.*"), on, "left", stage=True)
 
 
 def override_rule(df: DataFrame, gene: str, special: Column, default: Column, gene_col: str = "gene") -> DataFrame:
@@ -138,7 +159,7 @@ def step_counts(steps: dict[str, DataFrame]) -> DataFrame:
     counted = [
         df.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("step"), "n_rows") for name, df in steps.items()
     ]
-    return reduce(lambda a, b: a.unionByName(b), counted)
+    return stack(counted)
 
 
 def stack(dfs: list[DataFrame]) -> DataFrame:

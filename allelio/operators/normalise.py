@@ -6,36 +6,28 @@ needs the bases to its left, so each one meets exactly one row: its chunk with t
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from allelio.operators.joins import lookup_join, stack
-from allelio.session import ensure_checkpoint_dir
+from allelio.operators.joins import BROADCAST_BYTES, lookup_join, measured_bytes, stack, staged
 
-PROBE = 64
+PROBES = (16, 256)
 
 
-def common_prefix(a: Column, b: Column) -> Column:
-    """Number of equal leading characters of two texts of equal length."""
-    n = F.length(a)
-    same = F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: x == y)
-    mismatch = F.array_position(same, F.lit(False))
-    return F.when(n == 0, F.lit(0)).when(mismatch == 0, n).otherwise((mismatch - 1).cast("int"))
-
-
-def _shared_start(a: Column, b: Column) -> Column:
-    n = F.least(F.length(a), F.length(b))
-    return common_prefix(F.substring(a, F.lit(1), n), F.substring(b, F.lit(1), n))
+def common_prefix(a: str, b: str, n: str) -> str:
+    """SQL text: number of equal leading characters of two texts, looking at the first ``n``."""
+    same = f"zip_with(split(left({a}, {n}), ''), split(left({b}, {n}), ''), (x, y) -> x = y)"
+    return f"(CASE WHEN {n} <= 0 THEN 0 ELSE coalesce(nullif(CAST(array_position({same}, false) AS INT), 0) - 1, {n}) END)"
 
 
 def genome_windows(genome: DataFrame, chunk: int) -> DataFrame:
     """Each chunk with the one before it in front, and the position of the window's first base."""
-    before = genome.select("contig", (F.col("chunk_no") + 1).alias("chunk_no"), F.col("seq").alias("before"))
-    return genome.join(before, ["contig", "chunk_no"], "left").select(
+    before = genome.selectExpr("contig", "chunk_no + 1 AS chunk_no", "seq AS before")
+    return genome.join(before, ["contig", "chunk_no"], "left").selectExpr(
         "contig",
         "chunk_no",
-        F.upper(F.concat(F.coalesce("before", F.lit("")), "seq")).alias("window"),
-        (F.col("chunk_no") * chunk + 1 - F.length(F.coalesce("before", F.lit("")))).alias("window_start"),
+        "upper(concat(coalesce(before, ''), seq)) AS window",
+        f"chunk_no * {chunk} + 1 - length(coalesce(before, '')) AS window_start",
     )
 
 
@@ -45,55 +37,53 @@ def trim_alleles(df: DataFrame) -> DataFrame:
     If one allele is wholly the end of the other, nothing is trimmed and ``indel`` holds the bases in which they
     differ; only such rows can move.
     """
-    end = _shared_start(F.reverse("ref"), F.reverse("alt"))
-    shorter = F.least(F.length("ref"), F.length("alt"))
-    longer = F.when(F.length("ref") >= F.length("alt"), F.col("ref")).otherwise(F.col("alt"))
-    plain = F.col("ref").rlike("^[ACGTNacgtn]+$") & F.col("alt").rlike("^[ACGTNacgtn]+$") & (F.col("ref") != F.col("alt"))
-    df = df.withColumns({"_end": F.when(plain, end).otherwise(0), "_short": shorter, "_long": longer, "_plain": plain})
-    moves = F.col("_plain") & (F.col("_end") == F.col("_short")) & (F.length("ref") != F.length("alt"))
-    df = df.withColumn(
-        "indel", F.when(moves, F.substring("_long", F.lit(1), F.length("_long") - F.col("_short")))
+    cols = [c for c in df.columns if c not in ("pos", "ref", "alt")]
+    plain = "ref RLIKE '^[ACGTNacgtn]+$' AND alt RLIKE '^[ACGTNacgtn]+$' AND ref <> alt"
+    shorter = "least(length(ref), length(alt))"
+    shared_end = common_prefix("reverse(ref)", "reverse(alt)", shorter)
+    shared_start = common_prefix("_ref", "_alt", "(least(length(_ref), length(_alt)) - 1)")
+    return (
+        df.selectExpr("*", f"CASE WHEN length(ref) + length(alt) > 2 AND {plain} THEN {shared_end} END AS _end")
+        .selectExpr(
+            "*",
+            f"CASE WHEN _end = {shorter} AND length(ref) <> length(alt) THEN"
+            f" left(CASE WHEN length(ref) > length(alt) THEN ref ELSE alt END, abs(length(ref) - length(alt))) END AS indel",
+        )
+        .selectExpr(
+            "*",
+            "CASE WHEN indel IS NULL AND _end > 0 THEN left(ref, length(ref) - _end) ELSE ref END AS _ref",
+            "CASE WHEN indel IS NULL AND _end > 0 THEN left(alt, length(alt) - _end) ELSE alt END AS _alt",
+        )
+        .selectExpr("*", f"CASE WHEN indel IS NULL AND _end IS NOT NULL THEN {shared_start} ELSE 0 END AS _start")
+        .selectExpr(
+            *cols, "pos + _start AS pos", "substring(_ref, 1 + _start) AS ref", "substring(_alt, 1 + _start) AS alt", "indel"
+        )
     )
-    cut = F.col("_plain") & F.col("indel").isNull()
-    for c in ("ref", "alt"):
-        df = df.withColumn(f"_{c}", F.when(cut, F.substring(c, F.lit(1), F.length(c) - F.col("_end"))).otherwise(F.col(c)))
-    start = F.least(_shared_start(F.col("_ref"), F.col("_alt")), F.least(F.length("_ref"), F.length("_alt")) - 1)
-    df = df.withColumn("_start", F.when(cut, start).otherwise(0))
-    return df.withColumns(
-        {
-            "ref": F.expr("substring(_ref, 1 + _start)"),
-            "alt": F.expr("substring(_alt, 1 + _start)"),
-            "pos": F.col("pos") + F.col("_start"),
-        }
-    ).drop("_end", "_short", "_long", "_plain", "_ref", "_alt", "_start")
 
 
 def _shift(df: DataFrame) -> DataFrame:
-    """Move each indel (``pos`` = its first base) left inside its window; ``at_edge`` if the window was too short."""
-    left = F.expr("substring(window, 1, CAST(pos - window_start AS INT))")
-    n = F.length("_left")
-    size = F.length("indel")
-
-    def run(reach: Column) -> Column:
-        # Moving left by one is possible while the base in front equals the indel's last base; after i moves that
-        # base is the indel read backwards, cyclically. So the longest move is a common prefix of reversed texts.
-        cycle = F.expr("repeat(reverse(indel), CAST(1 + length(_left) / length(indel) AS INT))")
-        return common_prefix(F.substring(F.reverse("_left"), F.lit(1), reach), F.substring(cycle, F.lit(1), reach))
-
-    df = df.withColumn("_left", left)
-    df = df.withColumn("_near", run(F.least(n, F.lit(PROBE))))
-    df = df.withColumn("_k", F.when(F.col("_near") < PROBE, F.col("_near")).otherwise(run(n)))
-    # One base in front of the indel is its anchor; at the start of a contig the indel stops one base short.
-    df = df.withColumn("_k", F.least(F.col("_k"), n - 1))
-    moved = F.concat(F.expr("right(_left, _k)"), F.col("indel"))
-    return df.select(
-        "*",
-        (F.col("pos") - F.col("_k")).alias("_pos"),
-        F.substring(moved, F.lit(1), size).alias("_indel"),
-        F.expr("substring(_left, length(_left) - _k, 1)").alias("_anchor"),
-        # A window of one base has nothing in front of it in the genome table: the run ends there.
-        ((F.col("_k") == n - 1) & (n > 1) & (F.col("window_start") > 1)).alias("at_edge"),
-    ).drop("_left", "_near", "_k", "window", "window_start")
+    """Move each indel (``pos`` = its first base) left inside its window; ``at_edge`` if the window was too short.
+
+    Moving left by one is possible while the base in front equals the indel's last base; after i moves that base is
+    the indel read backwards, cyclically. So the longest move is the common prefix of two reversed texts.
+    """
+    df = df.selectExpr("* EXCEPT (window)", "reverse(left(window, CAST(pos - window_start AS INT))) AS _front")
+    df = df.selectExpr("*", "length(_front) AS _n", "0 AS _k")
+    # Most moves are short: a longer stretch is compared only where the shorter one was equal throughout.
+    for before, reach in zip((0, *PROBES), (*[f"least(_n, {p})" for p in PROBES], "_n")):
+        cycle = f"repeat(reverse(indel), CAST(1 + {reach} / length(indel) AS INT))"
+        run = common_prefix("_front", cycle, reach)
+        df = df.selectExpr("* EXCEPT (_k)", f"CASE WHEN _k < {before} THEN _k ELSE {run} END AS _k")
+    # One base in front of the indel is its anchor; at the start of a contig the indel stops one base short. A window
+    # of one base has nothing in front of it in the genome table: the run ends there.
+    df = df.selectExpr("* EXCEPT (_k)", "least(_k, _n - 1) AS _k")
+    return df.selectExpr(
+        "* EXCEPT (_front, _n, _k, window_start)",
+        "pos - _k AS _pos",
+        "left(concat(reverse(left(_front, _k)), indel), length(indel)) AS _indel",
+        "substring(_front, _k + 1, 1) AS _anchor",
+        "_k = _n - 1 AND _n > 1 AND window_start > 1 AS at_edge",
+    )
 
 
 def normalise(df: DataFrame, genome: DataFrame, chunk: int) -> DataFrame:
@@ -102,32 +92,36 @@ def normalise(df: DataFrame, genome: DataFrame, chunk: int) -> DataFrame:
     Rows that cannot move (SNVs, trimmed replacements, symbolic alleles) never meet the genome. An indel that reaches
     the left edge of its window is moved again from there, so a run of any length is followed to its end.
     """
-    ensure_checkpoint_dir(df.sparkSession)
     cols = df.columns
     trimmed = trim_alleles(df)
-    can_move = F.col("indel").isNotNull() & (F.col("pos") > 1)
-    done = [trimmed.filter(~can_move).select(*cols)]
-    windows = genome_windows(genome, chunk)
-    todo = trimmed.filter(can_move).withColumn("deletion", F.length("ref") > F.length("alt"))
+    can_move = "indel IS NOT NULL AND pos > 1"
+    done = [trimmed.filter(f"NOT ({can_move})").select(*cols)]
+    todo = trimmed.filter(can_move).selectExpr("*", "length(ref) > length(alt) AS deletion")
+    place = ["contig", "chunk_no"]
+    others = [c for c in cols if c not in ("pos", "ref", "alt")]
+    few = False
     while True:
         # pos - 1 is the last base needed; an indel at the first base of a chunk takes the window before it.
-        placed = todo.withColumn("chunk_no", F.floor((F.col("pos") - 2) / F.lit(chunk)))
-        moved = _shift(lookup_join(placed, windows, ["contig", "chunk_no"], "left")).checkpoint()
-        settled = F.coalesce(~F.col("at_edge"), F.lit(True))
-        longer, shorter = F.concat("_anchor", "_indel"), F.col("_anchor")
-        known = F.col("_anchor").isNotNull()
+        placed = todo.selectExpr("*", f"(pos - 2) div {chunk} AS chunk_no")
+        if few:
+            chunks = placed.selectExpr("contig", "explode(array(chunk_no, chunk_no - 1)) AS chunk_no")
+            part = genome.join(F.broadcast(chunks.distinct()), place, "left_semi")
+            found = genome_windows(part, chunk).join(F.broadcast(placed), place)
+        else:
+            found = lookup_join(placed, genome_windows(genome, chunk), place, "left", small=False, salts=4)
+        moved, _ = staged(_shift(found), "moved")
+        # Without a window the genome table does not hold the place, and the row stays as it was.
         done.append(
-            moved.filter(settled)
-            .withColumns(
-                {
-                    "pos": F.when(known, F.col("_pos") - 1).otherwise(F.col("pos")),
-                    "ref": F.when(~known, F.col("ref")).when(F.col("deletion"), longer).otherwise(shorter),
-                    "alt": F.when(~known, F.col("alt")).when(F.col("deletion"), shorter).otherwise(longer),
-                }
-            )
-            .select(*cols)
+            moved.filter("NOT coalesce(at_edge, false)").selectExpr(
+                *others,
+                "CASE WHEN _anchor IS NULL THEN pos ELSE _pos - 1 END AS pos",
+                "CASE WHEN _anchor IS NULL THEN ref WHEN deletion THEN concat(_anchor, _indel) ELSE _anchor END AS ref",
+                "CASE WHEN _anchor IS NULL THEN alt WHEN deletion THEN _anchor ELSE concat(_anchor, _indel) END AS alt",
+            ).select(*cols)
         )
-        edge = moved.filter(~settled)
-        if edge.isEmpty():
+        edge = moved.filter("at_edge")
+        left = measured_bytes(edge)
+        if left == 0:
             return stack(done)
-        todo = edge.withColumns({"pos": F.col("_pos"), "indel": F.col("_indel")}).drop("_pos", "_indel", "_anchor", "at_edge", "chunk_no")
+        few = left <= BROADCAST_BYTES
+        todo = edge.selectExpr("* EXCEPT (pos, indel, _pos, _indel, _anchor, at_edge, chunk_no)", "_pos AS pos", "_indel AS indel")

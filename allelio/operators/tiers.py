@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from allelio.config import DISEASES, FAF_CUTOFFS, KNOWN_MECHANISM, PLP_GENES, RARE_AF, TIER_GENES
 from allelio.functions.fields import geneinfo_symbol, nan_to_null
-from allelio.operators.joins import lookup_join, semi_join
+from allelio.operators.joins import BROADCAST_BYTES, lookup_join, semi_join, staged
 
 
 def tier_table(spark: SparkSession, cutoffs: dict[str, float] | None = None) -> DataFrame:
@@ -31,14 +31,18 @@ def disease_panel(spark: SparkSession, genes: dict[str, list[str]] | None = None
 def with_frequencies(variants: DataFrame, cohort: DataFrame, public: DataFrame, key: list[str]) -> DataFrame:
     """Variants with ``cohort_af`` and ``public_af``; NULL where a table does not hold the variant.
 
-    Each frequency table is unique per key and far larger than the variant list, so the list is the side that is
-    measured for a broadcast: frequencies are first cut to its keys, then joined back.
+    Each frequency table is unique per key and far larger than the variant list, so the keys of the list are what is
+    measured: the tables are first cut to them. What is left is no longer than the list, and the same check holds.
     """
-    ids = variants.select(*key).distinct()
-    c = semi_join(cohort.select(*key, nan_to_null("max_value").alias("cohort_af")), ids, key)
-    p = semi_join(public.select(*key, nan_to_null("max_value").alias("public_af")), ids, key)
-    afs = c.join(p, key, "full")
-    return lookup_join(variants, afs, key, "left")
+    ids, size = staged(variants.select(*key).distinct(), "variant-ids")
+    small = size * 2 <= BROADCAST_BYTES
+
+    def cut(table: DataFrame, name: str) -> DataFrame:
+        af = table.select(*key, nan_to_null("max_value").alias(name))
+        return lookup_join(af, ids, key, "left_semi", small=small)
+
+    afs = cut(cohort, "cohort_af").join(cut(public, "public_af"), key, "full")
+    return lookup_join(variants, afs, key, "left", small=small)
 
 
 def tiered_variants(

@@ -141,11 +141,11 @@ def run_cohort(x: CohortInputs, stage_dir: str) -> dict[str, DataFrame]:
     )
     public = save_stage(public_rare(x.public, x.rarity), stage_dir, "public_rare")
 
-    lof = evidence.lof_in_high_psi(consequences.filter(F.col("category") == "lof"), exons, key, pad=x.pad)
+    lof = evidence.lof_in_high_psi(consequences.filter(F.col("category") == "lof"), exons, pad=x.pad)
     missense = evidence.missense_supported(
         consequences.filter(F.col("category") == "missense"), x.revel, x.annovar, x.intervar, key, cutoff=x.revel_cutoff
     )
-    functional = stack([lof, missense]).withColumnRenamed("category", "impact")
+    functional = save_stage(stack([lof, missense]).withColumnRenamed("category", "impact"), stage_dir, "functional")
     tiered = tiers.tiered_variants(functional, frequency.rare(cohort, x.rarity), public, key, x.rarity, x.cutoffs)
     plp = tiers.clinvar_by_disease(evidence.clinvar_filter(consequences.filter(F.col("category") == "clinvar")))
     cols = ["source", *key, "gene", "disease", "impact"]

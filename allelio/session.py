@@ -20,11 +20,6 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-
-
 def scratch_path(spark: SparkSession, name: str) -> str:
     """New path below the shared folder."""
     return f"{shared_dir(spark)}/allelio/{name}-{uuid.uuid4().hex}"
