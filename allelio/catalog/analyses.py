@@ -11,7 +11,7 @@ from allelio.catalog.sources import CATEGORY_SQL, SOURCE, VID
 from allelio.config import CARRIER_GENES, KNOWN_MECHANISM, PLP_GENES, TIER_GENES, VARIANT_KEY
 from allelio.functions import keys
 from allelio.operators import carriers, evidence, frequency, tiers
-from allelio.operators.joins import staged
+from allelio.operators.joins import stack, staged
 from allelio.operators.normalise import normalise
 from allelio.plans import pipelines
 from allelio.sources import readers, writers
@@ -156,7 +156,7 @@ TIERED_VIEWS = ["g_site", "g_hipsi", "g_revel", "g_popmax", "g_gnomad", "g_sampl
 
 
 def tiered(fx):
-    variants = lof(fx).withColumn("impact", F.lit("lof")).unionByName(missense(fx).withColumn("impact", F.lit("missense")))
+    variants = stack([lof(fx).withColumn("impact", F.lit("lof")), missense(fx).withColumn("impact", F.lit("missense"))])
     n = fx.view("g_sample").count()
     public = fx.view("g_gnomad").select("site_id", F.col("joint_grpmax_af").alias("max_value"))
     rows = tiers.tiered_variants(
@@ -266,7 +266,7 @@ INDEL_SQL = " UNION ALL ".join(
 
 
 def _genome_and_variants(fx):
-    genome = fx.view("g_genome").filter(F.length("seq") >= 8)
+    genome = fx.view("g_genome").filter(F.length("seq") >= 8).repartition("contig")
     chunks = genome.select(
         "contig",
         F.explode(
@@ -318,4 +318,5 @@ step(row_id, contig, pos, ref, alt, done) AS (
 def left_align(fx):
     chunks, variants = _genome_and_variants(fx)
     chunks, _ = staged(chunks, "genome")
+    variants, _ = staged(variants, "variants")
     return normalise(variants, chunks, CHUNK).select("row_id", "contig", "pos", "ref", "alt")

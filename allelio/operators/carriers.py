@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from allelio.config import CARRIER_GENES, DISEASES, GENE_SOURCE_ORDER, IMPACTS, TIER_GENES
 from allelio.functions.keys import gene_from_path
-from allelio.operators.joins import BROADCAST_BYTES, first_by, flag_in, lookup_join, semi_join, semi_join_any, staged
+from allelio.operators.intervals import prune_to_variants
+from allelio.operators.joins import BROADCAST_BYTES, first_by, lookup_join, semi_join, stack, staged
 
 SET = ["gene", "disease", "impact"]
 
@@ -17,9 +18,14 @@ def keep_samples(genotypes: DataFrame, samples: DataFrame) -> DataFrame:
     return semi_join(genotypes, samples, "sample_id")
 
 
+def _narrowed(genotypes: DataFrame, ids: DataFrame, key: list[str]) -> DataFrame:
+    return prune_to_variants(genotypes, ids) if {"contig", "pos"} <= set(key) else genotypes
+
+
 def extract_variants(genotypes: DataFrame, ids: DataFrame, key: list[str]) -> DataFrame:
-    """Calls of listed variants."""
-    return semi_join(genotypes, ids, key)
+    """Calls of listed variants. With a positional key, row groups far from all of them are not read."""
+    ids, size = staged(ids.select(*key).distinct(), "variant-ids")
+    return lookup_join(_narrowed(genotypes, ids, key), ids, key, "left_semi", small=size <= BROADCAST_BYTES)
 
 
 def carrier_genes(df: DataFrame, genes: list[str] | None = None) -> DataFrame:
@@ -34,16 +40,17 @@ def burden(genotypes: DataFrame, tiers: DataFrame, key: list[str], na_as_zero: b
     """
     members, size = staged(tiers.select(*key, *SET).distinct(), "set-members")
     small = size <= BROADCAST_BYTES
-    calls = lookup_join(genotypes.select(*key, "sample_id", "alt_dosage"), members, key, small=small)
+    calls = _narrowed(genotypes, members, key).select(*key, "sample_id", "alt_dosage")
+    calls = lookup_join(calls, members, key, small=small)
     summed = calls.groupBy("sample_id", *SET).agg(
         F.coalesce(F.sum("alt_dosage"), F.lit(0)).cast("bigint").alias("burden"),
         F.count_if(F.col("alt_dosage").isNull()).alias("_missing"),
     )
     if na_as_zero:
-        return summed.drop("_missing")
+        return summed.select("sample_id", *SET, "burden")
     known = F.when(F.col("_missing") < F.col("_size"), F.col("burden"))
     sizes = members.groupBy(*SET).agg(F.count(F.lit(1)).alias("_size"))  # at most as many rows as members
-    return lookup_join(summed, sizes, SET, small=small).withColumn("burden", known).drop("_missing", "_size")
+    return lookup_join(summed, sizes, SET, small=small).select("sample_id", *SET, known.alias("burden"))
 
 
 def burden_columns(genes: dict[str, list[str]] | None = None) -> list[str]:
@@ -99,12 +106,21 @@ def final_gene(df: DataFrame, from_paths: bool = True) -> DataFrame:
 
 
 def counted_variants(combined: DataFrame, tiered: DataFrame, clinvar: DataFrame, key: list[str], **kw) -> DataFrame:
-    """Frequency rows of variants in either list, once per variant, with final gene and list membership flags."""
-    chosen = semi_join_any(combined, [tiered, clinvar], key)
-    once = first_by(chosen, key, ["max_value"])
-    flagged = flag_in(flag_in(final_gene(once, **kw), clinvar, key, "lp_p"), tiered, key, "lof_missense")
+    """Frequency rows of variants in either list, once per variant, with final gene and list membership flags.
+
+    Both lists become one table of flags per variant, so one join does the choice and both flags.
+    """
+    none, one = F.lit(0), F.lit(1)
+    marks = stack(
+        [
+            clinvar.select(*key, one.alias("lp_p"), none.alias("lof_missense")),
+            tiered.select(*key, none.alias("lp_p"), one.alias("lof_missense")),
+        ]
+    )
+    marks = marks.groupBy(*key).agg(F.max("lp_p").alias("lp_p"), F.max("lof_missense").alias("lof_missense"))
+    once = first_by(lookup_join(combined, marks, key, stage=True), key, ["max_value"])
     master = sorted({g for panel in TIER_GENES.values() for g in panel})
-    return flagged.filter(F.col("genes_final").isin(master))
+    return final_gene(once, **kw).filter(F.col("genes_final").isin(master))
 
 
 def variant_counts(counted: DataFrame) -> DataFrame:

@@ -12,11 +12,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from allelio.config import EXON_PAD, GENE_REGIONS
-from allelio.functions.keys import _col, parse_interval
+from allelio.functions.keys import _col, norm_contig, parse_interval
 from allelio.operators.joins import BROADCAST_BYTES, SALTS, lookup_join
 
 BIN_SIZE = 100_000
-PRUNE_REGIONS = 1_000
+PRUNE_REGIONS = 200
+PRUNE_SPAN = 10_000_000
 
 
 def region_panel(spark, panel: list[tuple[str, str]] | None = None) -> DataFrame:
@@ -66,9 +67,10 @@ def filter_intervals(df: DataFrame, regions: DataFrame, closed: bool = False, pr
 def prune_to_regions(df: DataFrame, regions: DataFrame, max_regions: int = PRUNE_REGIONS) -> DataFrame:
     """Add the region list as literal predicates, so that Parquet row groups sorted by position are skipped.
 
-    The predicate only narrows the scan (it is closed at both ends); lists above ``max_regions`` are left out.
+    The predicate only narrows the scan (it is closed at both ends); lists above ``max_regions`` are left out, as a
+    condition of that length would cost more than it saves. Use it on columns as stored, before they are rewritten.
     """
-    rows = regions.select("contig", "start_pos", "end_pos").limit(max_regions + 1).collect()
+    rows = regions.select("contig", "start_pos", "end_pos").distinct().limit(max_regions + 1).collect()
     if not 0 < len(rows) <= max_regions:
         return df
     spans: list[list] = []
@@ -81,6 +83,18 @@ def prune_to_regions(df: DataFrame, regions: DataFrame, max_regions: int = PRUNE
     return df.filter(reduce(lambda a, b: a | b, tests))
 
 
+def prune_to_variants(df: DataFrame, ids: DataFrame, span: int = PRUNE_SPAN) -> DataFrame:
+    """The same for a variant list: the stretches of the genome its variants lie in, one per ``span`` bases."""
+    stretches = ids.groupBy("contig", _bin(F.col("pos"), span)).agg(F.min("pos").alias("start_pos"), F.max("pos").alias("end_pos"))
+    return prune_to_regions(df, stretches)
+
+
+def both_contig_styles(regions: DataFrame) -> DataFrame:
+    """Regions under their contig names with and without ``chr``, for pruning a table of either style."""
+    names = F.explode(F.array(norm_contig("contig"), norm_contig("contig", "chr")))
+    return regions.withColumn("contig", names)
+
+
 def pad_intervals(regions: DataFrame, pad: int = EXON_PAD) -> DataFrame:
     """Regions widened by ``pad`` bases at both ends."""
     return regions.withColumns({"start_pos": F.col("start_pos") - pad, "end_pos": F.col("end_pos") + pad})

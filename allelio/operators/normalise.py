@@ -89,6 +89,8 @@ def _shift(df: DataFrame) -> DataFrame:
 def normalise(df: DataFrame, genome: DataFrame, chunk: int) -> DataFrame:
     """Trim and left-align biallelic variants (``contig, pos, ref, alt``); other columns are carried along.
 
+    ``df`` is read twice, once for the rows that stay and once for those that may move: stage a costly one first.
+
     Rows that cannot move (SNVs, trimmed replacements, symbolic alleles) never meet the genome. An indel that reaches
     the left edge of its window is moved again from there, so a run of any length is followed to its end.
     """

@@ -31,11 +31,12 @@ def disease_panel(spark: SparkSession, genes: dict[str, list[str]] | None = None
 def with_frequencies(variants: DataFrame, cohort: DataFrame, public: DataFrame, key: list[str]) -> DataFrame:
     """Variants with ``cohort_af`` and ``public_af``; NULL where a table does not hold the variant.
 
-    Each frequency table is unique per key and far larger than the variant list, so the keys of the list are what is
-    measured: the tables are first cut to them. What is left is no longer than the list, and the same check holds.
+    Each frequency table is unique per key and far larger than the variant list, so the list is what is written once
+    and measured: the tables are first cut to its keys. What is left is no longer than the list.
     """
-    ids, size = staged(variants.select(*key).distinct(), "variant-ids")
-    small = size * 2 <= BROADCAST_BYTES
+    variants, size = staged(variants, "variants")
+    small = 2 * size <= BROADCAST_BYTES
+    ids = variants.select(*key).distinct()
 
     def cut(table: DataFrame, name: str) -> DataFrame:
         af = table.select(*key, nan_to_null("max_value").alias(name))

@@ -11,13 +11,15 @@ from allelio.config import EXON_PAD, RARE_AF, REVEL_CUTOFF, VARIANT_KEY
 from allelio.functions.fields import nan_to_null
 from allelio.functions.keys import alleles_key, canonical_gene, norm_contig, split_locus
 from allelio.operators import annotation, carriers, evidence, frequency, intervals, tiers
-from allelio.operators.joins import annotate, stack
+from allelio.operators.joins import annotate, semi_join, stack, staged
 from allelio.operators.normalise import normalise
 from allelio.sources.writers import save_stage
 
 
-def extract_gene_sites(sites: DataFrame, regions: DataFrame, closed: bool = False) -> DataFrame:
+def extract_gene_sites(sites: DataFrame, regions: DataFrame, closed: bool = False, prune: bool = True) -> DataFrame:
     """Sites of every gene region, without genotype entries; a site in two regions appears for both genes."""
+    if prune:
+        sites = intervals.prune_to_regions(sites, regions)
     panel = regions.withColumn("gene", canonical_gene("gene"))
     rows = annotation.sites_only(sites)
     return intervals.interval_join(rows.drop("gene") if "gene" in rows.columns else rows, panel, closed).drop(
@@ -43,7 +45,7 @@ def consequence_table(
     entries = annotation.match_allele(annotation.ann_entries())
     out = annotation.explode_ann(alleles, entries)
     if genome is not None:
-        out = normalise(out, genome, chunk)
+        out = normalise(staged(out, "alleles")[0], genome, chunk)
     if clinvar is not None:
         out = annotate(out.drop("GENEINFO", "CLNSIG", "CLNREVSTAT"), clinvar, VARIANT_KEY, ["GENEINFO", "CLNSIG", "CLNREVSTAT"])
     return annotation.extract_fields(out)
@@ -86,7 +88,7 @@ def carrier_status(
     genotypes: DataFrame, sets: DataFrame, samples: DataFrame, key: list[str], distinct_genes: bool = False
 ) -> DataFrame:
     """Carrier counts of every cohort member; members without an ALT allele in any set have 0."""
-    burdens = carriers.burden(carriers.keep_samples(genotypes, samples), sets, key)
+    burdens = carriers.burden(genotypes, sets, key)  # cut to the cohort last, when calls are already summed
     return carriers.with_cohort(carriers.carrier_counts(burdens, distinct_genes), samples, fill=0)
 
 
@@ -116,9 +118,13 @@ def run_cohort(x: CohortInputs, stage_dir: str) -> dict[str, DataFrame]:
     frequencies, and the final variant sets.
     """
     key = VARIANT_KEY
-    rows = x.rows.withColumn("contig", norm_contig("contig"))
     regions = x.regions.withColumn("contig", norm_contig("contig"))
     exons = x.exons.withColumn("contig", norm_contig("contig"))
+    # Narrow the scans first, on contigs as stored, then bring the names to one style and filter exactly.
+    either = intervals.both_contig_styles(x.regions)
+    rows = intervals.prune_to_regions(x.rows, either).withColumn("contig", norm_contig("contig"))
+    calls = intervals.prune_to_regions(x.genotypes, either).withColumn("contig", norm_contig("contig"))
+    calls = intervals.filter_intervals(calls, regions, closed=True)
     inside = intervals.filter_intervals(rows, regions)
     consequences = categorised_consequences(inside).select(
         "source",
@@ -134,11 +140,9 @@ def run_cohort(x: CohortInputs, stage_dir: str) -> dict[str, DataFrame]:
         F.col("CLNREVSTAT").alias("clnrevstat"),
     )
     panel = regions.select(canonical_gene("gene").alias("gene"))
-    consequences = save_stage(carriers.semi_join(consequences, panel, "gene"), stage_dir, "consequences")
+    consequences = save_stage(semi_join(consequences, panel, "gene"), stage_dir, "consequences")
 
-    cohort = save_stage(
-        frequency.cohort_popmax(x.genotypes.withColumn("contig", norm_contig("contig")), x.samples, key), stage_dir, "cohort_af"
-    )
+    cohort = save_stage(frequency.cohort_popmax(calls, x.samples, key), stage_dir, "cohort_af")
     public = save_stage(public_rare(x.public, x.rarity), stage_dir, "public_rare")
 
     lof = evidence.lof_in_high_psi(consequences.filter(F.col("category") == "lof"), exons, pad=x.pad)
@@ -151,7 +155,6 @@ def run_cohort(x: CohortInputs, stage_dir: str) -> dict[str, DataFrame]:
     cols = ["source", *key, "gene", "disease", "impact"]
     sets = save_stage(stack([tiered.select(*cols), plp.select(*cols)]).distinct(), stage_dir, "sets")
 
-    calls = x.genotypes.withColumn("contig", norm_contig("contig"))
     return {
         "consequences": consequences,
         "cohort_af": cohort,

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from allelio.functions.keys import contig_rank, variant_id
-from allelio.operators.joins import lookup_join
+from allelio.operators.joins import BROADCAST_BYTES, lookup_join, staged
 from allelio.operators.tiers import id_lists
 
 VCF_HEADER = [
@@ -48,9 +48,9 @@ def write_vcf(
     their file, so nothing but Spark's own sort and text writer is needed.
     """
     header = header or VCF_HEADER
-    sizes = df.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / F.lit(rows_per_file)).alias("_parts"))
+    sizes, size = staged(df.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / F.lit(rows_per_file)).alias("_parts")), "vcf-groups")
     place = F.xxhash64("contig", "pos", "ref", "alts" if "alts" in df.columns else "alt")
-    rows = lookup_join(df, sizes, list(by)).select(
+    rows = lookup_join(df, sizes, list(by), small=size <= BROADCAST_BYTES).select(
         *by,
         F.pmod(place, F.col("_parts")).cast("int").alias("part"),
         F.lit(len(header)).alias("_line"),
@@ -112,14 +112,18 @@ def write_regions(regions: DataFrame, path: str) -> None:
 
 
 def write_genotypes(calls: DataFrame, path: str, by: tuple[str, ...] = ("dataset", "gene")) -> None:
-    """Region subsets of calls as Parquet per dataset and gene."""
-    balanced(calls, *by).write.mode("overwrite").partitionBy(*by).parquet(path)
+    """Region subsets of calls as Parquet per dataset and gene, sorted by position where the calls carry one."""
+    order = [c for c in ("contig", "pos", "ref", "alt", "sample_id") if c in calls.columns]
+    sorted_calls = balanced(calls, *by).sortWithinPartitions(*by, *order)
+    sorted_calls.write.mode("overwrite").partitionBy(*by).parquet(path)
 
 
 def save_stage(df: DataFrame, base: str, name: str, sort_by: list[str] | None = None) -> DataFrame:
     """Write a named intermediate and read it back, which also cuts its lineage.
 
     Sorted by (contig, pos, ...) the files carry narrow min/max statistics, so later region filters skip most of them.
+    The files are cut by ranges of ``sort_by``: name enough columns to tell rows apart (``sample_id`` for calls), so
+    that a frequent value does not end up in one file.
     """
     path = f"{base.rstrip('/')}/{name}"
     if sort_by:

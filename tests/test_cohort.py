@@ -207,3 +207,32 @@ def test_run_cohort(spark, tmp_path, rows):
     assert (people["s2"].n_lof_carriers, people["s2"].n_missense_carriers, people["s2"].n_lp_p_carriers) == (0, 2, 2)
     assert people["s3"].n_lp_p_pupv_carriers == 0
     assert rows(out["rare_ids"])[0] == ("14", 23_400_000, "C", "T")
+
+
+def test_variant_lists_narrow_the_genotype_scan(spark, tmp_path):
+    import contextlib
+    import io
+
+    calls = spark.range(5000).select(
+        F.lit("chr2").alias("contig"), (F.col("id") * 10_000).alias("pos"), F.lit("A").alias("ref"), F.lit("G").alias("alt"),
+        F.lit("s1").alias("sample_id"), F.lit(1).alias("alt_dosage"),
+    )
+    calls.write.parquet(str(tmp_path / "calls"))
+    stored = spark.read.schema(GENO).parquet(str(tmp_path / "calls"))
+    ids = spark.createDataFrame([("chr2", 50_000, "A", "G"), ("chr2", 70_000, "A", "G"), ("chr2", 70_001, "A", "G")], "contig string, pos bigint, ref string, alt string")
+    got = carriers.extract_variants(stored, ids, KEY)
+    assert sorted(r.pos for r in got.collect()) == [50_000, 70_000]
+    text = io.StringIO()
+    with contextlib.redirect_stdout(text):
+        got.explain("formatted")
+    assert "GreaterThanOrEqual(pos,50000), LessThanOrEqual(pos,70001)" in text.getvalue()
+    sets = ids.selectExpr("*", "'TTN' AS gene", "'dcm' AS disease", "'lof' AS impact")
+    assert [tuple(r) for r in carriers.burden(stored, sets, KEY).collect()] == [("s1", "TTN", "dcm", "lof", 2)]
+
+
+def test_site_wide_region_list_is_not_pushed(spark):
+    from allelio.operators.intervals import prune_to_regions
+
+    df = spark.range(10).selectExpr("'chr1' AS contig", "id AS pos")
+    many = spark.range(1000).selectExpr("'chr1' AS contig", "id * 10 AS start_pos", "id * 10 + 1 AS end_pos")
+    assert prune_to_regions(df, many) is df
