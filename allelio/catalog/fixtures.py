@@ -126,7 +126,7 @@ FROM g_site JOIN (VALUES """
     "g_af": (
         ("g_geno", "g_sample"),
         """
-SELECT site_id, ancestry, coalesce(sum(alt_dosage), 0) AS alt_ct, 2 * max(n) - 2 * count(CASE WHEN alt_dosage IS NULL THEN 1 END) AS obs_ct
+SELECT site_id, ancestry, CAST(coalesce(sum(alt_dosage), 0) AS BIGINT) AS alt_ct, 2 * max(n) - 2 * count(CASE WHEN alt_dosage IS NULL THEN 1 END) AS obs_ct
 FROM g_geno JOIN g_sample USING (sample_id) JOIN (SELECT ancestry, count(*) AS n FROM g_sample GROUP BY ancestry) AS t USING (ancestry)
 GROUP BY site_id, ancestry""",
     ),

@@ -31,3 +31,14 @@ def rows():
         return sorted((tuple(r) for r in df.collect()), key=repr)
 
     return take
+
+
+@pytest.fixture
+def no_broadcast(spark):
+    """Spark's own broadcasts off, so that the shuffled way of a join really shuffles."""
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    for n in names:
+        spark.conf.set(n, "-1")
+    yield
+    for n in names:
+        spark.conf.unset(n)

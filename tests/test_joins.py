@@ -1,3 +1,6 @@
+import contextlib
+import io
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -5,6 +8,13 @@ from allelio.operators import intervals as I
 from allelio.operators import joins as J
 
 
+def plan(df):
+    text = io.StringIO()
+    with contextlib.redirect_stdout(text):
+        df.explain("formatted")
+    return text.getvalue()
+
+
 @pytest.fixture(scope="module")
 def facts(spark):
     # One key holds two thirds of all rows.
@@ -21,9 +31,10 @@ def dims(spark):
 
 
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
-def test_salted_equals_broadcast(facts, dims, rows, how):
+def test_salted_equals_broadcast(facts, dims, rows, how, no_broadcast):
     small = J.lookup_join(facts, dims, "k", how, small=True)
     large = J.lookup_join(facts, dims, "k", how, max_bytes=0)
+    assert "SortMergeJoin" in plan(large) and "BroadcastHashJoin" in plan(small)
     staged = J.lookup_join(facts, dims, "k", how, stage=True)
     assert small.columns == large.columns == staged.columns
     assert rows(small) == rows(large) == rows(staged)
@@ -77,7 +88,7 @@ REGIONS = "contig string, start_pos bigint, end_pos bigint, name string"
 @pytest.mark.parametrize("closed", [False, True])
 @pytest.mark.parametrize("how", ["broadcast", "salted"])
 @pytest.mark.parametrize("bin_size", [7, 100, 100_000])
-def test_interval_join_against_brute_force(spark, rows, closed, how, bin_size):
+def test_interval_join_against_brute_force(spark, rows, closed, how, bin_size, no_broadcast):
     sites = [(f"chr{i % 3}", i * 13 % 500, f"g{i}") for i in range(400)]
     # Overlapping, nested, empty, one-base and reversed intervals; ends on bin edges.
     regions = [(f"chr{i % 3}", i * 37 % 450, i * 37 % 450 + w, f"r{i}") for i, w in enumerate([0, 1, 7, 50, 100, 300, -5, 14, 21, 100])]
