@@ -23,7 +23,7 @@ AN = "200 + {i} + site_id % 7"
 
 
 def nested_public(fx):
-    """The nested site table of the public frequencies, over every second site."""
+    """The nested site table of the public frequencies."""
 
     def block(shift: int) -> str:
         places = ", ".join(

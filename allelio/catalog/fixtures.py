@@ -80,7 +80,7 @@ SELECT site_id, contig, pos, ref, alt, concat('AC=', site_id % 5, ';ANN=', alt,
         ("g_site",),
         """
 SELECT contig, pos, ref, concat(alt, ',', ref, 'T') AS alts, concat(1 + site_id % 4, ',', 2 + site_id % 3) AS ac, site_id
-FROM g_site WHERE site_id % 3 = 0""",
+FROM g_site""",
     ),
     "g_revel": (
         ("g_site",),
@@ -95,7 +95,7 @@ SELECT site_id, concat('[0.', site_id % 10, ',', CASE WHEN site_id % 4 = 0 THEN
         """
 SELECT concat(contig, ':', pos) AS locus, concat('["', ref, '","', alt, '"]') AS alleles, site_id, site_id % 50 AS ac_all,
  1000 + site_id % 7 AS an_all, site_id % 11 AS ac_afr, 200 AS an_afr,
- CASE WHEN site_id % 9 = 0 THEN NULL ELSE CAST(site_id % 40 AS DOUBLE) / 10000 END AS joint_grpmax_af FROM g_site WHERE site_id % 2 = 0""",
+ CASE WHEN site_id % 9 = 0 THEN NULL ELSE CAST(site_id % 40 AS DOUBLE) / 10000 END AS joint_grpmax_af FROM g_site""",
     ),
     # Variant rows as in a VCF: every third site has two ALT alleles, each ALT has its own annotation entries.
     "g_vcf": (

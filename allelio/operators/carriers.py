@@ -11,6 +11,7 @@ from allelio.operators.intervals import prune_to_variants
 from allelio.operators.joins import BROADCAST_BYTES, first_by, lookup_join, semi_join, stack, staged
 
 SET = ["gene", "disease", "impact"]
+MASTER_GENES = sorted({g for panel in TIER_GENES.values() for g in panel})
 
 
 def keep_samples(genotypes: DataFrame, samples: DataFrame) -> DataFrame:
@@ -108,7 +109,7 @@ def final_gene(df: DataFrame, from_paths: bool = True) -> DataFrame:
 def counted_variants(combined: DataFrame, tiered: DataFrame, clinvar: DataFrame, key: list[str], **kw) -> DataFrame:
     """Frequency rows of variants in either list, once per variant, with final gene and list membership flags.
 
-    Both lists become one table of flags per variant, so one join does the choice and both flags.
+    The gene comes from the ancestries' frequency files unless ``combined`` already has ``genes_final``. Both lists become one table of flags per variant, so one join does the choice and both flags.
     """
     none, one = F.lit(0), F.lit(1)
     marks = stack(
@@ -119,8 +120,8 @@ def counted_variants(combined: DataFrame, tiered: DataFrame, clinvar: DataFrame,
     )
     marks = marks.groupBy(*key).agg(F.max("lp_p").alias("lp_p"), F.max("lof_missense").alias("lof_missense"))
     once = first_by(lookup_join(combined, marks, key, stage=True), key, ["max_value"])
-    master = sorted({g for panel in TIER_GENES.values() for g in panel})
-    return final_gene(once, **kw).filter(F.col("genes_final").isin(master))
+    named = once if "genes_final" in once.columns else final_gene(once, **kw)
+    return named.filter(F.col("genes_final").isin(MASTER_GENES))
 
 
 def variant_counts(counted: DataFrame) -> DataFrame:

@@ -71,13 +71,14 @@ def _sexed(samples: DataFrame, key: list[str]) -> bool:
     return "sex" in samples.columns and "contig" in key and "pos" in key
 
 
-def cohort_popmax(genotypes: DataFrame, samples: DataFrame, key: list[str]) -> DataFrame:
+def cohort_popmax(genotypes: DataFrame, samples: DataFrame, key: list[str], by: tuple[str, ...] = ()) -> DataFrame:
     """Wide table ``af_<ancestry> ..., max_value`` straight from the calls.
 
     All ancestries are counted side by side in one aggregation, so the calls shuffle once and only after map-side
-    counting. A frequency of 0 is NULL, as in ``combine_af``.
+    counting. A frequency of 0 is NULL, as in ``combine_af``. Tables that hold the same call more than once (``by``,
+    e.g. ``dataset``) are counted apart, and the highest frequency of each ancestry is taken.
     """
-    calls = _attach_samples(genotypes, samples, key, _sexed(samples, key))
+    calls = _attach_samples(genotypes, samples, [*key, *by], _sexed(samples, key))
     counts = [
         F.expr(text)
         for a in ANCESTRIES
@@ -87,7 +88,9 @@ def cohort_popmax(genotypes: DataFrame, samples: DataFrame, key: list[str]) -> D
         )
     ]
     afs = [F.expr(f"nullif(try_divide(alt_{a}, obs_{a}), 0) AS af_{a}") for a in ANCESTRIES]
-    wide = calls.groupBy(*key).agg(*counts).select(*key, *afs)
+    wide = calls.groupBy(*key, *by).agg(*counts).select(*key, *afs)
+    if by:
+        wide = wide.groupBy(*key).agg(*[F.max(f"af_{a}").alias(f"af_{a}") for a in ANCESTRIES])
     return popmax_wide(wide)
 
 

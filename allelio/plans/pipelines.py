@@ -109,6 +109,11 @@ class CohortInputs:
     cutoffs: dict[str, float] | None = None
     revel_cutoff: float = REVEL_CUTOFF
     pad: int = EXON_PAD
+    # Genotypes with a ``dataset`` column hold the same call several times: frequencies are counted per dataset,
+    # carriers in one. Carriers and summary go by the variant lists of one source (None: all).
+    frequency_datasets: tuple[str, ...] = ("exome", "clinvar")
+    carrier_dataset: str = "exome"
+    carrier_source: str | None = "exome"
 
 
 def run_cohort(x: CohortInputs, stage_dir: str) -> dict[str, DataFrame]:
@@ -142,7 +147,12 @@ def run_cohort(x: CohortInputs, stage_dir: str) -> dict[str, DataFrame]:
     panel = regions.select(canonical_gene("gene").alias("gene"))
     consequences = save_stage(semi_join(consequences, panel, "gene"), stage_dir, "consequences")
 
-    cohort = save_stage(frequency.cohort_popmax(calls, x.samples, key), stage_dir, "cohort_af")
+    counted, carried, by = calls, calls, ()
+    if "dataset" in calls.columns:
+        counted = calls.filter(F.col("dataset").isin(*x.frequency_datasets))
+        carried = calls.filter(F.col("dataset") == x.carrier_dataset)
+        by = ("dataset",)
+    cohort = save_stage(frequency.cohort_popmax(counted, x.samples, key, by), stage_dir, "cohort_af")
     public = save_stage(public_rare(x.public, x.rarity), stage_dir, "public_rare")
 
     lof = evidence.lof_in_high_psi(consequences.filter(F.col("category") == "lof"), exons, pad=x.pad)
@@ -155,11 +165,19 @@ def run_cohort(x: CohortInputs, stage_dir: str) -> dict[str, DataFrame]:
     cols = ["source", *key, "gene", "disease", "impact"]
     sets = save_stage(stack([tiered.select(*cols), plp.select(*cols)]).distinct(), stage_dir, "sets")
 
+    listed = sets if x.carrier_source is None else sets.filter(F.col("source") == x.carrier_source)
+    rare = frequency.rare(cohort, x.rarity)
+    # Where gene regions overlap, a variant goes to the first of the genes that are counted.
+    spans = regions.select(canonical_gene("gene").alias("genes_final"), "contig", "start_pos", "end_pos")
+    spans = spans.filter(F.col("genes_final").isin(carriers.MASTER_GENES))
+    placed = intervals.interval_join(rare.select(*key, "max_value"), spans, closed=True).drop("start_pos", "end_pos")
+    is_plp = F.col("impact") == "lp_p"
     return {
         "consequences": consequences,
         "cohort_af": cohort,
         "public_rare": public,
-        "rare_ids": frequency.rare_ids(frequency.rare(cohort, x.rarity), public, key),
+        "rare_ids": frequency.rare_ids(rare, public, key),
         "sets": sets,
-        "carriers": carrier_status(calls, sets, x.samples, key),
+        "carriers": carrier_status(carried, listed, x.samples, key),
+        "summary": variant_summary(placed, listed.filter(~is_plp), listed.filter(is_plp), key),
     }

@@ -186,7 +186,11 @@ def test_run_cohort(spark, tmp_path, rows):
     x = pipelines.CohortInputs(
         rows=spark.createDataFrame(variant_rows, "contig string, pos bigint, id string, ref string, alts array<string>, info string").withColumn("source", F.lit("exome")),
         genotypes=spark.createDataFrame(
-            [("chr2", 178_600_000, "A", "G", "s1", 1), ("chr2", 178_700_000, "A", "G", "s2", 1), ("chr14", 23_400_000, "C", "T", "s2", 2)], GENO
+            # Two datasets hold the same calls, a third one is not used.
+            [(*call, d) for d in ("exome", "clinvar", "acaf") for call in (
+                ("chr2", 178_600_000, "A", "G", "s1", 1), ("chr2", 178_700_000, "A", "G", "s2", 1), ("chr14", 23_400_000, "C", "T", "s2", 2),
+            )] + [("chr9", 5, "C", "T", "s1", 2, "exome"), ("chr2", 178_600_000, "A", "G", "s3", 2, "acaf")],
+            GENO + ", dataset string",
         ),
         samples=spark.createDataFrame([(f"s{i}", "eur") for i in range(1, 2001)], "sample_id string, ancestry string"),
         regions=intervals.region_panel(spark),
@@ -206,7 +210,9 @@ def test_run_cohort(spark, tmp_path, rows):
     assert (people["s1"].n_dcm_lof_carriers, people["s1"].n_missense_carriers) == (1, 0)
     assert (people["s2"].n_lof_carriers, people["s2"].n_missense_carriers, people["s2"].n_lp_p_carriers) == (0, 2, 2)
     assert people["s3"].n_lp_p_pupv_carriers == 0
-    assert rows(out["rare_ids"])[0] == ("14", 23_400_000, "C", "T")
+    assert rows(out["rare_ids"]) == [("14", 23_400_000, "C", "T"), ("2", 178_600_000, "A", "G"), ("2", 178_700_000, "A", "G")]
+    assert {r.pos: r.max_value for r in out["cohort_af"].collect()} == {178_600_000: 1 / 4000, 178_700_000: 1 / 4000, 23_400_000: 2 / 4000}
+    assert rows(out["summary"]) == [("MYH7", 0, 1), ("TTN", 1, 0)]
 
 
 def test_variant_lists_narrow_the_genotype_scan(spark, tmp_path):
