@@ -40,8 +40,9 @@ def scan_sites(fx):
  SELECT 1 FROM g_region r WHERE r.contig = s.contig AND s.pos >= r.start_pos AND s.pos < r.end_pos)""",
 )
 def scan_sites_in_regions(fx):
-    regions = fx.view("g_region")
-    return filter_intervals(readers.read_sites(fx.spark, _stored_sites(fx), regions=regions), regions)
+    path, regions = fx.scratch("sites"), fx.view("g_region")
+    writers.write_by_position(fx.view("g_site").select("contig", "pos", "ref", "alt", "gene", "effect"), path)
+    return filter_intervals(readers.read_sites(fx.spark, path, regions=regions), regions)
 
 
 @query(
@@ -52,9 +53,8 @@ def scan_sites_in_regions(fx):
 def scan_genotypes(fx):
     path = fx.scratch("genotypes")
     calls = fx.view("g_geno").join(fx.view("g_site"), "site_id")
-    calls.select(*VARIANT_KEY, "sample_id", "alt_dosage", F.expr(DATASET).alias("dataset")).write.partitionBy(
-        "dataset"
-    ).parquet(path)
+    calls = calls.select(*VARIANT_KEY, "sample_id", "alt_dosage", F.expr(DATASET).alias("dataset"))
+    writers.write_by_position(calls, path, by=("dataset",))
     return readers.read_genotypes(fx.spark, path, datasets=["acaf", "exome", "clinvar"])
 
 

@@ -85,16 +85,21 @@ def carrier_counts(burdens: DataFrame, distinct_genes: bool = False) -> DataFram
     groups |= {f"{d}_{i}_carriers": f"disease = '{d}' AND impact = '{i}'" for d in DISEASES for i in IMPACTS}
     groups |= {"lp_p_pupv_carriers": "true"}
     groups |= {f"{d}_lp_p_pupv_carriers": f"disease = '{d}'" for d in DISEASES}
-    counted = "count(DISTINCT gene)" if distinct_genes else "count(*)"
-    aggs = [
-        F.expr(text)
-        for name, group in groups.items()
-        for text in (
-            f"{counted} FILTER (WHERE {group} AND burden > 0) AS n_{name}",
-            f"max(CAST(burden > 0 AS INT)) FILTER (WHERE {group}) AS is_{name}",
-        )
-    ]
-    return burdens.groupBy("sample_id").agg(*aggs)
+    if distinct_genes:
+        # First one row per person and gene, so that no distinct count is needed.
+        hits = [F.expr(f"max(CAST(burden > 0 AS INT)) FILTER (WHERE {group}) AS {name}") for name, group in groups.items()]
+        burdens = burdens.groupBy("sample_id", "gene").agg(*hits)
+        texts = [t for name in groups for t in (f"count_if({name} = 1) AS n_{name}", f"max({name}) AS is_{name}")]
+    else:
+        texts = [
+            t
+            for name, group in groups.items()
+            for t in (
+                f"count(*) FILTER (WHERE {group} AND burden > 0) AS n_{name}",
+                f"max(CAST(burden > 0 AS INT)) FILTER (WHERE {group}) AS is_{name}",
+            )
+        ]
+    return burdens.groupBy("sample_id").agg(*[F.expr(t) for t in texts])
 
 
 def final_gene(df: DataFrame, from_paths: bool = True) -> DataFrame:

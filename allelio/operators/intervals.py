@@ -16,8 +16,12 @@ from allelio.functions.keys import _col, norm_contig, parse_interval
 from allelio.operators.joins import BROADCAST_BYTES, SALTS, lookup_join
 
 BIN_SIZE = 100_000
-PRUNE_REGIONS = 200
-PRUNE_SPAN = 10_000_000
+PRUNE_REGIONS = 1_000
+PRUNE_SPAN = 1_000_000
+# Literal ranges are checked for every row that is read; more of them make the generated method too long to compile.
+MAX_RANGES = 24
+# Partition column of tables written by position: position in millions.
+MB = "pos_mb"
 
 
 def region_panel(spark, panel: list[tuple[str, str]] | None = None) -> DataFrame:
@@ -64,22 +68,47 @@ def filter_intervals(df: DataFrame, regions: DataFrame, closed: bool = False, pr
     return interval_join(df, spans, closed, "left_semi", **kw)
 
 
+def merge_spans(rows: list[tuple[str, int, int]], at_most: int | None = None) -> list[tuple[str, int, int]]:
+    """Overlapping spans made one; then, if asked, the smallest gaps inside contigs closed until few are left."""
+    spans: list[list] = []
+    for contig, start, end in sorted(rows):
+        if spans and spans[-1][0] == contig and start <= spans[-1][2]:
+            spans[-1][2] = max(spans[-1][2], end)
+        else:
+            spans.append([contig, start, end])
+    if at_most is not None and len(spans) > at_most:
+        gaps = sorted((b[1] - a[2], i) for i, (a, b) in enumerate(zip(spans, spans[1:])) if a[0] == b[0])
+        closed = {i for _, i in gaps[: len(spans) - at_most]}
+        merged = [spans[0]]
+        for i, span in enumerate(spans[1:]):
+            if i in closed:
+                merged[-1][2] = span[2]
+            else:
+                merged.append(span)
+        spans = merged
+    return [tuple(x) for x in spans]
+
+
 def prune_to_regions(df: DataFrame, regions: DataFrame, max_regions: int = PRUNE_REGIONS) -> DataFrame:
-    """Add the region list as literal predicates, so that Parquet row groups sorted by position are skipped.
+    """Narrow a scan to where a region list lies; exact filtering is left to ``filter_intervals``.
 
-    The predicate only narrows the scan (it is closed at both ends); lists above ``max_regions`` are left out, as a
-    condition of that length would cost more than it saves. Use it on columns as stored, before they are rewritten.
+    A table written by position (``write_by_position``) is narrowed by its partitions, which costs nothing per row.
+    Any other table gets a few literal ranges, by which Parquet skips row groups if it is sorted. Lists above
+    ``max_regions`` are left out. Use it on columns as stored, before they are rewritten.
     """
     rows = regions.select("contig", "start_pos", "end_pos").distinct().limit(max_regions + 1).collect()
     if not 0 < len(rows) <= max_regions:
         return df
-    spans: list[list] = []
-    for contig, start, end in sorted(tuple(r) for r in rows):
-        if spans and spans[-1][0] == contig and start <= spans[-1][2]:
-            spans[-1][2] = max(spans[-1][2], end)
-        else:
-            spans.append([contig, start, end])
-    tests = [(F.col("contig") == c) & (F.col("pos") >= s) & (F.col("pos") <= e) for c, s, e in spans]
+    spans = merge_spans([tuple(r) for r in rows])
+    contigs = list(dict.fromkeys(c for c, _, _ in spans))
+    if MB in df.columns:
+        places = {c: sorted({m for d, s, e in spans if d == c for m in range(s // 10**6, e // 10**6 + 1)}) for c in contigs}
+        tests = [(F.col("contig") == c) & F.col(MB).isin(m) for c, m in places.items()]
+    elif len(contigs) > MAX_RANGES:
+        return df.filter(F.col("contig").isin(contigs))
+    else:
+        few = merge_spans(spans, MAX_RANGES)
+        tests = [(F.col("contig") == c) & (F.col("pos") >= s) & (F.col("pos") <= e) for c, s, e in few]
     return df.filter(reduce(lambda a, b: a | b, tests))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from allelio import schemas
 from allelio.functions.keys import norm_contig, parse_interval
@@ -14,12 +15,19 @@ from allelio.sources.blocks import BgzfText, PlinkBed
 VCF_FIELDS = ["contig", "pos", "id", "ref", "alts", "qual", "filter", "info"]
 
 
+def _positional(spark: SparkSession, path: str, schema: str, regions: DataFrame | None) -> DataFrame:
+    wanted = T.StructType.fromDDL(schema).names
+    table = spark.read.schema(schema).parquet(path)
+    if regions is not None:
+        table = prune_to_regions(table, regions)
+    return table.select(*wanted)
+
+
 def read_sites(
     spark: SparkSession, path: str, schema: str = schemas.SITES, regions: DataFrame | None = None
 ) -> DataFrame:
     """Variant sites from Parquet. A short region list narrows the scan itself; exact filtering is ``filter_intervals``."""
-    sites = spark.read.schema(schema).parquet(path)
-    return sites if regions is None else prune_to_regions(sites, regions)
+    return _positional(spark, path, schema, regions)
 
 
 def read_genotypes(
@@ -30,10 +38,8 @@ def read_genotypes(
     regions: DataFrame | None = None,
 ) -> DataFrame:
     """Long sparse calls from Parquet partitioned by ``dataset``; unwanted datasets are not opened."""
-    calls = spark.read.schema(schema).parquet(path)
-    if datasets:
-        calls = calls.filter(F.col("dataset").isin(datasets))
-    return calls if regions is None else prune_to_regions(calls, regions)
+    calls = _positional(spark, path, schema, regions)
+    return calls.filter(F.col("dataset").isin(datasets)) if datasets else calls
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from allelio.functions.keys import contig_rank, variant_id
+from allelio.operators.intervals import MB
 from allelio.operators.joins import BROADCAST_BYTES, lookup_join, staged
 from allelio.operators.tiers import id_lists
 
@@ -118,6 +119,18 @@ def write_genotypes(calls: DataFrame, path: str, by: tuple[str, ...] = ("dataset
     sorted_calls.write.mode("overwrite").partitionBy(*by).parquet(path)
 
 
+def write_by_position(df: DataFrame, path: str, by: tuple[str, ...] = ()) -> None:
+    """Parquet in partitions of (``by``, contig, million bases), sorted by position inside.
+
+    Readers that know the gene regions then open only the partitions these lie in. A crowded partition is written as
+    several files.
+    """
+    order = [c for c in ("pos", "ref", "alt", "sample_id") if c in df.columns]
+    places = [*by, "contig", MB]
+    placed = df.withColumn(MB, F.expr("CAST(pos div 1000000 AS INT)"))
+    balanced(placed, *places).sortWithinPartitions(*places, *order).write.mode("overwrite").partitionBy(*places).parquet(path)
+
+
 def save_stage(df: DataFrame, base: str, name: str, sort_by: list[str] | None = None) -> DataFrame:
     """Write a named intermediate and read it back, which also cuts its lineage.
 

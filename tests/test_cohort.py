@@ -236,9 +236,43 @@ def test_variant_lists_narrow_the_genotype_scan(spark, tmp_path):
     assert [tuple(r) for r in carriers.burden(stored, sets, KEY).collect()] == [("s1", "TTN", "dcm", "lof", 2)]
 
 
+def test_region_lists_narrow_a_scan_without_losing_rows(spark, tmp_path):
+    import contextlib
+    import io
+
+    from allelio.operators import intervals as I
+    from allelio.sources import readers, writers
+
+    panel = I.region_panel(spark)
+    rows = [(c, s, "A", "G", g, "x") for c, s, e, g in panel.select("contig", "start_pos", "end_pos", "gene").collect() for s in (s, s - 1, e - 1, e)]
+    sites = spark.createDataFrame(rows + [("chr21", 5, "A", "G", "none", "x")], "contig string, pos bigint, ref string, alt string, gene string, effect string")
+    want = I.filter_intervals(sites, panel).count()
+    writers.write_by_position(sites, str(tmp_path / "by_position"))
+    writers.save_stage(sites, str(tmp_path), "plain")
+    for name, shown in (("by_position", "PartitionFilters: [((((("), ("plain", "PushedFilters: [Or(")):
+        df = I.filter_intervals(readers.read_sites(spark, str(tmp_path / name), regions=panel), panel)
+        text = io.StringIO()
+        with contextlib.redirect_stdout(text):
+            df.explain("formatted")
+        assert shown in text.getvalue()
+        assert df.count() == want
+    either = I.both_contig_styles(panel)
+    assert I.filter_intervals(I.prune_to_regions(sites, either), panel).count() == want
+
+
+def test_spans_are_merged_by_the_smallest_gap():
+    from allelio.operators.intervals import merge_spans
+
+    spans = [("a", 1, 5), ("a", 4, 9), ("a", 20, 30), ("a", 31, 40), ("b", 41, 50)]
+    assert merge_spans(spans) == [("a", 1, 9), ("a", 20, 30), ("a", 31, 40), ("b", 41, 50)]
+    assert merge_spans(spans, 3) == [("a", 1, 9), ("a", 20, 40), ("b", 41, 50)]
+    assert merge_spans(spans, 2) == [("a", 1, 40), ("b", 41, 50)]
+    assert merge_spans(spans, 1) == [("a", 1, 40), ("b", 41, 50)]
+
+
 def test_site_wide_region_list_is_not_pushed(spark):
     from allelio.operators.intervals import prune_to_regions
 
     df = spark.range(10).selectExpr("'chr1' AS contig", "id AS pos")
-    many = spark.range(1000).selectExpr("'chr1' AS contig", "id * 10 AS start_pos", "id * 10 + 1 AS end_pos")
+    many = spark.range(1001).selectExpr("'chr1' AS contig", "id * 10 AS start_pos", "id * 10 + 1 AS end_pos")
     assert prune_to_regions(df, many) is df
