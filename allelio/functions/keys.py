@@ -37,7 +37,8 @@ def variant_id(contig="contig", pos="pos", ref="ref", alt="alt") -> Column:
 
 def norm_contig(c: Column | str, style: str = "plain") -> Column:
     """Contig without (``plain``) or with (``chr``) its prefix; only a leading ``chr`` is touched."""
-    plain = F.regexp_replace(_col(c), "^chr", "")
+    name = _col(c)
+    plain = F.when(name.startswith("chr"), name.substr(F.lit(4), F.length(name))).otherwise(name)
     if style == "plain":
         return plain
     if style == "chr":

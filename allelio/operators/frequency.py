@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from allelio.config import ANCESTRIES, PAR_X, RARE_AF
 from allelio.functions.fields import nan_to_null, rowwise_max
-from allelio.functions.keys import norm_contig
 from allelio.operators.joins import lookup_join, union_ids
 
 
@@ -40,7 +39,7 @@ def _attach_samples(genotypes: DataFrame, samples: DataFrame, cols: list[str], s
     )  # one row per label in ANCESTRIES, so always small
     people = known.join(F.broadcast(totals), "ancestry")
     calls = lookup_join(genotypes.select(*cols, "sample_id", "alt_dosage"), people, "sample_id", stage=True)
-    haploid_site = (norm_contig("contig") == "X") & ~_in_par() if sexed else F.lit(False)
+    haploid_site = F.col("contig").isin("X", "chrX") & ~_in_par() if sexed else F.lit(False)
     haploid = haploid_site & F.col("male")
     alt = F.when(haploid, F.when(F.col("alt_dosage") != 1, F.expr("alt_dosage div 2"))).otherwise(F.col("alt_dosage"))
     missing = F.when(alt.isNull(), F.when(haploid, 1).otherwise(2)).otherwise(0)
