@@ -13,7 +13,7 @@ from allelio.functions.keys import alleles_key, canonical_gene, norm_contig, spl
 from allelio.operators import annotation, carriers, evidence, frequency, intervals, tiers
 from allelio.operators.joins import annotate, semi_join, stack, staged
 from allelio.operators.normalise import normalise
-from allelio.sources.writers import save_stage
+from allelio.sources.writers import export_ids, save_stage, write_tsv
 
 
 def extract_gene_sites(sites: DataFrame, regions: DataFrame, closed: bool = False, prune: bool = True) -> DataFrame:
@@ -94,9 +94,9 @@ def carrier_status(
 
 @dataclass
 class CohortInputs:
-    """Inputs of ``run_cohort``; variant tables carry ``contig, pos, ref, alt``, contigs without prefix."""
+    """Inputs of ``run_cohort``. Contigs may be written with or without ``chr`` in any table."""
 
-    rows: DataFrame  # annotated variant rows: id, alts, filter, info, source
+    rows: DataFrame  # annotated variant rows: contig, pos, id, ref, alts, filter, info, source (exome or wgs)
     genotypes: DataFrame
     samples: DataFrame
     regions: DataFrame
@@ -105,6 +105,9 @@ class CohortInputs:
     annovar: DataFrame
     intervar: DataFrame
     revel: DataFrame
+    clinvar: DataFrame | None = None  # contig, pos, ref, alt, GENEINFO, CLNSIG, CLNREVSTAT; else taken from INFO
+    genome: DataFrame | None = None  # contig, chunk_no, seq: left-align against it
+    chunk: int | None = None  # bases per genome row
     rarity: float = RARE_AF
     cutoffs: dict[str, float] | None = None
     revel_cutoff: float = REVEL_CUTOFF
@@ -116,6 +119,11 @@ class CohortInputs:
     carrier_source: str | None = "exome"
 
 
+def plain_contigs(table: DataFrame | None) -> DataFrame | None:
+    """The table with contigs without prefix."""
+    return None if table is None else table.withColumn("contig", norm_contig("contig"))
+
+
 def run_cohort(x: CohortInputs, stage_dir: str) -> dict[str, DataFrame]:
     """From annotated variants and calls to tiers, carrier counts and the variant summary.
 
@@ -123,15 +131,18 @@ def run_cohort(x: CohortInputs, stage_dir: str) -> dict[str, DataFrame]:
     frequencies, and the final variant sets.
     """
     key = VARIANT_KEY
-    regions = x.regions.withColumn("contig", norm_contig("contig"))
-    exons = x.exons.withColumn("contig", norm_contig("contig"))
+    regions = plain_contigs(x.regions)
+    exons = plain_contigs(x.exons)
     # Narrow the scans first, on contigs as stored, then bring the names to one style and filter exactly.
     either = intervals.both_contig_styles(x.regions)
-    rows = intervals.prune_to_regions(x.rows, either).withColumn("contig", norm_contig("contig"))
-    calls = intervals.prune_to_regions(x.genotypes, either).withColumn("contig", norm_contig("contig"))
+    rows = plain_contigs(intervals.prune_to_regions(x.rows, either))
+    calls = plain_contigs(intervals.prune_to_regions(x.genotypes, either))
     calls = intervals.filter_intervals(calls, regions, closed=True)
     inside = intervals.filter_intervals(rows, regions)
-    consequences = categorised_consequences(inside).select(
+    if "filter" in inside.columns:  # only genome rows carry calls that failed
+        inside = inside.filter(~F.col("source").eqNullSafe("wgs") | (F.col("filter") == "PASS"))
+    clinvar, genome, annovar, intervar, revel = [plain_contigs(t) for t in (x.clinvar, x.genome, x.annovar, x.intervar, x.revel)]
+    consequences = categorised_consequences(inside, clinvar=clinvar, genome=genome, chunk=x.chunk).select(
         "source",
         "category",
         F.col("CHROM").alias("contig"),
@@ -157,7 +168,7 @@ def run_cohort(x: CohortInputs, stage_dir: str) -> dict[str, DataFrame]:
 
     lof = evidence.lof_in_high_psi(consequences.filter(F.col("category") == "lof"), exons, pad=x.pad)
     missense = evidence.missense_supported(
-        consequences.filter(F.col("category") == "missense"), x.revel, x.annovar, x.intervar, key, cutoff=x.revel_cutoff
+        consequences.filter(F.col("category") == "missense"), revel, annovar, intervar, key, cutoff=x.revel_cutoff
     )
     functional = save_stage(stack([lof, missense]).withColumnRenamed("category", "impact"), stage_dir, "functional")
     tiered = tiers.tiered_variants(functional, frequency.rare(cohort, x.rarity), public, key, x.rarity, x.cutoffs)
@@ -181,3 +192,11 @@ def run_cohort(x: CohortInputs, stage_dir: str) -> dict[str, DataFrame]:
         "carriers": carrier_status(carried, listed, x.samples, key),
         "summary": variant_summary(placed, listed.filter(~is_plp), listed.filter(is_plp), key),
     }
+
+
+def export_cohort(out: dict[str, DataFrame], path: str) -> None:
+    """Write what ``run_cohort`` returns: variant ID lists, the carrier table, and the summary as text."""
+    base = path.rstrip("/")
+    export_ids(out["sets"], f"{base}/variant_lists")
+    out["carriers"].write.mode("overwrite").parquet(f"{base}/carriers")
+    write_tsv(out["summary"], f"{base}/summary", compression="none")

@@ -183,8 +183,12 @@ def test_run_cohort(spark, tmp_path, rows):
         ("chr14", 23_400_000, "r3", "C", ["T"], "ANN=" + ann("T", "missense_variant", "MYH7") + ";GENEINFO=MYH7:4625;CLNSIG=Pathogenic;CLNREVSTAT=reviewed_by_expert_panel"),
         ("chr9", 5, "r4", "C", ["T"], "ANN=" + ann("T", "stop_gained", "TTN")),  # outside the panel
     ]
+    layout = "contig string, pos bigint, id string, ref string, alts array<string>, info string"
+    failed = [("chr2", 178_600_500, "r5", "A", ["G"], "ANN=" + ann("G", "stop_gained", "TTN"))]
     x = pipelines.CohortInputs(
-        rows=spark.createDataFrame(variant_rows, "contig string, pos bigint, id string, ref string, alts array<string>, info string").withColumn("source", F.lit("exome")),
+        rows=spark.createDataFrame(variant_rows, layout).withColumns({"source": F.lit("exome"), "filter": F.lit("x")}).unionByName(
+            spark.createDataFrame(failed, layout).withColumns({"source": F.lit("wgs"), "filter": F.lit("LowQual")})
+        ),
         genotypes=spark.createDataFrame(
             # Two datasets hold the same calls, a third one is not used.
             [(*call, d) for d in ("exome", "clinvar", "acaf") for call in (
@@ -213,6 +217,10 @@ def test_run_cohort(spark, tmp_path, rows):
     assert rows(out["rare_ids"]) == [("14", 23_400_000, "C", "T"), ("2", 178_600_000, "A", "G"), ("2", 178_700_000, "A", "G")]
     assert {r.pos: r.max_value for r in out["cohort_af"].collect()} == {178_600_000: 1 / 4000, 178_700_000: 1 / 4000, 23_400_000: 2 / 4000}
     assert rows(out["summary"]) == [("MYH7", 0, 1), ("TTN", 1, 0)]
+    pipelines.export_cohort(out, str(tmp_path / "out"))
+    (ids,) = (tmp_path / "out" / "variant_lists" / "impact=lof" / "disease=dcm" / "source=exome").glob("*.csv")
+    assert ids.read_text() == "ID\n2:178600000:A:G\n"
+    assert spark.read.parquet(str(tmp_path / "out" / "carriers")).count() == 2000
 
 
 def test_variant_lists_narrow_the_genotype_scan(spark, tmp_path):
@@ -276,3 +284,20 @@ def test_site_wide_region_list_is_not_pushed(spark):
     df = spark.range(10).selectExpr("'chr1' AS contig", "id AS pos")
     many = spark.range(1001).selectExpr("'chr1' AS contig", "id * 10 AS start_pos", "id * 10 + 1 AS end_pos")
     assert prune_to_regions(df, many) is df
+
+
+def test_consequences_are_aligned_after_alleles_met_their_annotation(spark):
+    def ann(alt, effect):
+        return f"{alt}|{effect}|HIGH|TTN|E|transcript|NM|pc|1/2|c.1|p.1"
+
+    seq = "GATTTTTTC"
+    df = spark.createDataFrame(
+        [("c", 7, "TT", ["T", "TTA"], "ANN=" + ann("T", "frameshift_variant") + "," + ann("TTA", "stop_gained"))],
+        "contig string, pos bigint, ref string, alts array<string>, info string",
+    )
+    genome = spark.createDataFrame([("c", i // 4, seq[i : i + 4]) for i in range(0, len(seq), 4)], "contig string, chunk_no bigint, seq string")
+    known = spark.createDataFrame([("c", 2, "AT", "A", "TTN:1", "Pathogenic", "x")], "contig string, pos bigint, ref string, alt string, GENEINFO string, CLNSIG string, CLNREVSTAT string")
+    out = pipelines.categorised_consequences(df, clinvar=known, genome=genome, chunk=4)
+    got = sorted((r.POS, r.REF, r.ALT, r.ALLELE, r.EFFECT, r.CLNSIG, r.category) for r in out.collect() if r.category != "clinvar")
+    # The deletion moves to the start of the run, where ClinVar knows it; the insertion of "A" cannot move.
+    assert got == [(2, "AT", "A", "T", "frameshift_variant", "Pathogenic", "lof"), (8, "T", "TA", "TTA", "stop_gained", None, "lof")]
