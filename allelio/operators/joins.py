@@ -1,7 +1,9 @@
 """Joins of a large table to a smaller one, safe against hot keys and against a smaller side that grows.
 
 The smaller side is broadcast only after its bytes were measured. Beyond the bound, the join shuffles on the
-key plus a salt: rows of a hot key spread over ``salts`` partitions and the smaller side is repeated per salt.
+key plus a salt: rows of a hot key spread over several partitions and the smaller side is repeated per salt, as often
+as a total of ``REPEAT_BYTES`` allows. A side too large to be repeated joins by key alone; there adaptive execution
+splits the partition of a hot key.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from pyspark.sql import types as T
 from allelio.session import scratch_path
 
 BROADCAST_BYTES = 64 * 1024 * 1024
+REPEAT_BYTES = 16 * 1024**3
 SALTS = 16
 
 
@@ -74,6 +77,7 @@ def lookup_join(
         else:
             size = measured_bytes(dim)
         small = size <= max_bytes
+        salts = max(1, min(salts, REPEAT_BYTES // max(size, 1)))
     if small:
         dim = F.broadcast(dim)
     elif salts > 1:

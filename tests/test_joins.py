@@ -40,6 +40,16 @@ def test_salted_equals_broadcast(facts, dims, rows, how, no_broadcast):
     assert rows(small) == rows(large) == rows(staged)
 
 
+def test_a_large_side_is_repeated_less(facts, dims, rows, no_broadcast, monkeypatch):
+    want = rows(J.lookup_join(facts, dims, "k", "left_semi", small=True))
+    size = J.measured_bytes(dims)
+    for budget, salted in ((size * 3, True), (size, False), (0, False)):
+        monkeypatch.setattr(J, "REPEAT_BYTES", budget)
+        joined = J.lookup_join(facts, dims, "k", "left_semi", max_bytes=0)
+        assert ("_salt" in plan(joined)) is salted
+        assert rows(joined) == want
+
+
 def test_hot_key_is_spread(facts, dims):
     salted, _ = J._salted(facts, dims, 16)
     per_salt = [r["count"] for r in salted.filter("k = 1").groupBy("_salt").count().collect()]
