@@ -52,3 +52,22 @@ def per_text(fn: Callable[[bytes], tuple], names: list[str], types: list[pa.Data
 def held_out(doc_id: str, mod: int, rest: int) -> Column:
     """True for rows whose crc32 of the id as text leaves ``rest``; null ids are never held out."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % mod == rest, F.lit(False))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, kept: Column, per_class: int) -> DataFrame:
+    """``doc_id, text, label`` (0/1) of at most ``per_class`` labelled documents of either class.
+
+    Only label rows where ``kept`` holds are read. Rows of one id count as their rounded mean label; null labels and ids are
+    left out. The choice follows a hash of the id, so it is the same in every run. The ids chosen are bounded by
+    ``per_class``, so they may be broadcast; documents stay where they are.
+    """
+    known = (
+        labels.filter(kept & F.col("doc_id").isNotNull() & F.col(label).isNotNull())
+        .groupBy("doc_id")
+        .agg((F.avg(F.col(label).cast("double")) >= 0.5).cast("int").alias("label"))
+    )
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    classes = [known.filter(F.col("label") == c).orderBy(*order).limit(per_class) for c in (0, 1)]
+    chosen = stage(classes[0].unionByName(classes[1]), "labelled")
+    found = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    return found.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label"))
