@@ -26,11 +26,12 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from allelio.llm.common import per_text, raw
+from allelio.llm.common import per_texts, raw
 
 #: Words of a byte-level vocabulary: contractions, then letters, numbers or signs with one space before them, then spaces.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -41,6 +42,10 @@ CUT, UNSURE = re.compile(r" (?=\S)"), re.compile(r" (?:\s|\Z)")
 BEYOND = 3
 CACHED = 1 << 19
 UNMERGED = 1 << 40
+#: Longer chunks and words are not remembered.
+LONG = 64
+#: Longer texts are encoded piece by piece.
+STREAMED = 1 << 20
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -92,6 +97,8 @@ class Vocabulary:
             self.pieces[i] = content.encode()
         self.packed = [i.to_bytes(4, "little") for i in range(size)]
         self.lookahead = sufficient_lookahead(self.rules)
+        self.first_ids, self.made_ids = np.array(self.first, np.int64), np.array(self.made, np.int64)
+        self._pair_table()
         self.words: dict[str, bytes] = {}
         self.chunks = Chunks(self)
 
@@ -136,6 +143,133 @@ class Vocabulary:
             offer(i)
         return [x for x in ids if x >= 0]
 
+    def _pair_table(self) -> None:
+        """Ranks of pairs by open addressing, for looking up many pairs at once."""
+        size = 1 << max(8, (8 * len(self.merges)).bit_length())
+        self.slots, self.slot_ranks, self.slot_mask = np.full(size, -1, np.int64), np.full(size, UNMERGED, np.int64), size - 1
+        for key, rank in self.merges.items():
+            at = self._slot(np.array([key]))[0]
+            while self.slots[at] >= 0:
+                at = at + 1 & self.slot_mask
+            self.slots[at], self.slot_ranks[at] = key, rank
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            mixed = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        return (mixed >> np.uint64(30)).astype(np.int64) & self.slot_mask
+
+    def ranks_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        keys = left << 32 | right
+        at = self._slot(keys)
+        found = self.slots[at]
+        out = np.where(found == keys, self.slot_ranks[at], UNMERGED)
+        open_ = np.flatnonzero((found != keys) & (found >= 0))
+        while len(open_):
+            at[open_] = at[open_] + 1 & self.slot_mask
+            found = self.slots[at[open_]]
+            out[open_] = np.where(found == keys[open_], self.slot_ranks[at[open_]], UNMERGED)
+            open_ = open_[(found != keys[open_]) & (found >= 0)]
+        return out
+
+    def encode_words(self, words: list[bytes]) -> list[bytes]:
+        """Packed ids of many short words: in each turn every word applies its rule of least rank, from the left."""
+        if not words:
+            return []
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        ids = self.first_ids[np.frombuffer(b"".join(words), np.uint8)]
+        owner = np.repeat(np.arange(len(words)), lengths)
+        ranks = np.full(len(ids), UNMERGED)
+        inside = np.flatnonzero(owner[1:] == owner[:-1])
+        ranks[inside] = self.ranks_of(ids[inside], ids[inside + 1])
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+        while len(ids):
+            starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+            sizes = np.diff(np.r_[starts, len(ids)])
+            least = np.repeat(np.minimum.reduceat(ranks, starts), sizes)
+            ready = least == UNMERGED
+            if ready.any():
+                done.append((owner[ready], ids[ready]))
+                ids, owner, ranks, least = ids[~ready], owner[~ready], ranks[~ready], least[~ready]
+                if not len(ids):
+                    break
+            hit = ranks == least
+            at = np.flatnonzero(hit)
+            near = np.r_[False, at[1:] == at[:-1] + 1]
+            if near.any():  # a run of one rule on equal parts: every other place
+                first = np.maximum.accumulate(np.where(near, 0, np.arange(len(at))))
+                at = at[(np.arange(len(at)) - first) % 2 == 0]
+            ids[at] = self.made_ids[ranks[at]]
+            stays = np.ones(len(ids), bool)
+            stays[at + 1] = False
+            place = np.cumsum(stays)[at] - 1
+            last = np.r_[owner[1:] != owner[:-1], True][at + 1]  # the joined part ends its word
+            ids, owner, ranks = ids[stays], owner[stays], ranks[stays]
+            ranks[place[last]] = UNMERGED
+            right = place[~last]
+            ranks[right] = self.ranks_of(ids[right], ids[right + 1])
+            left = place[place > 0]
+            left = left[owner[left - 1] == owner[left]] - 1
+            ranks[left] = self.ranks_of(ids[left], ids[left + 1])
+        whose, every = (np.concatenate(x) for x in zip(*done, strict=True)) if done else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        packed = every[np.argsort(whose, kind="stable")].astype("<u4").tobytes()
+        ends = (4 * np.cumsum(np.bincount(whose, minlength=len(words)))).tolist()
+        return [packed[a:b] for a, b in zip([0, *ends], ends)]  # noqa: B905
+
+    def _packed(self, every: list[str]) -> list[bytes]:
+        """Packed ids of distinct chunks; those not seen before are encoded together."""
+        if len(self.chunks) > CACHED:
+            self.chunks.clear()
+        out = list(map(self.chunks.get, every))
+        new = [i for i, packed in enumerate(out) if packed is None]
+        parts = [chunk_words(every[i]) for i in new]
+        words = list({w for p in parts for w in p})
+        short = [w for w in words if len(w) < LONG]
+        packed = dict(zip(short, self.encode_words([w.encode() for w in short]), strict=True))
+        packed.update((w, pack_words(self, [w])) for w in words if len(w) >= LONG)
+        for i, p in zip(new, parts, strict=True):
+            out[i] = packed[p[0]] if len(p) == 1 else b"".join([packed[w] for w in p])
+            if len(every[i]) < LONG:
+                self.chunks[every[i]] = out[i]
+        return out
+
+    def encode_texts(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of some texts: each distinct chunk is looked up once. Long or unusual texts are streamed one by one."""
+        special = Encoder(self).special
+        usual = [i for i, t in enumerate(texts) if t and len(t) <= STREAMED and not UNSURE.search(t) and not (special and special.search(t))]
+        out: list[np.ndarray] = [None] * len(texts)
+        chosen = set(usual)
+        for i, text in enumerate(texts):
+            if i not in chosen:
+                out[i] = encode(self, text)
+        if not usual:
+            return out
+        split = pc.split_pattern(pa.array([texts[i] for i in usual], pa.string()), " ")
+        coded = split.flatten().dictionary_encode()
+        names = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        packed = self._packed(names)
+        sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
+        begins = np.cumsum(sizes) - sizes
+        flat = np.frombuffer(b"".join(packed), "<u4")
+        index, ends = coded.indices.to_numpy(), split.offsets.to_numpy()
+        for i, a, b in zip(usual, ends, ends[1:]):  # noqa: B905
+            # No space stands before the first chunk.
+            head = pack_words(self, WORDS.findall(names[index[a]])) if names[index[a]] else b""
+            rest = index[a + 1 : b]
+            n = sizes[rest]
+            total = np.cumsum(n)
+            at = np.repeat(begins[rest] - total + n, n) + np.arange(total[-1] if len(total) else 0)
+            out[i] = np.concatenate([np.frombuffer(head, "<u4"), flat[at]])
+        return out
+
+
+def chunk_words(chunk: str) -> list[str]:
+    """Words of a space and a chunk; the two usual kinds need no pattern."""
+    if chunk.isalpha():
+        return [" " + chunk]
+    if chunk[-1:] in (".", ",") and chunk[:-1].isalpha():
+        return [" " + chunk[:-1], chunk[-1]]
+    return WORDS.findall(" " + chunk)
+
 
 class Chunks(dict):
     """Packed ids of the text from one word-starting space to the next, remembered."""
@@ -145,7 +279,7 @@ class Chunks(dict):
 
     def __missing__(self, chunk: str) -> bytes:
         packed = pack_words(self.vocabulary, WORDS.findall(" " + chunk))
-        if len(chunk) < 64:
+        if len(chunk) < LONG:
             if len(self) >= CACHED:
                 self.clear()
             self[chunk] = packed
@@ -158,7 +292,7 @@ def pack_words(vocabulary: Vocabulary, words: Iterable[str]) -> bytes:
         packed = known.get(word)
         if packed is None:
             data = word.encode()
-            if len(data) < 64:
+            if len(data) < LONG:
                 packed = b"".join(map(vocabulary.packed.__getitem__, vocabulary.encode_word(data)))
                 if len(known) >= CACHED:
                     known.clear()
@@ -330,15 +464,25 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def encode(vocabulary: Vocabulary, text: str) -> np.ndarray:
+def encode_stream(vocabulary: Vocabulary, text: str) -> Iterator[np.ndarray]:
     encoder = Encoder(vocabulary)
-    return np.frombuffer(b"".join([*encoder.feed(text), *encoder.finish()]), "<u4")
+    for source in (encoder.feed(text), encoder.finish()):
+        for packed in source:
+            yield np.frombuffer(packed, "<u4")
+
+
+def encode(vocabulary: Vocabulary, text: str) -> np.ndarray:
+    return np.concatenate([np.zeros(0, "<u4"), *encode_stream(vocabulary, text)])
+
+
+def _pieces(ids: np.ndarray, step: int = 1 << 16) -> Iterator[np.ndarray]:
+    return (ids[at : at + step] for at in range(0, len(ids), step))
 
 
 def decode(vocabulary: Vocabulary, ids: np.ndarray, step: int = 1 << 16) -> Iterator[str]:
     decoder = Decoder(vocabulary)
-    for at in range(0, len(ids), step):
-        yield decoder.feed(ids[at : at + step].tolist())
+    for part in _pieces(ids, step):
+        yield decoder.feed(part.tolist())
     yield decoder.finish()
 
 
@@ -355,10 +499,10 @@ def encode_documents(docs: DataFrame, path: str | None = None, text: str = "text
     """
     shared = _shared(docs.sparkSession, path)
 
-    def one(data: bytes) -> tuple:
-        return (encode(vocabulary_of(shared.value), data.decode("utf-8", "replace")).astype("<i4"),)
+    def some(texts: list[str]) -> list[tuple]:
+        return [(ids.astype("<i4"),) for ids in vocabulary_of(shared.value).encode_texts(texts)]
 
-    return docs.withColumn(ids, per_text(one, ["ids"], [pa.list_(pa.int32())], "ids array<int>")(raw(text))["ids"])
+    return docs.withColumn(ids, per_texts(some, ["ids"], [pa.list_(pa.int32())], "ids array<int>")(raw(text))["ids"])
 
 
 def decode_documents(docs: DataFrame, path: str | None = None, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -384,19 +528,21 @@ def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
     """
     shared = _shared(docs.sparkSession, path)
 
-    def one(data: bytes) -> tuple:
-        vocabulary = vocabulary_of(shared.value)
-        encoder, decoder = Encoder(vocabulary), Decoder(vocabulary)
-        of_ids, of_text, n = hashlib.sha256(), hashlib.sha256(), 0
-        text = data.decode("utf-8", "replace")
-        for source in (encoder.feed(text), encoder.finish()):
-            for packed in source:
-                of_ids.update(packed)
-                n += len(packed) // 4
-                of_text.update(decoder.feed(np.frombuffer(packed, "<u4").tolist()).encode())
+    def digests(vocabulary: Vocabulary, parts: Iterable[np.ndarray]) -> tuple:
+        decoder, of_ids, of_text, n = Decoder(vocabulary), hashlib.sha256(), hashlib.sha256(), 0
+        for ids in parts:
+            of_ids.update(ids.astype("<u4").tobytes())
+            n += len(ids)
+            of_text.update(decoder.feed(ids.tolist()).encode())
         of_text.update(decoder.finish().encode())
         return n, of_ids.hexdigest(), of_text.hexdigest()
 
+    def some(texts: list[str]) -> list[tuple]:
+        vocabulary = vocabulary_of(shared.value)
+        short = [t for t in texts if len(t) <= STREAMED]
+        encoded = iter(vocabulary.encode_texts(short))
+        return [digests(vocabulary, _pieces(next(encoded)) if len(t) <= STREAMED else encode_stream(vocabulary, t)) for t in texts]
+
     names = ["n_tokens", "ids_sha256", "decoded_sha256"]
-    digest = per_text(one, names, [pa.int64(), pa.string(), pa.string()], "n_tokens long, ids_sha256 string, decoded_sha256 string")
+    digest = per_texts(some, names, [pa.int64(), pa.string(), pa.string()], "n_tokens long, ids_sha256 string, decoded_sha256 string")
     return docs.select("doc_id", digest(raw()).alias("_digest")).select("doc_id", "_digest.*")

@@ -39,16 +39,36 @@ def per_text(fn: Callable[[bytes], tuple], names: list[str], types: list[pa.Data
     """Column function: ``fn`` of each text's bytes gives one value per name; evaluated once, wherever it is used."""
 
     def run(texts: pa.Array) -> pa.Array:
-        found = [fn(t.as_py() or b"") for t in texts]
-        columns = [pa.array(c, kind) for c, kind in zip(zip(*found, strict=True), types, strict=True)] if found else [
-            pa.array([], kind) for kind in types
-        ]
-        return pa.StructArray.from_arrays(columns, names)
+        return _struct([fn(t.as_py() or b"") for t in texts], names, types)
 
     run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
     return F.arrow_udf(run, ddl).asNondeterministic()
 
 
+def per_texts(fn: Callable[[list[str]], list[tuple]], names: list[str], types: list[pa.DataType], ddl: str, size: int = 1 << 22):
+    """As ``per_text``, for functions of some texts at a time, about ``size`` characters together."""
+
+    def run(texts: pa.Array) -> pa.Array:
+        found: list[tuple] = []
+        some: list[str] = []
+        held = 0
+        for t in texts:
+            some.append((t.as_py() or b"").decode("utf-8", "replace"))
+            held += len(some[-1])
+            if held >= size:
+                found += fn(some)
+                some, held = [], 0
+        return _struct(found + (fn(some) if some else []), names, types)
+
+    run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, ddl).asNondeterministic()
+
+
+def _struct(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.Array:
+    columns = zip(*rows, strict=True) if rows else [()] * len(names)
+    return pa.StructArray.from_arrays([pa.array(c, kind) for c, kind in zip(columns, types, strict=True)], names)
+
+
 def held_out(doc_id: str, mod: int, rest: int) -> Column:
     """True for rows whose crc32 of the id as text leaves ``rest``; null ids are never held out."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % mod == rest, F.lit(False))

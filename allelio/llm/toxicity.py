@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from allelio.llm.common import held_out, labelled_sample, raw
+from allelio.llm.common import held_out, labelled_sample, per_texts, raw
 
 #: Label rows of either class that a fit uses at most.
 PER_CLASS = 1_500
@@ -287,25 +287,13 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> Column:
     shared = docs.sparkSession.sparkContext.broadcast(model)  # ALPHABET ** 3 weights
     key = hash((model.bias, model.calibration, model.weights.tobytes()))
 
-    def run(texts: pa.Array) -> pa.Array:
+    def some(texts: list[str]) -> list[tuple]:
         if key not in _SCORERS:
             _SCORERS.clear()
             _SCORERS[key] = Scorer(shared.value)
-        found: list[float] = []
-        some: list[str] = []
-        size = 0
-        for t in texts:  # in groups of a few MB, so that distinct words stay few
-            some.append((t.as_py() or b"").decode("utf-8", "replace"))
-            size += len(some[-1])
-            if size > 1 << 22:
-                found += _SCORERS[key].scores(some).tolist()
-                some, size = [], 0
-        if some:
-            found += _SCORERS[key].scores(some).tolist()
-        return pa.array(found, pa.float64())
-
-    run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
-    return F.arrow_udf(run, "double").asNondeterministic()(raw(text))
+        return [(s,) for s in _SCORERS[key].scores(texts).tolist()]
+
+    return per_texts(some, ["score"], [pa.float64()], "score double")(raw(text))["score"]
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:

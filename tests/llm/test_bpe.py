@@ -54,6 +54,16 @@ def test_long_words_keep_a_small_window(vocabulary, library, text):
         assert len(stream.held) <= 4 * vocabulary.lookahead + 64
 
 
+def test_words_together_and_alone(vocabulary):
+    rnd = random.Random(8)
+    words = [bytes(rnd.choice(b"aab ethionsg\xc3\xa9") for _ in range(rnd.randint(1, 60))) for _ in range(4000)] + [b"a" * n for n in range(1, 64)]
+    assert [np.frombuffer(p, "<u4").tolist() for p in vocabulary.encode_words(words)] == [vocabulary.encode_word(w) for w in words]
+    assert vocabulary.encode_words([]) == []
+    some = [*texts(600), "", "plain words, joined. by single spaces\nand lines", "a " + "long" * 40 + " word", "x"]
+    known = bpe.Vocabulary(bpe.vocabulary_text(bpe.default_path()))
+    assert [i.tolist() for i in known.encode_texts(some)] == [bpe.encode(vocabulary, t).tolist() for t in some]
+
+
 def test_lookahead_is_sufficient_and_counts_chains():
     assert bpe.sufficient_lookahead([(b"a", b"b")]) == 1
     # bc, then ab only if no bc, then za only if no ab: the end decides three tokens back.
