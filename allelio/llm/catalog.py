@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from allelio.llm import bpe, mixing, quality, simhash, toxicity
+from allelio.llm import bpe, mixing, quality, simhash, toxicity, warc
 from allelio.llm.common import table
 
 
@@ -18,6 +18,10 @@ def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(table(spark, sf_dir, "pages"))
+
+
 def source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -32,6 +36,7 @@ def quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": near_duplicates,
+    "op3_warc": archives,
     "op5_toxicity": toxicity_scores,
     "op6_mixing": source_mix,
     "op8_bpe_round_trip": bpe_round_trip,
