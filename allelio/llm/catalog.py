@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from allelio.llm import bpe, mixing, quality, simhash, toxicity, warc
+from allelio.llm import bpe, licenses, mixing, quality, simhash, toxicity, warc
 from allelio.llm.common import table
 
 
@@ -18,6 +19,12 @@ def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scan's counts, labels and scores; its spans as their number."""
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    return found.withColumn("n_spans", F.size("spans")).drop("spans")
+
+
 def archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(table(spark, sf_dir, "pages"))
 
@@ -35,6 +42,7 @@ def quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_licenses": license_scan,
     "op2_simhash": near_duplicates,
     "op3_warc": archives,
     "op5_toxicity": toxicity_scores,
