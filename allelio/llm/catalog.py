@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from allelio.llm import bpe, licenses, mixing, quality, simhash, toxicity, warc
+from allelio.llm import bpe, licenses, mixing, parsing, quality, simhash, toxicity, warc
 from allelio.llm.common import table
 
 
@@ -29,6 +29,10 @@ def archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(table(spark, sf_dir, "pages"))
 
 
+def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parsing.compare(table(spark, sf_dir, "documents"))
+
+
 def source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -47,6 +51,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_warc": archives,
     "op5_toxicity": toxicity_scores,
     "op6_mixing": source_mix,
+    "op7_fingerprints": fingerprints,
     "op8_bpe_round_trip": bpe_round_trip,
     "op10_quality": quality_scores,
 }
