@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from allelio.llm import bpe, licenses, mixing, parsing, quality, simhash, toxicity, warc
+from allelio.llm import ann, bpe, licenses, mixing, parsing, quality, simhash, toxicity, warc
 from allelio.llm.common import table
 
 
@@ -37,6 +37,10 @@ def source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
 def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -53,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_mixing": source_mix,
     "op7_fingerprints": fingerprints,
     "op8_bpe_round_trip": bpe_round_trip,
+    "op9_neighbours": neighbours,
     "op10_quality": quality_scores,
 }
 
