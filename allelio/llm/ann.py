@@ -27,10 +27,11 @@ NEAREST, EVERY = 20, 20
 SAMPLE, CENTROIDS, PER_CENTROID = 16_384, 512, 32
 #: Lists a vector may be in, and how much farther than its nearest list the others may be.
 COPIES, EDGE = 4, 0.1
-#: Lists a query may read, and how much farther than its nearest list they may be.
-LISTS, REACH = 48, 0.3
+#: Lists a query reads at least and at most, and how much farther than its nearest list those between may be. Where these
+#: hold too few vectors for an answer, it reads on.
+LEAST_LISTS, LISTS, REACH = 24, 96, 0.4
 #: Edges per centroid in the graph, width of the beam.
-DEGREE, BEAM = 24, 96
+DEGREE, BEAM = 24, 128
 #: Rows of a block of a list; parts that copies of one vector are ranked in apart.
 BLOCK, PARTS = 4096, 64
 
@@ -135,9 +136,13 @@ def fit(vectors: DataFrame) -> Centroids | None:
     return Centroids(_kmeans(lifted, k), norm)
 
 
-def _assigned(df: DataFrame, shared, query: bool) -> DataFrame:
-    """``list`` and the columns of ``df`` (``key, vec`` and more), one row per list a vector is in or a query reads."""
-    most, slack = (LISTS, REACH) if query else (COPIES, EDGE)
+def _assigned(df: DataFrame, shared, sizes: np.ndarray | None = None, need: int = 0) -> DataFrame:
+    """``list`` and the columns of ``df`` (``key, vec`` and more), one row per list a vector is in or a query reads.
+
+    For queries, ``sizes`` has the number of vectors per list, and lists are read until they hold ``need`` at least.
+    """
+    query = sizes is not None
+    least, most, slack = (LEAST_LISTS, LISTS, REACH) if query else (1, COPIES, EDGE)
 
     def place(vecs: pa.Array) -> pa.Array:
         index: Centroids = shared.value
@@ -145,8 +150,11 @@ def _assigned(df: DataFrame, shared, query: bool) -> DataFrame:
         for at in range(0, len(vecs), 2048):
             part = vecs.slice(at, 2048)
             x = part.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(part), -1)
-            lists, far = index.search(index.lift(x, query), most)
+            lists, far = index.search(index.lift(x, query), len(index.centers) if query else most)
             near = far <= far[:, :1] * (1 + slack)
+            near[:, :least], near[:, most:] = True, False
+            if query:
+                near |= np.cumsum(sizes[lists], axis=1) - sizes[lists] < need
             found += [row[ok].tolist() for row, ok in zip(lists, near)]
         return pa.array(found, pa.list_(pa.int32()))
 
@@ -216,14 +224,19 @@ def _of_length(spark, keyed: DataFrame, vectors: DataFrame, n: int, every: int,
     index = fit(vectors)
     # At most CENTROIDS vectors and their graph.
     shared = spark.sparkContext.broadcast(index)
-    posts = stage(_assigned(vectors, shared, False), "postings")
+    posts = stage(_assigned(vectors, shared), "postings")
     # Lists and their sizes: at most CENTROIDS rows.
-    blocks = F.broadcast(posts.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("blocks")))
+    counts = posts.groupBy("list").agg(F.count(F.lit(1)).alias("n"))
+    sizes = np.zeros(len(index.centers), np.int64)
+    for r in counts.collect():
+        sizes[r["list"]] = r["n"]
+    blocks = F.broadcast(counts.select("list", F.ceil(F.col("n") / BLOCK).cast("long").alias("blocks")))
     posts = posts.join(blocks, "list").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")))
     asked = keyed.filter((F.size("vec") == n) & (F.col("vec_id") % every == 0)).select("vec_id", "key")
     wanted = stage(asked, "queries")
     queries = vectors.join(wanted.select("key").distinct(), "key", "left_semi").select("key", "vec")
-    reads = _assigned(queries, shared, True).join(blocks, "list")
+    # A vector is in at most COPIES lists, so these hold k + 1 different ones.
+    reads = _assigned(queries, shared, sizes, COPIES * (k + 1)).join(blocks, "list")
     reads = reads.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     left, right = reads.select("list", "block", "key", "vec").groupBy("list", "block"), posts.select("list", "block", "key", "vec", "ids").groupBy("list", "block")
     found = left.cogroup(right).applyInArrow(_scan(k + 1), "query_key binary, key binary, score double, ids array<long>")
