@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from allelio.llm import ann, bpe, licenses, mixing, parsing, quality, simhash, toxicity, warc
+from allelio.llm import ann, bpe, licenses, mixing, parsing, quality, simhash, toxicity, training_order, warc
 from allelio.llm.common import table
 
 
@@ -33,6 +33,10 @@ def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsing.compare(table(spark, sf_dir, "documents"))
 
 
+def training_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return training_order.materialise(table(spark, sf_dir, "documents"))
+
+
 def source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -53,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_licenses": license_scan,
     "op2_simhash": near_duplicates,
     "op3_warc": archives,
+    "op4_training_order": training_shards,
     "op5_toxicity": toxicity_scores,
     "op6_mixing": source_mix,
     "op7_fingerprints": fingerprints,
