@@ -4,8 +4,8 @@ Texts are encoded and cut into sequences of ``LENGTH`` ids. Sequences are number
 over the next even number of bits permutes the numbers; a result outside the numbers is permuted again until it is inside
 (cycle-walking), so slots are a permutation of the numbers under a key and need no sort of random numbers and no table.
 
-Shards hold ``SHARD`` slots each, in order, as rows of a fixed stride of little-endian unsigned 32-bit integers: the sequence's
-length, its ids, zeros up to ``LENGTH``, and a zero. Slot ``s`` is row ``s % SHARD`` of shard ``s // SHARD``, so a reader
+Shards hold ``SHARD`` slots each, in order, as rows of a fixed stride of little-endian unsigned 16-bit integers (a vocabulary of
+up to 65,536 entries; others are refused): the sequence's length, its ids, zeros up to ``LENGTH``, and two zeros. Slot ``s`` is row ``s % SHARD`` of shard ``s // SHARD``, so a reader
 goes on at any slot by one seek.
 """
 
@@ -21,14 +21,15 @@ from pyspark.sql import functions as F
 
 from allelio.llm import bpe
 from allelio.llm.common import stage
+from allelio.operators.joins import lookup_join
 from allelio.session import scratch_path
 
-#: Ids of a sequence, sequences of a shard (about 8 MB), rounds of the network, its key.
+#: Ids of a sequence, sequences of a shard (about 4 MB), rounds of the network, its key.
 LENGTH, SHARD, ROUNDS, KEY = 256, 8192, 6, 20_240_601
 #: Parts that sequences are numbered in.
 PARTS = 4096
 #: The zero that ends a row is the line separator of Spark's text writer.
-STRIDE, END = 4 * (LENGTH + 2), "\0\0\0\0"
+STRIDE, END = 2 * (LENGTH + 3), "\0\0\0\0"
 
 
 def feistel(numbers: np.ndarray, total: int, key: int = KEY) -> np.ndarray:
@@ -54,57 +55,65 @@ def feistel(numbers: np.ndarray, total: int, key: int = KEY) -> np.ndarray:
 
 
 def sequences(docs: DataFrame, path: str | None = None, length: int = LENGTH) -> DataFrame:
-    """``doc_id, h1, h2, seq_no, n_ids, ids`` (bytes) of all sequences; a text without ids has none.
+    """``doc_id, h1, h2, row, seq_no, n_seqs, n_ids, ids`` (bytes) of all sequences; a text without ids has none.
 
-    ``h1, h2`` are hashes of the row; rows that are equal in id and text differ in nothing.
+    ``h1, h2`` are hashes of the document, ``row`` is its place in this table, which tells repeated rows apart. Write
+    the table before it is used: a second computation may number rows otherwise.
     """
     encoded = bpe.encode_documents(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), path)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "h1", "h2", "seq_no", "n_ids", "ids"]
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+        names = ["doc_id", "h1", "h2", "row", "seq_no", "n_seqs", "n_ids", "ids"]
+        types = [pa.int64()] * 4 + [pa.int32()] * 3 + [pa.binary()]
         for batch in batches:
-            columns = [batch.column(c) for c in ("doc_id", "h1", "h2")]
+            columns = [batch.column(c) for c in ("doc_id", "h1", "h2", "row")]
             rows: list[tuple] = []
             for i, ids in enumerate(batch.column("ids")):
-                packed = ids.values.to_numpy(zero_copy_only=False).astype("<u4")
+                wide = ids.values.to_numpy(zero_copy_only=False)
+                if len(wide) and wide.max() > 0xFFFF:
+                    raise ValueError("an id does not fit in 16 bits")
+                packed = wide.astype("<u2")
                 head = tuple(c[i].as_py() for c in columns)
-                for no, at in enumerate(range(0, len(packed), length)):
-                    part = packed[at : at + length]
-                    rows.append((*head, no, len(part), part.tobytes()))
+                n = -(-len(packed) // length)
+                for no in range(n):
+                    part = packed[no * length : (no + 1) * length]
+                    rows.append((*head, no, n, len(part), part.tobytes()))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
-    keyed = encoded.select("doc_id", F.xxhash64("doc_id", "text").alias("h1"), F.xxhash64("text", F.lit(KEY), "doc_id").alias("h2"), "ids")
-    return keyed.mapInArrow(cut, "doc_id long, h1 long, h2 long, seq_no int, n_ids int, ids binary")
+    keyed = encoded.select("doc_id", F.xxhash64("doc_id", "text").alias("h1"), F.xxhash64("text", F.lit(KEY), "doc_id").alias("h2"), F.monotonically_increasing_id().alias("row"), "ids")
+    return keyed.mapInArrow(cut, "doc_id long, h1 long, h2 long, row long, seq_no int, n_seqs int, n_ids int, ids binary")
 
 
 def slotted(found: DataFrame, key: int = KEY) -> tuple[DataFrame, int]:
     """``found`` (written) with its ``slot``, and the number of sequences.
 
-    Numbers are running counts in two steps, over parts by hash and within a part, in the order of hashes: the same in every run.
+    Documents are numbered, not sequences: a running sum of their sequences in two steps, over parts by hash and within a part, in
+    the order of hashes, is the same in every run. Only the keys are shuffled for it, not the ids.
     """
-    parted = found.withColumn("part", F.pmod(F.xxhash64("h1", "seq_no"), F.lit(PARTS)))
-    counts = parted.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    heads = found.filter("seq_no = 0").select("row", "h1", "h2", "n_seqs", F.pmod("h1", F.lit(PARTS)).alias("part"))
+    counts = heads.groupBy("part").agg(F.sum("n_seqs").alias("n"))
     # At most PARTS rows.
-    counts = stage(counts.select("part", "n", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before")), "parts")
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = stage(counts.select("part", "n", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before")), "parts")
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-    within = F.row_number().over(Window.partitionBy("part").orderBy("h1", "h2", "seq_no")) - 1
-    numbered = parted.withColumn("within", within).join(F.broadcast(counts.drop("n")), "part")
+    inside = Window.partitionBy("part").orderBy("h1", "h2", "row").rowsBetween(Window.unboundedPreceding, -1)
+    placed = heads.withColumn("within", F.coalesce(F.sum("n_seqs").over(inside), F.lit(0))).join(F.broadcast(counts.drop("n")), "part")
+    starts = placed.select("row", (F.col("before") + F.col("within")).cast("long").alias("start"))
 
     def slots(numbers: pa.Array) -> pa.Array:
         return pa.array(feistel(numbers.to_numpy(zero_copy_only=False), total, key), pa.int64())
 
     slots.__annotations__ = {"numbers": pa.Array, "return": pa.Array}
-    slot = F.arrow_udf(slots, "long")((F.col("before") + F.col("within")).cast("long"))
-    return numbered.withColumn("slot", slot).drop("part", "within", "before"), total
+    numbered = lookup_join(found, starts, "row", stage=True)
+    return numbered.withColumn("slot", F.arrow_udf(slots, "long")(F.col("start") + F.col("seq_no"))).drop("start"), total
 
 
 def write_shards(rows: DataFrame, total: int, path: str, length: int = LENGTH, shard: int = SHARD) -> None:
     """Write ``slot, n_ids, ids`` below ``path``, one file per shard (``shard=<number>``), sorted by slot."""
 
     def pad(counts: pa.Array, ids: pa.Array) -> pa.Array:
-        return pa.array([np.uint32(n.as_py()).astype("<u4").tobytes() + i.as_py().ljust(4 * length, b"\0") for n, i in zip(counts, ids)], pa.binary())
+        return pa.array([n.as_py().to_bytes(2, "little") + i.as_py().ljust(2 * length, b"\0") for n, i in zip(counts, ids)], pa.binary())
 
     pad.__annotations__ = {"counts": pa.Array, "ids": pa.Array, "return": pa.Array}
     sharded = rows.select(F.floor(F.col("slot") / shard).cast("long").alias("shard"), "slot", "n_ids", "ids")
@@ -117,15 +126,15 @@ def write_shards(rows: DataFrame, total: int, path: str, length: int = LENGTH, s
 
 def read_shards(spark: SparkSession, path: str, length: int = LENGTH, shard: int = SHARD, start: int = 0) -> DataFrame:
     """``slot, n_ids, ids`` of all slots from ``start`` on; shards before it are not opened."""
-    stride = 4 * (length + 2)
+    stride = 2 * (length + 3)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number, content in zip(batch.column("shard").to_pylist(), batch.column("content")):
-                table = np.frombuffer(content.as_py(), "<u4")
-                if len(table) % (stride // 4):
+                table = np.frombuffer(content.as_py(), "<u2")
+                if len(table) % (stride // 2):
                     raise ValueError(f"shard {number} is cut off")
-                table = table.reshape(-1, stride // 4)
+                table = table.reshape(-1, stride // 2)
                 first = max(0, start - number * shard)
                 for at in range(first, len(table), 1024):
                     some = table[at : at + 1024]

@@ -31,7 +31,7 @@ def test_shards(spark, tmp_path, monkeypatch):
     want = []
     for i, t in rows:
         ids = bpe.encode(vocabulary, t or "")
-        want += [(i, at // order.LENGTH, hashlib.sha256(ids[at : at + order.LENGTH].astype("<u4").tobytes()).hexdigest()) for at in range(0, len(ids), order.LENGTH)]
+        want += [(i, at // order.LENGTH, hashlib.sha256(ids[at : at + order.LENGTH].astype("<u2").tobytes()).hexdigest()) for at in range(0, len(ids), order.LENGTH)]
     placed, total = order.slotted(order.stage(order.sequences(docs), "t"))
     assert total == len(want)
     path = str(tmp_path / "s")
