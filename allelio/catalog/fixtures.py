@@ -85,7 +85,8 @@ FROM g_site""",
     "g_revel": (
         ("g_site",),
         """
-SELECT site_id, concat('[0.', site_id % 10, ',', CASE WHEN site_id % 4 = 0 THEN 'null' ELSE concat('0.', (site_id * 3) % 10) END, ']') AS revel_score,
+SELECT site_id, concat('[0.', site_id % 10, ',', CASE WHEN site_id % 4 = 0 THEN 'null' ELSE concat('0.', (site_id * 3) % 10) END,
+ CASE WHEN site_id % 5 = 0 THEN ',0.1,null,0.2,0.1,0.1,0.9' WHEN site_id % 5 = 1 THEN ',0.1' ELSE '' END, ']') AS revel_score,
  CASE WHEN site_id % 6 = 0 THEN '.' ELSE concat('0.', (site_id * 7) % 10) END AS revel_scalar,
  CASE site_id % 4 WHEN 0 THEN 'InterVar: Likely pathogenic PVS1=0' WHEN 1 THEN 'InterVar: Pathogenic PVS1=1'
   WHEN 2 THEN 'InterVar: Benign' ELSE 'InterVar: Uncertain significance' END AS intervar FROM g_site""",

@@ -132,7 +132,6 @@ CARRIER_GENES = [
 RARE_AF = 0.001
 FAF_CUTOFFS = {"dcm": 8.4e-05, "hcm": 4e-05, "arvc": 9.2e-05}
 REVEL_CUTOFF = 0.65
-REVEL_VALUES = 5
 EXON_PAD = 10
 
 # ClinVar classes and review states.

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from allelio.config import ANN_FIELDS, REVEL_VALUES
+from allelio.config import ANN_FIELDS
 from allelio.functions.keys import _col
 
 
@@ -53,9 +53,9 @@ def score_array(c: Column | str) -> Column:
     return F.transform(F.split(bare, ","), lambda x: F.trim(x).try_cast("double"))
 
 
-def any_score_ge(c: Column | str, cutoff: float, first: int = REVEL_VALUES) -> Column:
-    """True if one of the first values of a score list reaches the cutoff, else false (never NULL)."""
-    return F.coalesce(F.exists(F.slice(score_array(c), 1, first), lambda x: x >= F.lit(cutoff)), F.lit(False))
+def any_score_ge(c: Column | str, cutoff: float) -> Column:
+    """True if a value of a score list, of any length, reaches the cutoff, else false (never NULL)."""
+    return F.coalesce(F.exists(score_array(c), lambda x: x >= F.lit(cutoff)), F.lit(False))
 
 
 def flip_dosage(c: Column | str) -> Column:

@@ -67,7 +67,7 @@ def test_scores(spark):
     assert one(spark, fields.score("s"), s=".") is None
     assert one(spark, fields.any_score_ge("s", 0.65), s="[null,0.65]") is True
     assert one(spark, fields.any_score_ge("s", 0.65), s="[null,0.1]") is False
-    assert one(spark, fields.any_score_ge("s", 0.65), s="[0,0,0,0,0,0.9]") is False
+    assert one(spark, fields.any_score_ge("s", 0.65), s="[0,0,0,0,0,0.9]") is True
     assert one(spark, fields.any_score_ge("s", 0.65), s=None) is False
 
 
