@@ -32,6 +32,8 @@ DECAY, SPAN = 0.7, 6
 CERTAIN = 15.0
 ALPHABET = 64
 REMEMBERED = 1 << 19
+#: Landmarks and subsequences that the kernel multiplies at a time, which bounds its memory for any number and length of words.
+COLUMNS, BLOCK = 128, 1 << 14
 SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 #: Words written letter by letter.
 SPELLED = re.compile(r"(?<!\S)\w(?:[^\w\n]{1,3}\w){2,}(?!\S)")
@@ -88,24 +90,32 @@ def profiles(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def kernel(words: list[str], landmarks: list[str]) -> np.ndarray:
-    """Normalised kernel between words and landmarks."""
-    row, code, weight = profiles(landmarks)
-    used, column = np.unique(code, return_inverse=True)
-    dense = np.zeros((len(used), len(landmarks)))
-    np.add.at(dense, (column, row), weight)
+    """Normalised kernel between words and landmarks, some landmarks and some subsequences at a time."""
     out = np.zeros((len(words), len(landmarks)))
-    for at in range(0, len(words), 2000):
-        some = words[at : at + 2000]
+    for first in range(0, len(landmarks), COLUMNS):
+        some = landmarks[first : first + COLUMNS]
         row, code, weight = profiles(some)
-        place = np.searchsorted(used, code)
-        hit = (place < len(used)) & (used[np.minimum(place, max(0, len(used) - 1))] == code) if len(used) else np.zeros(len(code), bool)
-        row, place, weight = row[hit], place[hit], weight[hit]
-        if len(row):
-            starts = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
-            out[at + row[starts]] = np.add.reduceat(dense[place] * weight[:, None], starts, axis=0)
+        used, place = np.unique(code, return_inverse=True)
+        if len(used):
+            dense = np.zeros((len(used), len(some)))
+            np.add.at(dense, (place, row), weight)
+            _products(words, used, dense, out[:, first : first + COLUMNS])
     return out
 
 
+def _products(words: list[str], used: np.ndarray, dense: np.ndarray, out: np.ndarray) -> None:
+    """Add the products of the words' subsequences with ``dense``, a row for each of ``used``, to ``out``."""
+    for at in range(0, len(words), 2000):
+        row, code, weight = profiles(words[at : at + 2000])
+        place = np.searchsorted(used, code)
+        hit = np.flatnonzero(used[np.minimum(place, len(used) - 1)] == code)
+        for lo in range(0, len(hit), BLOCK):
+            part = hit[lo : lo + BLOCK]
+            rows = row[part]
+            starts = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
+            out[at + rows[starts]] += np.add.reduceat(dense[place[part]] * weight[part, None], starts, axis=0)
+
+
 @dataclass
 class Model:
     """Weight per subsequence, bias, and the calibration of (strongest, second strongest) to a probability."""
