@@ -171,7 +171,7 @@ def tiered_variants(fx):
 
 
 PLP_VALUES = ", ".join(f"('{d}', '{g}')" for d, panel in PLP_GENES.items() for g in panel)
-CLINVAR_SQL = f"""SELECT site_id, s.gene, disease, 'lp_p' AS impact, {SOURCE} AS source FROM g_site s
+CLINVAR_SQL = f"""SELECT site_id, panel_gene AS gene, disease, 'lp_p' AS impact, {SOURCE} AS source FROM g_site s
 JOIN (VALUES {PLP_VALUES}) AS d(disease, panel_gene) ON panel_gene = string_split(geneinfo, ':')[1]
 WHERE clnsig IN {PLP} AND clnrevstat IN {STARS}"""
 

@@ -33,15 +33,16 @@ def carrier_genes(df: DataFrame, genes: list[str] | None = None) -> DataFrame:
     return df.filter(F.col("gene").isin(genes or CARRIER_GENES))
 
 
-def burden(genotypes: DataFrame, tiers: DataFrame, key: list[str], na_as_zero: bool = False) -> DataFrame:
+def burden(genotypes: DataFrame, tiers: DataFrame, key: list[str], na_as_zero: bool = False, prune: bool = True) -> DataFrame:
     """ALT alleles per sample and (gene, disease, impact) set.
 
     ``tiers`` names the sets of each variant; a variant named twice in a set counts once. Samples without any row in
     a set are homozygous reference there and get no row. The burden is NULL if all calls of the set are missing.
+    ``prune=False`` is for calls that are narrowed to the variants already.
     """
     members, size = staged(tiers.select(*key, *SET).distinct(), "set-members")
     small = size <= BROADCAST_BYTES
-    calls = _narrowed(genotypes, members, key).select(*key, "sample_id", "alt_dosage")
+    calls = (_narrowed(genotypes, members, key) if prune else genotypes).select(*key, "sample_id", "alt_dosage")
     calls = lookup_join(calls, members, key, small=small)
     summed = calls.groupBy("sample_id", *SET).agg(
         F.coalesce(F.sum("alt_dosage"), F.lit(0)).cast("bigint").alias("burden"),

@@ -16,8 +16,9 @@ from allelio.functions.keys import _col, norm_contig, parse_interval
 from allelio.operators.joins import BROADCAST_BYTES, SALTS, lookup_join
 
 BIN_SIZE = 100_000
-PRUNE_REGIONS = 1_000
 PRUNE_SPAN = 1_000_000
+# Stretches that a list is summed up to before it reaches the driver; beyond it, one stretch per contig.
+PRUNE_STRETCHES = 8_192
 # Literal ranges are checked for every row that is read; more of them make the generated method too long to compile.
 MAX_RANGES = 24
 # Partition column of tables written by position: position in millions.
@@ -89,39 +90,51 @@ def merge_spans(rows: list[tuple[str, int, int]], at_most: int | None = None) ->
     return [tuple(x) for x in spans]
 
 
-def prune_to_regions(df: DataFrame, regions: DataFrame, max_regions: int = PRUNE_REGIONS) -> DataFrame:
+def _stretches(regions: DataFrame, span: int, most: int) -> list[tuple[str, int, int]]:
+    """What a region list covers, as one row per contig and ``span`` of starts: as many as the genome is long, not the list."""
+    ends = [F.min("start_pos").alias("start_pos"), F.max("end_pos").alias("end_pos")]
+    known = regions.filter("contig IS NOT NULL AND start_pos IS NOT NULL AND end_pos IS NOT NULL")
+    near = known.groupBy("contig", _bin(F.col("start_pos"), span).alias("_at")).agg(*ends)
+    rows = near.select("contig", "start_pos", "end_pos").limit(most + 1).collect()
+    if len(rows) > most:
+        rows = known.groupBy("contig").agg(*ends).limit(most + 1).collect()
+    return merge_spans([tuple(r) for r in rows]) if len(rows) <= most else []
+
+
+def prune_to_regions(df: DataFrame, regions: DataFrame, either_style: bool = False, span: int = PRUNE_SPAN, most: int = PRUNE_STRETCHES) -> DataFrame:
     """Narrow a scan to where a region list lies; exact filtering is left to ``filter_intervals``.
 
     A table written by position (``write_by_position``) is narrowed by its partitions, which costs nothing per row.
-    Any other table gets a few literal ranges, by which Parquet skips row groups if it is sorted. Lists above
-    ``max_regions`` are left out. Use it on columns as stored, before they are rewritten.
+    Any other table gets a few literal ranges, by which Parquet skips row groups if it is sorted. A list of any length is
+    first summed up to stretches of ``span`` bases, and to whole contigs' ranges if there are more than ``most`` of them;
+    only a list of more than ``most`` contigs narrows nothing. Use it on columns as stored, before they are rewritten; with
+    ``either_style`` contigs are found with and without ``chr``, whatever the list says.
     """
-    rows = regions.select("contig", "start_pos", "end_pos").distinct().limit(max_regions + 1).collect()
-    if not 0 < len(rows) <= max_regions:
+    if either_style:
+        regions = regions.withColumn("contig", norm_contig("contig"))
+    spans = _stretches(regions, span, most)
+    if not spans:
         return df
-    spans = merge_spans([tuple(r) for r in rows])
+
+    def on(contig: str) -> Column:
+        return F.col("contig").isin(contig, f"chr{contig}") if either_style else F.col("contig") == contig
+
     contigs = list(dict.fromkeys(c for c, _, _ in spans))
     if MB in df.columns:
         places = {c: sorted({m for d, s, e in spans if d == c for m in range(s // 10**6, e // 10**6 + 1)}) for c in contigs}
-        tests = [(F.col("contig") == c) & F.col(MB).isin(m) for c, m in places.items()]
+        tests = [on(c) & F.col(MB).isin(m) for c, m in places.items()]
     elif len(contigs) > MAX_RANGES:
-        return df.filter(F.col("contig").isin(contigs))
+        names = [n for c in contigs for n in ((c, f"chr{c}") if either_style else (c,))]
+        tests = [F.col("contig").isin(names) & F.col("pos").between(min(s for _, s, _ in spans), max(e for _, _, e in spans))]
     else:
         few = merge_spans(spans, MAX_RANGES)
-        tests = [(F.col("contig") == c) & (F.col("pos") >= s) & (F.col("pos") <= e) for c, s, e in few]
+        tests = [on(c) & (F.col("pos") >= s) & (F.col("pos") <= e) for c, s, e in few]
     return df.filter(reduce(lambda a, b: a | b, tests))
 
 
-def prune_to_variants(df: DataFrame, ids: DataFrame, span: int = PRUNE_SPAN) -> DataFrame:
-    """The same for a variant list: the stretches of the genome its variants lie in, one per ``span`` bases."""
-    stretches = ids.groupBy("contig", _bin(F.col("pos"), span)).agg(F.min("pos").alias("start_pos"), F.max("pos").alias("end_pos"))
-    return prune_to_regions(df, stretches)
-
-
-def both_contig_styles(regions: DataFrame) -> DataFrame:
-    """Regions under their contig names with and without ``chr``, for pruning a table of either style."""
-    names = F.explode(F.array(norm_contig("contig"), norm_contig("contig", "chr")))
-    return regions.withColumn("contig", names)
+def prune_to_variants(df: DataFrame, ids: DataFrame, either_style: bool = False) -> DataFrame:
+    """The same for a variant list: the stretches of the genome its variants lie in."""
+    return prune_to_regions(df, ids.select("contig", F.col("pos").alias("start_pos"), F.col("pos").alias("end_pos")), either_style)
 
 
 def pad_intervals(regions: DataFrame, pad: int = EXON_PAD) -> DataFrame:

@@ -70,6 +70,7 @@ def tiered_variants(
 def clinvar_by_disease(clinvar: DataFrame, rare: DataFrame | None = None, key: list[str] | None = None) -> DataFrame:
     """ClinVar variants per disease, by the first GENEINFO symbol or, without one, by the annotated gene.
 
+    ``gene`` of the result is the panel gene that matched, so a variant annotated for several genes makes one set per disease.
     With ``rare`` only variants in that key list are kept.
     """
     if rare is not None:
@@ -77,7 +78,8 @@ def clinvar_by_disease(clinvar: DataFrame, rare: DataFrame | None = None, key: l
     panel = disease_panel(clinvar.sparkSession).withColumnRenamed("gene", "_panel_gene")
     symbol = geneinfo_symbol("geneinfo") if "geneinfo" in clinvar.columns else F.lit(None).cast("string")
     named = clinvar.withColumn("_panel_gene", F.coalesce(symbol, F.col("gene")))
-    return named.join(F.broadcast(panel), "_panel_gene").drop("_panel_gene").withColumn("impact", F.lit("lp_p"))
+    matched = named.join(F.broadcast(panel), "_panel_gene")
+    return matched.withColumn("gene", F.col("_panel_gene")).drop("_panel_gene").withColumn("impact", F.lit("lp_p"))
 
 
 def id_lists(tiers: DataFrame, key: list[str], by: tuple[str, ...] = ("impact", "disease", "source")) -> DataFrame:

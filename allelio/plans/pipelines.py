@@ -1,4 +1,4 @@
-"""Whole analyses, composed of operators. Each is one lazy plan; ``run_cohort`` puts stage tables in between."""
+"""Whole analyses, composed of operators. Steps that measure or write a join side run jobs while the plan is built."""
 
 from __future__ import annotations
 
@@ -6,12 +6,13 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from allelio.config import EXON_PAD, RARE_AF, REVEL_CUTOFF, VARIANT_KEY
 from allelio.functions.fields import nan_to_null
 from allelio.functions.keys import alleles_key, canonical_gene, norm_contig, split_locus
 from allelio.operators import annotation, carriers, evidence, frequency, intervals, tiers
-from allelio.operators.joins import annotate, semi_join, stack, staged
+from allelio.operators.joins import annotate, first_by, lookup_join, semi_join, stack, staged
 from allelio.operators.normalise import normalise
 from allelio.sources.writers import export_ids, save_stage, write_tsv
 
@@ -57,10 +58,14 @@ def categorised_consequences(rows: DataFrame, **kw) -> DataFrame:
 
 
 def public_rare(public: DataFrame, cutoff: float | Column = RARE_AF, af: str = "joint_grpmax_AF") -> DataFrame:
-    """Flat public frequencies to rare variants with the cohort's key (contig without prefix)."""
+    """Flat public frequencies to rare variants with the cohort's key (contig without prefix).
+
+    ``alleles`` is JSON text or an array.
+    """
     rare = public.filter(nan_to_null(af) <= cutoff)
     locus = split_locus("locus")
-    alleles = F.split(alleles_key("alleles"), ":")
+    kinds = {f.name: f.dataType for f in public.schema}
+    alleles = F.col("alleles") if isinstance(kinds["alleles"], T.ArrayType) else F.split(alleles_key("alleles"), ":")
     extra = [c for c in public.columns if c not in ("locus", "alleles", af)]
     return rare.select(
         norm_contig(locus["contig"]).alias("contig"),
@@ -85,10 +90,10 @@ def variant_summary(combined: DataFrame, tiered: DataFrame, clinvar: DataFrame,
 
 
 def carrier_status(
-    genotypes: DataFrame, sets: DataFrame, samples: DataFrame, key: list[str], distinct_genes: bool = False
+    genotypes: DataFrame, sets: DataFrame, samples: DataFrame, key: list[str], distinct_genes: bool = False, prune: bool = True
 ) -> DataFrame:
     """Carrier counts of every cohort member; members without an ALT allele in any set have 0."""
-    burdens = carriers.burden(genotypes, sets, key)  # cut to the cohort last, when calls are already summed
+    burdens = carriers.burden(genotypes, sets, key, prune=prune)  # cut to the cohort last, when calls are already summed
     return carriers.with_cohort(carriers.carrier_counts(burdens, distinct_genes), samples, fill=0)
 
 
@@ -124,6 +129,20 @@ def plain_contigs(table: DataFrame | None) -> DataFrame | None:
     return None if table is None else table.withColumn("contig", norm_contig("contig"))
 
 
+def aligned(table: DataFrame, genome: DataFrame, chunk: int) -> DataFrame:
+    """The table under left-aligned keys: each of its indels is aligned once, and rows take the key of theirs.
+
+    Rows that were written as different indels, but are the same one, get equal keys.
+    """
+    key, places = VARIANT_KEY, ("pos", "ref", "alt")
+    indels = table.filter("length(ref) + length(alt) > 2").select(*key).distinct()
+    indels, _ = staged(indels.withColumns({f"written_{c}": F.col(c) for c in places}), "indels")
+    moved = normalise(indels, genome, chunk).filter("pos <> written_pos OR ref <> written_ref OR alt <> written_alt")
+    new = moved.select("contig", *[F.col(f"written_{c}").alias(c) for c in places], *[F.col(c).alias(f"aligned_{c}") for c in places])
+    found = lookup_join(table, new, key, "left", stage=True)
+    return found.withColumns({c: F.coalesce(f"aligned_{c}", c) for c in places}).select(*table.columns)
+
+
 def run_cohort(x: CohortInputs, stage_dir: str) -> dict[str, DataFrame]:
     """From annotated variants and calls to tiers, carrier counts and the variant summary.
 
@@ -134,14 +153,16 @@ def run_cohort(x: CohortInputs, stage_dir: str) -> dict[str, DataFrame]:
     regions = plain_contigs(x.regions)
     exons = plain_contigs(x.exons)
     # Narrow the scans first, on contigs as stored, then bring the names to one style and filter exactly.
-    either = intervals.both_contig_styles(x.regions)
-    rows = plain_contigs(intervals.prune_to_regions(x.rows, either))
-    calls = plain_contigs(intervals.prune_to_regions(x.genotypes, either))
+    rows = plain_contigs(intervals.prune_to_regions(x.rows, regions, either_style=True))
+    calls = plain_contigs(intervals.prune_to_regions(x.genotypes, regions, either_style=True))
     calls = intervals.filter_intervals(calls, regions, closed=True)
     inside = intervals.filter_intervals(rows, regions)
     if "filter" in inside.columns:  # only genome rows carry calls that failed
         inside = inside.filter(~F.col("source").eqNullSafe("wgs") | (F.col("filter") == "PASS"))
     clinvar, genome, annovar, intervar, revel = [plain_contigs(t) for t in (x.clinvar, x.genome, x.annovar, x.intervar, x.revel)]
+    if genome is not None:  # one way to write a variant in every table
+        calls = aligned(calls, genome, x.chunk)
+        clinvar, annovar, intervar, revel = [t if t is None else aligned(t, genome, x.chunk) for t in (clinvar, annovar, intervar, revel)]
     consequences = categorised_consequences(inside, clinvar=clinvar, genome=genome, chunk=x.chunk).select(
         "source",
         "category",
@@ -158,13 +179,16 @@ def run_cohort(x: CohortInputs, stage_dir: str) -> dict[str, DataFrame]:
     panel = regions.select(canonical_gene("gene").alias("gene"))
     consequences = save_stage(semi_join(consequences, panel, "gene"), stage_dir, "consequences")
 
-    counted, carried, by = calls, calls, ()
+    counted, by = calls, ()
     if "dataset" in calls.columns:
         counted = calls.filter(F.col("dataset").isin(*x.frequency_datasets))
-        carried = calls.filter(F.col("dataset") == x.carrier_dataset)
         by = ("dataset",)
     cohort = save_stage(frequency.cohort_popmax(counted, x.samples, key, by), stage_dir, "cohort_af")
-    public = save_stage(public_rare(x.public, x.rarity), stage_dir, "public_rare")
+    public = public_rare(x.public, x.rarity)
+    if genome is not None:  # of several rows that are the same variant, the most frequent one counts
+        commonest = aligned(public, genome, x.chunk).withColumn("_order", -F.col("max_value"))
+        public = first_by(commonest, key, ["_order"]).drop("_order")
+    public = save_stage(public, stage_dir, "public_rare")
 
     lof = evidence.lof_in_high_psi(consequences.filter(F.col("category") == "lof"), exons, pad=x.pad)
     missense = evidence.missense_supported(
@@ -177,6 +201,11 @@ def run_cohort(x: CohortInputs, stage_dir: str) -> dict[str, DataFrame]:
     sets = save_stage(stack([tiered.select(*cols), plp.select(*cols)]).distinct(), stage_dir, "sets")
 
     listed = sets if x.carrier_source is None else sets.filter(F.col("source") == x.carrier_source)
+    # Carriers need only the calls near listed variants. Calls that are still to be aligned may lie further right.
+    wanted = carriers.carrier_genes(listed)
+    carried = calls if genome is not None else plain_contigs(intervals.prune_to_variants(x.genotypes, wanted, either_style=True))
+    if "dataset" in carried.columns:
+        carried = carried.filter(F.col("dataset") == x.carrier_dataset)
     rare = frequency.rare(cohort, x.rarity)
     # Where gene regions overlap, a variant goes to the first of the genes that are counted.
     spans = regions.select(canonical_gene("gene").alias("genes_final"), "contig", "start_pos", "end_pos")
@@ -189,7 +218,7 @@ def run_cohort(x: CohortInputs, stage_dir: str) -> dict[str, DataFrame]:
         "public_rare": public,
         "rare_ids": frequency.rare_ids(rare, public, key),
         "sets": sets,
-        "carriers": carrier_status(carried, listed, x.samples, key),
+        "carriers": carrier_status(carried, wanted, x.samples, key, prune=False),
         "summary": variant_summary(placed, listed.filter(~is_plp), listed.filter(is_plp), key),
     }
 

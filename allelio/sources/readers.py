@@ -7,27 +7,31 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from allelio import schemas
+from allelio.functions.fields import flip_dosage
 from allelio.functions.keys import norm_contig, parse_interval
-from allelio.operators.intervals import prune_to_regions
+from allelio.operators.intervals import MB, prune_to_regions
 from allelio.operators.joins import lookup_join
 from allelio.sources.blocks import BgzfText, PlinkBed
 
 VCF_FIELDS = ["contig", "pos", "id", "ref", "alts", "qual", "filter", "info"]
 
 
-def _positional(spark: SparkSession, path: str, schema: str, regions: DataFrame | None) -> DataFrame:
+def _positional(spark: SparkSession, path: str, schema: str, regions: DataFrame | None, place: bool) -> DataFrame:
     wanted = T.StructType.fromDDL(schema).names
     table = spark.read.schema(schema).parquet(path)
     if regions is not None:
-        table = prune_to_regions(table, regions)
-    return table.select(*wanted)
+        table = prune_to_regions(table, regions, either_style=True)
+    return table.select(*wanted, *[c for c in (MB,) if place and c in table.columns])
 
 
 def read_sites(
-    spark: SparkSession, path: str, schema: str = schemas.SITES, regions: DataFrame | None = None
+    spark: SparkSession, path: str, schema: str = schemas.SITES, regions: DataFrame | None = None, place: bool = False
 ) -> DataFrame:
-    """Variant sites from Parquet. A short region list narrows the scan itself; exact filtering is ``filter_intervals``."""
-    return _positional(spark, path, schema, regions)
+    """Variant sites from Parquet. A region list narrows the scan itself; exact filtering is ``filter_intervals``.
+
+    ``place`` keeps the partition column of a table written by position, so that later steps can narrow the scan too.
+    """
+    return _positional(spark, path, schema, regions, place)
 
 
 def read_genotypes(
@@ -36,9 +40,10 @@ def read_genotypes(
     schema: str = schemas.GENOTYPES,
     datasets: list[str] | None = None,
     regions: DataFrame | None = None,
+    place: bool = False,
 ) -> DataFrame:
-    """Long sparse calls from Parquet partitioned by ``dataset``; unwanted datasets are not opened."""
-    calls = _positional(spark, path, schema, regions)
+    """Long sparse calls from Parquet partitioned by ``dataset``; unwanted datasets are not opened. ``place`` as for sites."""
+    calls = _positional(spark, path, schema, regions, place)
     return calls.filter(F.col("dataset").isin(datasets)) if datasets else calls
 
 
@@ -77,7 +82,8 @@ def read_tsv(
 ) -> DataFrame:
     """Tab-separated text with a header, columns taken by header name; text that is no number becomes NULL.
 
-    ``columns`` maps a header name to (column, type). Names with blanks, ``#`` or ``:`` are fine.
+    ``columns`` maps a header name to (column, type). Names with blanks, ``#`` or ``:`` are fine. Several files must have
+    one header: a file whose columns are named or ordered otherwise is refused when it is read.
     """
     if path.endswith(".bgz"):
         lines = read_lines(spark, path)
@@ -90,7 +96,7 @@ def read_tsv(
             ]
         )
         return _named(raw, columns, [])
-    raw = spark.read.csv(path, sep="\t", header=True, quote="", nullValue=null_value, emptyValue="")
+    raw = spark.read.csv(path, sep="\t", header=True, enforceSchema=False, quote="", nullValue=null_value, emptyValue="")
     return _named(raw, columns, [F.col("_metadata.file_path").alias("path")] if with_path else [])
 
 
@@ -113,12 +119,50 @@ def read_regions(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_raw(spark: SparkSession, path: str) -> DataFrame:
-    """Wide dosage table (six id columns, one column per variant) to ``sample_id, variant, dosage``."""
-    wide = spark.read.csv(path, sep="\t", header=True, nullValue="NA")
-    counted = wide.columns[6:]
-    return wide.unpivot(
-        [F.col("IID").alias("sample_id")], [F.col(f"`{c}`") for c in counted], "variant", "dosage"
-    ).select("sample_id", "variant", F.col("dosage").try_cast("int").alias("dosage"))
+    """Wide dosage table (six id columns, one column per variant) to ``sample_id, variant, dosage``.
+
+    Lines are cut into cells, so a table may have any number of columns; the header's names meet them by place. All files
+    of ``path`` must have the header of the first; a line of other length is refused.
+    """
+    lines = spark.read.text(path)
+    top = lines.first()
+    if top is None:
+        return spark.createDataFrame([], "sample_id string, variant string, dosage int")
+    names = top["value"].split("\t")
+    schema = "place int, variant string"
+    header = spark.createDataFrame([(i, n) for i, n in enumerate(names[6:])], schema)
+    cells = F.split("value", "\t")
+    rows = lines.filter((F.col("value") != top["value"]) & (F.col("value") != "")).select(
+        F.when(F.size(cells) == len(names), cells).otherwise(F.raise_error(F.lit(f"a line has not {len(names)} cells"))).alias("cells")
+    )
+    long = rows.select(
+        F.get("cells", F.lit(names.index("IID"))).alias("sample_id"),
+        F.posexplode(F.slice("cells", 7, max(0, len(names) - 6))).alias("place", "dosage"),
+    )
+    return lookup_join(long, header, "place").select("sample_id", "variant", F.col("dosage").try_cast("int").alias("dosage"))
+
+
+def dosage_calls(raw: DataFrame) -> DataFrame:
+    """``read_raw``'s rows as calls: ``contig, pos, ref, alt, sample_id, alt_dosage``.
+
+    A column ``1:100:A:G_G`` counts the allele behind the last ``_``; counts of REF are turned into counts of ALT. A dosage of
+    0 has no row, as in every call table, and a missing one is NULL. Columns that name no variant are refused.
+    """
+    parts = F.split(F.regexp_replace("variant", "_[^_]*$", ""), ":")
+    counted = F.regexp_extract("variant", "_([^_]*)$", 1)
+    rows = raw.select(
+        F.get(parts, F.lit(0)).alias("contig"),
+        F.get(parts, F.lit(1)).try_cast("bigint").alias("pos"),
+        F.get(parts, F.lit(2)).alias("ref"),
+        F.get(parts, F.lit(3)).alias("alt"),
+        "sample_id",
+        "dosage",
+        counted.alias("_counted"),
+        "variant",
+    )
+    wrong = F.raise_error(F.concat(F.lit("not a counted variant: "), F.col("variant")))
+    alt = F.when(F.col("_counted") == F.col("alt"), F.col("dosage")).when(F.col("_counted") == F.col("ref"), flip_dosage("dosage")).otherwise(wrong)
+    return rows.withColumn("alt_dosage", alt.cast("int")).filter("alt_dosage IS NULL OR alt_dosage > 0").drop("dosage", "_counted", "variant")
 
 
 def load_stage(spark: SparkSession, base: str, name: str) -> DataFrame:

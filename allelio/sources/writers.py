@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from allelio.functions.keys import contig_rank, variant_id
 from allelio.operators.intervals import MB
@@ -81,7 +82,9 @@ def write_vcf(
 
 
 def write_tsv(df: DataFrame, path: str, compression: str = "gzip", by: tuple[str, ...] = ()) -> None:
-    """Tab-separated text with header, NULL as ``.``; text is written as it is, without quoting."""
+    """Tab-separated text with header, NULL as ``.``; text is written as it is, without quoting, and nested values as JSON."""
+    nested = [f.name for f in df.schema if isinstance(f.dataType, T.ArrayType | T.StructType | T.MapType)]
+    df = df.withColumns({c: F.to_json(F.col(f"`{c}`")) for c in nested})
     writer = (balanced(df, *by) if by else df).write.mode("overwrite").partitionBy(*by)
     writer.csv(path, sep="\t", header=True, nullValue=".", quote="", escapeQuotes=False, emptyValue="", compression=compression)
 

@@ -180,7 +180,7 @@ def test_run_cohort(spark, tmp_path, rows):
     variant_rows = [
         ("chr2", 178_600_000, "r1", "A", ["G", "T"], "ANN=" + ann("G", "stop_gained", "TTN") + "," + ann("T", "synonymous_variant", "TTN")),
         ("chr2", 178_700_000, "r2", "A", ["G"], "ANN=" + ann("G", "stop_gained", "TTN")),  # no high-PSI exon
-        ("chr14", 23_400_000, "r3", "C", ["T"], "ANN=" + ann("T", "missense_variant", "MYH7") + ";GENEINFO=MYH7:4625;CLNSIG=Pathogenic;CLNREVSTAT=reviewed_by_expert_panel"),
+        ("chr14", 23_400_000, "r3", "C", ["T"], "ANN=" + ann("T", "missense_variant", "MYH7") + "," + ann("T", "missense_variant", "MYH6") + ";GENEINFO=MYH7:4625;CLNSIG=Pathogenic;CLNREVSTAT=reviewed_by_expert_panel"),
         ("chr9", 5, "r4", "C", ["T"], "ANN=" + ann("T", "stop_gained", "TTN")),  # outside the panel
     ]
     layout = "contig string, pos bigint, id string, ref string, alts array<string>, info string"
@@ -264,8 +264,16 @@ def test_region_lists_narrow_a_scan_without_losing_rows(spark, tmp_path):
             df.explain("formatted")
         assert shown in text.getvalue()
         assert df.count() == want
-    either = I.both_contig_styles(panel)
-    assert I.filter_intervals(I.prune_to_regions(sites, either), panel).count() == want
+    plain = panel.withColumn("contig", F.regexp_replace("contig", "^chr", ""))
+    for stored in ("by_position", "plain"):
+        assert I.filter_intervals(readers.read_sites(spark, str(tmp_path / stored), regions=plain), panel).count() == want
+    kept = readers.read_sites(spark, str(tmp_path / "by_position"), place=True)
+    assert "pos_mb" in kept.columns and I.filter_intervals(I.prune_to_regions(kept, plain, either_style=True), panel).count() == want
+    narrowed = I.prune_to_regions(spark.read.parquet(str(tmp_path / "plain")), plain, either_style=True)
+    text = io.StringIO()
+    with contextlib.redirect_stdout(text):
+        narrowed.explain("formatted")
+    assert "PushedFilters: [Or(" in text.getvalue() and "IN (X,chrX) AND (pos" in text.getvalue()
 
 
 def test_spans_are_merged_by_the_smallest_gap():
@@ -278,12 +286,43 @@ def test_spans_are_merged_by_the_smallest_gap():
     assert merge_spans(spans, 1) == [("a", 1, 40), ("b", 41, 50)]
 
 
-def test_site_wide_region_list_is_not_pushed(spark):
+def test_long_region_lists_still_narrow(spark):
     from allelio.operators.intervals import prune_to_regions
 
-    df = spark.range(10).selectExpr("'chr1' AS contig", "id AS pos")
-    many = spark.range(1001).selectExpr("'chr1' AS contig", "id * 10 AS start_pos", "id * 10 + 1 AS end_pos")
-    assert prune_to_regions(df, many) is df
+    df = spark.range(100_000, numPartitions=2).selectExpr("'chr1' AS contig", "id AS pos")
+    many = spark.range(5001).selectExpr("'chr1' AS contig", "1000 + id * 10 AS start_pos", "1000 + id * 10 + 1 AS end_pos")
+    want = set(range(1000, 51_002))
+    assert {r.pos for r in prune_to_regions(df, many).collect()} == want
+    assert {r.pos for r in prune_to_regions(df, many, span=100, most=50).collect()} == want
+    assert prune_to_regions(df, many.limit(0)) is df
+
+
+def test_one_key_for_indels_of_every_table(spark, tmp_path, rows):
+    def ann(alt):
+        return f"ANN={alt}|frameshift_variant|HIGH|TTN|E|transcript|NM|pc|1/2|c.1|p.1"
+
+    seq = "GATTTTTTC"
+    layout = "contig string, pos bigint, id string, ref string, alts array<string>, info string, source string, filter string"
+    empty = "contig string, pos bigint, ref string, alt string"
+    x = pipelines.CohortInputs(
+        rows=spark.createDataFrame([("chr2", 7, "r1", "TT", ["T"], ann("T"), "exome", "PASS")], layout),
+        genotypes=spark.createDataFrame([("chr2", 7, "TT", "T", "s1", 1), ("chr2", 5, "TT", "T", "s2", 1)], GENO),
+        samples=spark.createDataFrame([(f"s{i}", "eur") for i in range(1, 2001)], "sample_id string, ancestry string"),
+        regions=spark.createDataFrame([("TTN", "chr2", 1, 10)], "gene string, contig string, start_pos bigint, end_pos bigint"),
+        public=spark.createDataFrame([("chr2:6", '["TT","T"]', 1e-05)], "locus string, alleles string, joint_grpmax_AF double"),
+        exons=spark.createDataFrame([("chr2", 1, 10)], "contig string, start_pos bigint, end_pos bigint"),
+        annovar=spark.createDataFrame([], empty + ", revel_scalar string"),
+        intervar=spark.createDataFrame([], empty + ", intervar string"),
+        revel=spark.createDataFrame([], empty + ", revel_score string"),
+        genome=spark.createDataFrame([("chr2", i // 4, seq[i : i + 4]) for i in range(0, len(seq), 4)], "contig string, chunk_no bigint, seq string"),
+        chunk=4,
+    )
+    out = pipelines.run_cohort(x, str(tmp_path))
+    assert rows(out["sets"].select(*KEY, "gene", "disease", "impact")) == [("2", 2, "AT", "A", "TTN", "dcm", "lof")]
+    assert rows(out["public_rare"].select(*KEY)) == [("2", 2, "AT", "A")]
+    assert [(r.pos, r.max_value) for r in out["cohort_af"].collect()] == [(2, 2 / 4000)]
+    assert rows(out["carriers"].filter("n_lof_carriers = 1").select("sample_id")) == [("s1",), ("s2",)]
+    assert rows(out["summary"]) == [("TTN", 1, 0)]
 
 
 def test_consequences_are_aligned_after_alleles_met_their_annotation(spark):

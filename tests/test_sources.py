@@ -123,6 +123,37 @@ def test_regions_and_raw(spark, tmp_path, rows):
     assert got == [("s1", "chr1:5:A:G_A", 2), ("s1", "chr1:9:C:T_C", 1), ("s2", "chr1:5:A:G_A", None), ("s2", "chr1:9:C:T_C", 0)]
 
 
+def test_dosages_count_alt(spark, tmp_path, rows):
+    n = 25_000
+    head = "FID\tIID\tPAT\tMAT\tSEX\tPHENOTYPE\t" + "\t".join(f"1:{i}:A:G_{'AG'[i % 2]}" for i in range(n))
+    (tmp_path / "g.raw").write_text(head + "\n" + "0\ts1\t0\t0\t1\t-9" + "\t2" * (n - 1) + "\tNA\n")
+    raw = readers.read_raw(spark, str(tmp_path / "g.raw"))
+    assert raw.count() == n
+    got = {r.pos: r.alt_dosage for r in readers.dosage_calls(raw).collect()}
+    assert got == {i: 2 for i in range(1, n - 1, 2)} | {n - 1: None}  # two of REF are none of ALT
+    odd = spark.createDataFrame([("s", "rs1_C", 1)], "sample_id string, variant string, dosage int")
+    with pytest.raises(Exception, match="not a counted variant"):
+        readers.dosage_calls(odd).collect()
+
+
+def test_files_with_other_headers_are_refused(spark, tmp_path):
+    (tmp_path / "a.tsv").write_text("ID\tFREQ\nx\t0.1\n")
+    (tmp_path / "b.tsv").write_text("FREQ\tID\n0.2\ty\n")
+    columns = {"ID": ("id", "string"), "FREQ": ("freq", "double")}
+    assert readers.read_tsv(spark, str(tmp_path / "a.tsv"), columns).collect()[0].freq == 0.1
+    with pytest.raises(Exception, match="(?i)header"):
+        readers.read_glob(spark, str(tmp_path), "*.tsv", columns).collect()
+
+
+def test_arrays_go_through_text(spark, tmp_path, rows):
+    from allelio.plans.pipelines import public_rare
+
+    flat = spark.createDataFrame([("chr1:5", ["A", "G"], 0.0005), ("chr1:6", ["A", "T"], 0.5)], "locus string, alleles array<string>, joint_grpmax_AF double")
+    writers.write_tsv(flat, str(tmp_path / "flat"))
+    read = readers.read_tsv(spark, str(tmp_path / "flat"), schemas.PUBLIC_TSV)
+    assert rows(public_rare(read)) == rows(public_rare(flat)) == [("1", 5, "A", "G", 0.0005)]
+
+
 def _bed(codes: np.ndarray) -> bytes:
     n_variants, n_samples = codes.shape
     padded = np.zeros((n_variants, (n_samples + 3) // 4 * 4), dtype=np.uint8)
