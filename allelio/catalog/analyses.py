@@ -266,7 +266,7 @@ INDEL_SQL = " UNION ALL ".join(
 
 
 def _genome_and_variants(fx):
-    genome = fx.view("g_genome").filter(F.length("seq") >= 8).repartition("contig")
+    genome = fx.view("g_genome").repartition("contig")
     chunks = genome.select(
         "contig",
         F.explode(
@@ -278,7 +278,7 @@ def _genome_and_variants(fx):
     ).select("contig", "c.*")
     placed = genome.select(
         "contig",
-        F.explode(F.expr("transform(sequence(3, length(seq) - 5, 199), p -> struct(CAST(p AS BIGINT) AS p, substring(seq, p - 2, 7) AS ctx))")).alias("c"),
+        F.explode(F.expr("CASE WHEN length(seq) >= 8 THEN transform(sequence(3, length(seq) - 5, 199), p -> struct(CAST(p AS BIGINT) AS p, substring(seq, p - 2, 7) AS ctx)) END")).alias("c"),
     ).select("contig", "c.*")
     alleles = F.array(
         *[F.struct(F.lit(name).alias("name"), F.expr(ref).alias("ref"), F.expr(alt).alias("alt")) for name, ref, alt in INDELS]
@@ -291,7 +291,7 @@ def _genome_and_variants(fx):
 
 LEFT_ALIGN_SQL = f"""
 placed AS (SELECT contig, CAST(p AS BIGINT) AS p, substr(seq, CAST(p AS INT) - 2, 7) AS ctx FROM (
- SELECT contig, seq, unnest(generate_series(3, length(seq) - 5, 199)) AS p FROM g_genome WHERE length(seq) >= 8)),
+ SELECT contig, seq, unnest(generate_series(3, length(seq) - 5, 199)) AS p FROM g_genome)),
 v AS ({INDEL_SQL}),
 step(row_id, contig, pos, ref, alt, done) AS (
  SELECT row_id, contig, pos, ref, alt, ref = alt FROM v
