@@ -4,7 +4,8 @@ Slots are numbered; slot ``t`` gets the point ``frac(t * golden ratio)``, and th
 per source, so a source's slots are spread as evenly as a sequence can and their number stays within a few slots of its
 target after any number of slots. A source's documents, in an order shuffled by a hash of their content, form one stream of
 words that is cut into blocks of equal size; the source's k-th slot takes its k-th block, from the start again after the
-last. The last block of a source is cut at the target.
+last. The last block of a source is cut at the target. Blocks that a source still lacks when the slots end, as one below a block
+beside millions of words does, are dealt in closing slots.
 
 Ranks of slots within a source and places of documents within its stream are running sums in two steps, over chunks and
 within a chunk, so no source is ever in one task.
@@ -60,8 +61,8 @@ def targets(sizes: DataFrame, share: float = SHARE, most: int = MOST, weights: t
 def schedule(goals: DataFrame, block: int = BLOCK) -> DataFrame:
     """``slot, no, rank``: which source each slot takes and how many slots that source had before.
 
-    ``goals`` is the written result of ``targets``. There are a few slots more than the targets need, so that each source gets
-    its last block; ranks beyond a target are left out.
+    ``goals`` is the written result of ``targets``. There are a few slots more than the targets need; ranks beyond a target are left
+    out, and ranks below it that got no slot follow in closing slots, source by source, so each source gets its last block.
     """
     spark = goals.sparkSession
     ordered = Window.orderBy("no").rowsBetween(Window.unboundedPreceding, 0)
@@ -83,14 +84,23 @@ def schedule(goals: DataFrame, block: int = BLOCK) -> DataFrame:
     points = spark.range(slots).select(F.col("id").alias("slot"), point.alias("point"), F.floor(point * CELLS).alias("cell"))
     placed = lookup_join(points, cells, "cell", where=(F.col("l.point") >= F.col("r.low")) & (F.col("l.point") < F.col("r.high")), stage=True)
     chunked = placed.select("slot", "no", "target", "source_size", F.floor(F.col("slot") / CHUNK).alias("chunk"))
-    in_chunk = chunked.groupBy("no", "chunk").agg(F.count(F.lit(1)).alias("n"))
+    in_chunk = stage(chunked.groupBy("no", "chunk").agg(F.count(F.lit(1)).alias("n")), "chunks")
     earlier = Window.partitionBy("no").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = in_chunk.select("no", "chunk", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset"))
     numbered = chunked.withColumn("within", F.row_number().over(Window.partitionBy("no", "chunk").orderBy("slot")) - 1)
     ranked = lookup_join(numbered, offsets, ["no", "chunk"], stage=True).withColumn("rank", (F.col("offset") + F.col("within")).cast("long"))
     blocks = F.ceil(F.col("source_size") / block)
     words_before = F.floor(F.col("rank") / blocks) * F.col("source_size") + (F.col("rank") % blocks) * block
-    return ranked.filter(words_before < F.col("target")).select("slot", "no", "rank")
+    dealt = ranked.filter(words_before < F.col("target")).select("slot", "no", "rank")
+    # Ranks up to the target's last block, and how many of them had a slot; one row per source.
+    turns = F.floor(F.col("target") / F.col("source_size"))
+    ranks = turns * blocks + F.ceil((F.col("target") - turns * F.col("source_size")) / block)
+    drawn = in_chunk.groupBy("no").agg(F.sum("n").alias("drawn"))
+    lacking = cut.select("no", ranks.cast("long").alias("ranks")).join(drawn, "no", "left").withColumn("drawn", F.coalesce("drawn", F.lit(0)))
+    lacking = lacking.filter("drawn < ranks").withColumn("n", F.col("ranks") - F.col("drawn"))
+    lacking = lacking.withColumn("slot", F.sum("n").over(ordered) - F.col("n") + slots)
+    closing = lacking.select("slot", "no", "drawn", F.explode(F.sequence("drawn", F.col("ranks") - 1)).alias("rank"))
+    return dealt.unionByName(closing.select((F.col("slot") + F.col("rank") - F.col("drawn")).alias("slot"), "no", "rank"))
 
 
 def streams(items: DataFrame) -> DataFrame:

@@ -50,6 +50,28 @@ def test_schedule_is_even(spark):
     assert seen[2] == 2 * math.ceil(50_000 / 256)
 
 
+def test_tiny_sources_beside_large_ones_get_all_their_ranks(spark):
+    sizes = {0: 5_000_000, 1: 3_000_000, 2: 2_000_000} | {no: size for no, size in enumerate([1, 40, 40, 40, 100, 100, 200, 300], 3)}
+    target = {no: float(size if no < 3 else 2 * size) for no, size in sizes.items()}
+    goals = spark.createDataFrame([(str(no), no, size, target[no]) for no, size in sizes.items()], "source string, no int, source_size long, target double")
+    rows = mixing.schedule(goals).orderBy("slot").collect()
+    assert len({r["slot"] for r in rows}) == len(rows)
+    seen = dict.fromkeys(sizes, 0)
+    for r in rows:
+        assert r["rank"] == seen[r["no"]]
+        seen[r["no"]] += 1
+    assert seen == {no: math.ceil(size / 256) * (1 if no < 3 else 2) for no, size in sizes.items()}
+
+
+def test_mix_takes_a_tiny_source_whole(spark):
+    text = F.when(F.col("id") < 6, F.expr("repeat('tiny ', 40)")).otherwise(F.expr("repeat('w ', 1000)"))
+    source = F.when(F.col("id") < 6, F.concat(F.lit("t"), "id")).otherwise(F.concat(F.lit("a"), F.expr("id % 3")))
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), text.alias("text"), F.lit("en").alias("lang"), source.alias("source"), F.length(text).cast("long").alias("n_chars"))
+    taken = [(r["taken"], r["target"]) for r in mixing.mix(docs).filter("doc_id < 6").collect()]
+    assert taken == [(80, 80.0)] * 6
+    assert mixing.apply(docs).filter("doc_id < 6").count() == 12
+
+
 def documents(seed=1, n=300):
     rnd = random.Random(seed)
     rows = [(i, " ".join(["w"] * rnd.choice([0, 1, 5, 100, 257, 900])), "en", rnd.choice(["hot"] * 6 + ["a", "b", None, "é"]), 3) for i in range(n)]
