@@ -177,7 +177,10 @@ class Scanner:
                 new = min(long, end - till, k - upto)
                 if new > 0 and (covered + new, begin) > (best[3], best[0]):
                     best = (begin, end, k, covered + new)
-            # Of chains that end at one place of the template the one that covers most is enough.
+            # Of chains that end at one place of the template the one that covers most goes on; one that covers no more is done.
+            for chain in open_:
+                if chain[2] == k and chain[3] <= best[3]:
+                    self._close(t, chain)
             self.chains[t] = [c for c in open_ if c[2] != k or c[3] > best[3]] + [best]
 
     def _close(self, t: int, chain: tuple[int, int, int, int]) -> None:

@@ -65,6 +65,23 @@ def test_spans():
     assert licenses.scan_text(b"we are permitted to use this file and the copyright of this work is subject to the terms of use")[5] == ""
 
 
+@pytest.mark.parametrize("between", ["\n", " some words between ", " x" * licenses.GAP + " "])
+def test_repeated_templates_are_spans_of_their_own(between):
+    for label, text in licenses.TEMPLATES:
+        n, gap = len(WORD.findall(text.lower())), len(WORD.findall(between))
+        found = licenses.scan_text(between.join([text] * 50).encode())[7]
+        assert [tuple(s.values()) for s in found if s["label"] == label] == [(label, at * (n + gap), at * (n + gap) + n, 1.0) for at in range(50)], label
+
+
+def test_repeated_changed_templates_are_spans_of_their_own():
+    text = dict(licenses.TEMPLATES)["bsd"]
+    words = text.split()
+    changed = " ".join(words[:10] + ["oddly"] + words[10:])
+    found = licenses.scan_text("\n".join([changed] * 20).encode())[7]
+    n = len(WORD.findall(changed.lower()))
+    assert [(s["first"], s["after"]) for s in found if s["label"] == "bsd"] == [(at * n, at * n + n) for at in range(20)]
+
+
 def test_rows(spark, rows):
     texts = [None, "", "cc by", "CC BY all rights reserved " * 3000, " ".join(t for _, t in licenses.TEMPLATES) * 50]
     docs = spark.createDataFrame([*enumerate(texts), (None, "cc by"), (2, "cc by")], "doc_id long, text string").selectExpr("*", "'x' as labels", "1 as score")
