@@ -5,8 +5,8 @@ tossing gives every name a label below six from the names just before it, and a
 the labels. A phrase's name is a hash of its members, so the next round works on a sequence at most half as long. Cuts depend
 only on a few names around them: equal substrings of two texts have equal phrases but near their ends, wherever they lie.
 
-The fingerprint keeps the ``KEPT`` smallest hashes of the names of all phrases, at all heights, of at least ``SPAN`` code points,
-and that of the whole text; likeness is the share of common names that those of two texts let estimate.
+The fingerprint keeps the hashes of the names of all phrases, at all heights, of at least ``SPAN`` code points, and that of the
+whole text, so it grows with the text; likeness is the share of names that two texts have in common.
 
 Many texts are parsed side by side in arrays; a text's phrases do not depend on the texts beside it.
 """
@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from allelio.llm.common import raw
 
-#: Code points of the shortest phrase that a fingerprint uses; names kept; hexadecimal digits of a name.
-SPAN, KEPT, DIGITS = 8, 32, 8
+#: Code points of the shortest phrase that a fingerprint uses; hexadecimal digits of a name.
+SPAN, DIGITS = 8, 8
 #: Code points parsed side by side; rounds of coin tossing from 64-bit names to labels below six.
 BATCH, TOSSES = 1 << 20, 4
 #: Ranges of documents per shuffle partition.
@@ -112,7 +112,7 @@ def rounds(points: np.ndarray, text: np.ndarray) -> Iterator[tuple[np.ndarray, n
         names, spans, text = names[~whole], spans[~whole], text[~whole]
 
 
-def _sketches(texts: list[str]) -> list[str]:
+def _signatures(texts: list[str]) -> list[np.ndarray]:
     points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
     number = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
     found, of = [np.zeros(0, _U)], [np.zeros(0, np.int64)]
@@ -123,28 +123,43 @@ def _sketches(texts: list[str]) -> list[str]:
     # Text number and name in one key: a name has half of the bits.
     keys = np.unique((np.concatenate(of).astype(_U) << _U(4 * DIGITS)) | np.concatenate(found))
     owner = (keys >> _U(4 * DIGITS)).astype(np.int64)
-    start = np.searchsorted(owner, np.arange(len(texts) + 1))
-    names = (keys & _U((1 << 4 * DIGITS) - 1)).tolist()
-    return ["".join(f"{n:0{DIGITS}x}" for n in names[a : min(b, a + KEPT)]) for a, b in zip(start[:-1], start[1:])]
+    names = (keys & _U((1 << 4 * DIGITS) - 1)).astype(np.uint32)
+    return np.split(names, np.searchsorted(owner, np.arange(1, len(texts))))
 
 
-def fingerprints(texts: list[str], batch: int = BATCH) -> list[str]:
-    """Fingerprints of texts, ``batch`` code points side by side; that of an empty text is empty."""
+def signatures(texts: list[str], batch: int = BATCH) -> list[np.ndarray]:
+    """Distinct names of each text's phrases, ascending, ``batch`` code points side by side; none for an empty text."""
     out, some, held = [], [], 0
     for t in texts:
         some.append(t)
         held += len(t)
         if held >= batch:
-            out += _sketches(some)
+            out += _signatures(some)
             some, held = [], 0
-    return out + (_sketches(some) if some else [])
+    return out + (_signatures(some) if some else [])
+
+
+def digits(names: np.ndarray) -> str:
+    """A signature as hexadecimal digits, ``DIGITS`` a name."""
+    return names.astype(">u4").tobytes().hex()
+
+
+def fingerprints(texts: list[str], batch: int = BATCH) -> list[str]:
+    """The signatures of texts as hexadecimal digits; that of an empty text is empty."""
+    return [digits(names) for names in signatures(texts, batch)]
+
+
+def common(a: np.ndarray, b: np.ndarray) -> float:
+    """Share of the names of two signatures that are in both. Two empty ones are alike."""
+    # A stable sort merges the two ascending runs.
+    names = np.sort(np.concatenate((a, b)), kind="stable")
+    both = int(np.count_nonzero(names[1:] == names[:-1]))
+    return both / (len(a) + len(b) - both) if len(a) + len(b) else 1.0
 
 
 def likeness(a: str, b: str) -> float:
-    """Estimated share of common phrases: of the smallest names of both together, those in both. Two empty ones are alike."""
-    left, right = ({f[i : i + DIGITS] for i in range(0, len(f), DIGITS)} for f in (a, b))
-    both = sorted(left | right)[:KEPT]
-    return sum(n in left and n in right for n in both) / len(both) if both else 1.0
+    """``common`` of two fingerprints."""
+    return common(*(np.frombuffer(bytes.fromhex(f), ">u4").astype(np.uint32) for f in (a, b)))
 
 
 def edited(text: str, after: str) -> str:
@@ -196,16 +211,16 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = [t for _, t in held]
         following = [*texts[1:], after]
         changed = [edited(t, a) for t, a in zip(texts, following)]
-        prints = fingerprints([*texts, after, *changed])
+        prints = signatures([*texts, after, *changed])
         own, other = prints[: len(texts) + 1], prints[len(texts) + 1 :]
         columns = [
             pa.array([i for i, _ in held], pa.int64()),
             pa.array([len(t) for t in texts], pa.int64()),
             pa.array([hashlib.sha256(c.encode("utf-8", "surrogatepass")).hexdigest() for c in changed], pa.string()),
-            pa.array(own[:-1], pa.string()),
-            pa.array(other, pa.string()),
-            pa.array([likeness(a, b) for a, b in zip(own, other)], pa.float64()),
-            pa.array([likeness(a, b) for a, b in zip(own, own[1:])], pa.float64()),
+            pa.array([digits(a) for a in own[:-1]], pa.string()),
+            pa.array([digits(b) for b in other], pa.string()),
+            pa.array([common(a, b) for a, b in zip(own, other)], pa.float64()),
+            pa.array([common(a, b) for a, b in zip(own, own[1:])], pa.float64()),
         ]
         names = [part.split()[0] for part in RESULT.split(", ")]
         return pa.RecordBatch.from_arrays(columns, names)

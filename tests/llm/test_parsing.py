@@ -55,6 +55,25 @@ def test_texts_do_not_depend_on_their_neighbours():
     assert all((f == "") == (t == "") for t, f in zip(texts, parsing.fingerprints(texts)))
 
 
+def test_likeness_is_exact_for_texts_of_any_length():
+    rnd = random.Random(6)
+    words = lambda n: " ".join("".join(rnd.choice("abcdefghijklmnop") for _ in range(7)) for _ in range(n))
+
+    def by_hand(text):
+        levels = phrases(text)
+        return {(h, name) for h, level in enumerate(levels) for _, size, name in level if size >= parsing.SPAN or len(level) == 1}
+
+    for n in (2_000, 20_000):
+        for _ in range(4):
+            passage = words(60)
+            a, b = (words(n) + " " + passage + " " + words(n) for _ in range(2))
+            left, right = by_hand(a), by_hand(b)
+            want = len(left & right) / len(left | right)
+            assert want > 4e-4
+            # Names have 32 bits, so a few of them may meet by chance.
+            assert parsing.likeness(*parsing.fingerprints([a, b])) == pytest.approx(want, abs=1e-4)
+
+
 def test_rows(spark, rows):
     rnd = random.Random(2)
     text = lambda: " ".join(rnd.choice(["alpha", "beta", "gamma", "dé", "𝄞"]) + str(rnd.randint(0, 99)) for _ in range(rnd.choice([0, 1, 5, 60, 400])))
