@@ -118,11 +118,15 @@ def _products(words: list[str], used: np.ndarray, dense: np.ndarray, out: np.nda
 
 @dataclass
 class Model:
-    """Weight per subsequence, bias, and the calibration of (strongest, second strongest) to a probability."""
+    """Weight per subsequence, bias, and the calibration of (strongest, second strongest) to a probability.
+
+    A model that is not ``fitted`` gives every text one score.
+    """
 
     weights: np.ndarray
     bias: float
     calibration: tuple[float, float, float]
+    fitted: bool = True
 
     def margins(self, words: list[str]) -> np.ndarray:
         out = np.zeros(len(words))
@@ -191,8 +195,12 @@ def _evidence(toxic_in: np.ndarray, clean_in: np.ndarray, toxic: int, clean: int
 
 
 def _landmarks(vocabulary: list[str], evidence: np.ndarray, clean_in: np.ndarray) -> tuple[list[int], list[int]]:
-    """Words surely commoner in toxic documents, each unlike those before it; clean words most like them; common words."""
-    pool = [i for i in np.lexsort((np.arange(len(vocabulary)), -evidence))[: 3 * LANDMARKS] if evidence[i] >= CERTAIN]
+    """Words surely commoner in toxic documents, each unlike those before it; clean words most like them; common words.
+
+    If no word is surely commoner, those that are commoner at all stand in.
+    """
+    ranked = np.lexsort((np.arange(len(vocabulary)), -evidence))[: 3 * LANDMARKS]
+    pool = [i for i in ranked if evidence[i] >= CERTAIN] or [i for i in ranked if evidence[i] > 0]
     names = [vocabulary[i] for i in pool]
     alike = kernel(names, names)
     chosen: list[int] = []
@@ -208,8 +216,12 @@ def _landmarks(vocabulary: list[str], evidence: np.ndarray, clean_in: np.ndarray
 
 
 def fit(documents: list[list[list[str]]], y: np.ndarray, turns: int = 3) -> Model:
-    """Train on documents given as sentences of words; with one class only, every score is near that class."""
-    constant = Model(np.zeros(ALPHABET**3), 0.0, (0.0, 0.0, 4.0 if len(y) and y[0] > 0 else -4.0 if len(y) else 0.0))
+    """Train on documents given as sentences of words; with one class only, every score is near that class.
+
+    If no word at all is commoner in toxic documents, every score is the share of toxic ones.
+    """
+    toxic_share = np.clip((y > 0).mean() if len(y) else 0.5, 0.018, 0.982)
+    constant = Model(np.zeros(ALPHABET**3), 0.0, (0.0, 0.0, float(np.log(toxic_share / (1 - toxic_share)))), False)
     if len(set(y.tolist())) < 2:
         return constant
     number: dict[str, int] = {}
@@ -229,7 +241,7 @@ def fit(documents: list[list[list[str]]], y: np.ndarray, turns: int = 3) -> Mode
     row, code, value = profiles(landmarks)
     root = vectors[:, use] / np.sqrt(values[use])
     # Evidence ranks the words of a toxic document before there is a machine to do it.
-    merit, least = evidence, CERTAIN
+    merit, least = evidence, CERTAIN if evidence.max() >= CERTAIN else 0.0
     negative = np.flatnonzero(clean_in > 0)
     usual = negative[np.lexsort((negative, -clean_in[negative]))][:4_000]
     model = constant

@@ -20,8 +20,13 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity classifier does not mark; it learns from the labels of the documents given."""
+    """Documents that the toxicity classifier does not mark; it learns from the labels of the documents given.
+
+    Labels that give no model, as those of one class only, remove no document.
+    """
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    if not model.fitted:
+        return docs
     return docs.filter(toxicity.score(docs, model) < 0.5)
 
 

@@ -3,6 +3,7 @@
 import zlib
 from itertools import combinations
 
+import corpus_pipeline
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -91,3 +92,36 @@ def test_odd_rows(spark, module, label):
     assert len({r["score"] for r in got if r["doc_id"] == 0 and r["score"] is not None}) >= 1
     assert module.classify(docs.limit(0), labels).count() == 0
     assert {r["score"] for r in module.classify(docs, labels.limit(0)).collect()} == {0.5}
+
+
+def skewed(insults):
+    """Clean texts with an insult in the first few."""
+    rnd = np.random.default_rng(5)
+    usual = ["".join(rnd.choice(list("etaoinsrhl"), 6)) for _ in range(300)]
+    texts = [" ".join(rnd.choice(usual, 30)) for _ in range(1500 + len(insults))]
+    return [f"{t} {i}" for t, i in zip(texts, insults)] + texts[len(insults) :]
+
+
+@pytest.mark.parametrize("toxic_first", [True, False])
+def test_few_toxic_documents_are_told_from_the_clean_ones(toxic_first):
+    texts = skewed(["zuckwump", "vixbog", "jumpquaff", "gymkvex", "dwyfumb"])
+    y = np.r_[np.ones(5), np.zeros(len(texts) - 5)]
+    if not toxic_first:
+        texts, y = texts[::-1], y[::-1]
+    model = toxicity.fit([toxicity.sentences(t) for t in texts], y)
+    marked = toxicity.Scorer(model).scores(texts) >= 0.5
+    assert model.fitted and marked[y > 0].all() and marked[y <= 0].mean() < 0.02
+
+
+@pytest.mark.parametrize("order", [1, -1])
+def test_no_telling_word_gives_the_share_of_toxic_documents(order):
+    model = toxicity.fit([[], [["some", "words"]], [["more", "words"]], [["words"]]][::order], np.array([1.0, 0, 0, 0])[::order])
+    assert not model.fitted
+    assert toxicity.Scorer(model).scores(["some words", ""]) == pytest.approx([0.25, 0.25])
+
+
+@pytest.mark.parametrize("toxic", [[], [0, 0], [1, 1], [0, None]])
+def test_labels_that_give_no_model_remove_no_document(spark, tmp_path, toxic):
+    docs = spark.createDataFrame([(0, "some words"), (1, "more words"), (2, None)], "doc_id long, text string")
+    spark.createDataFrame(list(enumerate(toxic)), "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    assert corpus_pipeline.drop_toxic(spark, docs, str(tmp_path)).count() == 3
