@@ -77,8 +77,8 @@ def held_out(doc_id: str, mod: int, rest: int) -> Column:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, kept: Column, per_class: int) -> DataFrame:
     """``doc_id, text, label`` (0/1) of at most ``per_class`` labelled documents of either class.
 
-    Only label rows where ``kept`` holds are read. Rows of one id count as their rounded mean label; null labels and ids are
-    left out. The choice follows a hash of the id, so it is the same in every run. The ids chosen are bounded by
+    Only label rows where ``kept`` holds and whose id is one of ``docs`` are read, so a class has ``per_class`` documents if that
+    many are there. Rows of one id count as their rounded mean label; null labels and ids are left out. The choice follows a hash of the id, so it is the same in every run. The ids chosen are bounded by
     ``per_class``, so they may be broadcast; documents stay where they are.
     """
     known = (
@@ -86,6 +86,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, kept: Column
         .groupBy("doc_id")
         .agg((F.avg(F.col(label).cast("double")) >= 0.5).cast("int").alias("label"))
     )
+    known = stage(known.join(docs.select("doc_id"), "doc_id", "left_semi"), "known")
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     classes = [known.filter(F.col("label") == c).orderBy(*order).limit(per_class) for c in (0, 1)]
     chosen = stage(classes[0].unionByName(classes[1]), "labelled")

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from allelio.llm import quality, toxicity
+from allelio.llm import common, quality, toxicity
 
 SF = "/root/testdata/sf0.01"
 
@@ -125,3 +125,11 @@ def test_labels_that_give_no_model_remove_no_document(spark, tmp_path, toxic):
     docs = spark.createDataFrame([(0, "some words"), (1, "more words"), (2, None)], "doc_id long, text string")
     spark.createDataFrame(list(enumerate(toxic)), "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     assert corpus_pipeline.drop_toxic(spark, docs, str(tmp_path)).count() == 3
+
+
+@pytest.mark.parametrize("label", ["quality", "toxic"])
+def test_sample_is_of_labelled_documents_that_are_there(spark, label):
+    docs = spark.range(0, 400, 10).select(F.col("id").alias("doc_id"), F.lit("text").alias("text"))
+    labels = spark.range(400).select(F.col("id").alias("doc_id"), F.expr("cast(id div 10 % 2 as int)").alias(label))
+    got = common.labelled_sample(docs, labels, label, F.lit(True), 15).collect()
+    assert [sum(r["label"] == c for r in got) for c in (0, 1)] == [15, 15]
