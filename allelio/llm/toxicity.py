@@ -2,14 +2,14 @@
 
 Two words are alike as far as they share subsequences of three signs; a subsequence that spans more places counts less. So
 ``id-i*ot`` stays near ``idiot``, and unseen endings of an insult's stem stay near the endings seen. Signs that are neither
-letters nor digits are gaps, and the start of a word is a sign too. Landmarks are words of the training sentences; the kernel between landmarks, inverted, turns
+letters nor digits are gaps, and the start of a word is a sign too. Landmarks are words of the training documents; the kernel between landmarks, inverted, turns
 kernel values into features (Nyström), and a linear machine separates them. Labels belong to documents, of which only some
-sentences are at fault, so the machine is trained on sentences in turns: in each labelled document that is toxic the sentences
-with the strongest words so far are the positive ones, and all sentences of the clean documents are negative.
+words are at fault, so the machine is trained on single words in turns: in each labelled document that is toxic the two strongest
+words so far are positive, and at most 4,000 common and 2,000 most alike words of the clean documents are negative.
 
 Since kernel, Nyström map and machine are all linear in a word's subsequences, a fitted model is one weight per
-subsequence. A document's score comes from its strongest sentence and the strongest word beside the first, as calibrated on
-training documents.
+subsequence. A document's score comes from its two strongest words, as calibrated on training documents. Sentences and the order
+of words do not enter: a phrase that is toxic only as a whole, of words common in clean texts, is not seen.
 """
 
 from __future__ import annotations
