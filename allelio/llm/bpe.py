@@ -522,8 +522,9 @@ def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Encode every text and decode the ids again; one row per row of ``docs``.
 
     Columns: ``doc_id, n_tokens, ids_sha256`` (of the ids as little-endian unsigned 32-bit integers) and ``decoded_sha256``
-    (of the decoded text). Both directions run piece by piece, so ids and decoded text are never whole beside the
-    text. A null or empty text has no tokens and the digests of nothing. Other columns are not read; repeated
+    (of the decoded text). Texts over ``STREAMED`` characters run piece by piece in both directions, so ids and decoded text are
+    never whole beside the text. The ids of other texts are whole: their words are looked up and merged together with those of
+    other texts, except in texts with double or final spaces or an added token, which pass the streaming encoder. A null or empty text has no tokens and the digests of nothing. Other columns are not read; repeated
     rows and null ids are kept as they are.
     """
     shared = _shared(docs.sparkSession, path)
