@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from allelio.llm import ann, bpe, licenses, mixing, parsing, quality, simhash, toxicity, training_order, warc
+from allelio.llm import ann, bpe, licenses, minhash, mixing, parsing, quality, simhash, toxicity, training_order, warc
 from allelio.llm.common import table
 
 
@@ -53,6 +53,10 @@ def quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def similar_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_licenses": license_scan,
     "op2_simhash": near_duplicates,
@@ -64,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe_round_trip": bpe_round_trip,
     "op9_neighbours": neighbours,
     "op10_quality": quality_scores,
+    "op13_minhash": similar_documents,
 }
 
 #: DuckDB SQL with the same rows, where SQL can state the method.
