@@ -159,31 +159,27 @@ def meetings(nodes: DataFrame) -> DataFrame:
 # --- Sorted rows, group by group ----------------------------------------------
 
 
-def _groups(batches: Iterator[pa.RecordBatch], by: list[str], most: int | None = None) -> Iterator[pa.Table]:
-    """Consecutive rows with equal ``by``, at most ``most`` rows at a time."""
-    held: list[pa.RecordBatch] = []
-    name, size = None, 0
+def _runs(batches: Iterator[pa.RecordBatch], by: list[str], most: int | None = None) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Rows sorted by ``by``, some whole groups at a time, with the places where groups start and the end.
+
+    A group of more than ``most`` rows comes in parts, of which each but the last has ``most`` rows at least.
+    """
+    held: pa.RecordBatch | None = None
     for batch in batches:
         if not batch.num_rows:
             continue
+        if held is not None:
+            batch = pa.concat_batches([held, batch])
         columns = [_longs(batch.column(c)) for c in by]
-        new = np.any([c[1:] != c[:-1] for c in columns], axis=0)
-        starts = np.r_[0, np.flatnonzero(new) + 1, batch.num_rows]
-        for a, b in zip(starts[:-1].tolist(), starts[1:].tolist()):
-            here = tuple(c[a] for c in columns)
-            if held and here != name:
-                yield pa.Table.from_batches(held)
-                held, size = [], 0
-            name = here
-            while a < b:
-                n = b - a if most is None else min(b - a, most - size)
-                held.append(batch.slice(a, n))
-                a, size = a + n, size + n
-                if size == most:
-                    yield pa.Table.from_batches(held)
-                    held, size = [], 0
-    if held:
-        yield pa.Table.from_batches(held)
+        starts = np.r_[0, np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1, batch.num_rows]
+        if most is not None and starts[-1] - starts[-2] >= most:
+            held = None
+        else:
+            held, starts = batch.slice(int(starts[-2])), starts[:-1]
+        if len(starts) > 1:
+            yield batch.slice(0, int(starts[-1])), starts
+    if held is not None:
+        yield held, np.array([0, held.num_rows])
 
 
 def _sized(n: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -196,27 +192,32 @@ def _usual(sigs: np.ndarray) -> int:
     if len(sigs) < 3:
         return 0
     ordered = np.sort(sigs, axis=0)
-    run, best, value = np.ones(PLACES, np.int64), np.ones(PLACES, np.int64), ordered[0].copy()
-    for above, row in zip(ordered, ordered[1:]):
-        run = np.where(row == above, run + 1, 1)
-        value = np.where(run > best, row, value)
-        best = np.maximum(best, run)
+    at = np.arange(len(sigs))[:, None]
+    begins = np.concatenate([np.ones((1, PLACES), bool), ordered[1:] != ordered[:-1]])
+    run = at - np.maximum.accumulate(np.where(begins, at, 0), axis=0)  # how often the value stood before
+    value = np.take_along_axis(ordered, run.argmax(0)[None, :], 0)
     return int((sigs != value).sum(1).argmin())
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     last = None
-    for group in _groups(batches, ["key"], TOGETHER):
-        group = group.combine_chunks()
-        key = group.column("key")[0].as_py()
-        node, n, sigs = _longs(group.column("node")), _longs(group.column("n")), _signatures(group.column("sig"))
-        if last is not None and last[0] == key:  # a further part of one group also meets the row chosen before
-            node, n, sigs = np.r_[last[1], node], np.r_[last[2], n], np.concatenate([last[3], sigs])
-        p = _usual(sigs)
-        last = (key, node[p : p + 1], n[p : p + 1], sigs[p : p + 1])
-        near = ((sigs != sigs[p]).sum(1) <= MOST) & _sized(n, n[p]) & (node != node[p])
-        if near.any():
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(near.sum(), node[p])), pa.array(node[near])], ["a", "b"])
+    for batch, starts in _runs(batches, ["key"], TOGETHER):
+        key, node, n = (_longs(batch.column(c)) for c in ("key", "node", "n"))
+        sigs = _signatures(batch.column("sig"))
+        a, size = starts[:-1], np.diff(starts)
+        two = a[size == 2]
+        two = two[((sigs[two] != sigs[two + 1]).sum(1) <= MOST) & _sized(n[two], n[two + 1]) & (node[two] != node[two + 1])]
+        found = [(node[two], node[two + 1])]
+        for i, m in zip(a[size != 2].tolist(), size[size != 2].tolist()):
+            rows = np.arange(i, i + m)
+            here, n_here, sigs_here = node[rows], n[rows], sigs[rows]
+            if last is not None and last[0] == key[i]:  # a further part of a group also meets the row chosen before
+                here, n_here, sigs_here = np.r_[last[1], here], np.r_[last[2], n_here], np.concatenate([last[3], sigs_here])
+            p = _usual(sigs_here)
+            last = (key[i], here[p : p + 1], n_here[p : p + 1], sigs_here[p : p + 1])
+            near = here[((sigs_here != sigs_here[p]).sum(1) <= MOST) & _sized(n_here, n_here[p]) & (here != here[p])]
+            found.append((np.full(len(near), here[p]), near))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], ["a", "b"])
 
 
 # --- Full sets ----------------------------------------------------------------
@@ -276,56 +277,63 @@ def confirm_stars(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 # --- Across components ---------------------------------------------------------
 
 
-def _pairs(group: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
-    """Per row the later rows to compare it with: of another component, near by signature, and met here first."""
-    key = np.int64(group.column("key")[0].as_py()).astype(np.uint64)
-    one, two, own = group.column("i")[0].as_py(), group.column("j")[0].as_py(), _longs(group.column("own"))
-    root, n, sigs = _longs(group.column("root")), _longs(group.column("n")), _signatures(group.column("sig"))
-    number = int((keys(sigs[:1])[0] == key).argmax())
+def _pairs(key, i, j, own, root, n, sigs) -> Iterator[tuple[int, np.ndarray]]:
+    """Per row of a group the later rows to compare it with: of another component, near by signature, and met here first."""
+    number = None
     for x in range(len(root) - 1):
-        rest = slice(x + 1, None)
-        ok = (root[rest] != root[x]) & _sized(n[rest], n[x])
-        if one != two:
-            ok &= own[rest] != own[x]
+        ok = (root[x + 1 :] != root[x]) & _sized(n[x + 1 :], n[x])
+        if i != j:
+            ok &= own[x + 1 :] != own[x]
         at = np.flatnonzero(ok) + x + 1
         differ = sigs[at] != sigs[x]
-        at, differ = at[near := differ.sum(1) <= MOST], differ[near]
-        at = at[first_shared(differ) == number]
+        near = differ.sum(1) <= MOST
+        at, differ = at[near], differ[near]
+        if len(at):
+            if number is None:
+                number = int((keys(sigs[:1])[0] == np.int64(key).astype(np.uint64)).argmax())
+            at = at[first_shared(differ) == number]
         if len(at):
             yield x, at
 
 
+def _grouped_pairs(batch: pa.RecordBatch, starts: np.ndarray) -> Iterator[tuple[int, Iterator[tuple[int, np.ndarray]]]]:
+    key, i, j, own, root, n = (_longs(batch.column(c)) for c in ("key", "i", "j", "own", "root", "n"))
+    sigs = _signatures(batch.column("sig"))
+    for a, b in zip(starts[:-1].tolist(), starts[1:].tolist()):
+        if b - a > 1:
+            yield a, _pairs(key[a], i[a], j[a], own[a:b], root[a:b], n[a:b], sigs[a:b])
+
+
 def _survivors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for group in _groups(batches, ["key", "i", "j"]):
-        group = group.combine_chunks()
-        some = np.zeros(group.num_rows, bool)
-        for x, others in _pairs(group):
-            some[x] = some[others] = True
+    for batch, starts in _runs(batches, ["key", "i", "j"]):
+        some = np.zeros(batch.num_rows, bool)
+        for a, pairs in _grouped_pairs(batch, starts):
+            for x, others in pairs:
+                some[a + x] = some[a + others] = True
         if some.any():
-            yield from group.filter(pa.array(some)).to_batches()
+            yield batch.filter(pa.array(some))
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Spanning forest of the confirmed links across components of each block."""
-    for group in _groups(batches, ["key", "i", "j"]):
-        group = group.combine_chunks()
-        node, root, sets = _longs(group.column("node")), _longs(group.column("root")), group.column("shingles")
-        parent = {int(r): int(r) for r in root}
-
-        def top(r: int) -> int:
-            while parent[r] != r:
-                parent[r] = parent[parent[r]]
-                r = parent[r]
-            return r
-
+    for batch, starts in _runs(batches, ["key", "i", "j"]):
+        node, root, sets = _longs(batch.column("node")), _longs(batch.column("root")), batch.column("shingles")
         links = []
-        for x, others in _pairs(group):
-            own = _set(sets[x])
-            for y in others.tolist():
-                a, b = top(int(root[x])), top(int(root[y]))
-                if a != b and _similar(own, _set(sets[y])):
-                    parent[b] = a
-                    links.append((int(node[x]), int(node[y])))
+        for start, pairs in _grouped_pairs(batch, starts):
+            parent: dict[int, int] = {}
+
+            def top(r: int) -> int:
+                while parent.get(r, r) != r:
+                    r = parent[r]
+                return r
+
+            for x, others in pairs:
+                x, own = start + x, _set(sets[start + x])
+                for y in (start + others).tolist():
+                    a, b = top(int(root[x])), top(int(root[y]))
+                    if a != b and _similar(own, _set(sets[y])):
+                        parent[b] = a
+                        links.append((int(node[x]), int(node[y])))
         if links:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links)], ["a", "b"])
 
