@@ -199,25 +199,28 @@ def _usual(sigs: np.ndarray) -> int:
     return int((sigs != value).sum(1).argmin())
 
 
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    last = None
-    for batch, starts in _runs(batches, ["key"], TOGETHER):
-        key, node, n = (_longs(batch.column(c)) for c in ("key", "node", "n"))
-        sigs = _signatures(batch.column("sig"))
-        a, size = starts[:-1], np.diff(starts)
-        two = a[size == 2]
-        two = two[((sigs[two] != sigs[two + 1]).sum(1) <= MOST) & _sized(n[two], n[two + 1]) & (node[two] != node[two + 1])]
-        found = [(node[two], node[two + 1])]
-        for i, m in zip(a[size != 2].tolist(), size[size != 2].tolist()):
-            rows = np.arange(i, i + m)
-            here, n_here, sigs_here = node[rows], n[rows], sigs[rows]
-            if last is not None and last[0] == key[i]:  # a further part of a group also meets the row chosen before
-                here, n_here, sigs_here = np.r_[last[1], here], np.r_[last[2], n_here], np.concatenate([last[3], sigs_here])
-            p = _usual(sigs_here)
-            last = (key[i], here[p : p + 1], n_here[p : p + 1], sigs_here[p : p + 1])
-            near = here[((sigs_here != sigs_here[p]).sum(1) <= MOST) & _sized(n_here, n_here[p]) & (here != here[p])]
-            found.append((np.full(len(near), here[p]), near))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], ["a", "b"])
+def _stars(together: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for batch, starts in _runs(batches, ["key"], together):
+            key, node, n = (_longs(batch.column(c)) for c in ("key", "node", "n"))
+            sigs = _signatures(batch.column("sig"))
+            a, size = starts[:-1], np.diff(starts)
+            two = a[size == 2]
+            two = two[((sigs[two] != sigs[two + 1]).sum(1) <= MOST) & _sized(n[two], n[two + 1]) & (node[two] != node[two + 1])]
+            found = [(node[two], node[two + 1])]
+            for i, m in zip(a[size != 2].tolist(), size[size != 2].tolist()):
+                rows = np.arange(i, i + m)
+                here, n_here, sigs_here = node[rows], n[rows], sigs[rows]
+                if last is not None and last[0] == key[i]:  # a further part of a group also meets the row chosen before
+                    here, n_here, sigs_here = np.r_[last[1], here], np.r_[last[2], n_here], np.concatenate([last[3], sigs_here])
+                p = _usual(sigs_here)
+                last = (key[i], here[p : p + 1], n_here[p : p + 1], sigs_here[p : p + 1])
+                near = here[((sigs_here != sigs_here[p]).sum(1) <= MOST) & _sized(n_here, n_here[p]) & (here != here[p])]
+                found.append((np.full(len(near), here[p]), near))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], ["a", "b"])
+
+    return run
 
 
 # --- Full sets ----------------------------------------------------------------
@@ -338,7 +341,7 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links)], ["a", "b"])
 
 
-def across(met: DataFrame, nodes: DataFrame, roots: DataFrame, docs: DataFrame) -> DataFrame:
+def across(met: DataFrame, nodes: DataFrame, roots: DataFrame, docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """``a, b``: confirmed links that join components (``node, root``) wherever rows of several of them meet.
 
     A key's rows are dealt into blocks, and each two blocks are compared by a task of their own, so no task has more
@@ -346,7 +349,7 @@ def across(met: DataFrame, nodes: DataFrame, roots: DataFrame, docs: DataFrame)
     """
     rooted = stage(lookup_join(met, roots, "node", "left", stage=True).withColumn("root", F.coalesce("root", "node")), "rooted")
     mixed = rooted.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.min("root").alias("least"), F.max("root").alias("most"))
-    mixed = mixed.filter("least < most").select("key", F.ceil(F.col("rows") / BLOCK).cast("long").alias("blocks"))
+    mixed = mixed.filter("least < most").select("key", F.ceil(F.col("rows") / block).cast("long").alias("blocks"))
     rows = lookup_join(rooted, mixed, "key", stage=True).join(nodes.select("node", "n", "sig"), "node")
     own = F.pmod(F.xxhash64("node", "key"), F.col("blocks"))
     placed = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
@@ -365,19 +368,19 @@ def across(met: DataFrame, nodes: DataFrame, roots: DataFrame, docs: DataFrame)
 # --- The operator ---------------------------------------------------------------
 
 
-def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+def links(docs: DataFrame, nodes: DataFrame, together: int = TOGETHER, block: int = BLOCK) -> DataFrame:
     """``a, b``: confirmed links between nodes (``node, set_key, least, n, sig``, written) that connect all that are similar."""
     met = stage(meetings(nodes), "meetings")
     rows = met.join(nodes.select("node", "n", "sig"), "node").select("key", "node", "n", "sig")
-    stars = rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_stars, "a long, b long")
+    stars = rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_stars(together), "a long, b long")
     stars = stage(stars.distinct(), "stars")
     ends = stars.select(F.col("a").alias("node")).unionByName(stars.select(F.col("b").alias("node"))).distinct()
     wanted = lookup_join(nodes.select("node", "set_key", "least"), ends, "node", "left_semi", stage=True)
     sure = stage(confirm_stars(stars, stage(full_sets(docs, wanted), "sets")), "links")
-    return sure.unionByName(stage(across(met, nodes, components(sure), docs), "links"))
+    return sure.unionByName(stage(across(met, nodes, components(sure), docs, block), "links"))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, together: int = TOGETHER, block: int = BLOCK) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_shingles, component_id, kept``.
 
     ``component_id`` is the smallest ``doc_id`` reachable over links of similarity ``PERCENT`` or more; ``kept`` tells whether it is the
@@ -389,7 +392,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     printed = stage(prints(docs), "prints")
     some = printed.filter("set_key IS NOT NULL").groupBy("set_key", "n", "sig").agg(F.min("doc_id").alias("least"))
     nodes = stage(some.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    roots = components(links(docs, nodes))
+    roots = components(links(docs, nodes, together, block))
     # Only nodes that are linked meet the roots; all others name themselves.
     linked = lookup_join(roots, nodes.select("node", "least"), "node", stage=True)
     named = linked.groupBy("root").agg(F.min("least").alias("component"))

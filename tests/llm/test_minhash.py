@@ -72,12 +72,10 @@ def test_documents(spark):
 
 
 @pytest.mark.parametrize("together, block", [(4, 3), (2, 1)])
-def test_groups_in_parts(spark, monkeypatch, together, block):
-    monkeypatch.setattr(minhash, "TOGETHER", together)
-    monkeypatch.setattr(minhash, "BLOCK", block)
+def test_groups_in_parts(spark, together, block):
     # Copies with many edits: similar to some of the group only, so components stay apart and blocks meet.
     rows = corpus(2, groups=2, copies=40, words=150, edits=9)
-    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), together, block)
     assert sorted(map(tuple, got.collect()), key=repr) == by_hand(rows)
 
 
