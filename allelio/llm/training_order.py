@@ -6,7 +6,9 @@ over the next even number of bits permutes the numbers; a result outside the num
 
 Shards hold ``SHARD`` slots each, in order, as rows of a fixed stride of little-endian unsigned 16-bit integers (a vocabulary of
 up to 65,536 entries; others are refused): the sequence's length, its ids, zeros up to ``LENGTH``, and two zeros. Slot ``s`` is row ``s % SHARD`` of shard ``s // SHARD``, so a reader
-goes on at any slot by one seek.
+goes on at any slot by one seek. A task that encodes holds some texts and their rows, not all that Spark sends it at a time;
+the rows have their final form from then on. Some neighbouring shards are one partition, known from the slot alone, so the
+ranges are exact and nothing is sampled.
 """
 
 from __future__ import annotations
@@ -20,12 +22,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from allelio.llm import bpe
-from allelio.llm.common import stage
+from allelio.llm.common import raw, stage
 from allelio.operators.joins import lookup_join
 from allelio.session import scratch_path
 
-#: Ids of a sequence, sequences of a shard (about 4 MB), rounds of the network, its key.
-LENGTH, SHARD, ROUNDS, KEY = 256, 8192, 6, 20_240_601
+#: Ids of a sequence, sequences of a shard (about 17 MB), shards of a partition, rounds of the network, its key.
+LENGTH, SHARD, TOGETHER, ROUNDS, KEY = 256, 32_768, 4, 6, 20_240_601
+#: Characters of texts that are encoded together.
+SOME = 1 << 20
 #: Parts that sequences are numbered in.
 PARTS = 4096
 #: The zero that ends a row is the line separator of Spark's text writer.
@@ -54,35 +58,61 @@ def feistel(numbers: np.ndarray, total: int, key: int = KEY) -> np.ndarray:
     return slots.astype(np.int64)
 
 
+def _rows(parts: list[np.ndarray], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows (length, ids, zeros) of all sequences of some texts; each row's text and number."""
+    sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+    counts = -(-sizes // length)
+    text = np.repeat(np.arange(len(parts)), counts)
+    number = np.arange(len(text)) - np.repeat(np.cumsum(counts) - counts, counts)
+    rows = np.zeros((len(text), length + 1), "<u2")
+    if len(text):
+        ids = np.concatenate(parts)
+        if ids.max() > 0xFFFF:
+            raise ValueError("an id does not fit in 16 bits")
+        rows[:, 0] = np.minimum(sizes[text] - number * length, length)
+        inside = np.arange(len(ids)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        first = np.repeat(np.cumsum(counts) - counts, sizes)
+        rows[first + inside // length, 1 + inside % length] = ids
+    return rows, text, number
+
+
 def sequences(docs: DataFrame, path: str | None = None, length: int = LENGTH) -> DataFrame:
-    """``doc_id, h1, h2, row, seq_no, n_seqs, n_ids, ids`` (bytes) of all sequences; a text without ids has none.
+    """``doc_id, h1, h2, row, seq_no, n_seqs, line`` of all sequences; a text without ids has none.
 
-    ``h1, h2`` are hashes of the document, ``row`` is its place in this table, which tells repeated rows apart. Write
+    ``line`` is a sequence as it stands in a shard, without the end. ``h1, h2`` are hashes of the document, ``row`` is its place in this table, which tells repeated rows apart. Write
     the table before it is used: a second computation may number rows otherwise.
     """
-    encoded = bpe.encode_documents(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), path)
+    shared = bpe._shared(docs.sparkSession, path)
+    names = ["doc_id", "h1", "h2", "row", "seq_no", "n_seqs", "line"]
+    heads = names[:4]
+
+    def some(batch: pa.RecordBatch, texts: list[str]) -> Iterator[pa.RecordBatch]:
+        rows, text, number = _rows(bpe.vocabulary_of(shared.value).encode_texts(texts), length)
+        counts = np.bincount(text, minlength=len(texts))
+        for at in range(0, len(rows), 4096):
+            part = slice(at, at + 4096)
+            n, size = len(rows[part]), 2 * (length + 1)
+            lines = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(0, (n + 1) * size, size, dtype=np.int32)), pa.py_buffer(rows[part].tobytes())])
+            of = pa.array(text[part])
+            own = [batch.column(c).take(of) for c in heads]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(number[part].astype(np.int32)), pa.array(counts[text[part]].astype(np.int32)), lines], names)
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "h1", "h2", "row", "seq_no", "n_seqs", "n_ids", "ids"]
-        types = [pa.int64()] * 4 + [pa.int32()] * 3 + [pa.binary()]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = [batch.column(c) for c in ("doc_id", "h1", "h2", "row")]
-            rows: list[tuple] = []
-            for i, ids in enumerate(batch.column("ids")):
-                wide = ids.values.to_numpy(zero_copy_only=False)
-                if len(wide) and wide.max() > 0xFFFF:
-                    raise ValueError("an id does not fit in 16 bits")
-                packed = wide.astype("<u2")
-                head = tuple(c[i].as_py() for c in columns)
-                n = -(-len(packed) // length)
-                for no in range(n):
-                    part = packed[no * length : (no + 1) * length]
-                    rows.append((*head, no, n, len(part), part.tobytes()))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
-
-    keyed = encoded.select("doc_id", F.xxhash64("doc_id", "text").alias("h1"), F.xxhash64("text", F.lit(KEY), "doc_id").alias("h2"), F.monotonically_increasing_id().alias("row"), "ids")
-    return keyed.mapInArrow(cut, "doc_id long, h1 long, h2 long, row long, seq_no int, n_seqs int, n_ids int, ids binary")
+            column, begin, held = batch.column("text"), 0, 0
+            texts: list[str] = []
+            for i in range(batch.num_rows):
+                texts.append(column[i].as_py().decode("utf-8", "replace"))
+                held += len(texts[-1])
+                if held >= SOME or i == batch.num_rows - 1:
+                    yield from some(batch.slice(begin, len(texts)), texts)
+                    texts, begin, held = [], i + 1, 0
+
+    id_, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    keyed = docs.select(
+        id_.alias("doc_id"), F.xxhash64(id_, text).alias("h1"), F.xxhash64(text, F.lit(KEY), id_).alias("h2"), F.monotonically_increasing_id().alias("row"), raw(text).alias("text")
+    )
+    return keyed.mapInArrow(run, "doc_id long, h1 long, h2 long, row long, seq_no int, n_seqs int, line binary")
 
 
 def slotted(found: DataFrame, key: int = KEY) -> tuple[DataFrame, int]:
@@ -109,46 +139,55 @@ def slotted(found: DataFrame, key: int = KEY) -> tuple[DataFrame, int]:
     return numbered.withColumn("slot", F.arrow_udf(slots, "long")(F.col("start") + F.col("seq_no"))).drop("start"), total
 
 
-def write_shards(rows: DataFrame, total: int, path: str, length: int = LENGTH, shard: int = SHARD) -> None:
-    """Write ``slot, n_ids, ids`` below ``path``, one file per shard (``shard=<number>``), sorted by slot."""
+def write_shards(rows: DataFrame, total: int, path: str, shard: int = SHARD, together: int = TOGETHER) -> None:
+    """Write ``slot, line`` below ``path``, one file per shard (``shard=<number>``), sorted by slot.
 
-    def pad(counts: pa.Array, ids: pa.Array) -> pa.Array:
-        return pa.array([n.as_py().to_bytes(2, "little") + i.as_py().ljust(2 * length, b"\0") for n, i in zip(counts, ids)], pa.binary())
+    A partition holds ``together`` neighbouring shards; its number follows from the slot.
+    """
+    sharded = rows.select(F.floor(F.col("slot") / shard).cast("long").alias("shard"), "slot", "line")
+    n = max(1, -(-total // (shard * together)))
+    ordered = sharded.repartitionById(n, F.floor(F.col("shard") / together).cast("int")).sortWithinPartitions("shard", "slot")
+    ordered.select("shard", F.col("line").cast("string").alias("value")).write.partitionBy("shard").option("lineSep", END).text(path)
 
-    pad.__annotations__ = {"counts": pa.Array, "ids": pa.Array, "return": pa.Array}
-    sharded = rows.select(F.floor(F.col("slot") / shard).cast("long").alias("shard"), "slot", "n_ids", "ids")
-    n = max(1, -(-total // shard))
-    # A range of one shard number each: a shard is never split, so its file is whole and in order.
-    ordered = sharded.repartitionByRange(n, "shard").sortWithinPartitions("shard", "slot")
-    lines = ordered.select("shard", F.arrow_udf(pad, "binary")("n_ids", "ids").cast("string").alias("value"))
-    lines.write.partitionBy("shard").option("lineSep", END).text(path)
 
-
-def read_shards(spark: SparkSession, path: str, length: int = LENGTH, shard: int = SHARD, start: int = 0) -> DataFrame:
-    """``slot, n_ids, ids`` of all slots from ``start`` on; shards before it are not opened."""
-    stride = 2 * (length + 3)
+def _stored(spark: SparkSession, path: str, length: int, shard: int, start: int, values, schema: str) -> DataFrame:
+    """``slot``, ``n_ids`` and what ``values`` makes of each sequence's ids, some rows of a shard at a time."""
+    stride = length + 3
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number, content in zip(batch.column("shard").to_pylist(), batch.column("content")):
-                table = np.frombuffer(content.as_py(), "<u2")
-                if len(table) % (stride // 2):
+                table = np.frombuffer(content.as_buffer(), "<u2")
+                if len(table) % stride:
                     raise ValueError(f"shard {number} is cut off")
-                table = table.reshape(-1, stride // 2)
-                first = max(0, start - number * shard)
-                for at in range(first, len(table), 1024):
-                    some = table[at : at + 1024]
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(np.arange(at, at + len(some)) + number * shard, pa.int64()),
-                            pa.array(some[:, 0].astype(np.int32), pa.int32()),
-                            pa.array([r[1 : 1 + r[0]].tobytes() for r in some], pa.binary()),
-                        ],
-                        ["slot", "n_ids", "ids"],
-                    )
+                table = table.reshape(-1, stride)
+                for at in range(max(0, start - number * shard), len(table), 4096):
+                    rows = table[at : at + 4096]
+                    n = rows[:, 0].astype(np.int32)
+                    data, ends = memoryview(np.ascontiguousarray(rows)).cast("B"), n.astype(np.int64) * 2 + 2
+                    found = [data[i * 2 * stride + 2 : i * 2 * stride + e] for i, e in enumerate(ends.tolist())]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + len(rows)) + number * shard), pa.array(n), values(found)], ["slot", "n_ids", "value"])
 
     files = spark.read.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary, shard long").load(path)
-    return files.filter(F.col("shard") >= start // shard).select("shard", "content").mapInArrow(run, "slot long, n_ids int, ids binary")
+    return files.filter(F.col("shard") >= start // shard).select("shard", "content").mapInArrow(run, schema)
+
+
+def read_shards(spark: SparkSession, path: str, length: int = LENGTH, shard: int = SHARD, start: int = 0) -> DataFrame:
+    """``slot, n_ids, ids`` of all slots from ``start`` on; shards before it are not opened."""
+
+    def ids(found: list[memoryview]) -> pa.Array:
+        return pa.array([bytes(f) for f in found], pa.binary())
+
+    return _stored(spark, path, length, shard, start, ids, "slot long, n_ids int, value binary").withColumnRenamed("value", "ids")
+
+
+def read_digests(spark: SparkSession, path: str, length: int = LENGTH, shard: int = SHARD, start: int = 0) -> DataFrame:
+    """The same slots with ``ids_sha256`` in place of the ids."""
+
+    def digests(found: list[memoryview]) -> pa.Array:
+        return pa.array([hashlib.sha256(f).hexdigest() for f in found], pa.string())
+
+    return _stored(spark, path, length, shard, start, digests, "slot long, n_ids int, value string").withColumnRenamed("value", "ids_sha256")
 
 
 def materialise(docs: DataFrame, path: str | None = None, vocabulary: str | None = None, key: int = KEY) -> DataFrame:
@@ -165,7 +204,7 @@ def materialise(docs: DataFrame, path: str | None = None, vocabulary: str | None
         return spark.createDataFrame([], "doc_id long, seq_no int, slot long, shard long, at_byte long, n_ids int, ids_sha256 string")
     write_shards(placed, total, path)
     manifest = placed.select("doc_id", "seq_no", "slot")
-    read = read_shards(spark, path).select("slot", "n_ids", F.sha2("ids", 256).alias("ids_sha256"))
+    read = read_digests(spark, path)
     place = [F.floor(F.col("slot") / SHARD).cast("long").alias("shard"), ((F.col("slot") % SHARD) * STRIDE).cast("long").alias("at_byte")]
     # Slots are unique on both sides: no key is hot.
     return manifest.join(read, "slot").select("doc_id", "seq_no", "slot", *place, "n_ids", "ids_sha256")

@@ -20,12 +20,23 @@ def test_permutation(total):
 
 def some(spark):
     texts = [None, "", "one two", "the cat sat on the mat " * 700, "é\n\0x" * 50, "the cat " * 128] + [f"text number {i} " * (i % 90) for i in range(300)]
+    texts.append("many words of one long text " * 60_000)  # longer than what is encoded together
     rows = [*enumerate(texts), (None, "no id"), (2, "one two"), (2, "one two")]
     return rows, spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as slot", "'x' as ids")
 
 
-def test_shards(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(order, "SHARD", 100)
+def test_rows_of_some_texts():
+    parts = [np.arange(n, dtype="<u4") for n in (0, 1, 4, 5, 0, 9)]
+    rows, text, number = order._rows(parts, 4)
+    assert text.tolist() == [1, 2, 3, 3, 5, 5, 5] and number.tolist() == [0, 0, 0, 1, 0, 1, 2]
+    assert [r[1 : 1 + r[0]].tolist() for r in rows] == [[0], [0, 1, 2, 3], [0, 1, 2, 3], [4], [0, 1, 2, 3], [4, 5, 6, 7], [8]]
+    assert len(order._rows([], 4)[0]) == len(order._rows([parts[0]], 4)[0]) == 0
+    with pytest.raises(ValueError):
+        order._rows([np.array([1 << 16], "<u4")], 4)
+
+
+@pytest.mark.parametrize("together", [1, 3])
+def test_shards(spark, tmp_path, together):
     rows, docs = some(spark)
     vocabulary = bpe.vocabulary_of(bpe.vocabulary_text(bpe.default_path()))
     want = []
@@ -35,13 +46,15 @@ def test_shards(spark, tmp_path, monkeypatch):
     placed, total = order.slotted(order.stage(order.sequences(docs), "t"))
     assert total == len(want)
     path = str(tmp_path / "s")
-    order.write_shards(placed, total, path, shard=100)
+    order.write_shards(placed, total, path, 100, together)
     files = [sum(f.startswith("part") for f in os.listdir(f"{path}/shard={k}")) for k in range(-(-total // 100))]
     assert set(files) == {1}
     whole = {r["slot"]: bytes(r["ids"]) for r in order.read_shards(spark, path, shard=100).collect()}
     assert sorted(whole) == list(range(total))
     found = sorted([(r["doc_id"], r["seq_no"], hashlib.sha256(whole[r["slot"]]).hexdigest()) for r in placed.collect()], key=repr)
     assert found == sorted(want, key=repr)
+    read = {r["slot"]: r["ids_sha256"] for r in order.read_digests(spark, path, shard=100, start=7).collect()}
+    assert read == {s: hashlib.sha256(b).hexdigest() for s, b in whole.items() if s >= 7}
     for start in (0, 1, 150, total - 1):
         assert {r["slot"]: bytes(r["ids"]) for r in order.read_shards(spark, path, shard=100, start=start).collect()} == {s: b for s, b in whole.items() if s >= start}
 
