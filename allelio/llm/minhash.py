@@ -280,39 +280,35 @@ def confirm_stars(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 # --- Across components ---------------------------------------------------------
 
 
-def _pairs(key, i, j, own, root, n, sigs) -> Iterator[tuple[int, np.ndarray]]:
-    """Per row of a group the later rows to compare it with: of another component, near by signature, and met here first."""
-    number = None
-    for x in range(len(root) - 1):
-        ok = (root[x + 1 :] != root[x]) & _sized(n[x + 1 :], n[x])
-        if i != j:
-            ok &= own[x + 1 :] != own[x]
-        at = np.flatnonzero(ok) + x + 1
-        differ = sigs[at] != sigs[x]
-        near = differ.sum(1) <= MOST
-        at, differ = at[near], differ[near]
-        if len(at):
-            if number is None:
-                number = int((keys(sigs[:1])[0] == np.int64(key).astype(np.uint64)).argmax())
-            at = at[first_shared(differ) == number]
-        if len(at):
-            yield x, at
-
+def _pairs(batch: pa.RecordBatch, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of a group to compare: of different components, near by signature, and met here first.
 
-def _grouped_pairs(batch: pa.RecordBatch, starts: np.ndarray) -> Iterator[tuple[int, Iterator[tuple[int, np.ndarray]]]]:
+    All groups at once, each row with the one ``step`` rows behind it.
+    """
     key, i, j, own, root, n = (_longs(batch.column(c)) for c in ("key", "i", "j", "own", "root", "n"))
     sigs = _signatures(batch.column("sig"))
-    for a, b in zip(starts[:-1].tolist(), starts[1:].tolist()):
-        if b - a > 1:
-            yield a, _pairs(key[a], i[a], j[a], own[a:b], root[a:b], n[a:b], sigs[a:b])
+    rest = np.repeat(starts[1:], np.diff(starts)) - np.arange(len(key)) - 1  # rows of the group behind a row
+    x, step = np.flatnonzero(rest > 0), 1
+    while len(x):
+        y = x + step
+        ok = (root[x] != root[y]) & _sized(n[x], n[y]) & ((i[x] == j[x]) | (own[x] != own[y]))
+        a, b = x[ok], y[ok]
+        differ = sigs[a] != sigs[b]
+        near = differ.sum(1) <= MOST
+        a, b, differ = a[near], b[near], differ[near]
+        if len(a):
+            number = (keys(sigs[a]).view(np.int64) == key[a, None]).argmax(1)
+            here = first_shared(differ) == number
+            yield a[here], b[here]
+        step += 1
+        x = x[rest[x] >= step]
 
 
 def _survivors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch, starts in _runs(batches, ["key", "i", "j"]):
         some = np.zeros(batch.num_rows, bool)
-        for a, pairs in _grouped_pairs(batch, starts):
-            for x, others in pairs:
-                some[a + x] = some[a + others] = True
+        for a, b in _pairs(batch, starts):
+            some[a] = some[b] = True
         if some.any():
             yield batch.filter(pa.array(some))
 
@@ -321,22 +317,21 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Spanning forest of the confirmed links across components of each block."""
     for batch, starts in _runs(batches, ["key", "i", "j"]):
         node, root, sets = _longs(batch.column("node")), _longs(batch.column("root")), batch.column("shingles")
+        group = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+        parent: dict[tuple[int, int], tuple[int, int]] = {}
+
+        def top(r: tuple[int, int]) -> tuple[int, int]:
+            while parent.get(r, r) != r:
+                r = parent[r]
+            return r
+
         links = []
-        for start, pairs in _grouped_pairs(batch, starts):
-            parent: dict[int, int] = {}
-
-            def top(r: int) -> int:
-                while parent.get(r, r) != r:
-                    r = parent[r]
-                return r
-
-            for x, others in pairs:
-                x, own = start + x, _set(sets[start + x])
-                for y in (start + others).tolist():
-                    a, b = top(int(root[x])), top(int(root[y]))
-                    if a != b and _similar(own, _set(sets[y])):
-                        parent[b] = a
-                        links.append((int(node[x]), int(node[y])))
+        for some, others in _pairs(batch, starts):
+            for x, y in zip(some.tolist(), others.tolist()):
+                a, b = top((group[x], root[x])), top((group[y], root[y]))
+                if a != b and _similar(_set(sets[x]), _set(sets[y])):
+                    parent[b] = a
+                    links.append((int(node[x]), int(node[y])))
         if links:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links)], ["a", "b"])
 

@@ -33,7 +33,7 @@ from allelio.operators.joins import lookup_join
 #: Words of a phrase at most, occurrences at least, phrases returned per language.
 DEPTH, LEAST, TOP = 5, 100, 2000
 #: Ids of a shard, about; a task holds twice as many at most in unfinished shards of all languages.
-SHARD = 1 << 20
+SHARD = 1 << 18
 #: Most bits of the bitmap of frequent pairs; parts that a language's phrases are ranked in first.
 MOST_BITS, PARTS = 1 << 31, 64
 
