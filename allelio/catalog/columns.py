@@ -413,7 +413,7 @@ def flip_dosage(fx):
     "parse_score_list",
     ["g_revel"],
     """SELECT site_id, i - 1 AS place, TRY_CAST(string_split(replace(replace(revel_score, '[', ''), ']', ''), ',')[i] AS DOUBLE) AS score
-FROM g_revel, LATERAL (SELECT unnest(generate_series(1, 2)) AS i)""",
+FROM g_revel, LATERAL (SELECT unnest(generate_series(1, len(string_split(revel_score, ',')))) AS i)""",
 )
 def parse_score_list(fx):
     scores = fx.view("g_revel").select("site_id", F.posexplode(fields.score_array("revel_score")).alias("place", "score"))
@@ -445,15 +445,18 @@ def gene_alias(fx):
 @query(
     "fix_info_header",
     ["g_site"],
-    """SELECT site_id, CASE WHEN site_id % 2 = 0 THEN concat('##INFO=<ID=', gene, site_id, ',Number=.,Type=String,Description="Description not provided">')
+    """SELECT site_id, CASE WHEN site_id % 2 = 0 AND site_id % 3 = 0 THEN concat('##INFO=<ID=', gene, site_id, ',Description="Description not provided",Number=.,Source="a,b",Type=String>')
+ WHEN site_id % 2 = 0 THEN concat('##INFO=<ID=', gene, site_id, ',Number=.,Type=String,Description="Description not provided">')
+ WHEN site_id % 3 = 0 THEN concat('##INFO=<ID=', gene, site_id, ',Description="', effect, '",Number=1,Source="a,b",Type=Integer>')
  ELSE concat('##INFO=<ID=', gene, site_id, ',Number=1,Type=Integer,Description="', effect, '">') END AS line FROM g_site""",
 )
 def fix_info_header(fx):
     text = F.when(F.col("site_id") % 2 == 0, F.lit("")).otherwise(F.col("effect"))
-    line = F.concat(
-        F.lit("##INFO=<ID="), "gene", F.col("site_id").cast("string"), F.lit(',Number=1,Type=Integer,Description="'), text, F.lit('">')
-    )
-    return fx.view("g_site").select("site_id", fields.fix_info_header(line).alias("line"))
+    name, described = F.concat(F.lit("##INFO=<ID="), "gene", F.col("site_id").cast("string")), F.concat(F.lit('Description="'), text, F.lit('"'))
+    last = F.concat(name, F.lit(",Number=1,Type=Integer,"), described, F.lit(">"))
+    early = F.concat(name, F.lit(","), described, F.lit(',Number=1,Source="a,b",Type=Integer>'))
+    line = F.when(F.col("site_id") % 3 == 0, early).otherwise(last)
+    return fx.view("g_site").select("site_id", fields.repair_header(line).alias("line"))
 
 
 @query(

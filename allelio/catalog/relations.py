@@ -363,15 +363,31 @@ def evidence_intersection(fx):
  WHERE effect = 'missense_variant' GROUP BY sample_id) b USING (sample_id)""",
 )
 def inner_merge_samples(fx):
+    return J.inner_merge(_burdens_of(fx, {"lof": "stop_gained", "missense": "missense_variant"}), "sample_id")
+
+
+def _burdens_of(fx, effects: dict[str, str]):
+    """One table of ALT alleles per sample for each kind of effect, from the calls once."""
     calls = J.lookup_join(fx.view("g_geno"), sites(fx, "site_id", "effect"), ID)
-    lof, missense = F.col("effect") == "stop_gained", F.col("effect") == "missense_variant"
-    both = calls.groupBy("sample_id").agg(
-        F.sum(F.when(lof, F.col("alt_dosage"))).alias("lof"),
-        F.sum(F.when(missense, F.col("alt_dosage"))).alias("missense"),
-        F.count_if(lof).alias("_a"),
-        F.count_if(missense).alias("_b"),
-    )
-    return both.filter((F.col("_a") > 0) & (F.col("_b") > 0)).drop("_a", "_b")
+    summed, _ = J.staged(calls.groupBy("sample_id", "effect").agg(F.sum("alt_dosage").alias("n")), "burdens")
+    return [summed.filter(F.col("effect") == e).select("sample_id", F.col("n").alias(name)) for name, e in effects.items()]
+
+
+FIVE = {"lof": "stop_gained", "fs": "frameshift_variant", "splice_missense": "missense_variant&splice_region_variant", "missense": "missense_variant", "silent": "synonymous_variant"}
+
+
+@query(
+    "inner_merge_five",
+    ["g_geno", "g_site"],
+    "SELECT sample_id, " + ", ".join(FIVE) + " FROM "
+    + " JOIN ".join(
+        f"(SELECT sample_id, CAST(sum(alt_dosage) AS BIGINT) AS {name} FROM g_geno JOIN g_site USING (site_id) WHERE effect = '{e}' GROUP BY sample_id) t_{name}"
+        + (" USING (sample_id)" if i else "")
+        for i, (name, e) in enumerate(FIVE.items())
+    ),
+)
+def inner_merge_five(fx):
+    return J.inner_merge(_burdens_of(fx, FIVE), "sample_id")
 
 
 @query(

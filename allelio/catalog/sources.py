@@ -13,7 +13,7 @@ from allelio.operators import frequency
 from allelio.operators.intervals import filter_intervals, subset_genotypes
 from allelio.operators.joins import stack
 from allelio.plans.pipelines import categorised_consequences
-from allelio.sources import readers, writers
+from allelio.sources import headers, readers, writers
 
 DATASET = "CASE site_id % 3 WHEN 0 THEN 'acaf' WHEN 1 THEN 'exome' ELSE 'clinvar' END"
 SOURCE = "CASE site_id % 2 WHEN 0 THEN 'exome' ELSE 'wgs' END"
@@ -186,6 +186,88 @@ def write_sites_vcf(fx):
     return readers.read_vcf(fx.spark, path).select("gene", "source", "contig", "pos", "ref", F.get("alts", F.lit(0)).alias("alt"))
 
 
+HEADER = [
+    "##fileformat=VCFv4.2",
+    '##FILTER=<ID=LowQual,Description="Low quality, of any kind">',
+    '##INFO=<ID=AC,Number=A,Type=Integer,Description="">',
+    '##INFO=<ID=ANN,Description="Annotation: a | b, c",Number=.,Type=String>',
+    "##contig=<ID=chr1,length=248956422>",
+    "##source=a tool, with <brackets>",
+    "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO",
+]
+
+
+@query(
+    "vcf_header_round_trip",
+    ["g_vcf"],
+    """SELECT g.gene, h.kind, h.id, h.number, h.description, h.line FROM (SELECT DISTINCT gene FROM g_vcf) g, (VALUES
+ ('fileformat', NULL, NULL, NULL, '##fileformat=VCFv4.2'),
+ ('FILTER', 'LowQual', NULL, 'Low quality, of any kind', '##FILTER=<ID=LowQual,Description="Low quality, of any kind">'),
+ ('INFO', 'AC', '.', 'Description not provided', '##INFO=<ID=AC,Number=.,Type=String,Description="Description not provided">'),
+ ('INFO', 'ANN', '.', 'Annotation: a | b, c', '##INFO=<ID=ANN,Description="Annotation: a | b, c",Number=.,Type=String>'),
+ ('contig', 'chr1', NULL, NULL, '##contig=<ID=chr1,length=248956422>'),
+ ('source', NULL, NULL, NULL, '##source=a tool, with <brackets>')) AS h(kind, id, number, description, line)""",
+)
+def vcf_header_round_trip(fx):
+    # Files with a faulty header; read, merged over files, repaired, and written again with the same rows.
+    faulty, mended = fx.scratch("faulty"), fx.scratch("mended")
+    rows = fx.view("g_vcf").withColumn("alts", F.split("alts", ","))
+    writers.write_vcf(rows, faulty, by=("gene",), header=HEADER)
+    lines = headers.header_lines(headers.merge_headers(headers.read_header(fx.spark, faulty)))
+    writers.write_vcf(readers.read_vcf(fx.spark, faulty), mended, by=("gene",), header=lines)
+    found = headers.read_header(fx.spark, mended).withColumn("gene", F.regexp_extract("path", "gene=([^/]+)", 1))
+    values = [headers.header_value("keys", k).alias(k.lower()) for k in ("Number", "Description")]
+    return found.select("gene", "kind", "id", *values, "line").distinct()
+
+
+@query(
+    "scan_plink_bed",
+    ["g_site", "g_geno"],
+    f"""SELECT {DATASET} AS dataset, gene, contig, pos, ref, alt, {VID} AS variant_id, CAST(sample_id AS VARCHAR) AS sample_id, alt_dosage
+FROM g_geno JOIN g_site USING (site_id)""",
+)
+def scan_plink_bed(fx):
+    base = fx.scratch("plink")
+    calls = fx.view("g_geno").join(fx.view("g_site"), "site_id").select(F.expr(DATASET).alias("dataset"), "gene", *VARIANT_KEY, "sample_id", "alt_dosage")
+    write_plink_sets(calls, base)
+    stored = readers.read_plink(fx.spark, f"{base}/*/*", with_path=True)
+    return readers.with_provenance(stored, {"dataset": "([^/]+)/[^/]+$", "gene": "([^/]+)$"})
+
+
+def write_plink_sets(calls, base: str) -> None:
+    """Stand-in input: one file set per dataset and gene, with the samples and variants that have a call in it."""
+    import pyarrow as pa
+
+    def write(key, table: pa.Table) -> pa.Table:
+        import numpy as np
+        from pyarrow import fs
+
+        rows = table.to_pylist()
+        variants = sorted({tuple(r[c] for c in VARIANT_KEY) for r in rows})
+        people = sorted({r["sample_id"] for r in rows})
+        line, column = {v: i for i, v in enumerate(variants)}, {p: i for i, p in enumerate(people)}
+        codes = np.full((len(variants), (len(people) + 3) // 4 * 4), 3, np.uint8)
+        codes[:, len(people) :] = 0
+        for r in rows:
+            codes[line[tuple(r[c] for c in VARIANT_KEY)], column[r["sample_id"]]] = {2: 0, None: 1, 1: 2}[r["alt_dosage"]]
+        quads = codes.reshape(len(variants), -1, 4)
+        bits = (quads[:, :, 0] | quads[:, :, 1] << 2 | quads[:, :, 2] << 4 | quads[:, :, 3] << 6).astype(np.uint8)
+        texts = {
+            "bed": b"\x6c\x1b\x01" + bits.tobytes(),
+            "bim": "".join(f"{c}\t{c}:{p}:{r}:{a}\t0\t{p}\t{a}\t{r}\n" for c, p, r, a in variants).encode(),
+            "fam": "".join(f"0 {p} 0 0 0 -9\n" for p in people).encode(),
+        }
+        system, root = fs.FileSystem.from_uri(readers._uri(base))
+        system.create_dir(f"{root}/{key[0].as_py()}")
+        for ending, data in texts.items():
+            with system.open_output_stream(f"{root}/{key[0].as_py()}/{key[1].as_py()}.{ending}") as out:
+                out.write(data)
+        return pa.table({"n": [len(rows)]})
+
+    write.__annotations__ = {"key": tuple[pa.Scalar, ...], "table": pa.Table, "return": pa.Table}
+    calls.groupBy("dataset", "gene").applyInArrow(write, "n long").agg(F.sum("n")).collect()
+
+
 @query(
     "write_flat_tsv",
     ["g_gnomad"],

@@ -13,16 +13,19 @@ from pyspark.sql import functions as F
 
 from allelio.config import EXON_PAD, GENE_REGIONS
 from allelio.functions.keys import _col, norm_contig, parse_interval
-from allelio.operators.joins import BROADCAST_BYTES, SALTS, lookup_join
+from allelio.operators.joins import BROADCAST_BYTES, SALTS, lookup_join, staged
 
 BIN_SIZE = 100_000
-PRUNE_SPAN = 1_000_000
+PRUNE_SPAN = 100_000
 # Stretches that a list is summed up to before it reaches the driver; beyond it, one stretch per contig.
-PRUNE_STRETCHES = 8_192
+PRUNE_STRETCHES = 32_768
 # Literal ranges are checked for every row that is read; more of them make the generated method too long to compile.
 MAX_RANGES = 24
-# Partition column of tables written by position: position in millions.
-MB = "pos_mb"
+# Contigs that a plain scan is read one by one for, each with ranges of its own.
+MAX_CONTIGS = 64
+# Partition columns of tables written by position, and the bases a place of theirs is wide. A place names its contig without
+# prefix and the stretch in one text, because Spark prunes partitions by each column apart.
+PLACES = {"place_100kb": 100_000, "place_mb": 1_000_000}
 
 
 def region_panel(spark, panel: list[tuple[str, str]] | None = None) -> DataFrame:
@@ -90,7 +93,7 @@ def merge_spans(rows: list[tuple[str, int, int]], at_most: int | None = None) ->
     return [tuple(x) for x in spans]
 
 
-def _stretches(regions: DataFrame, span: int, most: int) -> list[tuple[str, int, int]]:
+def stretches(regions: DataFrame, span: int = PRUNE_SPAN, most: int = PRUNE_STRETCHES) -> list[tuple[str, int, int]]:
     """What a region list covers, as one row per contig and ``span`` of starts: as many as the genome is long, not the list."""
     ends = [F.min("start_pos").alias("start_pos"), F.max("end_pos").alias("end_pos")]
     known = regions.filter("contig IS NOT NULL AND start_pos IS NOT NULL AND end_pos IS NOT NULL")
@@ -101,35 +104,72 @@ def _stretches(regions: DataFrame, span: int, most: int) -> list[tuple[str, int,
     return merge_spans([tuple(r) for r in rows]) if len(rows) <= most else []
 
 
-def prune_to_regions(df: DataFrame, regions: DataFrame, either_style: bool = False, span: int = PRUNE_SPAN, most: int = PRUNE_STRETCHES) -> DataFrame:
+def place_of(df: DataFrame) -> str | None:
+    """The column that names a row's place, if the table was written by position."""
+    return next((c for c in PLACES if c in df.columns), None)
+
+
+def place_name(contig: Column | str, at: Column, column: str) -> Column:
+    """``1.230`` for ``chr1`` and the 231st place."""
+    return F.concat_ws(".", norm_contig(contig), at.cast("string")).alias(column)
+
+
+def places(regions: DataFrame, column: str) -> DataFrame:
+    """Distinct places (``column``) that a region list touches: as many as the genome has, not the list."""
+    at = lambda c: F.floor(F.col(c) / PLACES[column]).cast("int")
+    known = regions.filter("contig IS NOT NULL AND start_pos <= end_pos")
+    each = known.select("contig", F.explode(F.sequence(at("start_pos"), at("end_pos"))).alias("at"))
+    return each.select(place_name("contig", F.col("at"), column)).distinct()
+
+
+def _by_place(df: DataFrame, regions: DataFrame, column: str) -> DataFrame | None:
+    # Written first, so that Spark sees a filtered table, from which it prunes the scan's partitions when the query runs.
+    wanted, size = staged(places(regions, column), "places")
+    if size > BROADCAST_BYTES:
+        return None
+    return df.join(F.broadcast(wanted.filter(F.col(column) > "")), column, "left_semi").select(*df.columns)
+
+
+def prune_to_regions(
+    df: DataFrame, regions: DataFrame, either_style: bool = False, span: int = PRUNE_SPAN, most: int = PRUNE_STRETCHES, scan: bool = False
+) -> DataFrame:
     """Narrow a scan to where a region list lies; exact filtering is left to ``filter_intervals``.
 
-    A table written by position (``write_by_position``) is narrowed by its partitions, which costs nothing per row.
-    Any other table gets a few literal ranges, by which Parquet skips row groups if it is sorted. A list of any length is
+    A table written by position (``write_by_position``) meets the distinct places of the list, of any length: a broadcast of
+    checked size, by which Spark picks the partitions to open at run time. No row of another place is read.
+    Any other table gets literal ranges, by which Parquet skips row groups if it is sorted. A list of any length is
     first summed up to stretches of ``span`` bases, and to whole contigs' ranges if there are more than ``most`` of them;
-    only a list of more than ``most`` contigs narrows nothing. Use it on columns as stored, before they are rewritten; with
+    only a list of more than ``most`` contigs narrows nothing. One filter takes few ranges; ``scan`` tells that ``df`` is a plain
+    table of files, which is then read contig by contig with as many ranges for each. Use it on columns as stored, before they are rewritten; with
     ``either_style`` contigs are found with and without ``chr``, whatever the list says.
     """
+    column = place_of(df)
+    if column is not None:
+        narrowed = _by_place(df, regions, column)
+        if narrowed is not None:
+            return narrowed
     if either_style:
         regions = regions.withColumn("contig", norm_contig("contig"))
-    spans = _stretches(regions, span, most)
+    spans = stretches(regions, span, most)
     if not spans:
         return df
 
     def on(contig: str) -> Column:
         return F.col("contig").isin(contig, f"chr{contig}") if either_style else F.col("contig") == contig
 
+    def inside(some: list[tuple[str, int, int]]) -> Column:
+        return reduce(lambda a, b: a | b, [on(c) & (F.col("pos") >= s) & (F.col("pos") <= e) for c, s, e in some])
+
     contigs = list(dict.fromkeys(c for c, _, _ in spans))
-    if MB in df.columns:
-        places = {c: sorted({m for d, s, e in spans if d == c for m in range(s // 10**6, e // 10**6 + 1)}) for c in contigs}
-        tests = [on(c) & F.col(MB).isin(m) for c, m in places.items()]
-    elif len(contigs) > MAX_RANGES:
+    if len(spans) <= MAX_RANGES:
+        return df.filter(inside(spans))
+    if scan and len(contigs) <= MAX_CONTIGS:
+        per_contig = [merge_spans([x for x in spans if x[0] == c], MAX_RANGES) for c in contigs]
+        return reduce(lambda a, b: a.unionByName(b), [df.filter(inside(some)) for some in per_contig])
+    if len(contigs) > MAX_RANGES:
         names = [n for c in contigs for n in ((c, f"chr{c}") if either_style else (c,))]
-        tests = [F.col("contig").isin(names) & F.col("pos").between(min(s for _, s, _ in spans), max(e for _, _, e in spans))]
-    else:
-        few = merge_spans(spans, MAX_RANGES)
-        tests = [on(c) & (F.col("pos") >= s) & (F.col("pos") <= e) for c, s, e in few]
-    return df.filter(reduce(lambda a, b: a | b, tests))
+        return df.filter(F.col("contig").isin(names) & F.col("pos").between(min(s for _, s, _ in spans), max(e for _, _, e in spans)))
+    return df.filter(inside(merge_spans(spans, MAX_RANGES)))
 
 
 def prune_to_variants(df: DataFrame, ids: DataFrame, either_style: bool = False) -> DataFrame:

@@ -1,7 +1,8 @@
 """Left alignment of indels against a reference genome.
 
 The genome is a table ``(contig, chunk_no, seq)`` of equally long chunks, ``chunk_no`` from 0. An indel only ever
-needs the bases to its left, so each one meets exactly one row: its chunk with the chunk before it in front.
+needs the bases to its left, so each one meets exactly one row: its chunk with the chunk before it in front. Only chunks
+that an indel needs leave the genome table. A run that goes on beyond is followed through twice as many chunks each time.
 """
 
 from __future__ import annotations
@@ -9,9 +10,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from allelio.operators.joins import BROADCAST_BYTES, lookup_join, measured_bytes, stack, staged
+from allelio.operators.joins import lookup_join, measured_bytes, stack, staged
 
-PROBES = (16, 256)
+# Most moves are short: the bases next to an indel are searched first.
+NEAR = 63
 
 
 def common_prefix(a: str, b: str, n: str) -> str:
@@ -20,15 +22,17 @@ def common_prefix(a: str, b: str, n: str) -> str:
     return f"(CASE WHEN {n} <= 0 THEN 0 ELSE coalesce(nullif(CAST(array_position({same}, false) AS INT), 0) - 1, {n}) END)"
 
 
-def genome_windows(genome: DataFrame, chunk: int) -> DataFrame:
-    """Each chunk with the one before it in front, and the position of the window's first base."""
-    before = genome.selectExpr("contig", "chunk_no + 1 AS chunk_no", "seq AS before")
-    return genome.join(before, ["contig", "chunk_no"], "left").selectExpr(
-        "contig",
-        "chunk_no",
-        "upper(concat(coalesce(before, ''), seq)) AS window",
-        f"chunk_no * {chunk} + 1 - length(coalesce(before, '')) AS window_start",
-    )
+def genome_windows(genome: DataFrame, places: DataFrame, back: int) -> DataFrame:
+    """``contig, chunk_no, window, first``: for each of ``places`` its chunk with up to ``back`` chunks in front, and the first one's number.
+
+    The genome is filtered by the chunks that are needed; nothing else of it is moved.
+    """
+    needed = places.select("contig", "chunk_no", F.explode(F.sequence(F.greatest(F.col("chunk_no") - back, F.lit(0).cast("bigint")), F.col("chunk_no"))).alias("at"))
+    chunks = lookup_join(genome.select("contig", F.col("chunk_no").alias("at"), "seq"), needed, ["contig", "at"], stage=True)
+    found = chunks.groupBy("contig", "chunk_no").agg(F.sort_array(F.collect_list(F.struct("at", "seq"))).alias("parts"))
+    # Only what joins on without a gap to the place's own chunk.
+    whole = found.selectExpr("contig", "chunk_no", "filter(parts, (x, i) -> chunk_no - x.at = size(parts) - 1 - i) AS parts").filter("size(parts) > 0")
+    return whole.selectExpr("contig", "chunk_no", "upper(array_join(transform(parts, x -> x.seq), '')) AS window", "parts[0].at AS first")
 
 
 def trim_alleles(df: DataFrame) -> DataFrame:
@@ -61,27 +65,36 @@ def trim_alleles(df: DataFrame) -> DataFrame:
     )
 
 
-def _shift(df: DataFrame) -> DataFrame:
+def _equal_ends(front: str, n: str, most: int) -> str:
+    """SQL text: the largest k up to ``n`` (at most ``most``) for which ``front`` and ``front || indel`` have the same last k bases.
+
+    If k bases agree, so do fewer: bit by bit from the highest, each with one comparison of whole texts.
+    """
+    bits = ", ".join(str(1 << b) for b in reversed(range(most.bit_length())))
+    both = f"concat({front}, indel)"
+    return f"aggregate(array({bits}), 0, (k, b) -> CASE WHEN k + b <= {n} AND right({front}, k + b) = right({both}, k + b) THEN k + b ELSE k END)"
+
+
+def _shift(df: DataFrame, chunk: int, back: int) -> DataFrame:
     """Move each indel (``pos`` = its first base) left inside its window; ``at_edge`` if the window was too short.
 
-    Moving left by one is possible while the base in front equals the indel's last base; after i moves that base is
-    the indel read backwards, cyclically. So the longest move is the common prefix of two reversed texts.
+    Moving left by one is possible while the base in front equals the indel's last base, so the stretch that is moved over repeats
+    the indel: with the bases in front as one text, the longest move is the longest common end of that text with
+    and without the indel behind it.
     """
-    df = df.selectExpr("* EXCEPT (window)", "reverse(left(window, CAST(pos - window_start AS INT))) AS _front")
-    df = df.selectExpr("*", "length(_front) AS _n", "0 AS _k")
-    # Most moves are short: a longer stretch is compared only where the shorter one was equal throughout.
-    for before, reach in zip((0, *PROBES), (*[f"least(_n, {p})" for p in PROBES], "_n")):
-        cycle = f"repeat(reverse(indel), CAST(1 + {reach} / length(indel) AS INT))"
-        run = common_prefix("_front", cycle, reach)
-        df = df.selectExpr("* EXCEPT (_k)", f"CASE WHEN _k < {before} THEN _k ELSE {run} END AS _k")
+    start = f"first * {chunk} + 1"
+    df = df.selectExpr("* EXCEPT (window, first)", f"{start} AS window_start", f"CASE WHEN length(window) >= pos - ({start}) THEN left(window, CAST(pos - ({start}) AS INT)) END AS _front")
+    df = df.selectExpr("*", "length(_front) AS _n", f"right(_front, {NEAR}) AS _near")
+    df = df.selectExpr("* EXCEPT (_near)", f"{_equal_ends('_near', 'length(_near)', NEAR)} AS _k")
+    df = df.selectExpr("* EXCEPT (_k)", f"CASE WHEN _k < {NEAR} OR _n = {NEAR} THEN _k ELSE {_equal_ends('_front', '_n', (back + 1) * chunk)} END AS _k")
     # One base in front of the indel is its anchor; at the start of a contig the indel stops one base short. A window
     # of one base has nothing in front of it in the genome table: the run ends there.
     df = df.selectExpr("* EXCEPT (_k)", "least(_k, _n - 1) AS _k")
     return df.selectExpr(
         "* EXCEPT (_front, _n, _k, window_start)",
         "pos - _k AS _pos",
-        "left(concat(reverse(left(_front, _k)), indel), length(indel)) AS _indel",
-        "substring(_front, _k + 1, 1) AS _anchor",
+        "left(concat(right(_front, _k), indel), length(indel)) AS _indel",
+        "substring(_front, _n - _k, 1) AS _anchor",
         "_k = _n - 1 AND _n > 1 AND window_start > 1 AS at_edge",
     )
 
@@ -91,8 +104,9 @@ def normalise(df: DataFrame, genome: DataFrame, chunk: int) -> DataFrame:
 
     ``df`` is read twice, once for the rows that stay and once for those that may move: stage a costly one first.
 
-    Rows that cannot move (SNVs, trimmed replacements, symbolic alleles) never meet the genome. An indel that reaches
-    the left edge of its window is moved again from there, so a run of any length is followed to its end.
+    Rows that cannot move (SNVs, trimmed replacements, symbolic alleles) never meet the genome, and chunks that no indel needs
+    are never moved. An indel that reaches the left edge of its window goes on from there with twice as many chunks, so a run
+    of any length is followed to its end in as many turns as its length has bits.
     """
     cols = df.columns
     trimmed = trim_alleles(df)
@@ -101,17 +115,12 @@ def normalise(df: DataFrame, genome: DataFrame, chunk: int) -> DataFrame:
     todo = trimmed.filter(can_move).selectExpr("*", "length(ref) > length(alt) AS deletion")
     place = ["contig", "chunk_no"]
     others = [c for c in cols if c not in ("pos", "ref", "alt")]
-    few = False
+    back = 1
     while True:
         # pos - 1 is the last base needed; an indel at the first base of a chunk takes the window before it.
-        placed = todo.selectExpr("*", f"(pos - 2) div {chunk} AS chunk_no")
-        if few:
-            chunks = placed.selectExpr("contig", "explode(array(chunk_no, chunk_no - 1)) AS chunk_no")
-            part = genome.join(F.broadcast(chunks.distinct()), place, "left_semi")
-            found = genome_windows(part, chunk).join(F.broadcast(placed), place)
-        else:
-            found = lookup_join(placed, genome_windows(genome, chunk), place, "left", small=False, salts=4)
-        moved, _ = staged(_shift(found), "moved")
+        placed, _ = staged(todo.selectExpr("*", f"(pos - 2) div {chunk} AS chunk_no"), "placed")
+        windows = genome_windows(genome, placed.select(*place).distinct(), back)
+        moved, _ = staged(_shift(lookup_join(placed, windows, place, "left", stage=True), chunk, back), "moved")
         # Without a window the genome table does not hold the place, and the row stays as it was.
         done.append(
             moved.filter("NOT coalesce(at_edge, false)").selectExpr(
@@ -122,8 +131,7 @@ def normalise(df: DataFrame, genome: DataFrame, chunk: int) -> DataFrame:
             ).select(*cols)
         )
         edge = moved.filter("at_edge")
-        left = measured_bytes(edge)
-        if left == 0:
+        if measured_bytes(edge) == 0:
             return stack(done)
-        few = left <= BROADCAST_BYTES
         todo = edge.selectExpr("* EXCEPT (pos, indel, _pos, _indel, _anchor, at_edge, chunk_no)", "_pos AS pos", "_indel AS indel")
+        back *= 2

@@ -1,6 +1,6 @@
-"""Python data sources for binary files that Spark has no reader for: block-gzip text and PLINK ``.bed``.
+"""Binary files that Spark has no reader for: a Python data source of block-gzip text, and the decoding of PLINK files.
 
-Both split one file into byte ranges, so a large file is read by many tasks, each in constant memory.
+Files are split into byte ranges, so a large file is read by many tasks, each in constant memory.
 """
 
 from __future__ import annotations
@@ -54,6 +54,13 @@ class ByteRange(InputPartition):
         self.path, self.start, self.end = path, start, end
 
 
+def first_line(path: str) -> str:
+    """First line of a block-gzip file, without reading more than it."""
+    for line in bgzf_lines(path, 0, 1):
+        return line.rstrip(b"\r").decode()
+    return ""
+
+
 # --- block gzip -------------------------------------------------------------
 
 
@@ -133,30 +140,39 @@ class BgzfReader(DataSourceReader):
 
     def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
         batch: list[str] = []
+        top = partition.start == 0
+
+        def rows() -> pa.RecordBatch:
+            first = [top, *[False] * (len(batch) - 1)]
+            return pa.RecordBatch.from_pydict({"value": batch, "path": [partition.path] * len(batch), "first": first})
+
         for line in bgzf_lines(partition.path, partition.start, partition.end):
             batch.append(line.rstrip(b"\r").decode())
             if len(batch) == BATCH_LINES:
-                yield pa.RecordBatch.from_pydict({"value": batch})
-                batch = []
+                yield rows()
+                batch, top = [], False
         if batch:
-            yield pa.RecordBatch.from_pydict({"value": batch})
+            yield rows()
 
 
 class BgzfText(DataSource):
-    """``spark.read.format("bgzf_text").load(path)``: lines of block-gzip files, split inside a file."""
+    """``spark.read.format("bgzf_text").load(path)``: lines of block-gzip files, split inside a file.
+
+    ``path`` names a line's file, ``first`` tells whether it is the file's first line.
+    """
 
     @classmethod
     def name(cls) -> str:
         return "bgzf_text"
 
     def schema(self) -> str:
-        return "value string"
+        return "value string, path string, first boolean"
 
     def reader(self, schema) -> BgzfReader:
         return BgzfReader(self.options)
 
 
-# --- PLINK bed --------------------------------------------------------------
+# --- PLINK ------------------------------------------------------------------
 
 
 def decode_bed(raw: bytes, n_variants: int, n_samples: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -168,50 +184,58 @@ def decode_bed(raw: bytes, n_variants: int, n_samples: int) -> tuple[np.ndarray,
     return variant, sample, BED_ALT_DOSAGE[code], code == BED_MISSING
 
 
-class BedReader(DataSourceReader):
-    def __init__(self, options: dict):
-        self.path = options["path"]
-        self.n_samples = int(options["nsamples"])
-        self.stride = (self.n_samples + 3) // 4
-        self.split = int(options.get("splitbytes", 16 * 1024 * 1024))
-
-    def partitions(self) -> list[ByteRange]:
-        size = sum(s for _, s in list_files(self.path))
-        with open_file(self.path) as f:
-            if f.read_at(3, 0) != BED_MAGIC:
-                raise ValueError("not a variant-major .bed file")
-        n, odd = divmod(size - 3, self.stride)
-        if odd:
-            raise ValueError("size of the .bed file does not fit the number of samples")
-        block = max(1, self.split // self.stride)
-        return [ByteRange(self.path, v, min(v + block, n)) for v in range(0, n, block)]
-
-    def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
-        step = max(1, BATCH_CALLS // max(self.n_samples, 1))
-        with open_file(partition.path) as f:
-            for v in range(partition.start, partition.end, step):
-                n = min(step, partition.end - v)
-                raw = f.read_at(n * self.stride, 3 + v * self.stride)
-                variant, sample, dosage, missing = decode_bed(raw, n, self.n_samples)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(variant.astype(np.int64) + v),
-                        pa.array(sample.astype(np.int64)),
-                        pa.array(dosage, mask=missing),
-                    ],
-                    names=["variant_index", "sample_index", "alt_dosage"],
-                )
-
-
-class PlinkBed(DataSource):
-    """``spark.read.format("plink_bed").option("nSamples", n).load(path)``: sparse calls by index."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "plink_bed"
+def bed_size(path: str) -> int:
+    """Bytes of a variant-major ``.bed`` file behind its magic number; other files are refused."""
+    with open_file(path) as f:
+        if f.read_at(3, 0) != BED_MAGIC:
+            raise ValueError(f"not a variant-major .bed file: {path}")
+        return f.size() - 3
 
-    def schema(self) -> str:
-        return "variant_index bigint, sample_index bigint, alt_dosage int"
 
-    def reader(self, schema) -> BedReader:
-        return BedReader(self.options)
+def lines_between(path: str, start: int, end: int) -> list[bytes]:
+    """Lines of a plain text file that begin in a byte range."""
+    with open_file(path) as f:
+        size = f.size()
+        at = max(start - 1, 0)
+        data = f.read_at(min(end, size) - at, at)
+        # A line that begins before the range ends at the range's start or inside it, or covers it wholly.
+        begin = 0 if start == 0 else data.find(b"\n") + 1
+        if start and not begin:
+            return []
+        at = min(end, size)
+        while not data.endswith(b"\n") and at < size:  # the last line goes on
+            more = f.read_at(min(4096, size - at), at)
+            cut = more.find(b"\n") + 1
+            data, at = data + (more[:cut] if cut else more), at + len(more)
+        return [x for x in data[begin:].split(b"\n") if x.strip()]
+
+
+def plink_sites(lines: list[bytes]) -> dict[str, np.ndarray]:
+    """``contig, pos, ref, alt, variant_id`` of ``.bim`` lines; allele 1 is ALT, contigs are named with prefix."""
+    cells = [line.split() for line in lines]
+    codes = {b"23": "X", b"24": "Y", b"25": "X", b"26": "M"}
+    text = lambda i: np.array([c[i].decode() for c in cells], object)
+    plain = [c[0][3:] if c[0].startswith(b"chr") else c[0] for c in cells]
+    contig = np.array(["chr" + (codes.get(c) or c.decode()) for c in plain], object)
+    return {"contig": contig, "pos": np.array([int(c[3]) for c in cells], np.int64), "ref": text(5), "alt": text(4), "variant_id": text(1)}
+
+
+def plink_calls(stem: str, first: int, lines: list[bytes], samples: pa.Array, keep: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Calls of the variants of consecutive ``.bim`` lines that are kept; ``first`` is the first one's number in the file."""
+    sites, n = plink_sites(lines), len(samples)
+    stride = (n + 3) // 4
+    step = max(1, BATCH_CALLS // max(n, 1))
+    with open_file(f"{stem}.bed") as f:
+        for at in range(0, len(lines), step):
+            some = np.flatnonzero(keep[at : at + step])
+            if not len(some):
+                continue
+            a, b = at + int(some[0]), at + int(some[-1]) + 1
+            variant, sample, dosage, missing = decode_bed(f.read_at((b - a) * stride, 3 + (first + a) * stride), b - a, n)
+            kept = keep[a + variant]
+            variant, sample, dosage, missing = a + variant[kept], sample[kept], dosage[kept], missing[kept]
+            columns = [pa.array(sites[c]).take(pa.array(variant)) for c in ("contig", "pos", "ref", "alt", "variant_id")]
+            yield pa.RecordBatch.from_arrays(
+                [*columns, samples.take(pa.array(sample)), pa.array(dosage, mask=missing), pa.array([stem] * len(variant), pa.string())],
+                names=["contig", "pos", "ref", "alt", "variant_id", "sample_id", "alt_dosage", "path"],
+            )

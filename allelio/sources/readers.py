@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,9 +12,9 @@ from pyspark.sql import types as T
 from allelio import schemas
 from allelio.functions.fields import flip_dosage
 from allelio.functions.keys import norm_contig, parse_interval
-from allelio.operators.intervals import MB, prune_to_regions
+from allelio.operators.intervals import merge_spans, place_of, prune_to_regions, stretches
 from allelio.operators.joins import lookup_join
-from allelio.sources.blocks import BgzfText, PlinkBed
+from allelio.sources import blocks
 
 VCF_FIELDS = ["contig", "pos", "id", "ref", "alts", "qual", "filter", "info"]
 
@@ -20,8 +23,8 @@ def _positional(spark: SparkSession, path: str, schema: str, regions: DataFrame
     wanted = T.StructType.fromDDL(schema).names
     table = spark.read.schema(schema).parquet(path)
     if regions is not None:
-        table = prune_to_regions(table, regions, either_style=True)
-    return table.select(*wanted, *[c for c in (MB,) if place and c in table.columns])
+        table = prune_to_regions(table, regions, either_style=True, scan=True)
+    return table.select(*wanted, *[c for c in (place_of(table),) if place and c])
 
 
 def read_sites(
@@ -50,11 +53,15 @@ def read_genotypes(
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """Text lines as ``value``, plain, ``.gz`` or ``.bgz``."""
     if path.endswith(".bgz"):
-        spark.dataSource.register(BgzfText)
-        return spark.read.format("bgzf_text").load(path)
+        return _block_lines(spark, path).select("value")
     return spark.read.text(path)
 
 
+def _block_lines(spark: SparkSession, path: str) -> DataFrame:
+    spark.dataSource.register(blocks.BgzfText)
+    return spark.read.format("bgzf_text").load(path)
+
+
 def parse_vcf(lines: DataFrame) -> DataFrame:
     """Variant rows of VCF lines; genotype columns, if any, are left out. ``.`` is NULL."""
     cells = F.split("value", "\t", 9)
@@ -77,27 +84,71 @@ def _named(raw: DataFrame, columns: dict[str, tuple[str, str]], extra: list) ->
     return raw.select(*[F.col(f"`{h}`").try_cast(t).alias(c) for h, (c, t) in columns.items()], *extra)
 
 
+#: Different headers that the files of one table may have.
+MAX_HEADERS = 64
+
+
+def file_headers(spark: SparkSession, path: str) -> DataFrame:
+    """``path, header``: the first line of every file that ``path`` names; empty files have none."""
+    if path.endswith(".bgz"):
+
+        def first(batches):
+            import pyarrow as pa
+
+            for batch in batches:
+                names = batch.column("path").to_pylist()
+                yield pa.RecordBatch.from_pydict({"path": names, "header": [blocks.first_line(n) for n in names]})
+
+        files = spark.createDataFrame([(f,) for f, _ in blocks.list_files(path)], "path string")
+        return files.repartition(spark.sparkContext.defaultParallelism).mapInArrow(first, "path string, header string").filter("header <> ''")
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"))
+    # Rows of a file's first block come in order.
+    tops = lines.filter("start = 0").withColumn("at", F.monotonically_increasing_id())
+    return tops.groupBy("path").agg(F.min_by("value", "at").alias("header"))
+
+
+def _header_places(header: str, columns: dict[str, tuple[str, str]], path: str) -> dict[str, int]:
+    names = header.split("\t")
+    lost = [h for h in columns if h not in names]
+    if lost:
+        raise ValueError(f"no column {lost[0]!r} in {path}")
+    return {h: names.index(h) for h in columns}
+
+
 def read_tsv(
     spark: SparkSession, path: str, columns: dict[str, tuple[str, str]], null_value: str = ".", with_path: bool = False
 ) -> DataFrame:
     """Tab-separated text with a header, columns taken by header name; text that is no number becomes NULL.
 
-    ``columns`` maps a header name to (column, type). Names with blanks, ``#`` or ``:`` are fine. Several files must have
-    one header: a file whose columns are named or ordered otherwise is refused when it is read.
+    ``columns`` maps a header name to (column, type). Names with blanks, ``#`` or ``:`` are fine. Each file is read by its own
+    header, so files may name their columns in any order and have others beside them; a file that lacks one of ``columns`` is refused, as are
+    more than ``MAX_HEADERS`` different headers. Only a file's first line is its header, wherever else the same line stands.
+    Plain, ``.gz`` and ``.bgz`` files.
     """
+    grouped = file_headers(spark, path).groupBy("header").agg(F.min("path").alias("example"), F.count(F.lit(1)).alias("files"))
+    kinds = grouped.orderBy("header").limit(MAX_HEADERS + 1).collect()
+    if len(kinds) > MAX_HEADERS:
+        raise ValueError(f"more than {MAX_HEADERS} different headers in {path}")
+    places = {r["header"]: _header_places(r["header"], columns, r["example"]) for r in kinds}
     if path.endswith(".bgz"):
-        lines = read_lines(spark, path)
-        header = lines.first()["value"]
+        known = spark.createDataFrame([(h, *p.values()) for h, p in places.items()], T.StructType.fromDDL(", ".join(["header string", *[f"p{i} int" for i in range(len(columns))]])))
+        known = lookup_join(file_headers(spark, path), known, "header").drop("header")
+        rows = lookup_join(_block_lines(spark, path).filter("NOT first AND value <> ''"), known, "path", "left")
         cells = F.split("value", "\t")
-        raw = lines.filter(F.col("value") != header).select(
-            *[
-                F.nullif(F.nullif(F.get(cells, F.lit(i)), F.lit(null_value)), F.lit("")).alias(h)
-                for i, h in enumerate(header.split("\t"))
-            ]
-        )
-        return _named(raw, columns, [])
-    raw = spark.read.csv(path, sep="\t", header=True, enforceSchema=False, quote="", nullValue=null_value, emptyValue="")
-    return _named(raw, columns, [F.col("_metadata.file_path").alias("path")] if with_path else [])
+        raw = rows.select("path", *[F.nullif(F.nullif(F.get(cells, F.col(f"p{i}")), F.lit(null_value)), F.lit("")).alias(h) for i, h in enumerate(columns)])
+        return _named(raw, columns, ["path"] if with_path else [])
+
+    def read(paths: str | list[str]) -> DataFrame:
+        raw = spark.read.csv(paths, sep="\t", header=True, enforceSchema=False, quote="", nullValue=null_value, emptyValue="")
+        return _named(raw, columns, [F.col("_metadata.file_path").alias("path")] if with_path else [])
+
+    if len(kinds) <= 1:
+        return read(path)
+    files: dict[str, list[str]] = {}
+    for r in file_headers(spark, path).collect():
+        files.setdefault(r["header"], []).append(r["path"])
+    parts = [read(files[h]) for h in sorted(files)]
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 def read_glob(spark: SparkSession, folder: str, pattern: str, columns: dict[str, tuple[str, str]]) -> DataFrame:
@@ -211,15 +262,124 @@ def read_bim(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_plink(spark: SparkSession, prefix: str, split_bytes: int | None = None) -> DataFrame:
-    """PLINK bed/bim/fam to long sparse calls; homozygous reference calls have no row, a missing call is NULL."""
-    fam, bim = read_fam(spark, f"{prefix}.fam"), read_bim(spark, f"{prefix}.bim")
-    spark.dataSource.register(PlinkBed)
-    reader = spark.read.format("plink_bed").option("nSamples", fam.count())
-    if split_bytes:
-        reader = reader.option("splitBytes", split_bytes)
-    calls = reader.load(f"{prefix}.bed")
-    people = fam.select(F.col("line").alias("sample_index"), "sample_id")
-    sites = bim.withColumnRenamed("line", "variant_index")
-    named = lookup_join(lookup_join(calls, sites, "variant_index"), people, "sample_index")
-    return named.select("contig", "pos", "ref", "alt", "variant_id", "sample_id", "alt_dosage")
+def _uri(path: str) -> str:
+    return f"file:///{path[6:]}" if path.startswith("file:/") and not path.startswith("file:///") else path
+
+
+def plink_files(spark: SparkSession, prefix: str) -> dict[str, int]:
+    """Bytes of the ``.bim`` file of every file set whose name without ending matches ``prefix`` (a pattern in any part of the path)."""
+
+    def listed(ending: str) -> dict[str, int]:
+        try:
+            files = spark.read.format("binaryFile").load(f"{prefix}.{ending}").select("path", "length").collect()
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            files = []
+        return {_uri(r["path"]).removesuffix(f".{ending}"): r["length"] for r in files}
+
+    found = {e: listed(e) for e in ("bed", "bim", "fam")}
+    lacking = set(found["bed"]) ^ set(found["bim"]) | set(found["bed"]) ^ set(found["fam"])
+    if lacking or not found["bed"]:
+        raise ValueError(f"not all of .bed, .bim and .fam are there for {min(lacking, default=prefix)}")
+    return found["bim"]
+
+
+def plink_index(spark: SparkSession, files: dict[str, int], range_bytes: int) -> DataFrame:
+    """Line index of all ``.bim`` files: ``stem, start, end, n_lines, spans`` per byte range, ``n_samples`` and ``bed_bytes`` with a file's first range.
+
+    ``spans`` are the contigs of a range with their first and last position.
+    """
+    ranges = [(stem, at, min(at + range_bytes, size)) for stem, size in sorted(files.items()) for at in range(0, max(size, 1), range_bytes)]
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for stem, start, end in zip(*[batch.column(c).to_pylist() for c in ("stem", "start", "end")]):
+                lines = blocks.lines_between(f"{stem}.bim", start, end)
+                spans: dict[str, list[int]] = {}
+                if lines:
+                    sites = blocks.plink_sites(lines)
+                    for contig in set(sites["contig"]):
+                        at = sites["pos"][sites["contig"] == contig]
+                        spans[contig] = [int(at.min()), int(at.max())]
+                n = bed = None
+                if start == 0:
+                    n = len(blocks.lines_between(f"{stem}.fam", 0, 1 << 62))
+                    bed = blocks.bed_size(f"{stem}.bed")
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([stem]), pa.array([start]), pa.array([end]), pa.array([len(lines)]), pa.array([n], pa.int64()), pa.array([bed], pa.int64()),
+                     pa.array([[(c, *s) for c, s in spans.items()]], pa.list_(pa.struct([("contig", pa.string()), ("first", pa.int64()), ("last", pa.int64())])))],
+                    names=["stem", "start", "end", "n_lines", "n_samples", "bed_bytes", "spans"],
+                )
+
+    schema = "stem string, start long, end long, n_lines long, n_samples long, bed_bytes long, spans array<struct<contig:string,first:long,last:long>>"
+    listed = spark.createDataFrame(ranges, "stem string, start long, end long")
+    return listed.repartition(min(len(ranges), 8 * spark.sparkContext.defaultParallelism)).mapInArrow(run, schema)
+
+
+def read_plink(
+    spark: SparkSession, prefix: str, split_bytes: int | None = None, regions: DataFrame | None = None, with_path: bool = False, range_bytes: int = 256 << 10
+) -> DataFrame:
+    """PLINK bed/bim/fam to long sparse calls; homozygous reference calls have no row, a missing call is NULL.
+
+    ``prefix`` may be a pattern for many file sets, also in folder names; ``with_path`` adds the set's path without ending, from which
+    ``with_provenance`` takes dataset and gene. Each task reads a stretch of a ``.bim`` file, found by an index of lines per
+    byte range, and the bytes of the ``.bed`` file that belong to it, so calls get their variant and sample where they are decoded: nothing
+    is joined. ``regions`` (closed) leaves out ranges that hold none of them, and other variants before they are decoded.
+    A ``.bed`` file whose size does not fit its ``.bim`` and ``.fam`` is refused. A task holds a file set's sample ids.
+    """
+    wanted: dict[str, list[tuple[int, int]]] | None = None
+    if regions is not None:
+        wanted = {}
+        spans = regions.select(norm_contig("contig", "chr").alias("contig"), "start_pos", "end_pos")
+        found = merge_spans(stretches(spans))
+        for c, s, e in found:
+            wanted.setdefault(c, []).append((s, e))
+        if not found and not regions.isEmpty():  # on too many contigs to name them
+            wanted = None
+    schema = "contig string, pos long, ref string, alt string, variant_id string, sample_id string, alt_dosage int, path string"
+    # One row per range: as many as there are file splits.
+    index = sorted(plink_index(spark, plink_files(spark, prefix), range_bytes).collect(), key=lambda r: (r["stem"], r["start"]))
+    tasks, first, n, left = [], 0, 0, {}
+    for r in index:
+        if r["start"] == 0:
+            first, n = 0, r["n_samples"]
+            left[r["stem"]] = r["bed_bytes"]
+        stride = (n + 3) // 4
+        step = max(1, (split_bytes or 16 << 20) // max(stride, 1))
+        if wanted is None or any(s <= x["last"] and x["first"] <= e for x in r["spans"] for s, e in wanted.get(x["contig"], [])):
+            tasks += [(r["stem"], r["start"], r["end"], first, at, min(at + step, r["n_lines"])) for at in range(0, r["n_lines"], step)]
+        first += r["n_lines"]
+        left[r["stem"]] -= r["n_lines"] * stride
+    for stem, rest in left.items():
+        if rest:
+            raise ValueError(f"size of {stem}.bed does not fit the number of variants and samples")
+    if not tasks:
+        return spark.createDataFrame([], schema).select(*T.StructType.fromDDL(schema).names[: 8 if with_path else 7])
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        known: tuple[str, pa.Array] = ("", pa.array([]))
+        for batch in batches:
+            for stem, start, end, number, a, b in zip(*[batch.column(c).to_pylist() for c in ("stem", "start", "end", "first", "a", "b")]):
+                if known[0] != stem:
+                    known = (stem, pa.array([x.split()[1].decode() for x in blocks.lines_between(f"{stem}.fam", 0, 1 << 62)], pa.string()))
+                lines = blocks.lines_between(f"{stem}.bim", start, end)[a:b]
+                keep = np.ones(len(lines), bool)
+                if wanted is not None:
+                    sites = blocks.plink_sites(lines)
+                    keep[:] = False
+                    for contig in set(sites["contig"]):
+                        here, spans = sites["contig"] == contig, wanted.get(contig, [])
+                        at = np.searchsorted([s for s, _ in spans], sites["pos"], "right") - 1 if spans else np.full(len(lines), -1)
+                        ends = np.array([e for _, e in spans] or [0])
+                        keep |= here & (at >= 0) & (sites["pos"] <= ends[at])
+                yield from blocks.plink_calls(stem, number + a, lines, known[1], keep)
+
+    listed = spark.createDataFrame([(i, *t) for i, t in enumerate(tasks)], "task int, stem string, start long, end long, first long, a long, b long")
+    calls = listed.repartitionById(len(tasks), F.col("task")).mapInArrow(run, schema)
+    return calls if with_path else calls.drop("path")

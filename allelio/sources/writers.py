@@ -8,14 +8,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from allelio.functions.keys import contig_rank, variant_id
-from allelio.operators.intervals import MB
+from allelio.operators.intervals import PLACES, place_name
 from allelio.operators.joins import BROADCAST_BYTES, lookup_join, staged
 from allelio.operators.tiers import id_lists
+from allelio.sources.headers import COLUMN_LINE, FORMAT_LINE
 
-VCF_HEADER = [
-    "##fileformat=VCFv4.2",
-    "\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO"]),
-]
+VCF_HEADER = [FORMAT_LINE, COLUMN_LINE]
 ROWS_PER_FILE = 2_000_000
 
 
@@ -46,10 +44,11 @@ def write_vcf(
 ) -> None:
     """Sites-only VCF files, sorted by position, below ``<by>=.../part=...``, each with its own header.
 
-    A group larger than ``rows_per_file`` is spread over several parts. Header lines are rows that sort first in
+    ``header`` comes from ``header_lines``, which merges and repairs those of the files read. A group larger than ``rows_per_file`` is spread over several parts. Header lines are rows that sort first in
     their file, so nothing but Spark's own sort and text writer is needed.
     """
     header = header or VCF_HEADER
+    df, _ = staged(df, "vcf-rows")  # counted, then written
     sizes, size = staged(df.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / F.lit(rows_per_file)).alias("_parts")), "vcf-groups")
     place = F.xxhash64("contig", "pos", "ref", "alts" if "alts" in df.columns else "alt")
     rows = lookup_join(df, sizes, list(by), small=size <= BROADCAST_BYTES).select(
@@ -122,16 +121,16 @@ def write_genotypes(calls: DataFrame, path: str, by: tuple[str, ...] = ("dataset
     sorted_calls.write.mode("overwrite").partitionBy(*by).parquet(path)
 
 
-def write_by_position(df: DataFrame, path: str, by: tuple[str, ...] = ()) -> None:
-    """Parquet in partitions of (``by``, contig, million bases), sorted by position inside.
+def write_by_position(df: DataFrame, path: str, by: tuple[str, ...] = (), place: str = "place_100kb") -> None:
+    """Parquet in partitions of (``by``, place), sorted by position inside.
 
-    Readers that know the gene regions then open only the partitions these lie in. A crowded partition is written as
-    several files.
+    A place is 100,000 bases of a contig (``place_100kb``) or a million (``place_mb``, for small tables). Readers that know the
+    gene regions then open only the partitions these lie in. A crowded partition is written as several files.
     """
-    order = [c for c in ("pos", "ref", "alt", "sample_id") if c in df.columns]
-    places = [*by, "contig", MB]
-    placed = df.withColumn(MB, F.expr("CAST(pos div 1000000 AS INT)"))
-    balanced(placed, *places).sortWithinPartitions(*places, *order).write.mode("overwrite").partitionBy(*places).parquet(path)
+    order = [c for c in ("contig", "pos", "ref", "alt", "sample_id") if c in df.columns]
+    partitions = [*by, place]
+    placed = df.withColumn(place, place_name("contig", F.floor(F.col("pos") / PLACES[place]), place))
+    balanced(placed, *partitions).sortWithinPartitions(*partitions, *order).write.mode("overwrite").partitionBy(*partitions).parquet(path)
 
 
 def save_stage(df: DataFrame, base: str, name: str, sort_by: list[str] | None = None) -> DataFrame:

@@ -89,8 +89,15 @@ def test_flip_dosage(spark):
 def test_fix_info_header(spark):
     bad = '##INFO=<ID=AS_VQSLOD,Number=A,Type=Float,Description="">'
     good = '##INFO=<ID=AC,Number=A,Type=Integer,Description="Count">'
-    assert one(spark, fields.fix_info_header("l"), l=bad) == '##INFO=<ID=AS_VQSLOD,Number=.,Type=String,Description="Description not provided">'
-    assert one(spark, fields.fix_info_header("l"), l=good) == good
+    assert one(spark, fields.repair_header("l"), l=bad) == '##INFO=<ID=AS_VQSLOD,Number=.,Type=String,Description="Description not provided">'
+    assert one(spark, fields.repair_header("l"), l=good) == good
+    for line, want in [
+        ('##INFO=<ID=A,Description="",Number=1,Type=Integer>', '##INFO=<ID=A,Description="Description not provided",Number=.,Type=String>'),
+        ('##INFO=<ID=A,Number=1,Source="x, \\"y\\"",Type=Float,Description="",Version="3">', '##INFO=<ID=A,Number=.,Source="x, \\"y\\"",Type=String,Description="Description not provided",Version="3">'),
+        ('##FILTER=<ID=A,Description="">', '##FILTER=<ID=A,Description="">'),
+        ("##fileformat=VCFv4.2", "##fileformat=VCFv4.2"),
+    ]:
+        assert one(spark, fields.repair_header("l"), l=line) == want
 
 
 def test_geneinfo(spark):

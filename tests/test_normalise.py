@@ -66,6 +66,27 @@ def test_long_run_over_many_chunks(spark):
     assert got == {0: (2, "C", "CA"), 1: (2, "CAA", "C"), 2: (50, "A", "G")}
 
 
+def test_a_run_is_followed_in_few_turns(spark, monkeypatch):
+    from allelio.operators import normalise as module
+
+    turns, windows = [], module.genome_windows
+    monkeypatch.setattr(module, "genome_windows", lambda genome, places, back: turns.append(back) or windows(genome, places, back))
+    seq = "GC" + "ACA" * 300 + "T"
+    got = run(spark, {"c": seq, "d": "T" * 50}, [("c", 900, "ACA", "ACAACA"), ("c", 899, "AACA", "A"), ("d", 9, "T", "TT")], 10)
+    assert got == {i: brute(seq, *v) for i, v in enumerate([(900, "ACA", "ACAACA"), (899, "AACA", "A")])} | {2: got[2]}
+    assert got[2][0] <= 2
+    assert turns == [1, 2, 4, 8, 16, 32, 64]  # 90 chunks
+
+
+def test_a_genome_with_gaps(spark):
+    seq = "GC" + "A" * 60 + "T"
+    rows = [("c", i // 10, seq[i : i + 10]) for i in range(0, len(seq), 10) if i // 10 != 3]
+    df = spark.createDataFrame([(0, "c", 60, "A", "AA"), (1, "c", 35, "A", "AA"), (2, "c", 25, "A", "AA")], "row_id int, contig string, pos bigint, ref string, alt string")
+    out = {r.row_id: (r.pos, r.ref, r.alt) for r in normalise(df, spark.createDataFrame(rows, "contig string, chunk_no bigint, seq string"), 10).collect()}
+    # The run of the first ends where the genome table does, the second's place is not in it.
+    assert out == {0: (41, "A", "AA"), 1: (35, "A", "AA"), 2: (2, "C", "CA")}
+
+
 def test_contig_start(spark):
     got = run(spark, {"c": "AAAAT"}, [("c", 3, "AA", "A"), ("c", 1, "AA", "A")], 10)
     assert got[0] == (1, "AA", "A")

@@ -136,13 +136,24 @@ def test_dosages_count_alt(spark, tmp_path, rows):
         readers.dosage_calls(odd).collect()
 
 
-def test_files_with_other_headers_are_refused(spark, tmp_path):
-    (tmp_path / "a.tsv").write_text("ID\tFREQ\nx\t0.1\n")
-    (tmp_path / "b.tsv").write_text("FREQ\tID\n0.2\ty\n")
+@pytest.mark.parametrize("ending", ["tsv", "tsv.gz", "tsv.bgz"])
+def test_every_file_is_read_by_its_own_header(spark, tmp_path, ending):
+    def write(name, text):
+        data = text.encode()
+        (tmp_path / f"{name}.{ending}").write_bytes(bgzf(data, 9) if ending.endswith("bgz") else gzip.compress(data) if ending.endswith("gz") else data)
+
+    write("a", "ID\tFREQ\nx\t0.1\nID\tFREQ\n")  # a row that looks like the header is a row
+    write("b", "FREQ\tMore\tID\n0.2\tm\ty\n0.3\t\tz\n")
+    write("c", "ID\tFREQ\n")
     columns = {"ID": ("id", "string"), "FREQ": ("freq", "double")}
-    assert readers.read_tsv(spark, str(tmp_path / "a.tsv"), columns).collect()[0].freq == 0.1
-    with pytest.raises(Exception, match="(?i)header"):
-        readers.read_glob(spark, str(tmp_path), "*.tsv", columns).collect()
+    df = readers.read_glob(spark, str(tmp_path), f"*.{ending}", columns)
+    assert df.columns == ["id", "freq", "path"]
+    got = sorted((r.id, r.freq, r.path.rsplit("/", 1)[1][0]) for r in df.collect() if r.id != "ID")
+    assert got == [("x", 0.1, "a"), ("y", 0.2, "b"), ("z", 0.3, "b")]
+    assert [(r.freq, r.path.rsplit("/", 1)[1][0]) for r in df.collect() if r.id == "ID"] == [(None, "a")]
+    write("d", "NAME\tFREQ\nx\t0.1\n")
+    with pytest.raises(ValueError, match="no column 'ID'"):
+        readers.read_glob(spark, str(tmp_path), f"*.{ending}", columns)
 
 
 def test_arrays_go_through_text(spark, tmp_path, rows):
@@ -251,3 +262,101 @@ def test_region_reads_skip_row_groups(spark, tmp_path):
         df.explain("formatted")
     assert "GreaterThanOrEqual(pos,10)" in text.getvalue() and "LessThanOrEqual(pos,40)" in text.getvalue()
     assert df.count() == 31
+
+
+def plink_set(folder, name, codes, start, contig="2"):
+    folder.mkdir(parents=True, exist_ok=True)
+    n, people = codes.shape
+    (folder / f"{name}.bed").write_bytes(_bed(codes))
+    (folder / f"{name}.bim").write_text("".join(f"{contig}\t{name}:{v}\t0\t{start + 10 * v}\tG\tA{'C' * (v % 7)}\n" for v in range(n)))
+    (folder / f"{name}.fam").write_text("".join(f"0 {name}-{s} 0 0 1 -9\n" for s in range(people)))
+
+
+@pytest.mark.parametrize("split, range_bytes", [(None, 256 << 10), (5, 64), (1, 17)])
+def test_many_plink_sets(spark, tmp_path, split, range_bytes):
+    rng = np.random.default_rng(range_bytes)
+    sets = {}
+    for i, (dataset, gene, people) in enumerate([("exome", "TTN", 3), ("exome", "DSP", 5), ("acaf", "TTN", 9)]):
+        codes = rng.integers(0, 4, size=(40 + i, people), dtype=np.uint8)
+        sets[dataset, gene] = codes, 1000 * (i + 1)
+        plink_set(tmp_path / dataset, gene, codes, 1000 * (i + 1), contig="X" if gene == "DSP" else "2")
+    calls = readers.read_plink(spark, str(tmp_path / "*" / "*"), split, with_path=True, range_bytes=range_bytes)
+    df = readers.with_provenance(calls, {"dataset": r"([^/]+)/[^/]+$", "gene": r"([^/]+)$"})
+    assert df.columns == ["contig", "pos", "ref", "alt", "variant_id", "sample_id", "alt_dosage", "dataset", "gene"]
+    dosage = {0: 2, 1: None, 2: 1}
+    want = {
+        (d, g, f"{g}:{v}", f"{g}-{s}", start + 10 * v, dosage[c])
+        for (d, g), (codes, start) in sets.items()
+        for (v, s), c in np.ndenumerate(codes)
+        if c != 3
+    }
+    got = [(r.dataset, r.gene, r.variant_id, r.sample_id, r.pos, r.alt_dosage) for r in df.collect()]
+    assert len(got) == len(want) and set(got) == want
+    # Regions leave out what is outside them, whatever the style of contigs; calls are not joined with anything.
+    regions = spark.createDataFrame([("2", 1100, 1200), ("chrX", 2000, 2000), ("2", 900_000, 900_020)], "contig string, start_pos bigint, end_pos bigint")
+    part = readers.read_plink(spark, str(tmp_path / "*" / "*"), split, regions, range_bytes=range_bytes)
+    inside = {x[2:] for x in want if (x[1] == "TTN" and 1100 <= x[4] <= 1200) or (x[1] == "DSP" and x[4] == 2000)}
+    assert {(r.variant_id, r.sample_id, r.pos, r.alt_dosage) for r in part.collect()} == inside
+    assert "Join" not in part._jdf.queryExecution().toString()
+    assert readers.read_plink(spark, str(tmp_path / "*" / "*"), regions=regions.limit(0)).count() == 0
+
+
+def test_plink_sets_that_do_not_fit_are_refused(spark, tmp_path):
+    plink_set(tmp_path, "p", np.zeros((8, 5), np.uint8), 100)
+    (tmp_path / "p.fam").write_text("".join(f"0 s{s} 0 0 1 -9\n" for s in range(9)))
+    with pytest.raises(ValueError, match="does not fit"):
+        readers.read_plink(spark, str(tmp_path / "p"))
+    (tmp_path / "p.bim").unlink()
+    with pytest.raises(ValueError, match="not all of"):
+        readers.read_plink(spark, str(tmp_path / "*"))
+
+
+def test_headers_are_merged_over_files(spark, tmp_path):
+    from allelio.sources import headers
+
+    (tmp_path / "a.vcf").write_text(VCF)
+    other = '##fileformat=VCFv4.3\n##INFO=<ID=AC,Number=R,Type=Integer,Description="Counts">\n##contig=<ID=chrX>\n##note=x\n##note=x\n##note=y\n'
+    (tmp_path / "b.vcf").write_text(other + VCF.split("\n", 2)[2])
+    table = headers.read_header(spark, str(tmp_path / "*.vcf"))
+    assert table.count() == 8
+    lines = headers.header_lines(headers.merge_headers(table))
+    assert lines == [
+        "##fileformat=VCFv4.3",
+        '##INFO=<ID=AC,Number=.,Type=String,Description="Description not provided">',  # the first file's line counts
+        "##contig=<ID=chrX>",
+        "##note=x",
+        "##note=y",
+        "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO",
+    ]
+    got = {(r.kind, r.id, r.n) for r in table.select("kind", "id", headers.header_value("keys", "Number").alias("n")).collect()}
+    assert got == {("fileformat", None, None), ("INFO", "AC", "A"), ("INFO", "AC", "R"), ("contig", "chrX", None), ("note", None, None)}
+
+
+def test_a_stage_is_reused_only_if_nothing_changed(spark, tmp_path):
+    from allelio.sources import stages
+
+    built = []
+
+    def stage(n, params=None):
+        df = spark.read.parquet(str(tmp_path / "in"))
+        return stages.resumed_stage(str(tmp_path / "st"), "s", lambda: built.append(n) or df.selectExpr("id + 1 AS id"), [df], params)
+
+    spark.range(5).write.parquet(str(tmp_path / "in"))
+    assert stage(1).count() == 5 and stage(2).count() == 5 and built == [1]
+    spark.range(3).write.mode("append").parquet(str(tmp_path / "in"))
+    assert stage(3).count() == 8 and stage(4).count() == 8 and built == [1, 3]
+    assert stage(5, {"cutoff": 0.1}).count() == 8 and stage(6, {"cutoff": 0.1}).count() == 8 and stage(7, {"cutoff": 0.2}).count() == 8
+    assert built == [1, 3, 5, 7]
+    # A stage without manifest was not finished.
+    import shutil
+
+    shutil.rmtree(tmp_path / "st" / "_s.manifest")
+    assert stage(8, {"cutoff": 0.2}).count() == 8 and built[-1] == 8
+    memory = spark.createDataFrame([(1,)], "id int")
+    for n in (9, 10):
+        stages.resumed_stage(str(tmp_path / "st"), "m", lambda n=n: built.append(n) or memory, [memory])
+    assert built[-2:] == [9, 10]
+    stages.remove_stages(spark, str(tmp_path / "st"), ["s"])
+    assert sorted(p.name for p in (tmp_path / "st").iterdir() if not p.name.endswith(".crc")) == ["m"]
+    stages.remove_stages(spark, str(tmp_path / "st"))
+    assert not (tmp_path / "st").exists()
