@@ -176,20 +176,22 @@ def apply(docs: DataFrame) -> DataFrame:
     placed, parts, _ = taken_parts(docs)
     items = stage(placed.join(parts, ["no", "start"]).filter("size > 0").select("h1", "h2", "size", "first", "words"), "parts")
     flat = [F.col(f"`{c}`") for c in docs.columns]
-    hashed = docs.withColumn("_h1", F.xxhash64(F.lit(17), *flat)).withColumn("_h2", F.xxhash64(F.lit(29), *flat))
-    repeated = placed.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("h1").alias("_h1"), F.col("h2").alias("_h2"))
-    repeated = stage(repeated, "repeated")
+    # A row is one column from here on, so its columns may have any names.
+    hashed = docs.select(F.struct(*flat).alias("row"), F.xxhash64(F.lit(17), *flat).alias("h1"), F.xxhash64(F.lit(29), *flat).alias("h2"))
+    keys = ["h1", "h2"]
+    repeated = stage(placed.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(*keys), "repeated")
     if not repeated.isEmpty():
         # Each of the equal rows has parts of its own; one of them brings the text.
-        keys = ["_h1", "_h2"]
         some = lookup_join(hashed, repeated, keys, "left_semi")
-        one = some.groupBy(*keys).agg(F.min(F.struct(*flat)).alias("row")).select("row.*", *keys)
+        one = some.groupBy(*keys).agg(F.min("row").alias("row")).select("row", *keys)
         hashed = lookup_join(hashed, repeated, keys, "left_anti").unionByName(one)
-    spans = items.select(F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), F.struct("size", "first", "words").alias("_part"))
-    joined = lookup_join(hashed, spans, ["_h1", "_h2"])
-    whole = F.col("_part.words") == F.col("_part.size")
-    cut = F.array_join(F.slice(F.split(F.trim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " ")), " "), (F.col("_part.first") + 1).cast("int"), F.col("_part.words").cast("int")), " ")
-    out = joined.withColumn("text", F.when(whole, F.col("text")).otherwise(cut))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(whole, F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    spans = items.select(*keys, F.struct("size", "first", "words").alias("part"))
+    joined = lookup_join(hashed, spans, keys)
+    whole, text = F.col("part.words") == F.col("part.size"), F.col("row.text")
+    cut = F.array_join(F.slice(F.split(F.trim(F.regexp_replace(text, r"[\x20\x09-\x0D]+", " ")), " "), (F.col("part.first") + 1).cast("int"), F.col("part.words").cast("int")), " ")
+    joined = joined.withColumn("cut", F.when(whole, text).otherwise(cut))
+    own = {c: F.col(f"row.`{c}`") for c in docs.columns}
+    own["text"] = F.col("cut")
+    if "n_chars" in own:
+        own["n_chars"] = F.when(whole, own["n_chars"]).otherwise(F.length("cut")).cast(docs.schema["n_chars"].dataType)
+    return joined.select(*[value.alias(c) for c, value in own.items()])

@@ -73,6 +73,8 @@ class Model:
     pairs: list[tuple[int, int]]
     pair_tables: list[np.ndarray]
     intercept: float
+    #: False if the labels held no two classes, so that the scores tell nothing.
+    fitted: bool = True
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         """Probabilities of label 1 for rows of features."""
@@ -147,6 +149,7 @@ def fit(x: np.ndarray, y: np.ndarray) -> Model:
     model = Model(edges, [np.zeros(len(e) + 1) for e in edges], pair_edges, [], [], 0.0)
     if not n or len(set(y.tolist())) < 2:
         model.intercept = 4.0 if n and y[0] > 0 else -4.0 if n else 0.0
+        model.fitted = False
         return model
     bins = [np.searchsorted(e, x[:, j], side="right") for j, e in enumerate(edges)]
     total = np.zeros(n)

@@ -199,7 +199,7 @@ def materialise(docs: DataFrame, path: str | None = None, vocabulary: str | None
     """
     spark = docs.sparkSession
     path = path or scratch_path(spark, "shards")
-    placed, total = slotted(stage(sequences(docs, vocabulary), "sequences"), key)
+    placed, total = slotted(stage(sequences(docs, vocabulary), "sequences", "zstd"), key)
     if not total:
         return spark.createDataFrame([], "doc_id long, seq_no int, slot long, shard long, at_byte long, n_ids int, ids_sha256 string")
     write_shards(placed, total, path)

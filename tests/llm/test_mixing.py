@@ -119,6 +119,15 @@ def test_apply_gives_the_words_taken(spark):
     assert got == {i: n for i, n in taken.items() if n}
 
 
+def test_columns_may_have_any_names(spark):
+    rows = documents(3)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    extra = docs.selectExpr("*", "1 AS _h1", "2 AS h1", "'x' AS `row`", "3 AS _part", "4 AS part", "5 AS cut", "6 AS `a.b`")
+    out = mixing.apply(extra)
+    assert out.columns == extra.columns
+    assert {(r["_h1"], r["h1"], r["row"], r["_part"], r["part"], r["cut"], r["a.b"]) for r in out.collect()} == {(1, 2, "x", 3, 4, 5, 6)}
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     assert mixing.mix(docs).count() == 0
