@@ -1,7 +1,8 @@
 """Training-data pipeline over ``documents``: five stages, each written as Parquet and read again by the next.
 
-A stage takes ``(spark, docs, sf_dir)``; all but the last return the columns of ``docs``. Each works on all that the
-stage before it kept.
+A stage takes ``(spark, docs, sf_dir)``; all but the last return the columns of ``docs``, whatever other columns there are and however
+they are named. Each works on all that the stage before it kept. Null texts count as empty ones and very long texts are read
+whole; repeated rows are rows of their own until the near duplicates; an empty table gives an empty one in every stage.
 """
 
 from __future__ import annotations
@@ -14,15 +15,20 @@ from allelio.llm.common import stage, table
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts; it learns from the labels of the documents given."""
+    """Documents that the quality classifier accepts; it learns from the labels of the documents given.
+
+    Labels that give no model, as those of one class only, reject no document. A text without words is scored like others.
+    """
     model = quality.train(docs, table(spark, sf_dir, "labels"))
+    if not model.fitted:
+        return docs
     return docs.filter(quality.score(docs, model) >= 0.5)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity classifier does not mark; it learns from the labels of the documents given.
 
-    Labels that give no model, as those of one class only, remove no document.
+    Labels that give no model, as those of one class only, remove no document. A text without words is not toxic.
     """
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     if not model.fitted:
@@ -31,17 +37,23 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group whose fingerprints are linked: that with the smallest id."""
+    """One document of each group whose fingerprints are linked: that with the smallest id.
+
+    Texts without words are linked with each other. Of rows that share the id, or have none, the one with the smallest values stays.
+    """
     return simhash.keep_one(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, as often as it takes them; where a source's target ends, the words taken."""
+    """The documents that the mix takes, as often as it takes them; where a source's target ends, the words taken.
+
+    Documents without words give nothing to a mix of words and are not in it. A null source is a source of its own.
+    """
     return mixing.apply(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of each document's ids and of the text decoded from them."""
+    """Token counts and digests of each document's ids and of the text decoded from them; a null text has no ids."""
     return bpe.round_trip(docs)
 
 

@@ -59,3 +59,37 @@ def test_pipeline(spark, tmp_path):
     expected = Counter((i, len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(t.encode()).hexdigest()) for i, ids, t in rows)
     assert Counter(map(tuple, out.collect())) == expected
     assert Counter(map(tuple, corpus_pipeline.run(spark, SF).collect())) == expected
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def through(spark, docs, labels, folder):
+    labels.write.parquet(f"{folder}/labels.parquet")
+    counts = []
+    for k, (_, fn) in enumerate(corpus_pipeline.STAGES):
+        out = fn(spark, docs, str(folder))
+        if k < 4:
+            assert out.columns == docs.columns
+            out.write.parquet(f"{folder}/{k}")
+            docs = out = spark.read.parquet(f"{folder}/{k}")
+        counts.append(out.count())
+    return counts, out
+
+
+def test_odd_rows_and_labels_of_one_class(spark, tmp_path):
+    rows = [(i, f"document number {i} has words of its own, such as w{i * 7919} and v{i * 31}", "en", "a" if i % 3 else None, 60) for i in range(30)]
+    rows += [(100, None, None, "a", None), (101, "", "en", "a", 0), (102, " \t", "en", "a", 2), rows[3], (3, "another text under the same id", "en", "a", 30), (None, "a text without id", "en", "b", 17)]
+    docs = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 AS h1", "'x' AS fp", "2 AS label", "3 AS _h1")
+    only = spark.createDataFrame([(i, 0, 0) for i in range(30)], "doc_id long, quality int, toxic int")
+    counts, out = through(spark, docs, only, tmp_path)
+    # No label tells good from bad, so nothing goes before the near duplicates.
+    assert counts[:2] == [len(rows)] * 2
+    assert counts[2] <= len(rows) - 3 and counts[3] == counts[4] > 0
+    assert {r["doc_id"] for r in out.collect()} >= {i for i in range(30) if i != 3}
+
+
+def test_empty_table(spark, tmp_path):
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    counts, _ = through(spark, spark.createDataFrame([], SCHEMA), labels, tmp_path)
+    assert counts == [0] * 5
