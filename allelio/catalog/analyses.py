@@ -8,13 +8,13 @@ from allelio.catalog.columns import CONSEQUENCE_LAYOUT_SQL, _combined
 from allelio.catalog.registry import query
 from allelio.catalog.relations import BURDEN_SQL, CONSENSUS, ID, IS_GROUPS, IS_TOTALS, N_GROUPS, N_TOTALS, PLP, REVEL_ANY, STARS, cutoff, sites
 from allelio.catalog.sources import CATEGORY_SQL, SOURCE, VID
-from allelio.config import CARRIER_GENES, KNOWN_MECHANISM, PLP_GENES, TIER_GENES, VARIANT_KEY
+from allelio.config import CARRIER_GENES, KNOWN_MECHANISM, PAR_X, PLP_GENES, TIER_GENES, VARIANT_KEY
 from allelio.functions import keys
 from allelio.operators import carriers, evidence, frequency, tiers
 from allelio.operators.joins import stack, staged
 from allelio.operators.normalise import normalise
 from allelio.plans import pipelines
-from allelio.sources import readers, writers
+from allelio.sources import buckets, readers, writers
 
 # Fixture cutoffs: k / number of samples.
 RARE_K = 30.0
@@ -85,6 +85,27 @@ def cohort_popmax(fx):
     return pipelines.cohort_rare(fx.view("g_geno"), fx.view("g_sample"), ID, cutoff(fx, RARE_K))
 
 
+PAR = " OR ".join(f"x.pos BETWEEN {s} AND {e}" for s, e in PAR_X)
+FOUNDERS_SQL = f"""SELECT site_id, contig, pos, ancestry, alt_ct, obs_ct, CASE WHEN obs_ct <> 0 THEN CAST(alt_ct AS DOUBLE) / obs_ct END AS alt_freq FROM (
+ SELECT site_id, contig, pos, ancestry, CAST(coalesce(sum(alt), 0) AS BIGINT) AS alt_ct,
+  CAST(max(2 * n - CASE WHEN on_x THEN males ELSE 0 END) - coalesce(sum(CASE WHEN alt IS NULL THEN CASE WHEN one THEN 1 ELSE 2 END END), 0) AS BIGINT) AS obs_ct FROM (
+  SELECT *, CASE WHEN NOT one THEN alt_dosage WHEN alt_dosage = 2 THEN 1 WHEN alt_dosage = 0 THEN 0 END AS alt FROM (
+   SELECT x.site_id, x.contig, x.pos, p.ancestry, g.alt_dosage, t.n, t.males, x.contig = 'chrX' AND NOT ({PAR}) AS on_x,
+    x.contig = 'chrX' AND NOT ({PAR}) AND coalesce(p.sex, '') = 'male' AS one
+   FROM g_geno g JOIN g_xsite x USING (site_id) JOIN g_person p USING (sample_id)
+   JOIN (SELECT ancestry, count(*) AS n, count(*) FILTER (WHERE sex = 'male') AS males FROM g_person WHERE father_id = '0' AND mother_id = '0' GROUP BY ancestry) t USING (ancestry)
+   WHERE p.father_id = '0' AND p.mother_id = '0')) GROUP BY site_id, contig, pos, ancestry)"""
+
+
+@query("allele_frequency_founders", ["g_geno", "g_xsite", "g_person"], FOUNDERS_SQL)
+def allele_frequency_founders(fx):
+    # Founders only, with males haploid on X; calls and people in buckets of the sample, as for a cohort too large to broadcast.
+    calls = fx.view("g_geno").join(fx.view("g_xsite"), "site_id").select("site_id", "contig", "pos", "sample_id", "alt_dosage")
+    calls = buckets.write_buckets(calls, fx.scratch("calls"), buckets=4)
+    people = buckets.write_buckets(frequency.founders(fx.view("g_person")), fx.scratch("people"), buckets=4)
+    return frequency.allele_freq(calls, people, ["site_id", "contig", "pos"], bucketed=True)
+
+
 @query(
     "rare_variant_ids",
     ["g_popmax", "g_gnomad", "g_sample", "g_site"],

@@ -48,6 +48,21 @@ FROM part JOIN g_gene g ON p_brand = concat('Brand#', g.k)""",
         """
 SELECT c_custkey AS sample_id, CASE c_nationkey % 6 WHEN 0 THEN 'eur' WHEN 1 THEN 'afr' WHEN 2 THEN 'amr' WHEN 3 THEN 'eas'
  WHEN 4 THEN 'sas' ELSE 'mid' END AS ancestry FROM customer""",
+    ),
+    # People with sex and parents; those with a listed parent are no founders.
+    "g_person": (
+        ("g_sample",),
+        """
+SELECT sample_id, ancestry, CASE sample_id % 3 WHEN 0 THEN 'male' WHEN 1 THEN 'female' END AS sex,
+ CASE WHEN sample_id % 10 = 0 THEN concat('f', sample_id) ELSE '0' END AS father_id,
+ CASE WHEN sample_id % 15 = 0 THEN concat('m', sample_id) ELSE '0' END AS mother_id FROM g_sample""",
+    ),
+    # Sites of which every fourth is on chromosome X, one in three of them in a pseudo-autosomal region.
+    "g_xsite": (
+        ("g_site",),
+        """
+SELECT site_id, CASE WHEN site_id % 4 = 0 THEN 'chrX' ELSE contig END AS contig,
+ CASE WHEN site_id % 3 = 0 THEN pos ELSE pos + 3000000 END AS pos, ref, alt FROM g_site""",
     ),
     "g_geno": (
         (),

@@ -25,7 +25,7 @@ def _in_par() -> Column:
     return reduce(lambda a, b: a | b, [F.col("pos").between(s, e) for s, e in PAR_X])
 
 
-def _attach_samples(genotypes: DataFrame, samples: DataFrame, cols: list[str], sexed: bool) -> DataFrame:
+def _attach_samples(genotypes: DataFrame, samples: DataFrame, cols: list[str], sexed: bool, bucketed: bool) -> DataFrame:
     """Calls with ancestry, ALT alleles, missing ploidy, and the ploidy of the whole ancestry at this site.
 
     On chromosome X outside the pseudo-autosomal regions a male carries one allele; a heterozygous call there
@@ -38,7 +38,9 @@ def _attach_samples(genotypes: DataFrame, samples: DataFrame, cols: list[str], s
         F.count(F.lit(1)).alias("n"), F.count_if("male").alias("n_male")
     )  # one row per label in ANCESTRIES, so always small
     people = known.join(F.broadcast(totals), "ancestry")
-    calls = lookup_join(genotypes.select(*cols, "sample_id", "alt_dosage"), people, "sample_id", stage=True)
+    calls = genotypes.select(*cols, "sample_id", "alt_dosage")
+    # No sample holds more than its share of the calls, so the buckets of a sample key are even.
+    calls = calls.join(people.hint("merge"), "sample_id") if bucketed else lookup_join(calls, people, "sample_id", stage=True)
     haploid_site = F.col("contig").isin("X", "chrX") & ~_in_par() if sexed else F.lit(False)
     haploid = haploid_site & F.col("male")
     alt = F.when(haploid, F.when(F.col("alt_dosage") != 1, F.expr("alt_dosage div 2"))).otherwise(F.col("alt_dosage"))
@@ -49,13 +51,16 @@ def _attach_samples(genotypes: DataFrame, samples: DataFrame, cols: list[str], s
     )
 
 
-def allele_freq(genotypes: DataFrame, samples: DataFrame, key: list[str], by: tuple[str, ...] = ()) -> DataFrame:
+def allele_freq(genotypes: DataFrame, samples: DataFrame, key: list[str], by: tuple[str, ...] = (), bucketed: bool = False) -> DataFrame:
     """Long table: ALT count, called alleles and frequency per variant, ancestry (and e.g. ``dataset``).
 
+    ``bucketed`` is for calls and samples stored in equal buckets of ``sample_id`` (``write_buckets``): for a cohort too large to be
+    broadcast, they meet where they lie.
+
     Variants without any carrier or missing call in an ancestry have no row there; their frequency is 0.
     """
     cols = [*key, *by]
-    calls = _attach_samples(genotypes, samples, cols, _sexed(samples, key))
+    calls = _attach_samples(genotypes, samples, cols, _sexed(samples, key), bucketed)
     return (
         calls.groupBy(*cols, "ancestry")
         .agg(
@@ -70,14 +75,14 @@ def _sexed(samples: DataFrame, key: list[str]) -> bool:
     return "sex" in samples.columns and "contig" in key and "pos" in key
 
 
-def cohort_popmax(genotypes: DataFrame, samples: DataFrame, key: list[str], by: tuple[str, ...] = ()) -> DataFrame:
+def cohort_popmax(genotypes: DataFrame, samples: DataFrame, key: list[str], by: tuple[str, ...] = (), bucketed: bool = False) -> DataFrame:
     """Wide table ``af_<ancestry> ..., max_value`` straight from the calls.
 
     All ancestries are counted side by side in one aggregation, so the calls shuffle once and only after map-side
     counting. A frequency of 0 is NULL, as in ``combine_af``. Tables that hold the same call more than once (``by``,
-    e.g. ``dataset``) are counted apart, and the highest frequency of each ancestry is taken.
+    e.g. ``dataset``) are counted apart, and the highest frequency of each ancestry is taken. ``bucketed`` as in ``allele_freq``.
     """
-    calls = _attach_samples(genotypes, samples, [*key, *by], _sexed(samples, key))
+    calls = _attach_samples(genotypes, samples, [*key, *by], _sexed(samples, key), bucketed)
     counts = [
         F.expr(text)
         for a in ANCESTRIES

@@ -388,3 +388,23 @@ def test_consequences_are_aligned_after_alleles_met_their_annotation(spark):
     got = sorted((r.POS, r.REF, r.ALT, r.ALLELE, r.EFFECT, r.CLNSIG, r.category) for r in out.collect() if r.category != "clinvar")
     # The deletion moves to the start of the run, where ClinVar knows it; the insertion of "A" cannot move.
     assert got == [(2, "AT", "A", "T", "frameshift_variant", "Pathogenic", "lof"), (8, "T", "TA", "TTA", "stop_gained", None, "lof")]
+
+
+def test_calls_in_buckets_of_samples_are_not_shuffled_for_the_join(spark, tmp_path, no_broadcast):
+    import contextlib
+    import io
+
+    from allelio.operators import frequency
+    from allelio.sources import buckets
+
+    calls = spark.range(4000).selectExpr("'chr1' AS contig", "id % 37 AS pos", "'A' AS ref", "'G' AS alt", "id % 90 AS sample_id", "CAST(CASE WHEN id % 11 = 0 THEN NULL ELSE 1 + id % 2 END AS INT) AS alt_dosage")
+    people = spark.range(90).selectExpr("id AS sample_id", "CASE WHEN id % 2 = 0 THEN 'eur' ELSE 'afr' END AS ancestry")
+    want = sorted(map(tuple, frequency.cohort_popmax(calls, people, KEY).collect()))
+    stored = [buckets.write_buckets(t, str(tmp_path / n), buckets=4) for n, t in (("calls", calls), ("people", people))]
+    for left, right in (stored, [buckets.read_buckets(spark, str(tmp_path / n), ", ".join(f"{c} {k}" for c, k in t.dtypes), buckets=4) for n, t in (("calls", calls), ("people", people))]):
+        got = frequency.cohort_popmax(left, right, KEY, bucketed=True)
+        assert sorted(map(tuple, got.collect())) == want
+        text = io.StringIO()
+        with contextlib.redirect_stdout(text):
+            got.explain("formatted")
+        assert "hashpartitioning(sample_id" not in text.getvalue() and "SortMergeJoin" in text.getvalue()
