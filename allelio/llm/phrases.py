@@ -200,7 +200,8 @@ def _pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def frequent_pairs(indexed: DataFrame, least: int) -> tuple[np.ndarray, int]:
     """Bitmap of the hashes of word pairs that occur ``least`` times, and the number of its bits (a power of two)."""
     pairs = indexed.select("lang", "words", "forward", "reverse").mapInArrow(_pair_counts, "pair long, n long")
-    frequent = stage(pairs.groupBy("pair").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("pair"), "pairs")
+    # A shard has each pair once, so counting again before the shuffle would only fill the memory of the task.
+    frequent = stage(pairs.repartition("pair").groupBy("pair").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("pair"), "pairs")
     bits = 1 << 20
     while bits < min(16 * frequent.count(), MOST_BITS):
         bits *= 2
@@ -261,7 +262,8 @@ def frequent(docs: DataFrame, least: int = LEAST, depth: int = DEPTH, size: int
     words = counted.groupBy("lang", "phrase").agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
     totals = indexed.groupBy("lang").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda a, b: a + b)).alias("n"))
     bitmap, bits = frequent_pairs(indexed, least)
-    longer = phrase_counts(indexed, bitmap, bits, depth).groupBy("lang", "phrase", "words").agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
+    listed = phrase_counts(indexed, bitmap, bits, depth).repartition("lang", "phrase", "words")
+    longer = listed.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
     every = words.select("lang", "phrase", F.lit(1).alias("words"), "f").unionByName(longer)
     return stage(every, "frequent"), stage(totals, "totals")
 
