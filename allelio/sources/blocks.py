@@ -6,7 +6,9 @@ Files are split into byte ranges, so a large file is read by many tasks, each in
 from __future__ import annotations
 
 import fnmatch
+import json
 import posixpath
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -126,27 +128,152 @@ def bgzf_lines(path: str, start: int, end: int) -> Iterator[bytes]:
             yield rest
 
 
+# --- position indexes of block-gzip files ------------------------------------
+
+# Fixed values of the index formats.
+TBI_MAGIC, CSI_MAGIC = b"TBI\x01", b"CSI\x01"
+TBI_SHIFT, TBI_DEPTH = 14, 5
+
+
+def covering_bins(start: int, end: int, shift: int, depth: int) -> list[int]:
+    """Numbers of all bins that may hold a record that overlaps the 0-based half-open range, from the widest to the narrowest."""
+    bins: list[int] = []
+    first, width = 0, shift + 3 * depth
+    for level in range(depth + 1):
+        bins += range(first + (start >> width), first + (end - 1 >> width) + 1)
+        first, width = first + (1 << 3 * level), width - 3
+    return bins
+
+
+class PositionIndex:
+    """A ``.tbi`` or ``.csi`` index: per contig the chunks of each bin, and the offset from which records reach a window."""
+
+    def __init__(self, data: bytes):
+        self.data, self.at = data, 4
+        self.csi = data[:4] == CSI_MAGIC
+        if not self.csi and data[:4] != TBI_MAGIC:
+            raise ValueError("neither a .tbi nor a .csi index")
+        self.shift, self.depth = (self._ints(2) if self.csi else (TBI_SHIFT, TBI_DEPTH))
+        if self.csi:
+            (aux,) = self._ints(1)
+            names = data[self.at + 28 : self.at + aux]
+            self.at += aux
+            (n,) = self._ints(1)
+        else:
+            n, *_, size = self._ints(8)
+            names = data[self.at : self.at + size]
+            self.at += size
+        self.names = [x.decode() for x in names.split(b"\0") if x]
+        self.refs = [self._contig() for _ in range(n)]
+
+    def _ints(self, n: int) -> tuple[int, ...]:
+        self.at += 4 * n
+        return struct.unpack_from(f"<{n}i", self.data, self.at - 4 * n)
+
+    def _longs(self, n: int) -> tuple[int, ...]:
+        self.at += 8 * n
+        return struct.unpack_from(f"<{n}Q", self.data, self.at - 8 * n)
+
+    def _contig(self) -> tuple[dict[int, list[tuple[int, int]]], tuple[int, ...]]:
+        bins: dict[int, list[tuple[int, int]]] = {}
+        for _ in range(self._ints(1)[0]):
+            number = self._ints(1)[0] & 0xFFFFFFFF
+            if self.csi:
+                self._longs(1)
+            ends = self._longs(2 * self._ints(1)[0])
+            bins[number] = list(zip(ends[::2], ends[1::2], strict=True))
+        return bins, () if self.csi else self._longs(self._ints(1)[0])
+
+    def chunks(self, contig: str, start: int, end: int) -> list[tuple[int, int]]:
+        """Virtual offsets (file offset of a block << 16 | offset in its text) of what may overlap a 1-based closed range."""
+        plain = contig.removeprefix("chr")
+        found: list[tuple[int, int]] = []
+        for name, (bins, windows) in zip(self.names, self.refs, strict=True):
+            if name.removeprefix("chr") == plain:
+                # Positions the index cannot name lie behind all bins.
+                first, last = max(start - 1, 0), min(end, 1 << self.shift + 3 * self.depth)
+                window = first >> self.shift
+                least = windows[min(window, len(windows) - 1)] if windows else 0
+                if first < last:
+                    found += [c for b in covering_bins(first, last, self.shift, self.depth) for c in bins.get(b, []) if c[1] > least]
+        return found
+
+
+def read_index(path: str) -> PositionIndex | None:
+    """The index beside a block-gzip file, if there is one."""
+    for ending in (".tbi", ".csi"):
+        system, root = fs.FileSystem.from_uri(path + ending)
+        if system.get_file_info(root).type == fs.FileType.File:
+            with system.open_input_file(root) as f:
+                return PositionIndex(b"".join(text for _, text in _blocks(f, 0, f.size())))
+    return None
+
+
+class VirtualRange(InputPartition):
+    def __init__(self, path: str, start: int, end: int):
+        self.path, self.start, self.end = path, start, end
+
+
+def indexed_ranges(path: str, index: PositionIndex, regions: list[tuple[str, int, int]], split: int) -> list[VirtualRange]:
+    """Ranges of a file that hold all records of the regions, none twice, about ``split`` compressed bytes at most."""
+    out: list[VirtualRange] = []
+    for start, end in sorted({c for r in regions for c in index.chunks(*r)}):
+        if out and start <= out[-1].end:
+            if end <= out[-1].end:
+                continue
+            if (out[-1].end >> 16) - (out[-1].start >> 16) < split:
+                out[-1].end = end
+                continue
+            start = out[-1].end
+        out.append(VirtualRange(path, start, end))
+    return out
+
+
+def virtual_lines(path: str, start: int, end: int) -> Iterator[bytes]:
+    """Lines between two virtual offsets; indexes name only beginnings of lines."""
+    rest = b""
+    with open_file(path) as f:
+        for at, text in _blocks(f, start >> 16, f.size()):
+            if at > end >> 16:
+                break
+            text = text[: end & 0xFFFF] if at == end >> 16 else text
+            lines = (rest + (text[start & 0xFFFF :] if at == start >> 16 else text)).split(b"\n")
+            rest = lines.pop()
+            yield from lines
+    if rest:
+        yield rest
+
+
 class BgzfReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path = options["path"]
         self.split = int(options.get("splitbytes", 64 * 1024 * 1024))
+        self.regions = [tuple(r) for r in json.loads(options["regions"])] if "regions" in options else None
 
-    def partitions(self) -> list[ByteRange]:
-        return [
-            ByteRange(path, at, min(at + self.split, size))
-            for path, size in list_files(self.path)
-            for at in range(0, size, self.split)
-        ]
+    def partitions(self) -> list[InputPartition]:
+        out: list[InputPartition] = []
+        for path, size in list_files(self.path):
+            if path.endswith((".tbi", ".csi")):
+                continue
+            index = None if self.regions is None else read_index(path)
+            if index is not None:
+                out += indexed_ranges(path, index, self.regions, self.split)
+            else:
+                out += [ByteRange(path, at, min(at + self.split, size)) for at in range(0, size, self.split)]
+        return out or [ByteRange("", 0, 0)]
 
-    def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: ByteRange | VirtualRange) -> Iterator[pa.RecordBatch]:
+        if not partition.path:
+            return
         batch: list[str] = []
+        lines = virtual_lines if isinstance(partition, VirtualRange) else bgzf_lines
         top = partition.start == 0
 
         def rows() -> pa.RecordBatch:
             first = [top, *[False] * (len(batch) - 1)]
             return pa.RecordBatch.from_pydict({"value": batch, "path": [partition.path] * len(batch), "first": first})
 
-        for line in bgzf_lines(partition.path, partition.start, partition.end):
+        for line in lines(partition.path, partition.start, partition.end):
             batch.append(line.rstrip(b"\r").decode())
             if len(batch) == BATCH_LINES:
                 yield rows()
@@ -158,7 +285,8 @@ class BgzfReader(DataSourceReader):
 class BgzfText(DataSource):
     """``spark.read.format("bgzf_text").load(path)``: lines of block-gzip files, split inside a file.
 
-    ``path`` names a line's file, ``first`` tells whether it is the file's first line.
+    ``path`` names a line's file, ``first`` tells whether it is the file's first line. Option ``regions`` (JSON of contig, start, end,
+    closed) opens only the blocks that a ``.tbi`` or ``.csi`` index beside a file names for them; other lines may come with them.
     """
 
     @classmethod

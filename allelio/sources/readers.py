@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.errors import AnalysisException
@@ -12,7 +13,7 @@ from pyspark.sql import types as T
 from allelio import schemas
 from allelio.functions.fields import flip_dosage
 from allelio.functions.keys import norm_contig, parse_interval
-from allelio.operators.intervals import merge_spans, place_of, prune_to_regions, stretches
+from allelio.operators.intervals import filter_intervals, merge_spans, place_of, prune_to_regions, stretches
 from allelio.operators.joins import lookup_join
 from allelio.sources import blocks
 
@@ -71,9 +72,23 @@ def parse_vcf(lines: DataFrame) -> DataFrame:
     return rows.withColumns({"pos": F.col("pos").try_cast("bigint"), "alts": F.split("alts", ",")})
 
 
-def read_vcf(spark: SparkSession, path: str) -> DataFrame:
-    """VCF text to ``contig, pos, id, ref, alts[], qual, filter, info``, plus partition columns of the folder."""
-    return parse_vcf(read_lines(spark, path))
+def read_vcf(spark: SparkSession, path: str, regions: DataFrame | None = None) -> DataFrame:
+    """VCF text to ``contig, pos, id, ref, alts[], qual, filter, info``, plus partition columns of the folder.
+
+    ``regions`` (closed, contigs with or without ``chr``) keeps the rows whose position lies in one of them. Block-gzip files (``.bgz``, or ``.gz`` if
+    they are written in blocks) with an index beside them are then read only where it says.
+    """
+    if regions is None:
+        return parse_vcf(read_lines(spark, path))
+    plain = norm_contig("contig")
+    spans = regions.select(F.explode(F.array(plain, F.concat(F.lit("chr"), plain))).alias("contig"), "start_pos", "end_pos")
+    lines = read_lines(spark, path)
+    if path.endswith((".bgz", ".gz")):
+        found = stretches(regions.select(plain.alias("contig"), "start_pos", "end_pos"))
+        if found or regions.isEmpty():  # else on too many contigs to name them
+            spark.dataSource.register(blocks.BgzfText)
+            lines = spark.read.format("bgzf_text").option("regions", json.dumps(found)).load(path).select("value")
+    return filter_intervals(parse_vcf(lines), spans, closed=True)
 
 
 def read_vcf_header(spark: SparkSession, path: str) -> DataFrame:

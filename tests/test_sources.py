@@ -360,3 +360,71 @@ def test_a_stage_is_reused_only_if_nothing_changed(spark, tmp_path):
     assert sorted(p.name for p in (tmp_path / "st").iterdir() if not p.name.endswith(".crc")) == ["m"]
     stages.remove_stages(spark, str(tmp_path / "st"))
     assert not (tmp_path / "st").exists()
+
+
+def indexed_vcf(path, records, block, csi):
+    """A block-gzip VCF file with its index, made record by record as the format says."""
+    head = "##fileformat=VCFv4.2\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\n"
+    lines = [head, *[f"{c}\t{p}\t.\t{r}\tG\t.\tPASS\tN={i}\n" for i, (c, p, r) in enumerate(records)]]
+    data = "".join(lines).encode()
+    raw = bgzf(data, block)
+    path.write_bytes(raw)
+    begins, at = [], 0  # file offset of each block
+    while at < len(raw):
+        begins.append(at)
+        at += struct.unpack_from("<H", raw, at + 16)[0] + 1
+    virtual = lambda off: begins[off // block] << 16 | off % block
+    shift, depth = (12, 6) if csi else (14, 5)
+    contigs, offset = {}, len(head)
+    for (c, p, r), line in zip(records, lines[1:], strict=True):
+        first, last = p - 1, p - 1 + len(r) - 1
+        level = next(d for d in range(depth, -1, -1) if first >> shift + 3 * (depth - d) == last >> shift + 3 * (depth - d))
+        number = ((1 << 3 * level) - 1) // 7 + (first >> shift + 3 * (depth - level))
+        bins, windows = contigs.setdefault(c, ({}, {}))
+        bins.setdefault(number, []).append((virtual(offset), virtual(offset + len(line))))
+        for w in range(first >> 14, (last >> 14) + 1):
+            windows.setdefault(w, virtual(offset))
+        offset += len(line)
+    names = b"".join(c.encode() + b"\0" for c in contigs)
+    meta = struct.pack("<7i", 2, 1, 2, 0, ord("#"), 0, len(names)) + names
+    out = (b"CSI\1" + struct.pack("<3i", shift, depth, len(meta)) + meta + struct.pack("<i", len(contigs))) if csi else b"TBI\1" + struct.pack("<i", len(contigs)) + meta
+    for bins, windows in contigs.values():
+        out += struct.pack("<i", len(bins))
+        for number, chunks in bins.items():
+            out += struct.pack("<I", number) + (struct.pack("<Q", chunks[0][0]) if csi else b"") + struct.pack("<i", len(chunks))
+            out += b"".join(struct.pack("<2Q", *c) for c in chunks)
+        if not csi:
+            full, last = [], 0
+            for w in range(max(windows) + 1):
+                last = windows.get(w, last)
+                full.append(last)
+            out += struct.pack("<i", len(full)) + struct.pack(f"<{len(full)}Q", *full)
+    path.with_name(path.name + (".csi" if csi else ".tbi")).write_bytes(bgzf(out, 60_000))
+
+
+@pytest.mark.parametrize("csi, ending", [(False, "vcf.gz"), (True, "vcf.bgz")])
+def test_regions_of_an_indexed_vcf(spark, tmp_path, csi, ending):
+    from allelio.sources import blocks
+
+    rng = random.Random(7)
+    records = [(c, p, "A" * rng.choice([1, 1, 1, 30, 40_000 if rng.random() < 0.01 else 2])) for c in ("chr1", "chr2", "chrX") for p in sorted(rng.sample(range(1, 3_000_000), 700))]
+    path = tmp_path / f"a.{ending}"
+    indexed_vcf(path, records, 4000, csi)
+    spans = [("1", 500_000, 520_000), ("chr2", 2_990_000, 1 << 40), ("chr2", 1, 9_000), ("X", 1_000_000, 1_000_001), ("chr7", 1, 10**9)]
+    regions = spark.createDataFrame(spans, "contig string, start_pos bigint, end_pos bigint")
+    want = sorted((c, p, f"N={i}") for i, (c, p, _) in enumerate(records) if any(c[3:] == d.removeprefix("chr") and s <= p <= e for d, s, e in spans))
+    assert want
+    got = readers.read_vcf(spark, str(path), regions)
+    assert sorted((r.contig, r.pos, r.info) for r in got.collect()) == want
+    # Few of the file's blocks are opened.
+    for split in (1 << 26, 1):
+        reader = blocks.BgzfReader({"path": str(path), "regions": __import__("json").dumps(spans), "splitbytes": split})
+        parts = reader.partitions()
+        lines = [line for p in parts for b in reader.read(p) for line in b.column("value").to_pylist()]
+        assert len(lines) == len(set(lines)) and {x.split("\t")[7] for x in lines} >= {n for _, _, n in want}
+        opened = sum((p.end >> 16) - (p.start >> 16) + 4000 for p in parts)
+        assert opened < path.stat().st_size / 2 and len(lines) < len(records) / 2
+    # A file without an index is read as a whole, an empty list opens nothing.
+    assert readers.read_vcf(spark, str(path), regions.limit(0)).count() == 0
+    path.with_name(path.name + (".csi" if csi else ".tbi")).unlink()
+    assert sorted((r.contig, r.pos, r.info) for r in readers.read_vcf(spark, str(path), regions).collect()) == want
