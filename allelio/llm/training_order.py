@@ -25,6 +25,8 @@ from allelio.llm import bpe
 from allelio.llm.common import raw, stage
 from allelio.operators.joins import lookup_join
 from allelio.session import scratch_path
+from allelio.sources.blocks import open_file
+from allelio.sources.readers import _uri
 
 #: Ids of a sequence, sequences of a shard (about 17 MB), shards of a partition, rounds of the network, its key.
 LENGTH, SHARD, TOGETHER, ROUNDS, KEY = 256, 32_768, 4, 6, 20_240_601
@@ -156,20 +158,23 @@ def _stored(spark: SparkSession, path: str, length: int, shard: int, start: int,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for number, content in zip(batch.column("shard").to_pylist(), batch.column("content")):
-                table = np.frombuffer(content.as_buffer(), "<u2")
-                if len(table) % stride:
-                    raise ValueError(f"shard {number} is cut off")
-                table = table.reshape(-1, stride)
-                for at in range(max(0, start - number * shard), len(table), 4096):
-                    rows = table[at : at + 4096]
-                    n = rows[:, 0].astype(np.int32)
-                    data, ends = memoryview(np.ascontiguousarray(rows)).cast("B"), n.astype(np.int64) * 2 + 2
-                    found = [data[i * 2 * stride + 2 : i * 2 * stride + e] for i, e in enumerate(ends.tolist())]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + len(rows)) + number * shard), pa.array(n), values(found)], ["slot", "n_ids", "value"])
-
+            for number, name in zip(batch.column("shard").to_pylist(), batch.column("path").to_pylist()):
+                with open_file(_uri(name)) as file:
+                    n_rows, odd = divmod(file.size(), 2 * stride)
+                    if odd:
+                        raise ValueError(f"shard {number} is cut off")
+                    first = max(0, start - number * shard)
+                    file.seek(2 * stride * first)
+                    for at in range(first, n_rows, 4096):
+                        data = memoryview(file.read(2 * stride * min(4096, n_rows - at)))
+                        n = np.frombuffer(data, "<u2").reshape(-1, stride)[:, 0].astype(np.int32)
+                        ends = (n.astype(np.int64) * 2 + 2).tolist()
+                        found = [data[i * 2 * stride + 2 : i * 2 * stride + e] for i, e in enumerate(ends)]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + len(n)) + number * shard), pa.array(n), values(found)], ["slot", "n_ids", "value"])
+
+    # Files are only listed by Spark: each is read from its first wanted row on, some rows at a time.
     files = spark.read.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary, shard long").load(path)
-    return files.filter(F.col("shard") >= start // shard).select("shard", "content").mapInArrow(run, schema)
+    return files.filter(F.col("shard") >= start // shard).select("shard", "path").mapInArrow(run, schema)
 
 
 def read_shards(spark: SparkSession, path: str, length: int = LENGTH, shard: int = SHARD, start: int = 0) -> DataFrame:
