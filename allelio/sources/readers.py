@@ -122,7 +122,7 @@ def file_headers(spark: SparkSession, path: str) -> DataFrame:
     return tops.groupBy("path").agg(F.min_by("value", "at").alias("header"))
 
 
-def _header_places(header: str, columns: dict[str, tuple[str, str]], path: str) -> dict[str, int]:
+def _header_places(header: str, columns: list[str], path: str) -> dict[str, int]:
     names = header.split("\t")
     lost = [h for h in columns if h not in names]
     if lost:
@@ -138,13 +138,15 @@ def read_tsv(
     ``columns`` maps a header name to (column, type). Names with blanks, ``#`` or ``:`` are fine. Each file is read by its own
     header, so files may name their columns in any order and have others beside them; a file that lacks one of ``columns`` is refused, as are
     more than ``MAX_HEADERS`` different headers. Only a file's first line is its header, wherever else the same line stands.
-    Plain, ``.gz`` and ``.bgz`` files.
+    Plain, ``.gz`` and ``.bgz`` files; ``columns`` may also name the partition columns of a folder of the first two kinds.
     """
+    folders = set() if path.endswith(".bgz") else set(spark.read.text(path).columns) - {"value"}
+    inside = [h for h in columns if h not in folders]
     grouped = file_headers(spark, path).groupBy("header").agg(F.min("path").alias("example"), F.count(F.lit(1)).alias("files"))
     kinds = grouped.orderBy("header").limit(MAX_HEADERS + 1).collect()
     if len(kinds) > MAX_HEADERS:
         raise ValueError(f"more than {MAX_HEADERS} different headers in {path}")
-    places = {r["header"]: _header_places(r["header"], columns, r["example"]) for r in kinds}
+    places = {r["header"]: _header_places(r["header"], inside, r["example"]) for r in kinds}
     if path.endswith(".bgz"):
         known = spark.createDataFrame([(h, *p.values()) for h, p in places.items()], T.StructType.fromDDL(", ".join(["header string", *[f"p{i} int" for i in range(len(columns))]])))
         known = lookup_join(file_headers(spark, path), known, "header").drop("header")
@@ -154,7 +156,8 @@ def read_tsv(
         return _named(raw, columns, ["path"] if with_path else [])
 
     def read(paths: str | list[str]) -> DataFrame:
-        raw = spark.read.csv(paths, sep="\t", header=True, enforceSchema=False, quote="", nullValue=null_value, emptyValue="")
+        base = {"basePath": path} if folders and paths is not path else {}
+        raw = spark.read.options(**base).csv(paths, sep="\t", header=True, enforceSchema=False, quote="", nullValue=null_value, emptyValue="")
         return _named(raw, columns, [F.col("_metadata.file_path").alias("path")] if with_path else [])
 
     if len(kinds) <= 1:

@@ -133,11 +133,11 @@ def test_inner_merge_of_two_and_five(spark):
     tables = [spark.createDataFrame(r, f"k int, v{t} int") for t, r in enumerate(rows)]
     for n in (2, 5):
         shared = set.intersection(*[{k for k, _ in r} for r in rows[:n]])
-        got = joins.inner_merge(tables[:n], "k")
+        got = J.inner_merge(tables[:n], "k")
         assert got.columns == ["k", *[f"v{t}" for t in range(n)]]
         assert sorted(map(tuple, got.collect())) == sorted((k, *[t * 100 + k for t in range(n)]) for k in shared)
     twice = spark.createDataFrame([(1, None, 5), (1, 3, 9), (None, 1, 1)], "k int, a int, b int")
     only = spark.createDataFrame([(1,), (None,), (7,)], "k int")
-    assert sorted(map(tuple, joins.inner_merge([twice, only], "k").collect()), key=repr) == sorted([(1, None, 5), (None, 1, 1)], key=repr)
+    assert sorted(map(tuple, J.inner_merge([twice, only], "k").collect()), key=repr) == sorted([(1, None, 5), (None, 1, 1)], key=repr)
     with pytest.raises(ValueError, match="same name"):
-        joins.inner_merge([tables[0], tables[0]], "k")
+        J.inner_merge([tables[0], tables[0]], "k")
