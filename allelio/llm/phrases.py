@@ -29,11 +29,14 @@ from pyspark.sql import functions as F
 from allelio.llm.common import raw, stage
 from allelio.llm.minhash import _mix
 from allelio.operators.joins import lookup_join
+from allelio.session import scratch_path
 
 #: Words of a phrase at most, occurrences at least, phrases returned per language.
 DEPTH, LEAST, TOP = 5, 100, 2000
 #: Ids of a shard, about; a task holds twice as many at most in unfinished shards of all languages.
 SHARD = 1 << 18
+#: Bytes of texts that come to Python together, and of shards that the writer holds.
+BATCH_BYTES = 8 << 20
 #: Most bits of the bitmap of frequent pairs; parts that a language's phrases are ranked in first.
 MOST_BITS, PARTS = 1 << 31, 64
 
@@ -255,9 +258,21 @@ def phrase_counts(indexed: DataFrame, bitmap: np.ndarray, bits: int, depth: int
 # --- The operator ---------------------------------------------------------------
 
 
+def _written(indexed: DataFrame) -> DataFrame:
+    """Shards as a table. Texts come to Python in smaller batches while it is written, and rows leave the writer a few shards at a time."""
+    spark, path, setting = indexed.sparkSession, scratch_path(indexed.sparkSession, "shards"), "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, str(BATCH_BYTES))
+    try:
+        indexed.write.option("parquet.block.size", BATCH_BYTES).option("parquet.enable.dictionary", "false").parquet(path)
+    finally:
+        spark.conf.set(setting, before)
+    return spark.read.schema(indexed.schema).parquet(path)
+
+
 def frequent(docs: DataFrame, least: int = LEAST, depth: int = DEPTH, size: int = SHARD) -> tuple[DataFrame, DataFrame]:
     """``lang, phrase, words, f`` of words and phrases that occur ``least`` times, and ``lang, n`` (all words)."""
-    indexed = stage(shards(docs, size), "shards")
+    indexed = _written(shards(docs, size))
     counted = indexed.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("w")).select("lang", F.col("w.words").alias("phrase"), F.col("w.counts").alias("n"))
     words = counted.groupBy("lang", "phrase").agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
     totals = indexed.groupBy("lang").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda a, b: a + b)).alias("n"))
