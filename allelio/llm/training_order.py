@@ -27,6 +27,7 @@ from allelio.operators.joins import lookup_join
 from allelio.session import scratch_path
 from allelio.sources.blocks import open_file
 from allelio.sources.readers import _uri
+from allelio.sources.stages import remove_stages
 
 #: Ids of a sequence, sequences of a shard (about 17 MB), shards of a partition, rounds of the network, its key.
 LENGTH, SHARD, TOGETHER, ROUNDS, KEY = 256, 32_768, 4, 6, 20_240_601
@@ -187,12 +188,12 @@ def read_shards(spark: SparkSession, path: str, length: int = LENGTH, shard: int
 
 
 def read_digests(spark: SparkSession, path: str, length: int = LENGTH, shard: int = SHARD, start: int = 0) -> DataFrame:
-    """The same slots with ``ids_sha256`` in place of the ids."""
+    """The same slots with ``sha256`` (32 bytes) in place of the ids."""
 
     def digests(found: list[memoryview]) -> pa.Array:
-        return pa.array([hashlib.sha256(f).hexdigest() for f in found], pa.string())
+        return pa.array([hashlib.sha256(f).digest() for f in found], pa.binary())
 
-    return _stored(spark, path, length, shard, start, digests, "slot long, n_ids int, value string").withColumnRenamed("value", "ids_sha256")
+    return _stored(spark, path, length, shard, start, digests, "slot long, n_ids int, value binary").withColumnRenamed("value", "sha256")
 
 
 def materialise(docs: DataFrame, path: str | None = None, vocabulary: str | None = None, key: int = KEY) -> DataFrame:
@@ -203,13 +204,15 @@ def materialise(docs: DataFrame, path: str | None = None, vocabulary: str | None
     empty table gives no rows. ``path`` defaults to a new folder below the shared one.
     """
     spark = docs.sparkSession
-    path = path or scratch_path(spark, "shards")
-    placed, total = slotted(stage(sequences(docs, vocabulary), "sequences", "zstd"), key)
+    path, kept = path or scratch_path(spark, "shards"), scratch_path(spark, "sequences")
+    sequences(docs, vocabulary).write.parquet(kept, compression="zstd")
+    placed, total = slotted(spark.read.parquet(kept), key)
     if not total:
         return spark.createDataFrame([], "doc_id long, seq_no int, slot long, shard long, at_byte long, n_ids int, ids_sha256 string")
+    manifest = stage(placed.select("doc_id", "seq_no", "slot"), "manifest")
     write_shards(placed, total, path)
-    manifest = placed.select("doc_id", "seq_no", "slot")
+    remove_stages(spark, kept)  # the ids are in the shards now
     read = read_digests(spark, path)
     place = [F.floor(F.col("slot") / SHARD).cast("long").alias("shard"), ((F.col("slot") % SHARD) * STRIDE).cast("long").alias("at_byte")]
     # Slots are unique on both sides: no key is hot.
-    return manifest.join(read, "slot").select("doc_id", "seq_no", "slot", *place, "n_ids", "ids_sha256")
+    return manifest.join(read, "slot").select("doc_id", "seq_no", "slot", *place, "n_ids", F.lower(F.hex("sha256")).alias("ids_sha256"))

@@ -53,8 +53,8 @@ def test_shards(spark, tmp_path, together):
     assert sorted(whole) == list(range(total))
     found = sorted([(r["doc_id"], r["seq_no"], hashlib.sha256(whole[r["slot"]]).hexdigest()) for r in placed.collect()], key=repr)
     assert found == sorted(want, key=repr)
-    read = {r["slot"]: r["ids_sha256"] for r in order.read_digests(spark, path, shard=100, start=7).collect()}
-    assert read == {s: hashlib.sha256(b).hexdigest() for s, b in whole.items() if s >= 7}
+    read = {r["slot"]: bytes(r["sha256"]) for r in order.read_digests(spark, path, shard=100, start=7).collect()}
+    assert read == {s: hashlib.sha256(b).digest() for s, b in whole.items() if s >= 7}
     for start in (0, 1, 150, total - 1):
         assert {r["slot"]: bytes(r["ids"]) for r in order.read_shards(spark, path, shard=100, start=start).collect()} == {s: b for s, b in whole.items() if s >= start}
 
