@@ -26,7 +26,7 @@ def _narrowed(genotypes: DataFrame, ids: DataFrame, key: list[str]) -> DataFrame
 def extract_variants(genotypes: DataFrame, ids: DataFrame, key: list[str]) -> DataFrame:
     """Calls of listed variants. With a positional key, row groups far from all of them are not read."""
     ids, size = staged(ids.select(*key).distinct(), "variant-ids")
-    return lookup_join(_narrowed(genotypes, ids, key), ids, key, "left_semi", small=size <= BROADCAST_BYTES)
+    return lookup_join(_narrowed(genotypes, ids, key), ids, key, "left_semi", size=size)
 
 
 def carrier_genes(df: DataFrame, genes: list[str] | None = None) -> DataFrame:
@@ -43,7 +43,7 @@ def burden(genotypes: DataFrame, tiers: DataFrame, key: list[str], na_as_zero: b
     members, size = staged(tiers.select(*key, *SET).distinct(), "set-members")
     small = size <= BROADCAST_BYTES
     calls = (_narrowed(genotypes, members, key) if prune else genotypes).select(*key, "sample_id", "alt_dosage")
-    calls = lookup_join(calls, members, key, small=small)
+    calls = lookup_join(calls, members, key, size=size)
     summed = calls.groupBy("sample_id", *SET).agg(
         F.coalesce(F.sum("alt_dosage"), F.lit(0)).cast("bigint").alias("burden"),
         F.count_if(F.col("alt_dosage").isNull()).alias("_missing"),
@@ -51,8 +51,9 @@ def burden(genotypes: DataFrame, tiers: DataFrame, key: list[str], na_as_zero: b
     if na_as_zero:
         return summed.select("sample_id", *SET, "burden")
     known = F.when(F.col("_missing") < F.col("_size"), F.col("burden"))
-    sizes = members.groupBy(*SET).agg(F.count(F.lit(1)).alias("_size"))  # at most as many rows as members
-    return lookup_join(summed, sizes, SET, small=small).select("sample_id", *SET, known.alias("burden"))
+    # At most as many rows as members, mostly far fewer: of a long list, this one is measured by itself.
+    sizes = members.groupBy(*SET).agg(F.count(F.lit(1)).alias("_size"))
+    return lookup_join(summed, sizes, SET, small=small or None, stage=not small).select("sample_id", *SET, known.alias("burden"))
 
 
 def burden_columns(genes: dict[str, list[str]] | None = None) -> list[str]:

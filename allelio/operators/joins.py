@@ -3,7 +3,8 @@
 The smaller side is broadcast only after its bytes were measured. Beyond the bound, the join shuffles on the
 key plus a salt: rows of a hot key spread over several partitions and the smaller side is repeated per salt, as often
 as a total of ``REPEAT_BYTES`` allows. A side too large to be repeated joins by key alone; there adaptive execution
-splits the partition of a hot key.
+splits the partition of a hot key. Beyond the bound a merge join is asked for: Spark's own estimate goes by the bytes of compressed
+files, before the side is repeated, and would broadcast millions of rows.
 """
 
 from __future__ import annotations
@@ -64,25 +65,29 @@ def lookup_join(
     salts: int = SALTS,
     stage: bool = False,
     small: bool | None = None,
+    size: int | None = None,
 ) -> DataFrame:
     """Join ``fact`` to ``dim`` on named keys (``inner``, ``left``, ``left_semi`` or ``left_anti``).
 
     ``where`` is a residual condition over columns of both sides (``l.`` and ``r.``). ``stage`` writes a ``dim`` that
-    is costly to compute before it is measured. ``small`` states the outcome of a check already made.
+    is costly to compute before it is measured. ``size`` names bytes already measured, ``small`` states the outcome of a
+    check already made.
     """
     keys = [on] if isinstance(on, str) else list(on)
     if small is None:
         if stage:
             dim, size = staged(dim)
-        else:
+        elif size is None:
             size = measured_bytes(dim)
         small = size <= max_bytes
         salts = max(1, min(salts, REPEAT_BYTES // max(size, 1)))
     if small:
         dim = F.broadcast(dim)
-    elif salts > 1:
-        fact, dim = _salted(fact, dim, salts)
-        keys = [*keys, "_salt"]
+    else:
+        if salts > 1:
+            fact, dim = _salted(fact, dim, salts)
+            keys = [*keys, "_salt"]
+        dim = dim.hint("merge")
     if where is None:
         return fact.join(dim, keys, how).drop("_salt")
     fact, dim = fact.alias("l"), dim.alias("r")

@@ -50,6 +50,18 @@ def test_a_large_side_is_repeated_less(facts, dims, rows, no_broadcast, monkeypa
         assert rows(joined) == want
 
 
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi"])
+def test_a_side_beyond_the_bound_is_never_broadcast(facts, dims, rows, how):
+    # Spark's own threshold is on, and the written side is far below it.
+    want = rows(J.lookup_join(facts, dims, "k", how, small=True))
+    small_file, size = J.staged(dims)
+    for kw in ({"max_bytes": 0}, {"max_bytes": 0, "stage": True}, {"max_bytes": 0, "size": size}, {"small": False}):
+        joined = J.lookup_join(facts, small_file, "k", how, **kw)
+        assert "Broadcast" not in plan(joined) and "SortMergeJoin" in plan(joined)
+        assert rows(joined) == want
+        assert "BroadcastHashJoin" not in plan(joined)
+
+
 def test_hot_key_is_spread(facts, dims):
     salted, _ = J._salted(facts, dims, 16)
     per_salt = [r["count"] for r in salted.filter("k = 1").groupBy("_salt").count().collect()]
