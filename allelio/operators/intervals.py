@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from allelio.config import EXON_PAD, GENE_REGIONS
@@ -16,6 +16,10 @@ from allelio.functions.keys import _col, norm_contig, parse_interval
 from allelio.operators.joins import BROADCAST_BYTES, SALTS, lookup_join, staged
 
 BIN_SIZE = 100_000
+MIN_BIN = 256
+# Pairs of a point and a region in its bin that one task compares, and pairs per point from which points are dealt out by them.
+PAIRS_PER_TASK = 4_000_000
+PAIRS_PER_POINT = 8
 PRUNE_SPAN = 100_000
 # Stretches that a list is summed up to before it reaches the driver; beyond it, one stretch per contig.
 PRUNE_STRETCHES = 32_768
@@ -38,26 +42,49 @@ def _bin(c: Column, size: int) -> Column:
     return F.floor(c / F.lit(size))
 
 
+def _bin_size(regions: DataFrame, length: Column) -> int:
+    """The mean length of the regions, within bounds: so many bins hold few regions that end short of a point, and a list becomes at most three times as long."""
+    mean = regions.agg(F.avg(length.cast("double")).alias("mean")).first()["mean"]
+    return int(min(BIN_SIZE, max(MIN_BIN, mean or 0)))
+
+
+def _dealt(points: DataFrame, binned: DataFrame) -> DataFrame:
+    """Points in as many partitions as their pairs with regions need: a few small files would leave all of them to a few tasks."""
+    per_bin = [t.groupBy("contig", "_bin").agg(F.count(F.lit(1)).alias(n)) for t, n in ((points, "_n"), (binned, "_m"))]
+    both = per_bin[0].join(per_bin[1], ["contig", "_bin"], "left")
+    found = both.agg(F.sum("_n").alias("points"), F.sum(F.col("_n").cast("double") * F.col("_m")).alias("pairs")).first()
+    pairs = found["pairs"] or 0
+    if pairs <= max(PAIRS_PER_TASK, PAIRS_PER_POINT * (found["points"] or 0)):
+        return points
+    return points.repartition(int(pairs // PAIRS_PER_TASK) + 1)
+
+
 def interval_join(
     df: DataFrame,
     regions: DataFrame,
     closed: bool = False,
     how: str = "inner",
-    bin_size: int = BIN_SIZE,
+    bin_size: int | None = None,
     max_bytes: int = BROADCAST_BYTES,
     salts: int = SALTS,
 ) -> DataFrame:
     """Join rows with ``contig, pos`` to all regions (``contig, start_pos, end_pos, ...``) that hold them.
 
-    A row in several overlapping regions appears once per region. Intervals are half-open unless ``closed``.
+    A row in several overlapping regions appears once per region. Intervals are half-open unless ``closed``. Bins are as wide as
+    the mean region unless ``bin_size`` is given. An inner join with many regions per point deals the points out by the pairs to compare.
     """
     last = F.col("end_pos") if closed else F.col("end_pos") - 1
+    regions = regions.filter(F.col("start_pos") <= last)
+    if bin_size is None:
+        bin_size = _bin_size(regions, last - F.col("start_pos") + 1)
     binned = (
-        regions.filter(F.col("start_pos") <= last)
+        regions
         .withColumn("_bin", F.explode(F.sequence(_bin(F.col("start_pos"), bin_size), _bin(last, bin_size))))
     )
     upper = F.col("l.pos") <= F.col("r.end_pos") if closed else F.col("l.pos") < F.col("r.end_pos")
     points = df.withColumn("_bin", _bin(F.col("pos"), bin_size))
+    if how == "inner":
+        points = _dealt(points, binned)
     joined = lookup_join(
         points, binned, ["contig", "_bin"], how, (F.col("l.pos") >= F.col("r.start_pos")) & upper, max_bytes, salts
     )
@@ -187,10 +214,30 @@ def near_intervals(df: DataFrame, regions: DataFrame, pad: int = EXON_PAD, **kw)
     return filter_intervals(df, pad_intervals(regions, pad), closed=True, **kw)
 
 
+def merged_regions(regions: DataFrame, by: list[str]) -> DataFrame:
+    """Closed regions (``*by, contig, start_pos, end_pos``) with those of one group and contig that overlap made one."""
+    rows = Window.partitionBy(*by, "contig").orderBy("start_pos", "end_pos")
+    known = regions.filter("start_pos <= end_pos").distinct()
+    before = F.max("end_pos").over(rows.rowsBetween(Window.unboundedPreceding, -1))
+    opened = known.withColumn("_new", F.coalesce(F.col("start_pos") > before, F.lit(True)).cast("bigint"))
+    numbered = opened.withColumn("_at", F.sum("_new").over(rows.rowsBetween(Window.unboundedPreceding, 0)))
+    merged = numbered.groupBy(*by, "contig", "_at").agg(F.min("start_pos").alias("start_pos"), F.max("end_pos").alias("end_pos"))
+    return merged.drop("_at")
+
+
 def subset_genotypes(genotypes: DataFrame, sites: DataFrame, regions: DataFrame, key: list[str]) -> DataFrame:
-    """Calls whose site lies in a closed region, once per gene: ranges meet the sites, calls meet the key."""
-    genes = interval_join(sites.select(*dict.fromkeys([*key, "contig", "pos"])), regions.select("gene", "contig", "start_pos", "end_pos"), closed=True)
-    return lookup_join(genotypes, genes.select(*key, "gene").distinct(), key, stage=True)
+    """Calls whose site lies in a closed region, once per gene: ranges meet the sites, calls meet the key.
+
+    Overlapping regions of a gene are one, so a site meets each gene once however many regions there are, and a site's genes travel
+    in one row.
+    """
+    spans = merged_regions(regions.select("gene", "contig", "start_pos", "end_pos"), ["gene"])
+    genes = interval_join(sites.select(*dict.fromkeys([*key, "contig", "pos"])), spans, closed=True)
+    # In a struct, so that a gene without name stays.
+    lists = genes.groupBy(*key).agg(F.collect_set(F.struct("gene")).alias("_genes"))
+    calls = genotypes.drop("gene") if "gene" in genotypes.columns else genotypes
+    joined = lookup_join(calls, lists, key, stage=True)
+    return joined.select(*[c for c in joined.columns if c != "_genes"], F.inline("_genes"))
 
 
 def in_region(contig: Column | str, pos: Column | str, region: tuple[str, int, int]) -> Column:

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from allelio.session import scratch_path
 
 BROADCAST_BYTES = 64 * 1024 * 1024
-REPEAT_BYTES = 16 * 1024**3
+REPEAT_BYTES = 1024**3
 SALTS = 16
 
 

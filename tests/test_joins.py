@@ -153,3 +153,33 @@ def test_inner_merge_of_two_and_five(spark):
     assert sorted(map(tuple, J.inner_merge([twice, only], "k").collect()), key=repr) == sorted([(1, None, 5), (None, 1, 1)], key=repr)
     with pytest.raises(ValueError, match="same name"):
         J.inner_merge([tables[0], tables[0]], "k")
+
+
+def test_points_are_dealt_out_by_their_pairs(spark, rows, monkeypatch):
+    points = spark.range(0, 3000, 1, 1).selectExpr("id AS v", "concat('chr', id % 2) AS contig", "id * 7 % 9000 AS pos")
+    regions = spark.range(200).selectExpr("id AS r", "concat('chr', id % 3) AS contig", "id * 40 AS start_pos", "id * 40 + 500 AS end_pos")
+    want = rows(points.join(regions, "contig").filter("pos >= start_pos AND pos < end_pos").select("v", "r"))
+    assert rows(I.interval_join(points, regions).select("v", "r")) == want
+    monkeypatch.setattr(I, "PAIRS_PER_TASK", 1000)
+    monkeypatch.setattr(I, "PAIRS_PER_POINT", 1)
+    dealt = I.interval_join(points, regions)
+    assert dealt.rdd.getNumPartitions() >= len(want) // 1000 > 1
+    assert rows(dealt.select("v", "r")) == want
+
+
+def test_bins_are_as_wide_as_regions(spark):
+    regions = spark.createDataFrame([("a", 1, 5000), ("a", 1, 1000)], "contig string, start_pos bigint, end_pos bigint")
+    width = F.col("end_pos") - F.col("start_pos") + 1
+    assert I._bin_size(regions, width) == 3000
+    assert I._bin_size(regions, width * 1000) == I.BIN_SIZE and I._bin_size(regions.limit(0), width) == I.MIN_BIN
+
+
+def test_a_site_meets_each_gene_once(spark, rows):
+    schema = "gene string, contig string, start_pos bigint, end_pos bigint"
+    regions = [("A", "c", 1 + i, 50 + i) for i in range(40)] + [("A", "c", 200, 210), ("B", "c", 60, 70), (None, "c", 60, 61), ("B", "d", 1, 5), ("B", "c", 9, 3)]
+    merged = I.merged_regions(spark.createDataFrame(regions, schema), ["gene"])
+    assert rows(merged) == sorted([("A", "c", 1, 89), ("A", "c", 200, 210), ("B", "c", 60, 70), (None, "c", 60, 61), ("B", "d", 1, 5)], key=repr)
+    sites = spark.createDataFrame([(1, "c", 60), (2, "c", 210), (3, "c", 100), (1, "c", 60)], "site_id bigint, contig string, pos bigint")
+    calls = spark.createDataFrame([(1, 7), (2, 7), (3, 8), (1, 9)], "site_id bigint, sample_id bigint")
+    got = rows(I.subset_genotypes(calls, sites, spark.createDataFrame(regions, schema), ["site_id"]).select("site_id", "sample_id", "gene"))
+    assert got == sorted([(1, s, g) for s in (7, 9) for g in ("A", "B", None)] + [(2, 7, "A")], key=repr)
