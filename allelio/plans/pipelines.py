@@ -38,10 +38,12 @@ def consequence_table(
     """Annotated variant rows to the 14-column layout, one row per allele and annotation entry of that allele.
 
     Alleles are split and matched to their entries before left alignment, because entries name the ALT as written.
-    ClinVar columns come from ``clinvar`` if given, else from INFO.
+    ClinVar columns come from ``clinvar`` if given, else from INFO. Rows are dealt out by their bytes first: the texts are long to
+    read compared with their files, of which a few would leave all rows to as many tasks.
     """
     if pass_only:
         rows = annotation.filter_pass(rows)
+    rows = rows.hint("rebalance")
     alleles = annotation.split_alleles(rows, "alts").drop("alt_index")
     entries = annotation.match_allele(annotation.ann_entries())
     out = annotation.explode_ann(alleles, entries)

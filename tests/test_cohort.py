@@ -408,3 +408,53 @@ def test_calls_in_buckets_of_samples_are_not_shuffled_for_the_join(spark, tmp_pa
         with contextlib.redirect_stdout(text):
             got.explain("formatted")
         assert "hashpartitioning(sample_id" not in text.getvalue() and "SortMergeJoin" in text.getvalue()
+
+
+def test_consequences_are_dealt_out_by_bytes(spark):
+    import contextlib
+    import io
+
+    rows = spark.range(0, 100, 1, 1).selectExpr("'c' AS contig", "id AS pos", "'A' AS ref", "'G' AS alts", "'ANN=G|stop_gained|HIGH|TTN' AS info")
+    text = io.StringIO()
+    with contextlib.redirect_stdout(text):
+        pipelines.consequence_table(rows).explain("formatted")
+    assert "REBALANCE_PARTITIONS" in text.getvalue()
+    assert pipelines.consequence_table(rows).count() == 100
+
+
+def star_tables(spark, folder, calls):
+    """Test tables of ``calls`` line items over 20 parts and 30 customers."""
+    tables = {
+        "customer": ["id AS c_custkey", "CAST(id % 7 AS INT) AS c_nationkey"],
+        "part": ["id AS p_partkey", "concat('Brand#', 1 + id % 3) AS p_brand", "'ECONOMY' AS p_type", "CAST(id % 5 AS INT) AS p_size"],
+        "orders": ["id AS o_orderkey", "id % 30 AS o_custkey"],
+        "lineitem": ["id AS l_orderkey", "id * 13 % 20 AS l_partkey", "CAST(id % 50 AS DOUBLE) AS l_quantity", "CAST(id % 9 AS DOUBLE) / 100 AS l_tax"],
+    }
+    for name, columns in tables.items():
+        n = {"customer": 30, "part": 20}.get(name, calls)
+        spark.range(n).selectExpr(*columns).write.parquet(f"{folder}/{name}.parquet")
+
+
+def test_buckets_grow_in_number_with_the_calls(spark, tmp_path, monkeypatch, rows):
+    from allelio.catalog import QUERIES, analyses
+
+    star_tables(spark, tmp_path, 400)
+    used, write = [], analyses.buckets.write_buckets
+    monkeypatch.setattr(analyses.buckets, "write_buckets", lambda df, path, buckets: used.append(buckets) or write(df, path, buckets=buckets))
+    few = rows(QUERIES["allele_frequency_founders"](spark, str(tmp_path)))
+    monkeypatch.setattr(analyses, "CALLS_PER_BUCKET", 50)
+    assert rows(QUERIES["allele_frequency_founders"](spark, str(tmp_path))) == few and few
+    assert used == [4, 4, 8, 8]
+
+
+def test_plink_sets_of_a_gene_are_cut_by_calls(spark, tmp_path, monkeypatch, rows):
+    from allelio.catalog import QUERIES, sources
+
+    star_tables(spark, tmp_path / "in", 600)
+    whole = rows(QUERIES["scan_plink_bed"](spark, str(tmp_path / "in")))
+    monkeypatch.setattr(sources, "CALLS_PER_SET", 10)
+    assert rows(QUERIES["scan_plink_bed"](spark, str(tmp_path / "in"))) == whole and len(whole) > 50
+    calls = spark.range(200).selectExpr("'exome' AS dataset", "'TTN' AS gene", "'chr1' AS contig", "id % 40 AS pos", "'A' AS ref", "'G' AS alt", "id AS sample_id", "1 AS alt_dosage")
+    sources.write_plink_sets(calls, f"file://{tmp_path}/sets")
+    cells = [len(f.read_bytes()) - 3 for f in (tmp_path / "sets" / "exome").glob("*.bed")]
+    assert len(cells) > 5 and sum(cells) < 40 * 200 // 4 // 3
