@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from allelio.catalog.columns import CONSEQUENCE_LAYOUT_SQL, _combined
@@ -20,6 +22,8 @@ from allelio.sources import buckets, readers, writers
 RARE_K = 30.0
 FAF_K = {"dcm": 22.5, "arvc": 24.0, "hcm": 19.5}
 N = "(SELECT count(*) FROM g_sample)"
+# A task holds one bucket, so buckets grow in number, not in size.
+CALLS_PER_BUCKET = 500_000
 
 
 def cohort(fx):
@@ -101,8 +105,9 @@ FOUNDERS_SQL = f"""SELECT site_id, contig, pos, ancestry, alt_ct, obs_ct, CASE W
 def allele_frequency_founders(fx):
     # Founders only, with males haploid on X; calls and people in buckets of the sample, as for a cohort too large to broadcast.
     calls = fx.view("g_geno").join(fx.view("g_xsite"), "site_id").select("site_id", "contig", "pos", "sample_id", "alt_dosage")
-    calls = buckets.write_buckets(calls, fx.scratch("calls"), buckets=4)
-    people = buckets.write_buckets(frequency.founders(fx.view("g_person")), fx.scratch("people"), buckets=4)
+    n = max(4, math.ceil(fx.table("lineitem").count() / CALLS_PER_BUCKET))  # there are no more calls than line items; counted from file footers
+    calls = buckets.write_buckets(calls, fx.scratch("calls"), buckets=n)
+    people = buckets.write_buckets(frequency.founders(fx.view("g_person")), fx.scratch("people"), buckets=n)
     return frequency.allele_freq(calls, people, ["site_id", "contig", "pos"], bucketed=True)
 
 
