@@ -11,7 +11,7 @@ from allelio.config import ANCESTRIES, CONSEQUENCE_COLS, VARIANT_KEY
 from allelio.functions.keys import variant_id
 from allelio.operators import frequency
 from allelio.operators.intervals import filter_intervals, subset_genotypes
-from allelio.operators.joins import stack
+from allelio.operators.joins import lookup_join, stack, staged
 from allelio.plans.pipelines import categorised_consequences
 from allelio.sources import headers, readers, writers
 
@@ -231,41 +231,58 @@ def scan_plink_bed(fx):
     calls = fx.view("g_geno").join(fx.view("g_site"), "site_id").select(F.expr(DATASET).alias("dataset"), "gene", *VARIANT_KEY, "sample_id", "alt_dosage")
     write_plink_sets(calls, base)
     stored = readers.read_plink(fx.spark, f"{base}/*/*", with_path=True)
-    return readers.with_provenance(stored, {"dataset": "([^/]+)/[^/]+$", "gene": "([^/]+)$"})
+    return readers.with_provenance(stored, {"dataset": "([^/]+)/[^/]+$", "gene": r"([^/]+)\.\d+$"})
+
+
+# A .bed file has a cell for every variant and every sample of its set: sets of so many calls keep both few, however many calls there are.
+CALLS_PER_SET = 8192
 
 
 def write_plink_sets(calls, base: str) -> None:
-    """Stand-in input: one file set per dataset and gene, with the samples and variants that have a call in it."""
+    """Stand-in input: file sets ``<dataset>/<gene>.<part>``, each with some variants and the samples that have a call in it.
+
+    A variant is in one part. A gene of few calls has one.
+    """
     import pyarrow as pa
 
     def write(key, table: pa.Table) -> pa.Table:
         import numpy as np
         from pyarrow import fs
 
-        rows = table.to_pylist()
-        variants = sorted({tuple(r[c] for c in VARIANT_KEY) for r in rows})
-        people = sorted({r["sample_id"] for r in rows})
-        line, column = {v: i for i, v in enumerate(variants)}, {p: i for i, p in enumerate(people)}
-        codes = np.full((len(variants), (len(people) + 3) // 4 * 4), 3, np.uint8)
+        if table["sample_id"].null_count:
+            raise ValueError("a call without sample")
+        cols = [table[c].combine_chunks().dictionary_encode() for c in VARIANT_KEY]
+        places, of = np.unique(np.stack([c.indices.fill_null(-1).to_numpy(zero_copy_only=False) for c in cols], 1), axis=0, return_inverse=True)
+        names = [tuple(None if i < 0 else c.dictionary[int(i)].as_py() for c, i in zip(cols, row)) for row in places]
+        order = sorted(range(len(names)), key=names.__getitem__)
+        line = np.empty(len(names), np.int64)
+        line[order] = np.arange(len(names))
+        people, column = np.unique(table["sample_id"].to_numpy(), return_inverse=True)
+        code = np.array([2, 0, 1], np.uint8)[table["alt_dosage"].combine_chunks().fill_null(3).to_numpy(zero_copy_only=False) - 1]
+        codes = np.full((len(names), (len(people) + 3) // 4 * 4), 3, np.uint8)
         codes[:, len(people) :] = 0
-        for r in rows:
-            codes[line[tuple(r[c] for c in VARIANT_KEY)], column[r["sample_id"]]] = {2: 0, None: 1, 1: 2}[r["alt_dosage"]]
-        quads = codes.reshape(len(variants), -1, 4)
+        codes[line[of.reshape(-1)], column.reshape(-1)] = code
+        quads = codes.reshape(len(names), -1, 4)
         bits = (quads[:, :, 0] | quads[:, :, 1] << 2 | quads[:, :, 2] << 4 | quads[:, :, 3] << 6).astype(np.uint8)
         texts = {
             "bed": b"\x6c\x1b\x01" + bits.tobytes(),
-            "bim": "".join(f"{c}\t{c}:{p}:{r}:{a}\t0\t{p}\t{a}\t{r}\n" for c, p, r, a in variants).encode(),
+            "bim": "".join(f"{c}\t{c}:{p}:{r}:{a}\t0\t{p}\t{a}\t{r}\n" for c, p, r, a in (names[i] for i in order)).encode(),
             "fam": "".join(f"0 {p} 0 0 0 -9\n" for p in people).encode(),
         }
         system, root = fs.FileSystem.from_uri(readers._uri(base))
-        system.create_dir(f"{root}/{key[0].as_py()}")
+        dataset, gene, part = (k.as_py() for k in key)
+        system.create_dir(f"{root}/{dataset}")
         for ending, data in texts.items():
-            with system.open_output_stream(f"{root}/{key[0].as_py()}/{key[1].as_py()}.{ending}") as out:
+            with system.open_output_stream(f"{root}/{dataset}/{gene}.{part}.{ending}") as out:
                 out.write(data)
-        return pa.table({"n": [len(rows)]})
+        return pa.table({"n": [table.num_rows]})
 
     write.__annotations__ = {"key": tuple[pa.Scalar, ...], "table": pa.Table, "return": pa.Table}
-    calls.groupBy("dataset", "gene").applyInArrow(write, "n long").agg(F.sum("n")).collect()
+    calls, _ = staged(calls.withColumn("gene", F.coalesce("gene", F.lit("None"))), "plink-calls")  # counted, then written
+    sizes, size = staged(calls.groupBy("dataset", "gene").agg(F.ceil(F.count(F.lit(1)) / F.lit(CALLS_PER_SET)).alias("_parts")), "plink-sets")
+    part = F.pmod(F.xxhash64(*VARIANT_KEY), F.col("_parts")).alias("part")
+    parted = lookup_join(calls, sizes, ["dataset", "gene"], size=size).select(*calls.columns, part)
+    parted.groupBy("dataset", "gene", "part").applyInArrow(write, "n long").agg(F.sum("n")).collect()
 
 
 @query(

@@ -284,6 +284,9 @@ def _uri(path: str) -> str:
     return f"file:///{path[6:]}" if path.startswith("file:/") and not path.startswith("file:///") else path
 
 
+SPLIT_BYTES = 16 << 20
+
+
 def plink_files(spark: SparkSession, prefix: str) -> dict[str, int]:
     """Bytes of the ``.bim`` file of every file set whose name without ending matches ``prefix`` (a pattern in any part of the path)."""
 
@@ -366,9 +369,10 @@ def read_plink(
             first, n = 0, r["n_samples"]
             left[r["stem"]] = r["bed_bytes"]
         stride = (n + 3) // 4
-        step = max(1, (split_bytes or 16 << 20) // max(stride, 1))
+        step = max(1, (split_bytes or SPLIT_BYTES) // max(stride, 1))
         if wanted is None or any(s <= x["last"] and x["first"] <= e for x in r["spans"] for s, e in wanted.get(x["contig"], [])):
-            tasks += [(r["stem"], r["start"], r["end"], first, at, min(at + step, r["n_lines"])) for at in range(0, r["n_lines"], step)]
+            cuts = [(at, min(at + step, r["n_lines"])) for at in range(0, r["n_lines"], step)]
+            tasks += [((b - a) * stride, (r["stem"], r["start"], r["end"], first, a, b)) for a, b in cuts]
         first += r["n_lines"]
         left[r["stem"]] -= r["n_lines"] * stride
     for stem, rest in left.items():
@@ -398,6 +402,13 @@ def read_plink(
                         keep |= here & (at >= 0) & (sites["pos"] <= ends[at])
                 yield from blocks.plink_calls(stem, number + a, lines, known[1], keep)
 
-    listed = spark.createDataFrame([(i, *t) for i, t in enumerate(tasks)], "task int, stem string, start long, end long, first long, a long, b long")
-    calls = listed.repartitionById(len(tasks), F.col("task")).mapInArrow(run, schema)
+    # Small sets share a task, as far as their bytes together are those of one.
+    packed, number, held = [], 0, 0
+    for size, t in tasks:
+        if held and held + size > (split_bytes or SPLIT_BYTES):
+            number, held = number + 1, 0
+        packed.append((number, *t))
+        held += size
+    listed = spark.createDataFrame(packed, "task int, stem string, start long, end long, first long, a long, b long")
+    calls = listed.repartitionById(number + 1, F.col("task")).mapInArrow(run, schema)
     return calls if with_path else calls.drop("path")
