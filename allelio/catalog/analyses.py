@@ -292,27 +292,22 @@ INDEL_SQL = " UNION ALL ".join(
 
 
 def _genome_and_variants(fx):
-    genome = fx.view("g_genome").repartition("contig")
-    chunks = genome.select(
-        "contig",
-        F.explode(
-            F.expr(
-                f"transform(sequence(0, (length(seq) - 1) div {CHUNK}),"
-                f" i -> struct(i AS chunk_no, substring(seq, CAST(i * {CHUNK} + 1 AS INT), {CHUNK}) AS seq))"
-            )
-        ).alias("c"),
-    ).select("contig", "c.*")
-    placed = genome.select(
-        "contig",
-        F.explode(F.expr("CASE WHEN length(seq) >= 8 THEN transform(sequence(3, length(seq) - 5, 199), p -> struct(CAST(p AS BIGINT) AS p, substring(seq, p - 2, 7) AS ctx)) END")).alias("c"),
-    ).select("contig", "c.*")
+    # Cut once: a substring of a text is found from its start, so many of a long one cost its length each.
+    cut = fx.view("g_genome").repartition("contig").selectExpr("contig", "length(seq) AS n", f"regexp_extract_all(seq, '.{{1,{CHUNK}}}', 0) AS parts")
+    cut, _ = staged(cut, "cut-genome")
+    chunks = cut.select("contig", F.posexplode("parts").alias("chunk_no", "seq"))
+    # From two bases in front of a position on: the end of one chunk and the start of the next.
+    ctx = f"substring(concat(get(parts, CAST((p - 3) div {CHUNK} AS INT)), coalesce(get(parts, CAST((p - 3) div {CHUNK} + 1 AS INT)), '')), CAST((p - 3) % {CHUNK} + 1 AS INT), 7)"
+    placed = cut.selectExpr(
+        "contig", f"inline(CASE WHEN n >= 8 THEN transform(sequence(3, n - 5, 199), p -> struct(CAST(p AS BIGINT) AS p, {ctx} AS ctx)) END)"
+    )
     alleles = F.array(
         *[F.struct(F.lit(name).alias("name"), F.expr(ref).alias("ref"), F.expr(alt).alias("alt")) for name, ref, alt in INDELS]
     )
     variants = placed.select("contig", F.col("p").alias("pos"), F.explode(alleles).alias("v")).select(
         F.concat_ws(":", "contig", "pos", "v.name").alias("row_id"), "contig", "pos", "v.ref", "v.alt"
     )
-    return chunks, variants
+    return chunks.withColumn("chunk_no", F.col("chunk_no").cast("bigint")), variants
 
 
 LEFT_ALIGN_SQL = f"""

@@ -19,7 +19,9 @@ NEAR = 63
 def common_prefix(a: str, b: str, n: str) -> str:
     """SQL text: number of equal leading characters of two texts, looking at the first ``n``."""
     same = f"zip_with(split(left({a}, {n}), ''), split(left({b}, {n}), ''), (x, y) -> x = y)"
-    return f"(CASE WHEN {n} <= 0 THEN 0 ELSE coalesce(nullif(CAST(array_position({same}, false) AS INT), 0) - 1, {n}) END)"
+    # Most texts differ at once or not at all; only the others are taken apart.
+    plain = f"WHEN left({a}, 1) <> left({b}, 1) THEN 0 WHEN left({a}, {n}) = left({b}, {n}) THEN {n}"
+    return f"(CASE WHEN {n} <= 0 THEN 0 {plain} ELSE coalesce(nullif(CAST(array_position({same}, false) AS INT), 0) - 1, {n}) END)"
 
 
 def genome_windows(genome: DataFrame, places: DataFrame, back: int) -> DataFrame:
@@ -72,7 +74,8 @@ def _equal_ends(front: str, n: str, most: int) -> str:
     """
     bits = ", ".join(str(1 << b) for b in reversed(range(most.bit_length())))
     both = f"concat({front}, indel)"
-    return f"aggregate(array({bits}), 0, (k, b) -> CASE WHEN k + b <= {n} AND right({front}, k + b) = right({both}, k + b) THEN k + b ELSE k END)"
+    # Without the last base in common there is nothing to look for.
+    return f"CASE WHEN {n} < 1 OR right({front}, 1) <> right(indel, 1) THEN 0 ELSE aggregate(array({bits}), 0, (k, b) -> CASE WHEN k + b <= {n} AND right({front}, k + b) = right({both}, k + b) THEN k + b ELSE k END) END"
 
 
 def _shift(df: DataFrame, chunk: int, back: int) -> DataFrame:
