@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from contextlib import contextmanager
 from itertools import count
 
 import numpy as np
@@ -23,7 +24,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from allelio.llm.common import raw, stage
@@ -35,8 +36,9 @@ from allelio.session import scratch_path
 DEPTH, LEAST, TOP = 5, 100, 2000
 #: Ids of a shard, about; a task holds twice as many at most in unfinished shards of all languages.
 SHARD = 1 << 18
-#: Bytes of texts that come to Python together, and of shards that the writer holds.
-BATCH_BYTES = 8 << 20
+#: Bytes of texts or shards that come to Python together, and of shards that the writer holds; shards (about 3 MB) of a row group, which a
+#: reader holds whole.
+BATCH_BYTES, GROUP = 8 << 20, 2
 #: Most bits of the bitmap of frequent pairs; parts that a language's phrases are ranked in first.
 MOST_BITS, PARTS = 1 << 31, 64
 
@@ -258,15 +260,25 @@ def phrase_counts(indexed: DataFrame, bitmap: np.ndarray, bits: int, depth: int
 # --- The operator ---------------------------------------------------------------
 
 
-def _written(indexed: DataFrame) -> DataFrame:
-    """Shards as a table. Texts come to Python in smaller batches while it is written, and rows leave the writer a few shards at a time."""
-    spark, path, setting = indexed.sparkSession, scratch_path(indexed.sparkSession, "shards"), "spark.sql.execution.arrow.maxBytesPerBatch"
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """Rows come to Python ``BATCH_BYTES`` at a time in the jobs that run here, whatever a task reads in all."""
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
     before = spark.conf.get(setting)
     spark.conf.set(setting, str(BATCH_BYTES))
     try:
-        indexed.write.option("parquet.block.size", BATCH_BYTES).option("parquet.enable.dictionary", "false").parquet(path)
+        yield
     finally:
         spark.conf.set(setting, before)
+
+
+def _written(indexed: DataFrame) -> DataFrame:
+    """Shards as a table in row groups of ``GROUP``: writers and readers hold that many, not all shards of a file."""
+    spark, path = indexed.sparkSession, scratch_path(indexed.sparkSession, "shards")
+    # Without the limit of rows, a row group is not looked at before its hundredth row.
+    writer = indexed.write.option("parquet.block.size", BATCH_BYTES).option("parquet.block.row.count.limit", GROUP).option("parquet.page.size.row.check.min", 1)
+    with _small_batches(spark):
+        writer.option("parquet.enable.dictionary", "false").parquet(path)
     return spark.read.schema(indexed.schema).parquet(path)
 
 
@@ -276,11 +288,13 @@ def frequent(docs: DataFrame, least: int = LEAST, depth: int = DEPTH, size: int
     counted = indexed.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("w")).select("lang", F.col("w.words").alias("phrase"), F.col("w.counts").alias("n"))
     words = counted.groupBy("lang", "phrase").agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
     totals = indexed.groupBy("lang").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda a, b: a + b)).alias("n"))
-    bitmap, bits = frequent_pairs(indexed, least)
+    with _small_batches(docs.sparkSession):
+        bitmap, bits = frequent_pairs(indexed, least)
     listed = phrase_counts(indexed, bitmap, bits, depth).repartition("lang", "phrase", "words")
     longer = listed.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
     every = words.select("lang", "phrase", F.lit(1).alias("words"), "f").unionByName(longer)
-    return stage(every, "frequent"), stage(totals, "totals")
+    with _small_batches(docs.sparkSession):
+        return stage(every, "frequent"), stage(totals, "totals")
 
 
 def _joined(parts: str) -> F.Column:

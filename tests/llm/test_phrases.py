@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -89,3 +90,15 @@ def test_index_extends_both_ways():
                 phrase = np.c_[more, phrase[owner]] if turn == "L" else np.c_[phrase[owner], more]
                 want = {p: c for p, c in seen[phrase.shape[1]].items() if 0 not in p}
                 assert dict(zip(map(tuple, phrase.tolist()), size.tolist(), strict=True)) == want
+
+
+def test_shards_are_held_some_at_a_time(spark):
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(setting)
+    docs = spark.createDataFrame(corpus(7), "lang string, text string").coalesce(1)
+    written = phrases._written(phrases.shards(docs, 40))
+    groups = [pq.ParquetFile(f.removeprefix("file:")).metadata for f in written.inputFiles()]
+    sizes = [g.row_group(i).num_rows for g in groups for i in range(g.num_row_groups)]
+    assert sum(sizes) == written.count() > 10 * phrases.GROUP
+    assert max(sizes) <= phrases.GROUP
+    assert spark.conf.get(setting) == before
