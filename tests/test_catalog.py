@@ -7,7 +7,7 @@ from pathlib import Path
 import pytest
 
 from __spark_entry__ import entry, queries
-from allelio.catalog import ORACLES, QUERIES
+from allelio.catalog import ORACLES, QUERIES, fixtures
 from check import compare, connect
 
 SF = "/root/testdata/sf0.001"
@@ -48,3 +48,19 @@ def test_plan_has_no_nested_loop(spark, name):
         queries()[name](spark, SF).explain("formatted")
     assert "NestedLoop" not in text.getvalue()
     assert "Cartesian" not in text.getvalue()
+
+
+def test_calls_are_dealt_out(spark, tmp_path, monkeypatch):
+    orders = [(i, i % 40 if i % 7 else None) for i in range(200)] + [(3, 5), (None, 1)]
+    lines = [(i % 210 if i % 11 else None, i % 30 if i % 13 else None, float(i % 50), (i % 9) / 100 if i % 5 else None) for i in range(1500)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_quantity double, l_tax double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([], fixtures.BASE["part"]).write.parquet(f"{tmp_path}/part.parquet")
+    fx = fixtures.Fixtures(spark, str(tmp_path))
+    plain = fx.view("g_geno")
+    want = sorted(map(str, plain.collect()))
+    monkeypatch.setattr(fixtures, "LINES_PER_TASK", 100)
+    dealt = fx.view("g_geno")
+    assert dealt.schema == plain.schema and sorted(map(str, dealt.collect())) == want and len(want) > 100
+    # Parts follow the line items, not the session's setting, and are not put together again.
+    assert dealt.rdd.getNumPartitions() == 15
