@@ -6,10 +6,11 @@ of its reverse, in the order of the first ``DEPTH`` ids, which is all that phras
 one more word to its left is a step in the one and cuts the interval in the other, one more to its right the other way round.
 A step is taken for all intervals of a shard at once, and gives every extension with its count.
 
-Counts of the shards are summed. Most phrases are rare, so they are not listed: a first pass sums hashed word pairs, and marks
-the hashes that are frequent in a bitmap. A second pass lists only phrases all of whose pairs are marked. Every
-frequent phrase is among them, because its pairs are at least as frequent; that others are listed too changes no
-sum. The bitmap has 16 bits for a marked hash, 256 MiB at most. What a shard holds does not grow with the corpus.
+Phrases go through the shuffle as numbers: a key of 64 bits, a check of 32 more, the count in a shard and the shard. Counts of the shards are summed, and
+the smallest shard that holds a frequent phrase is asked for its text, so a phrase is spelled once, however many shards hold it. Most
+phrases are rare, so lengths are counted one after the other: all pairs first, then the triples of frequent pairs, then longer phrases all of whose
+triples are frequent. What is frequent is marked in a bitmap by its key, 64 bits for a mark, 256 MiB at most. Every frequent phrase is among those
+counted, because its parts are at least as frequent; that others are counted too changes no sum. What a shard holds does not grow with the corpus.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Iterator
 from contextlib import contextmanager
+from functools import reduce
 from itertools import count
 
 import numpy as np
@@ -39,8 +41,10 @@ SHARD = 1 << 18
 #: Bytes of texts or shards that come to Python together, and of shards that the writer holds; shards (about 3 MB) of a row group, which a
 #: reader holds whole.
 BATCH_BYTES, GROUP = 8 << 20, 2
-#: Most bits of the bitmap of frequent pairs; parts that a language's phrases are ranked in first.
-MOST_BITS, PARTS = 1 << 31, 64
+#: Bits of a bitmap for a mark, and at most; parts that a language's phrases are ranked in first.
+MARK_BITS, MOST_BITS, PARTS = 64, 1 << 31, 64
+#: Lengths that are counted together; a length from the last on counts with it.
+TURNS = (2, 3, 4)
 
 #: Ends of pieces become a byte that UTF-8 does not have.
 _END = 0xFF
@@ -123,15 +127,20 @@ class Index:
         return owner, word, low, back, size
 
 
-def _pair_hash(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    return _mix(_mix(first) ^ second)
+def _keys(hashes: np.ndarray, phrase: np.ndarray) -> np.ndarray:
+    """Hash of each phrase (a row of word ids) from the hashes of its words."""
+    key = np.zeros(len(phrase), np.uint64)
+    for ids in phrase.T:
+        key = _mix(key ^ hashes[ids])
+    return key
 
 
-def _word_hashes(lang: str, words: pa.Array) -> np.ndarray:
-    """Hash of each word of a language; that of id 0 is not used."""
+def _word_hashes(lang: str, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each word of a language, for keys and for checks; those of id 0 are not used."""
     seed = xxhash.xxh3_64_intdigest(lang.encode())
-    found = [xxhash.xxh3_64_intdigest(w, seed) for w in words.cast(pa.binary()).to_pylist()]
-    return np.array([0, *found], np.uint64)
+    found = b"".join(xxhash.xxh3_128_digest(w, seed) for w in words.cast(pa.binary()).to_pylist())
+    both = np.frombuffer(bytes(16) + found, "<u8").reshape(-1, 2)
+    return both[:, 0].copy(), both[:, 1].copy()
 
 
 # --- Jobs over shards -----------------------------------------------------------
@@ -183,34 +192,57 @@ def shards(docs: DataFrame, size: int = SHARD) -> DataFrame:
     return docs.select(lang, raw().alias("text")).mapInArrow(_index_shards(size, 2 * size), schema)
 
 
-def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.Array, Index]]:
+def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, pa.Array, Index]]:
+    """Each shard: its other columns, its words, its index."""
     for batch in batches:
         for i in range(batch.num_rows):
             words = batch.column("words")[i].values
             sides = [np.frombuffer(batch.column(c)[i].as_buffer(), np.int32) for c in ("forward", "reverse")]
-            yield batch.column("lang")[i].as_py(), words, Index(*sides, len(words))
+            yield {c: batch.column(c)[i] for c in batch.schema.names}, words, Index(*sides, len(words))
+
+
+def _phrases(lang: str, words: pa.Array, index: Index, marks: dict[int, np.ndarray], depth: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Phrases of 2, 3 .. ``depth`` words of a shard, all of whose parts of a length with ``marks`` are marked: ``phrase, key, check, n``."""
+    hashes, checks = _word_hashes(lang, words)
+
+    def marked(bitmap: np.ndarray, part: np.ndarray) -> np.ndarray:
+        place = _keys(hashes, part) & np.uint64(8 * len(bitmap) - 1)
+        return bitmap[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1 > 0
+
+    word, low, back, size = index.words()
+    phrase = word[:, None]
+    for turn in range(depth - 1):
+        owner, more, low, back, size = (index.right if turn % 2 else index.left)(low, back, size)
+        phrase = np.c_[phrase[owner], more] if turn % 2 else np.c_[more, phrase[owner]]
+        for length, bitmap in marks.items():
+            if length <= phrase.shape[1]:
+                # The other parts were parts of the shorter phrase.
+                ok = marked(bitmap, phrase[:, -length:] if turn % 2 else phrase[:, :length])
+                phrase, low, back, size = phrase[ok], low[ok], back[ok], size[ok]
+        yield phrase, _keys(hashes, phrase).view(np.int64), _keys(checks, phrase).astype(np.uint32).view(np.int32), size
+
 
+def phrase_counts(indexed: DataFrame, marks: dict[int, np.ndarray], first: int, last: int) -> DataFrame:
+    """``key, check, n, shard``: each shard's phrases of ``first`` to ``last`` words, all of whose marked lengths' parts are marked."""
+    shared = indexed.sparkSession.sparkContext.broadcast(marks)
+    names = ["key", "check", "n", "shard"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row, words, index in _opened(batches):
+            for phrase, *found in _phrases(row["lang"].as_py(), words, index, shared.value, last):
+                for at in range(0, len(phrase) if phrase.shape[1] >= first else 0, 1 << 16):
+                    some = [pa.array(f[at : at + (1 << 16)]) for f in found]
+                    yield pa.RecordBatch.from_arrays([*some, pa.repeat(row["shard"], len(some[0]))], names)
 
-def _pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for lang, words, index in _opened(batches):
-        hashes = _word_hashes(lang, words)
-        word, low, back, size = index.words()
-        owner, before, _, _, n = index.left(low, back, size)
-        found = _pair_hash(hashes[before], hashes[word[owner]])
-        for at in range(0, len(n), 1 << 16):
-            some = slice(at, at + (1 << 16))
-            yield pa.RecordBatch.from_arrays([pa.array(found[some].view(np.int64)), pa.array(n[some])], ["pair", "n"])
+    return indexed.select("shard", "lang", "words", "forward", "reverse").mapInArrow(run, "key long, check int, n long, shard long")
 
 
-def frequent_pairs(indexed: DataFrame, least: int) -> tuple[np.ndarray, int]:
-    """Bitmap of the hashes of word pairs that occur ``least`` times, and the number of its bits (a power of two)."""
-    pairs = indexed.select("lang", "words", "forward", "reverse").mapInArrow(_pair_counts, "pair long, n long")
-    # A shard has each pair once, so counting again before the shuffle would only fill the memory of the task.
-    frequent = stage(pairs.repartition("pair").groupBy("pair").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("pair"), "pairs")
+def _bitmap(frequent: DataFrame) -> np.ndarray:
+    """Bitmap of the keys of a written table; the number of its bits is a power of two."""
     bits = 1 << 20
-    while bits < min(16 * frequent.count(), MOST_BITS):
+    while bits < min(MARK_BITS * frequent.count(), MOST_BITS):
         bits *= 2
-    place = F.col("pair").bitwiseAND(F.lit(bits - 1))
+    place = F.col("key").bitwiseAND(F.lit(bits - 1))
     placed = frequent.select(F.shiftright(place, 16).alias("chunk"), place.bitwiseAND(F.lit(0xFFFF)).cast("int").alias("bit"))
 
     def mark(chunk: pa.Table) -> pa.Table:
@@ -223,38 +255,57 @@ def frequent_pairs(indexed: DataFrame, least: int) -> tuple[np.ndarray, int]:
     # At most ``bits / 8`` bytes come to the driver.
     for row in stage(placed.groupBy("chunk").applyInArrow(mark, "chunk long, marks binary"), "bitmap").toLocalIterator():
         bitmap[row["chunk"] << 13 : (row["chunk"] + 1) << 13] = np.frombuffer(row["marks"], np.uint8)
-    return bitmap, bits
-
-
-def phrase_counts(indexed: DataFrame, bitmap: np.ndarray, bits: int, depth: int = DEPTH) -> DataFrame:
-    """``lang, phrase, words, n``: phrases of 2 to ``depth`` words of each shard, all of whose pairs are marked."""
-    shared = indexed.sparkSession.sparkContext.broadcast(bitmap)
+    return bitmap
+
+
+def frequent_phrases(indexed: DataFrame, least: int, depth: int) -> tuple[DataFrame, dict[int, np.ndarray]]:
+    """``key, check, f, shard`` of all phrases of 2 to ``depth`` words that occur ``least`` times, ``shard`` the smallest that holds one, and bitmaps of the shorter ones."""
+    marks: dict[int, np.ndarray] = {}
+    tables = []
+    for first in [t for t in TURNS if t <= depth]:
+        last = depth if first == TURNS[-1] else first
+        counts = phrase_counts(indexed, marks, first, last)
+        # A shard has each phrase once, so counting before the shuffle would only fill the memory of the task.
+        summed = counts.repartition("key").groupBy("key", "check").agg(F.sum("n").alias("f"), F.min("shard").alias("shard"))
+        tables.append(stage(summed.filter(F.col("f") >= least), "phrases"))
+        if first < TURNS[-1]:
+            marks = marks | {first: _bitmap(tables[-1])}
+    return reduce(DataFrame.unionByName, tables), marks
+
+
+def _places(keys: np.ndarray, checks: np.ndarray, key: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each ``key`` and ``check`` stands among the sorted ``keys`` and their ``checks``, and whether it does."""
+    at = np.searchsorted(keys, key)
+    while True:
+        here = np.minimum(at, len(keys) - 1)
+        same = (at < len(keys)) & (keys[here] == key)
+        late = same & (checks[here] != check)
+        if not late.any():
+            return here, same
+        at[late] += 1
+
+
+def phrase_texts(indexed: DataFrame, found: DataFrame, marks: dict[int, np.ndarray], depth: int) -> DataFrame:
+    """``lang, phrase, words, f`` of the phrases in ``found`` (``key, check, f, shard``), each spelled by its shard."""
+    shared = indexed.sparkSession.sparkContext.broadcast(marks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marks = shared.value
-        for lang, words, index in _opened(batches):
-            hashes = _word_hashes(lang, words)
-
-            def marked(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-                place = _pair_hash(hashes[first], hashes[second]) & np.uint64(bits - 1)
-                return marks[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1 > 0
-
-            word, low, back, size = index.words()
-            phrase = word[:, None]
-            for turn in range(depth - 1):
-                owner, more, low, back, size = (index.right if turn % 2 else index.left)(low, back, size)
-                old = phrase[owner]
-                pair = (old[:, -1], more) if turn % 2 else (more, old[:, 0])
-                ok = marked(*pair)
-                phrase = np.c_[old, more] if turn % 2 else np.c_[more, old]
-                phrase, low, back, size = phrase[ok], low[ok], back[ok], size[ok]
-                for at in range(0, len(size), 1 << 15):
+        for row, words, index in _opened(batches):
+            wanted = row["wanted"].values
+            keys, checks, f = (wanted.field(c).to_numpy(zero_copy_only=False) for c in ("key", "check", "f"))
+            for phrase, key, check, _ in _phrases(row["lang"].as_py(), words, index, shared.value, depth):
+                place, ok = _places(keys, checks, key, check)
+                phrase, place = phrase[ok], place[ok]
+                for at in range(0, len(place), 1 << 15):
                     some = phrase[at : at + (1 << 15)]
                     texts = pc.binary_join_element_wise(*[words.take(pa.array(c - 1)) for c in some.T], " ")
-                    same = [pa.array([lang] * len(some)), texts, pa.array(np.full(len(some), turn + 2, np.int32)), pa.array(size[at : at + (1 << 15)])]
-                    yield pa.RecordBatch.from_arrays(same, ["lang", "phrase", "words", "n"])
+                    same = [pa.repeat(row["lang"], len(some)), texts, pa.array(np.full(len(some), some.shape[1], np.int32)), pa.array(f[place[at : at + (1 << 15)]])]
+                    yield pa.RecordBatch.from_arrays(same, ["lang", "phrase", "words", "f"])
 
-    return indexed.select("lang", "words", "forward", "reverse").mapInArrow(run, "lang string, phrase string, words int, n long")
+    # A shard has no more phrases than places, so what is asked of one is bounded.
+    asked = found.groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("key", "check", "f"))).alias("wanted"))
+    rows = lookup_join(indexed.select("shard", "lang", "words", "forward", "reverse"), asked, "shard", stage=True)
+    return rows.mapInArrow(run, "lang string, phrase string, words int, f long")
 
 
 # --- The operator ---------------------------------------------------------------
@@ -289,11 +340,8 @@ def frequent(docs: DataFrame, least: int = LEAST, depth: int = DEPTH, size: int
     words = counted.groupBy("lang", "phrase").agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
     totals = indexed.groupBy("lang").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda a, b: a + b)).alias("n"))
     with _small_batches(docs.sparkSession):
-        bitmap, bits = frequent_pairs(indexed, least)
-    listed = phrase_counts(indexed, bitmap, bits, depth).repartition("lang", "phrase", "words")
-    longer = listed.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
-    every = words.select("lang", "phrase", F.lit(1).alias("words"), "f").unionByName(longer)
-    with _small_batches(docs.sparkSession):
+        longer = phrase_texts(indexed, *frequent_phrases(indexed, least, depth), depth)
+        every = words.select("lang", "phrase", F.lit(1).alias("words"), "f").unionByName(longer)
         return stage(every, "frequent"), stage(totals, "totals")
 
 

@@ -102,3 +102,30 @@ def test_shards_are_held_some_at_a_time(spark):
     assert sum(sizes) == written.count() > 10 * phrases.GROUP
     assert max(sizes) <= phrases.GROUP
     assert spark.conf.get(setting) == before
+
+
+def test_phrases_are_spelled_once_and_counted_by_frequent_parts(spark):
+    docs = spark.createDataFrame(corpus(11), "lang string, text string")
+    indexed = phrases._written(phrases.shards(docs, 60))
+    assert indexed.count() > 40
+    found, marks = phrases.frequent_phrases(indexed, 6, 5)
+    spelled = phrases.phrase_texts(indexed, found, marks, 5).collect()
+    want = {}
+    for lang, text in corpus(11):
+        for piece in re.split("[.,;:!?\x0a-\x0d]", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")):
+            words = re.findall("[^\x20\x09]+", piece)
+            for n in range(2, 6):
+                for i in range(len(words) - n + 1):
+                    key = (lang or ("und" if lang is None else ""), " ".join(words[i : i + n]), n)
+                    want[key] = want.get(key, 0) + 1
+    # One row for each frequent phrase, though most are in many shards.
+    assert sorted((*map(r.__getitem__, ("lang", "phrase", "words")), r["f"]) for r in spelled) == sorted((*k, f) for k, f in want.items() if f >= 6)
+    # Longer phrases are counted only if their triples are frequent.
+    assert phrases.phrase_counts(indexed, marks, 4, 5).count() < phrases.phrase_counts(indexed, {2: marks[2]}, 4, 5).count()
+
+
+def test_equal_keys_are_told_apart_by_their_checks():
+    keys, checks = np.array([-3, 5, 5, 5, 9]), np.array([1, -2, 0, 7, 4])
+    place, ok = phrases._places(keys, checks, np.array([5, 5, 9, 9, -3, 6, 10, 5]), np.array([7, -2, 4, 5, 1, 0, 0, 3]))
+    assert ok.tolist() == [True, True, True, False, True, False, False, False]
+    assert place[ok].tolist() == [3, 1, 4, 0]
