@@ -23,6 +23,7 @@ import heapq
 import json
 import re
 from collections.abc import Iterable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +42,8 @@ CUT, UNSURE = re.compile(r" (?=\S)"), re.compile(r" (?:\s|\Z)")
 #: Characters that a contraction or the end of a run of spaces may need beyond a word.
 BEYOND = 3
 CACHED = 1 << 19
+#: Chunks whose ids stand side by side.
+TABLE = 1 << 18
 UNMERGED = 1 << 40
 #: Longer chunks and words are not remembered.
 LONG = 64
@@ -101,6 +104,7 @@ class Vocabulary:
         self._pair_table()
         self.words: dict[str, bytes] = {}
         self.chunks = Chunks(self)
+        self.table = ChunkTable(self)
 
     def encode_word(self, data: bytes) -> list[int]:
         """Ids of one whole word: the rule of least rank first, the leftmost of equals."""
@@ -171,13 +175,10 @@ class Vocabulary:
             open_ = open_[(found != keys[open_]) & (found >= 0)]
         return out
 
-    def encode_words(self, words: list[bytes]) -> list[bytes]:
-        """Packed ids of many short words: in each turn every word applies its rule of least rank, from the left."""
-        if not words:
-            return []
-        lengths = np.fromiter(map(len, words), np.int64, len(words))
-        ids = self.first_ids[np.frombuffer(b"".join(words), np.uint8)]
-        owner = np.repeat(np.arange(len(words)), lengths)
+    def merge(self, data: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of many short words, one after another, and how many each has: in each turn every word applies its rule of least rank, from the left."""
+        ids = self.first_ids[data]
+        owner = np.repeat(np.arange(len(lengths)), lengths)
         ranks = np.full(len(ids), UNMERGED)
         inside = np.flatnonzero(owner[1:] == owner[:-1])
         ranks[inside] = self.ranks_of(ids[inside], ids[inside + 1])
@@ -211,26 +212,33 @@ class Vocabulary:
             left = left[owner[left - 1] == owner[left]] - 1
             ranks[left] = self.ranks_of(ids[left], ids[left + 1])
         whose, every = (np.concatenate(x) for x in zip(*done, strict=True)) if done else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        packed = every[np.argsort(whose, kind="stable")].astype("<u4").tobytes()
-        ends = (4 * np.cumsum(np.bincount(whose, minlength=len(words)))).tolist()
+        return every[np.argsort(whose, kind="stable")].astype("<u4"), np.bincount(whose, minlength=len(lengths))
+
+    def encode_words(self, words: list[bytes]) -> list[bytes]:
+        """Packed ids of many short words."""
+        ids, sizes = self.merge(np.frombuffer(b"".join(words), np.uint8), np.fromiter(map(len, words), np.int64, len(words)))
+        packed, ends = ids.tobytes(), (4 * np.cumsum(sizes)).tolist()
         return [packed[a:b] for a, b in zip([0, *ends], ends)]  # noqa: B905
 
-    def _packed(self, every: list[str]) -> list[bytes]:
-        """Packed ids of distinct chunks; those not seen before are encoded together."""
-        if len(self.chunks) > CACHED:
-            self.chunks.clear()
-        out = list(map(self.chunks.get, every))
-        new = [i for i, packed in enumerate(out) if packed is None]
-        parts = [chunk_words(every[i]) for i in new]
-        words = list({w for p in parts for w in p})
-        short = [w for w in words if len(w) < LONG]
-        packed = dict(zip(short, self.encode_words([w.encode() for w in short]), strict=True))
-        packed.update((w, pack_words(self, [w])) for w in words if len(w) >= LONG)
-        for i, p in zip(new, parts, strict=True):
-            out[i] = packed[p[0]] if len(p) == 1 else b"".join([packed[w] for w in p])
-            if len(every[i]) < LONG:
-                self.chunks[every[i]] = out[i]
-        return out
+    def encode_chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of many chunks, each with a space before it, one after another, and how many each has."""
+        words: list[str] = []
+        counts = []
+        for chunk in chunks:
+            some = chunk_words(chunk)
+            words += some
+            counts.append(len(some))
+        long = {i: np.frombuffer(pack_words(self, [w]), "<u4") for i, w in enumerate(words) if len(w) >= LONG}
+        column = pa.array(["" if i in long else w for i, w in enumerate(words)] if long else words, pa.string())
+        offsets = np.frombuffer(column.buffers()[1], np.int32, len(words) + 1)
+        ids, sizes = self.merge(np.frombuffer(column.buffers()[2] or b"", np.uint8, offsets[-1]), np.diff(offsets))
+        if long:
+            ends, parts, at = np.cumsum(sizes), [], 0
+            for i, own in long.items():
+                parts += [ids[at : ends[i]], own]
+                at, sizes[i] = ends[i], len(own)
+            ids = np.concatenate([*parts, ids[at:]])
+        return ids, np.add.reduceat(sizes, np.cumsum(counts) - counts)
 
     def encode_texts(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of some texts: each distinct chunk is looked up once. Long or unusual texts are streamed one by one."""
@@ -246,22 +254,54 @@ class Vocabulary:
         split = pc.split_pattern(pa.array([texts[i] for i in usual], pa.string()), " ")
         coded = split.flatten().dictionary_encode()
         names = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        packed = self._packed(names)
-        sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
-        begins = np.cumsum(sizes) - sizes
-        flat = np.frombuffer(b"".join(packed), "<u4")
-        index, ends = coded.indices.to_numpy(), split.offsets.to_numpy()
-        for i, a, b in zip(usual, ends, ends[1:]):  # noqa: B905
-            # No space stands before the first chunk.
-            head = pack_words(self, WORDS.findall(names[index[a]])) if names[index[a]] else b""
-            rest = index[a + 1 : b]
-            n = sizes[rest]
-            total = np.cumsum(n)
-            at = np.repeat(begins[rest] - total + n, n) + np.arange(total[-1] if len(total) else 0)
-            out[i] = np.concatenate([np.frombuffer(head, "<u4"), flat[at]])
+        places = self.table.places_of(names)
+        index, offsets = coded.indices.to_numpy(), split.offsets.to_numpy()
+        firsts, chunks = offsets[:-1], places[index]
+        n = self.table.sizes[chunks]
+        n[firsts] = 0  # no space stands before the first chunk
+        total = np.cumsum(n)
+        flat = self.table.ids[np.repeat(self.table.begins[chunks] - total + n, n) + np.arange(total[-1])]
+        ends = total[offsets[1:] - 1].tolist()
+        for i, chunk, a, b in zip(usual, index[firsts].tolist(), [0, *ends], ends):  # noqa: B905
+            head = pack_words(self, WORDS.findall(names[chunk])) if names[chunk] else b""
+            out[i] = np.concatenate([np.frombuffer(head, "<u4"), flat[a:b]])
         return out
 
 
+class ChunkTable:
+    """Ids of the chunks seen, side by side in one array. Once it is full, those met in one batch of texts only go."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.vocabulary, self.places = vocabulary, {}
+        self._hold(np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, bool))
+
+    def _hold(self, ids: np.ndarray, sizes: np.ndarray, again: np.ndarray) -> None:
+        self.ids, self.sizes, self.again, self.begins = ids, sizes, again, np.cumsum(sizes) - sizes
+
+    def places_of(self, chunks: list[str]) -> np.ndarray:
+        """Where distinct chunks stand in ``sizes`` and ``begins``, until the next call; new ones are encoded together."""
+        if len(self.sizes) > TABLE or len(self.ids) > 16 * TABLE:
+            self._shrink()
+        places = np.fromiter(map(self.places.get, chunks, repeat(-1)), np.int64, len(chunks))
+        self.again[places[places >= 0]] = True
+        new = np.flatnonzero(places < 0)
+        if len(new):
+            first, names = len(self.sizes), [chunks[i] for i in new.tolist()]
+            ids, sizes = self.vocabulary.encode_chunks(names)
+            self._hold(np.concatenate([self.ids, ids]), np.concatenate([self.sizes, sizes]), np.concatenate([self.again, np.zeros(len(names), bool)]))
+            self.places.update((c, at) for at, c in enumerate(names, first) if len(c) < LONG)
+            places[new] = np.arange(first, first + len(names))
+        return places
+
+    def _shrink(self) -> None:
+        stays = self.again
+        if 2 * stays.sum() > TABLE:
+            stays = np.zeros_like(stays)
+        moved = np.where(stays, np.cumsum(stays) - 1, -1).tolist()
+        self.places = {c: moved[at] for c, at in self.places.items() if moved[at] >= 0}
+        self._hold(self.ids[np.repeat(stays, self.sizes)], self.sizes[stays], np.zeros(int(stays.sum()), bool))
+
+
 def chunk_words(chunk: str) -> list[str]:
     """Words of a space and a chunk; the two usual kinds need no pattern."""
     if chunk.isalpha():

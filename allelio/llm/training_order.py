@@ -8,13 +8,15 @@ Shards hold ``SHARD`` slots each, in order, as rows of a fixed stride of little-
 up to 65,536 entries; others are refused): the sequence's length, its ids, zeros up to ``LENGTH``, and two zeros. Slot ``s`` is row ``s % SHARD`` of shard ``s // SHARD``, so a reader
 goes on at any slot by one seek. A task that encodes holds some texts and their rows, not all that Spark sends it at a time;
 the rows have their final form from then on. Some neighbouring shards are one partition, known from the slot alone, so the
-ranges are exact and nothing is sampled.
+ranges are exact and nothing is sampled. Shards are written in some passes over the rows, and the shuffle of a pass goes before the
+next one begins, so on disk stand the rows, the shards, and one pass's share of a shuffle.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 
 from allelio.llm import bpe
 from allelio.llm.common import raw, stage
-from allelio.operators.joins import lookup_join
+from allelio.operators.joins import BROADCAST_BYTES, lookup_join, staged
 from allelio.session import scratch_path
 from allelio.sources.blocks import open_file
 from allelio.sources.readers import _uri
@@ -32,7 +34,9 @@ from allelio.sources.stages import remove_stages
 #: Ids of a sequence, sequences of a shard (about 17 MB), shards of a partition, rounds of the network, its key.
 LENGTH, SHARD, TOGETHER, ROUNDS, KEY = 256, 32_768, 4, 6, 20_240_601
 #: Characters of texts that are encoded together.
-SOME = 1 << 20
+SOME = 1 << 21
+#: Passes in which shards are written, each with an equal part of them.
+PASSES = 3
 #: Parts that sequences are numbered in.
 PARTS = 4096
 #: The zero that ends a row is the line separator of Spark's text writer.
@@ -118,12 +122,20 @@ def sequences(docs: DataFrame, path: str | None = None, length: int = LENGTH) ->
     return keyed.mapInArrow(run, "doc_id long, h1 long, h2 long, row long, seq_no int, n_seqs int, line binary")
 
 
-def slotted(found: DataFrame, key: int = KEY) -> tuple[DataFrame, int]:
-    """``found`` (written) with its ``slot``, and the number of sequences.
+@contextmanager
+def _shuffles_go(spark: SparkSession):
+    """Within it, the shuffle files of a query go when it ends, not when the driver's heap is next collected."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
-    Documents are numbered, not sequences: a running sum of their sequences in two steps, over parts by hash and within a part, in
-    the order of hashes, is the same in every run. Only the keys are shuffled for it, not the ids.
-    """
+
+def _starts(found: DataFrame) -> tuple[DataFrame, int, int]:
+    """``row, start`` of each document (written), their bytes, and the number of sequences."""
     heads = found.filter("seq_no = 0").select("row", "h1", "h2", "n_seqs", F.pmod("h1", F.lit(PARTS)).alias("part"))
     counts = heads.groupBy("part").agg(F.sum("n_seqs").alias("n"))
     # At most PARTS rows.
@@ -132,25 +144,43 @@ def slotted(found: DataFrame, key: int = KEY) -> tuple[DataFrame, int]:
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     inside = Window.partitionBy("part").orderBy("h1", "h2", "row").rowsBetween(Window.unboundedPreceding, -1)
     placed = heads.withColumn("within", F.coalesce(F.sum("n_seqs").over(inside), F.lit(0))).join(F.broadcast(counts.drop("n")), "part")
-    starts = placed.select("row", (F.col("before") + F.col("within")).cast("long").alias("start"))
+    return *staged(placed.select("row", (F.col("before") + F.col("within")).cast("long").alias("start")), "starts"), total
+
 
+def _with_slots(found: DataFrame, starts: DataFrame, size: int, total: int, key: int) -> DataFrame:
     def slots(numbers: pa.Array) -> pa.Array:
         return pa.array(feistel(numbers.to_numpy(zero_copy_only=False), total, key), pa.int64())
 
     slots.__annotations__ = {"numbers": pa.Array, "return": pa.Array}
-    numbered = lookup_join(found, starts, "row", stage=True)
-    return numbered.withColumn("slot", F.arrow_udf(slots, "long")(F.col("start") + F.col("seq_no"))).drop("start"), total
+    numbered = lookup_join(found, starts, "row", size=size)
+    return numbered.withColumn("slot", F.arrow_udf(slots, "long")(F.col("start") + F.col("seq_no"))).drop("start")
+
+
+def slotted(found: DataFrame, key: int = KEY) -> tuple[DataFrame, int]:
+    """``found`` (written) with its ``slot``, and the number of sequences.
+
+    Documents are numbered, not sequences: a running sum of their sequences in two steps, over parts by hash and within a part, in
+    the order of hashes, is the same in every run. Only the keys are shuffled for it; the ids as well once the documents' numbers are too many to
+    be broadcast.
+    """
+    starts, size, total = _starts(found)
+    return _with_slots(found, starts, size, total, key), total
 
 
-def write_shards(rows: DataFrame, total: int, path: str, shard: int = SHARD, together: int = TOGETHER) -> None:
+def write_shards(rows: DataFrame, total: int, path: str, shard: int = SHARD, together: int = TOGETHER, passes: int = PASSES) -> None:
     """Write ``slot, line`` below ``path``, one file per shard (``shard=<number>``), sorted by slot.
 
-    A partition holds ``together`` neighbouring shards; its number follows from the slot.
+    A partition holds ``together`` neighbouring shards; its number follows from the slot. ``rows`` are read once in each of the ``passes``.
     """
     sharded = rows.select(F.floor(F.col("slot") / shard).cast("long").alias("shard"), "slot", "line")
     n = max(1, -(-total // (shard * together)))
-    ordered = sharded.repartitionById(n, F.floor(F.col("shard") / together).cast("int")).sortWithinPartitions("shard", "slot")
-    ordered.select("shard", F.col("line").cast("string").alias("value")).write.partitionBy("shard").option("lineSep", END).text(path)
+    each = -(-n // passes)
+    for first in range(0, n, each):
+        last = min(first + each, n)
+        some = sharded if n == each else sharded.filter((F.col("shard") >= first * together) & (F.col("shard") < last * together))
+        ordered = some.repartitionById(last - first, (F.floor(F.col("shard") / together) - first).cast("int")).sortWithinPartitions("shard", "slot")
+        with _shuffles_go(rows.sparkSession):
+            ordered.select("shard", F.col("line").cast("string").alias("value")).write.mode("append" if first else "errorifexists").partitionBy("shard").option("lineSep", END).text(path)
 
 
 def _stored(spark: SparkSession, path: str, length: int, shard: int, start: int, values, schema: str) -> DataFrame:
@@ -206,9 +236,17 @@ def materialise(docs: DataFrame, path: str | None = None, vocabulary: str | None
     spark = docs.sparkSession
     path, kept = path or scratch_path(spark, "shards"), scratch_path(spark, "sequences")
     sequences(docs, vocabulary).write.parquet(kept, compression="zstd")
-    placed, total = slotted(spark.read.parquet(kept), key)
+    starts, size, total = _starts(spark.read.parquet(kept))
     if not total:
         return spark.createDataFrame([], "doc_id long, seq_no int, slot long, shard long, at_byte long, n_ids int, ids_sha256 string")
+    placed = _with_slots(spark.read.parquet(kept), starts, size, total, key)
+    if size > BROADCAST_BYTES:
+        # Ids and slots meet by a shuffle; what comes of it takes the place of the first copy.
+        first, kept = kept, scratch_path(spark, "slots")
+        with _shuffles_go(spark):
+            placed.select("doc_id", "seq_no", "slot", "line").write.parquet(kept, compression="zstd")
+        remove_stages(spark, first)
+        placed = spark.read.parquet(kept)
     manifest = stage(placed.select("doc_id", "seq_no", "slot"), "manifest")
     write_shards(placed, total, path)
     remove_stages(spark, kept)  # the ids are in the shards now

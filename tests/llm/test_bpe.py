@@ -64,6 +64,21 @@ def test_words_together_and_alone(vocabulary):
     assert [i.tolist() for i in known.encode_texts(some)] == [bpe.encode(vocabulary, t).tolist() for t in some]
 
 
+def test_chunks_met_again_stay(vocabulary, monkeypatch):
+    known = bpe.Vocabulary(bpe.vocabulary_text(bpe.default_path()))
+    monkeypatch.setattr(bpe, "TABLE", 50)
+    encoded, plain = [], known.encode_chunks
+    monkeypatch.setattr(known, "encode_chunks", lambda names: encoded.append(names) or plain(names))
+    for turn in range(30):
+        some = [f"the cat sat on mat, {turn}. " + " ".join(f"w{turn}x{i}" for i in range(10)), "x " + "y" * 70 + f" é{turn} -- " + "z" * 200 + ". end"]
+        assert [i.tolist() for i in known.encode_texts(some)] == [bpe.encode(vocabulary, t).tolist() for t in some]
+    assert sum("cat" in names for names in encoded) == 1 and len(encoded) == 30
+    assert len(known.table.sizes) < 100 and set(known.table.places.values()) <= set(range(len(known.table.sizes)))
+    monkeypatch.setattr(bpe, "TABLE", 4)  # more are met again than may stay
+    for _ in range(3):
+        assert [i.tolist() for i in known.encode_texts(some)] == [bpe.encode(vocabulary, t).tolist() for t in some]
+
+
 def test_lookahead_is_sufficient_and_counts_chains():
     assert bpe.sufficient_lookahead([(b"a", b"b")]) == 1
     # bc, then ab only if no bc, then za only if no ab: the end decides three tokens back.

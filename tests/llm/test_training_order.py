@@ -2,6 +2,7 @@
 
 import hashlib
 import os
+import time
 
 import numpy as np
 import pytest
@@ -66,3 +67,33 @@ def test_runs_agree(spark, rows):
     assert all(r[4] == r[2] % order.SHARD * order.STRIDE for r in a)
     assert order.materialise(docs.limit(0)).count() == 0
     assert order.materialise(docs.filter("doc_id < 2")).count() == 0
+
+
+def test_the_shuffle_of_a_pass_goes(spark, tmp_path):
+    _, docs = some(spark)
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffles():
+        return {f for f in disk.getAllFiles().mkString(" ").split(" ") if f.endswith(".data") and "shuffle_" in f}
+
+    placed, total = order.slotted(order.stage(order.sequences(docs), "t"))
+    before, paths = shuffles(), [str(tmp_path / f"{n}") for n in (1, 3)]
+    for path, passes in zip(paths, (1, 3)):
+        order.write_shards(placed, total, path, 100, 1, passes)
+    until = time.time() + 10  # they go soon after a query ends
+    while shuffles() - before and time.time() < until:
+        time.sleep(0.1)
+    assert not shuffles() - before
+    one, three = ({r["slot"]: bytes(r["ids"]) for r in order.read_shards(spark, p, shard=100).collect()} for p in paths)
+    assert one == three and sorted(one) == list(range(total)) and sorted(os.listdir(paths[0])) == sorted(os.listdir(paths[1]))
+    with pytest.raises(Exception, match="(?i)already exists"):
+        order.write_shards(placed, total, paths[1], 100, 1)
+
+
+def test_ids_and_slots_meet_by_a_shuffle(spark, rows, monkeypatch):
+    _, docs = some(spark)
+    want = rows(order.materialise(docs))
+    plain, sizes = order.lookup_join, []
+    monkeypatch.setattr(order, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(order, "lookup_join", lambda *a, size: sizes.append(size) or plain(*a, size=size, max_bytes=0))
+    assert rows(order.materialise(docs)) == want and sizes[0] > 0
