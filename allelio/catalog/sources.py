@@ -13,6 +13,7 @@ from allelio.operators import frequency
 from allelio.operators.intervals import filter_intervals, subset_genotypes
 from allelio.operators.joins import lookup_join, stack, staged
 from allelio.plans.pipelines import categorised_consequences
+from allelio.session import SHUFFLES_GO, held
 from allelio.sources import headers, readers, writers
 
 DATASET = "CASE site_id % 3 WHEN 0 THEN 'acaf' WHEN 1 THEN 'exome' ELSE 'clinvar' END"
@@ -346,7 +347,8 @@ def write_genotype_subset(fx):
     path = fx.scratch("subset")
     sites = fx.view("g_site").select("site_id", "contig", "pos")
     regions = fx.view("g_region").select("gene", "contig", "start_pos", "end_pos")
-    calls = subset_genotypes(fx.view("g_geno"), sites, regions, ["site_id"]).join(sites, "site_id")
+    with held(fx.spark, SHUFFLES_GO):
+        calls = subset_genotypes(fx.view("g_geno"), sites, regions, ["site_id"], listed=True, carried=("contig", "pos"))
     rows = calls.select(F.expr(DATASET).alias("dataset"), "gene", "contig", "pos", "site_id", "sample_id", "alt_dosage")
     writers.write_genotypes(rows, path)
     return fx.spark.read.parquet(path)

@@ -225,19 +225,28 @@ def merged_regions(regions: DataFrame, by: list[str]) -> DataFrame:
     return merged.drop("_at")
 
 
-def subset_genotypes(genotypes: DataFrame, sites: DataFrame, regions: DataFrame, key: list[str]) -> DataFrame:
+def subset_genotypes(
+    genotypes: DataFrame, sites: DataFrame, regions: DataFrame, key: list[str], listed: bool = False, carried: tuple[str, ...] = ()
+) -> DataFrame:
     """Calls whose site lies in a closed region, once per gene: ranges meet the sites, calls meet the key.
 
     Overlapping regions of a gene are one, so a site meets each gene once however many regions there are, and a site's genes travel
-    in one row.
+    in one row. ``listed`` leaves them so: each call stays one row and ``gene`` is the list of its genes, to be opened where the rows
+    are used. The columns ``carried`` of the sites come along; a site that is there twice then doubles its calls.
     """
     spans = merged_regions(regions.select("gene", "contig", "start_pos", "end_pos"), ["gene"])
     genes = interval_join(sites.select(*dict.fromkeys([*key, "contig", "pos"])), spans, closed=True)
     # In a struct, so that a gene without name stays.
     lists = genes.groupBy(*key).agg(F.collect_set(F.struct("gene")).alias("_genes"))
+    if listed:
+        # Sorted, so that sites of the same genes have the same list.
+        lists = lists.withColumn("_genes", F.array_sort(F.transform("_genes", lambda g: g["gene"])))
+    if carried:
+        lists = sites.select(*key, *carried).join(lists.hint("merge"), key)
     calls = genotypes.drop("gene") if "gene" in genotypes.columns else genotypes
     joined = lookup_join(calls, lists, key, stage=True)
-    return joined.select(*[c for c in joined.columns if c != "_genes"], F.inline("_genes"))
+    genes = F.col("_genes").alias("gene") if listed else F.inline("_genes")
+    return joined.select(*[c for c in joined.columns if c != "_genes"], genes)
 
 
 def in_region(contig: Column | str, pos: Column | str, region: tuple[str, int, int]) -> Column:

@@ -1,14 +1,31 @@
-"""Session helpers: the shared folder for checkpoints and staged tables."""
+"""Session helpers: the shared folder for checkpoints and staged tables, settings held for a while."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
 
 _LOCAL: dict[str, str] = {}
+# The shuffle files of a query go when it ends, not when the driver's heap is next collected.
+SHUFFLES_GO = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+
+
+@contextmanager
+def held(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
+    """Within it, the session has these settings; afterwards those it had before."""
+    before = {name: spark.conf.get(name, None) for name in settings}
+    try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
 def shared_dir(spark: SparkSession) -> str:

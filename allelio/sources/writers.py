@@ -11,10 +11,13 @@ from allelio.functions.keys import contig_rank, variant_id
 from allelio.operators.intervals import PLACES, place_name
 from allelio.operators.joins import BROADCAST_BYTES, lookup_join, staged
 from allelio.operators.tiers import id_lists
+from allelio.session import SHUFFLES_GO, held, scratch_path
 from allelio.sources.headers import COLUMN_LINE, FORMAT_LINE
 
 VCF_HEADER = [FORMAT_LINE, COLUMN_LINE]
 ROWS_PER_FILE = 2_000_000
+# Calls with lists of genes that one task opens, and folders it writes to at once; a dictionary a column may have in each of their files.
+CALLS_PER_TASK, OPEN_FOLDERS, DICTIONARY_BYTES = 500_000, 64, 128 * 1024
 
 
 def balanced(df: DataFrame, *cols: str) -> DataFrame:
@@ -115,10 +118,32 @@ def write_regions(regions: DataFrame, path: str) -> None:
 
 
 def write_genotypes(calls: DataFrame, path: str, by: tuple[str, ...] = ("dataset", "gene")) -> None:
-    """Region subsets of calls as Parquet per dataset and gene, sorted by position where the calls carry one."""
-    order = [c for c in ("contig", "pos", "ref", "alt", "sample_id") if c in calls.columns]
-    sorted_calls = balanced(calls, *by).sortWithinPartitions(*by, *order)
-    sorted_calls.write.mode("overwrite").partitionBy(*by).parquet(path)
+    """Region subsets of calls as Parquet per dataset and gene, sorted by position where the calls carry one.
+
+    A column of ``by`` may hold lists: the genes a call belongs to, which has a row in the folder of each. Such calls are sorted and
+    staged as they are, and the lists are opened only while the folders are written, so that no row moves more than once however
+    many genes it belongs to, and no shuffle is left by then. A task writes to some folders at once; if it meets more, the rest of its
+    rows are sorted by folder.
+    """
+    place = [c for c in ("contig", "pos", "ref", "alt") if c in calls.columns]
+    lists = [c for c in by if isinstance(calls.schema[c].dataType, T.ArrayType)]
+    if not lists:
+        order = [*place, *[c for c in ("sample_id",) if c in calls.columns]]
+        balanced(calls, *by).sortWithinPartitions(*by, *order).write.mode("overwrite").partitionBy(*by).parquet(path)
+        return
+    spark = calls.sparkSession
+    # A site's rows stand together, sorted by sample, which packs them well.
+    plain = [f.name for f in calls.schema if isinstance(f.dataType, T.AtomicType) and f.name not in (*by, *place, "sample_id")]
+    order = [*[c for c in by if c not in lists], *place, *plain, *[c for c in ("sample_id",) if c in calls.columns]]
+    with held(spark, SHUFFLES_GO):
+        rows = save_stage(calls, scratch_path(spark, "listed-calls"), "calls", order, compression="zstd", maxRecordsPerFile=CALLS_PER_TASK)
+    for c in lists:
+        rows = rows.withColumn(c, F.explode(c))
+    # A file is a task of its own, as opening one counts as much as a task may read.
+    whole = {"spark.sql.files.openCostInBytes": spark.conf.get("spark.sql.files.maxPartitionBytes")}
+    with held(spark, {**whole, "spark.sql.maxConcurrentOutputFileWriters": str(OPEN_FOLDERS)}):
+        writer = rows.write.mode("overwrite").partitionBy(*by).option("parquet.dictionary.page.size", DICTIONARY_BYTES)
+        writer.parquet(path, compression="zstd")
 
 
 def write_by_position(df: DataFrame, path: str, by: tuple[str, ...] = (), place: str = "place_100kb") -> None:
@@ -133,15 +158,15 @@ def write_by_position(df: DataFrame, path: str, by: tuple[str, ...] = (), place:
     balanced(placed, *partitions).sortWithinPartitions(*partitions, *order).write.mode("overwrite").partitionBy(*partitions).parquet(path)
 
 
-def save_stage(df: DataFrame, base: str, name: str, sort_by: list[str] | None = None) -> DataFrame:
+def save_stage(df: DataFrame, base: str, name: str, sort_by: list[str] | None = None, **options: str | int) -> DataFrame:
     """Write a named intermediate and read it back, which also cuts its lineage.
 
     Sorted by (contig, pos, ...) the files carry narrow min/max statistics, so later region filters skip most of them.
     The files are cut by ranges of ``sort_by``: name enough columns to tell rows apart (``sample_id`` for calls), so
-    that a frequent value does not end up in one file.
+    that a frequent value does not end up in one file. ``options`` are those of Spark's writer.
     """
     path = f"{base.rstrip('/')}/{name}"
     if sort_by:
         df = df.repartitionByRange(*sort_by).sortWithinPartitions(*sort_by)
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -64,3 +64,29 @@ def test_calls_are_dealt_out(spark, tmp_path, monkeypatch):
     assert dealt.schema == plain.schema and sorted(map(str, dealt.collect())) == want and len(want) > 100
     # Parts follow the line items, not the session's setting, and are not put together again.
     assert dealt.rdd.getNumPartitions() == 15
+
+
+def test_a_call_of_many_genes_is_written_from_one_row(spark, tmp_path, rows, monkeypatch):
+    from allelio.sources import writers
+
+    lines = [(i % 300, i * 7 % 310, float(i % 50), (i % 9) / 100) for i in range(3000)]
+    tables = {
+        "supplier": (1500, lambda i: (i,)),
+        "part": (300, lambda i: (i, f"Brand#{1 + i % 26}", "PROMO", i % 50)),
+        "orders": (300, lambda i: (i, i % 70 if i % 9 else None)),
+        "lineitem": (3000, lines.__getitem__),
+    }
+    for name, (n, row) in tables.items():
+        spark.createDataFrame([row(i) for i in range(n)], fixtures.BASE[name]).write.parquet(f"{tmp_path}/{name}.parquet")
+    given, write = [], writers.write_genotypes
+    monkeypatch.setattr(writers, "write_genotypes", lambda calls, *a, **kw: (given.append(calls), write(calls, *a, **kw))[1])
+    out = queries()["write_genotype_subset"](spark, str(tmp_path))
+    (calls,) = given
+    keys = calls.select("site_id", "sample_id")
+    assert 1000 < keys.count() == keys.distinct().count() < out.count() / 2
+    for t in tables:
+        spark.read.parquet(f"{tmp_path}/{t}.parquet").createOrReplaceTempView(t)
+    want = spark.sql(ORACLES["write_genotype_subset"]).select(*out.columns)
+    for t in tables:
+        spark.catalog.dropTempView(t)
+    assert rows(out) == rows(want)

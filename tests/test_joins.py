@@ -183,3 +183,16 @@ def test_a_site_meets_each_gene_once(spark, rows):
     calls = spark.createDataFrame([(1, 7), (2, 7), (3, 8), (1, 9)], "site_id bigint, sample_id bigint")
     got = rows(I.subset_genotypes(calls, sites, spark.createDataFrame(regions, schema), ["site_id"]).select("site_id", "sample_id", "gene"))
     assert got == sorted([(1, s, g) for s in (7, 9) for g in ("A", "B", None)] + [(2, 7, "A")], key=repr)
+
+
+def test_genes_of_a_call_stay_listed(spark, rows):
+    schema = "gene string, contig string, start_pos bigint, end_pos bigint"
+    regions = spark.createDataFrame([("B", "c", 60, 70), ("A", "c", 1, 89), ("A", "c", 50, 60), (None, "c", 60, 61), ("A", "c", 200, 210)], schema)
+    sites = spark.createDataFrame([(1, "c", 60), (2, "c", 210), (3, "c", 100), (1, "c", 60)], "site_id bigint, contig string, pos bigint")
+    calls = spark.createDataFrame([(1, 7, "x"), (2, 7, "x"), (3, 8, "x"), (1, 9, "x")], "site_id bigint, sample_id bigint, gene string")
+    listed = I.subset_genotypes(calls, sites, regions, ["site_id"], listed=True)
+    assert listed.columns == ["site_id", "sample_id", "gene"]
+    assert rows(listed) == [(1, 7, ["A", "B", None]), (1, 9, ["A", "B", None]), (2, 7, ["A"])]
+    # A site that is there twice doubles its calls, as it does where calls meet sites again.
+    carried = I.subset_genotypes(calls, sites, regions, ["site_id"], listed=True, carried=("pos",)).select("site_id", "sample_id", "pos", "gene")
+    assert rows(carried) == [(1, s, 60, ["A", "B", None]) for s in (7, 7, 9, 9)] + [(2, 7, 210, ["A"])]

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from allelio import schemas
+from allelio import schemas, session
 from allelio.operators import annotation
 from allelio.sources import readers, writers
 
@@ -254,6 +254,31 @@ def test_id_and_sample_lists(spark, tmp_path):
     assert f.read_text() == "0\t7\n"
 
 
+@pytest.mark.parametrize("folders", [64, 2])
+def test_lists_of_genes_are_opened_as_folders_are_written(spark, tmp_path, rows, monkeypatch, folders):
+    import pyarrow.parquet as pq
+
+    monkeypatch.setattr(writers, "CALLS_PER_TASK", 300)
+    monkeypatch.setattr(writers, "OPEN_FOLDERS", folders)
+    genes = [["TTN"], ["TTN", "DES"], ["DES", None, "DSP"], [], None, ["DSP", "DSP"]]
+    calls = [("acaf" if i % 3 else None, genes[i % 6], f"chr{i % 2}", i * 7919 % 50, i * 7919 % 50 + 100 * (i % 4), i % 97, 1 if i % 5 else None) for i in range(2000)]
+    df = spark.createDataFrame(calls, "dataset string, gene array<string>, contig string, pos bigint, site_id bigint, sample_id bigint, alt_dosage int")
+    names = ("spark.sql.files.openCostInBytes", "spark.sql.maxConcurrentOutputFileWriters", *session.SHUFFLES_GO)
+    before = [spark.conf.get(n, None) for n in names]
+    path = str(tmp_path / "listed")
+    writers.write_genotypes(df.repartition(3), path)
+    assert [spark.conf.get(n, None) for n in names] == before
+    want = [(*c[2:], c[0], g) for c in calls for g in c[1] or []]
+    back = spark.read.parquet(path)
+    assert back.columns == ["contig", "pos", "site_id", "sample_id", "alt_dosage", "dataset", "gene"]
+    assert rows(back) == sorted(want, key=repr)
+    files = list((tmp_path / "listed").glob("dataset=*/gene=*/*.parquet"))
+    assert len({f.parent for f in files}) == len({c[-2:] for c in want}) and len(files) > 2 * len({f.parent for f in files})
+    for f in files if folders > 2 else []:
+        part = [(r["contig"], r["pos"], r["site_id"]) for r in pq.ParquetFile(f).read(["contig", "pos", "site_id"]).to_pylist()]
+        assert part == sorted(part) and len(part) <= 2 * 300
+
+
 def test_region_reads_skip_row_groups(spark, tmp_path):
     sites = spark.range(10_000).select(
         F.lit("chr1").alias("contig"), F.col("id").alias("pos"), F.lit("A").alias("ref"), F.lit("G").alias("alt"),
